@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, sql, tokens
+from . import bpe, decontaminate, html, nearest, quality, sql, tokens
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CODEC_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,10 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.count_tokens(table(spark, sf_dir, "documents"), COUNT_VOCABULARY))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return nearest.search(embeddings, embeddings.where("vec_id % 50 = 0"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -29,5 +42,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), CODEC_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_counts, op9_decontaminate, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op9_decontaminate": sql.DECONTAMINATE}
