@@ -99,6 +99,15 @@ def unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane, so that their leading zeros cost nothing."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(blob, "u1").reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def key_parts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part begins in sorted keys (parts + 1)."""
     edges = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
@@ -153,3 +162,30 @@ def with_answers(table: DataFrame, answers: DataFrame, fn: Callable[[Chunk, dict
 def sizes(df: DataFrame, column: str) -> int:
     """Total bytes of a text column."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def ask(keys: np.ndarray, columns: list[np.ndarray], parts: int, number: int) -> Iterator[dict]:
+    """Rows for each part; keys are sorted."""
+    edge = key_parts(keys, parts)
+    for p in range(parts):
+        a, b = edge[p], edge[p + 1]
+        if b > a:
+            yield {"part": p, "chunk": number, "keys": pack_keys(keys[a:b]), "more": b"".join(len(x := pack(c[a:b])).to_bytes(4, "little") + x for c in columns)}
+
+
+def asked_of(rows: list[dict], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """keys, columns, source row of each entry, ends of the rows."""
+    keys, columns = [unpack_keys(r["keys"]) for r in rows], [[] for _ in kinds]
+    for r in rows:
+        at = 0
+        for k, kind in enumerate(kinds):
+            n = int.from_bytes(r["more"][at : at + 4], "little")
+            columns[k].append(unpack(r["more"][at + 4 : at + 4 + n], kind))
+            at += 4 + n
+    count = np.array([len(k) for k in keys])
+    return np.concatenate(keys), [np.concatenate(c) for c in columns], np.repeat(np.arange(len(rows)), count), np.cumsum(count)
+
+
+def answer(kind: int, rows: list[dict], ends: np.ndarray, values: np.ndarray) -> Iterator[dict]:
+    for r, part in zip(rows, np.split(values, ends[:-1]), strict=True):
+        yield {"kind": kind, "part": r["part"], "chunk": r["chunk"], "answer": pack(part)}

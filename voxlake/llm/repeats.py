@@ -158,39 +158,12 @@ def suffixes(parse: Parse, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return place[at], repeated[at], np.searchsorted(at, order[new])
 
 
-def _ask(keys: np.ndarray, columns: list[np.ndarray], parts: int, number: int) -> Iterator[dict]:
-    """Rows for each part; keys are sorted."""
-    edge = C.key_parts(keys, parts)
-    for p in range(parts):
-        a, b = edge[p], edge[p + 1]
-        if b > a:
-            yield {"part": p, "chunk": number, "keys": keys[a:b].tobytes(), "more": b"".join(len(x := C.pack(c[a:b])).to_bytes(4, "little") + x for c in columns)}
-
-
-def _asked(rows: list[dict], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """keys, columns, source row of each entry, ends of the rows."""
-    keys, columns = [np.frombuffer(r["keys"], np.uint64) for r in rows], [[] for _ in kinds]
-    for r in rows:
-        at = 0
-        for k, kind in enumerate(kinds):
-            n = int.from_bytes(r["more"][at : at + 4], "little")
-            columns[k].append(C.unpack(r["more"][at + 4 : at + 4 + n], kind))
-            at += 4 + n
-    count = np.array([len(k) for k in keys])
-    return np.concatenate(keys), [np.concatenate(c) for c in columns], np.repeat(np.arange(len(rows)), count), np.cumsum(count)
-
-
-def _answer(kind: int, rows: list[dict], ends: np.ndarray, values: np.ndarray) -> Iterator[dict]:
-    for r, part in zip(rows, np.split(values, ends[:-1]), strict=True):
-        yield {"kind": kind, "part": r["part"], "chunk": r["chunk"], "answer": C.pack(part)}
-
-
 STAYS, GONE, OPEN = 0, 1, 2
 
 
 def judge_phrases(rows: list[dict]) -> Iterator[dict]:
     """For each phrase asked about: GONE, if it occurred earlier; OPEN, if another phrase with its trigger may share a stretch; else STAYS."""
-    keys, (phrase, ids, left, right), source, ends = _asked(rows, ["<u8", "<i8", "u1", "u1"])
+    keys, (phrase, ids, left, right), source, ends = C.asked_of(rows, ["<u8", "<i8", "u1", "u1"])
     order = np.lexsort((source, ids, phrase, keys))
     k, p = keys[order], phrase[order]
     first = np.ones(len(k), bool)
@@ -206,19 +179,19 @@ def judge_phrases(rows: list[dict]) -> Iterator[dict]:
         is_open[o[same]] = True
     verdict = np.full(len(keys), GONE, np.uint8)
     verdict[lead] = np.where(is_open[lead], OPEN, STAYS)
-    yield from _answer(1, rows, ends, verdict)
+    yield from C.answer(1, rows, ends, verdict)
 
 
 def judge_suffixes(rows: list[dict]) -> Iterator[dict]:
     """For each suffix asked about: 1 if it starts earlier in another chunk."""
-    keys, (ids, second), source, ends = _asked(rows, ["<i8", "<u4"])
+    keys, (ids, second), source, ends = C.asked_of(rows, ["<i8", "<u4"])
     order = np.lexsort((source, ids, second, keys))
     k, s = keys[order], second[order]
     again = np.zeros(len(k), np.uint8)
     again[1:] = (k[1:] == k[:-1]) & (s[1:] == s[:-1])
     verdict = np.empty(len(keys), np.uint8)
     verdict[order] = again
-    yield from _answer(2, rows, ends, verdict)
+    yield from C.answer(2, rows, ends, verdict)
 
 
 def _keyed(parse: Parse, starts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +225,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def ask_phrases(chunk: C.Chunk) -> Iterator[dict]:
         p = Parse(chunk, length, anchor)
         e = p.entry
-        yield from _ask(p.trigger[e], [p.phrase[e], p.ids, p.left[e], p.right[e]], parts, chunk.number)
+        yield from C.ask(p.trigger[e], [p.phrase[e], p.ids, p.left[e], p.right[e]], parts, chunk.number)
 
     verdicts = C.written(C.by_part(C.each_chunk(table, ask_phrases, C.ASKED, C.ASKED_ARROW), judge_phrases))
 
@@ -265,7 +238,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def ask_suffixes(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
         p, _, starts, _, firsts = opened(chunk, got)
         key, _, ids, second = _keyed(p, starts, firsts)
-        rows = list(_ask(key, [ids, second], parts, chunk.number))
+        rows = list(C.ask(key, [ids, second], parts, chunk.number))
         return pa.table({f.name: pa.array([r[f.name] for r in rows], f.type) for f in C.ASKED_ARROW})
 
     replies = C.written(C.by_part(C.with_answers(table, verdicts, ask_suffixes, C.ASKED), judge_suffixes))
