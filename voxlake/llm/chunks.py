@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 CHUNK_BYTES = 8 << 20
+#: What a row counts for besides its text, so that a chunk's rows are bounded too.
+ROW_BYTES = 16
+#: A row is known by its chunk and its place in it.
+PLACE_BITS = 23
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,10 +58,11 @@ def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_co
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, held = TaskContext.get().partitionId() << 32, 0
+        chunk, held = TaskContext.get().partitionId() << 20, 0
         seq = 0
         for batch in batches:
             _, offsets = A.utf8(batch.column(1))
+            offsets = offsets + ROW_BYTES * np.arange(len(offsets))
             lo = 0
             while lo < len(batch):
                 hi = int(np.searchsorted(offsets, offsets[lo] + max(0, chunk_bytes - held), "right")) - 1
@@ -86,6 +91,7 @@ class Chunk:
         order = np.lexsort((table.column("seq").to_numpy(), plain, ~none))
         self.table = table.take(pa.array(order))
         self.number = table.column("chunk")[0].as_py() if len(table) else -1
+        self.rids = (self.number << PLACE_BITS) + self.table.column("seq").to_numpy()
         #: For comparing: a null is less than any id.
         self.ids = np.where(none, np.iinfo(np.int64).min, plain)[order]
         self.data, self.offsets = A.utf8(self.table.column("text"))

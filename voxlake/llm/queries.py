@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, lm, nearest, quality, repeats, sql, tokens
+from . import bpe, decontaminate, html, lm, near, nearest, quality, repeats, sql, tokens
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CODEC_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.count_tokens(table(spark, sf_dir, "documents"), COUNT_VOCABULARY))
 
@@ -50,5 +54,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), CODEC_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeats, op3_lm, op4_quality, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": sql.DECONTAMINATE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeats, op3_lm, op4_quality, op5_near, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op5_near": sql.NEAR, "op9_decontaminate": sql.DECONTAMINATE}

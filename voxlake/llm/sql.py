@@ -15,3 +15,15 @@ s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN c ca ON ca.doc_id = a.doc_id JOIN c cb ON cb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, ca.n, cb.n HAVING count(*) >= 0.8 * (ca.n + cb.n - count(*)) - 1e-12),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x),
+m AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS is_first FROM k LEFT JOIN m USING (doc_id)
+"""
