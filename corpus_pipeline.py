@@ -1,15 +1,62 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""From raw documents to token ids: quality, near duplicates, repeated passages, benchmark passages, encoding.
+
+Every stage takes (spark, docs, sf_dir), works on all of docs, and but for the last returns the columns of
+documents. A null or empty text is a document like any other; a document that loses all of its text to the
+third stage stays, empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxlake.llm import bpe, chunks, decontaminate, near, quality, queries, repeats
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores under one half go."""
+    scored = quality.score(docs, queries.table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return scored.where("predicted = 1").select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    return near.near_duplicates(docs, keep=tuple(docs.columns)).where("is_first").select(docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 100-byte strings that start earlier in the corpus go; n_chars follows the text."""
+    kept = repeats.remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("text", "n_chars")), as_text=True)
+    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}).select(docs.columns)
+
+
+def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    found = decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where(F.size("hits") == 0).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens, and whether decoding the ids gave the text back."""
+    return bpe.encode(docs, queries.CODEC_VOCABULARY, keep=("doc_id", "lang", "source"), check=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("suffix-array dedup", remove_repeated_passages),
+    ("benchmark decontamination", reject_contaminated),
+    ("byte-level BPE", encode),
+]
+#: The classifier and the encoder are beyond SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages, applied to documents; each result is written to the shared folder and read again."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = chunks.written(docs)
     return docs

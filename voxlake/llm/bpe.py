@@ -202,8 +202,8 @@ def _vocabulary(docs: DataFrame, path: str):
     return hashlib.sha256(content).hexdigest(), docs.sparkSession.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, and the text's ids as array<int>."""
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """The columns named in keep, and the text's ids as array<int>; with check, n_tokens and whether decoding the ids gives the text back (exact)."""
     key, vocabulary = _vocabulary(docs, path)
     names = [c for c in keep if c != ids_col]
 
@@ -217,11 +217,12 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
                 rows = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[*names, ids_col])
+                more = [pa.array(np.diff(offsets), pa.int64()), pa.array([c.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)])] if check else []
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), *more], names=[*names, ids_col, *(["n_tokens", "exact"] if check else [])])
                 at += len(texts)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*(docs[c] for c in names), docs[text_col].cast("string").alias("__text")).mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
+    return docs.select(*(docs[c] for c in names), docs[text_col].cast("string").alias("__text")).mapInArrow(run, f"{schema}, `{ids_col}` array<int>" + ", n_tokens long, exact boolean" * check)
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -259,7 +259,8 @@ def _common(values: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray)
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk_bytes: int = C.CHUNK_BYTES, tile: int = TILE) -> DataFrame:
     """One row per document: the id, the columns named in keep, class_id, n_links (long), is_first (true for one row of each class)."""
     spark = docs.sparkSession
-    keep = tuple(c for c in keep if c not in (id_col,))
+    wanted = [c for c in keep if c != id_col]
+    keep = tuple(c for c in wanted if c != text_col)
     table = C.chunked(docs, text_col=text_col, id_col=id_col, keep=keep, chunk_bytes=chunk_bytes)
     bare = table.select("chunk", "seq", "id", "text")
     parts = C.partitions(spark)
@@ -366,13 +367,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for out, kind in ((lead, 2), (ids, 3), (times, 4)):
             out[s.rows] = whole(got, kind)[s.which]
         t = chunk.table
-        return pa.table({"id": t.column("id"), "rid": pa.array(chunk.rids), "lead": pa.array(lead), "own": pa.array(ids), "times": pa.array(times), **{f"k{k}": t.column(f"k{k}") for k in range(len(keep))}})
+        return pa.table({"id": t.column("id"), "rid": pa.array(chunk.rids), "lead": pa.array(lead), "own": pa.array(ids), "times": pa.array(times), **({"text": t.column("text")} if text_col in wanted else {}), **{f"k{k}": t.column(f"k{k}") for k in range(len(keep))}})
 
-    all_rows = C.with_answers(table, answers, rows, f"id long, rid long, lead long, own long, times long{kinds}")
+    all_rows = C.with_answers(table, answers, rows, f"id long, rid long, lead long, own long, times long{', text string' if text_col in wanted else ''}{kinds}")
     class_id = F.coalesce("class", "own")
     return all_rows.join(result, "lead", "left").select(
         F.col("id").alias(id_col),
-        *(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)),
+        *(F.col("text" if c == text_col else f"k{keep.index(c)}").alias(c) for c in wanted),
         F.when(class_id != _NONE, class_id).alias("class_id"),
         (F.col("times") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         (F.coalesce("class_row", "lead") == F.col("rid")).alias("is_first"),

@@ -213,13 +213,15 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     network = fit(docs, labels, vectors, id_col=id_col, text_col=text_col, label_id_col=label_id_col, label_col=label_col, sample=sample)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     names = [id_col, *(c for c in keep if c not in (id_col, "score"))]
+    text_at = names.index(text_col) if text_col in names else len(names)
+    extra = [docs[text_col].cast("string").alias("__text")] if text_at == len(names) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
         for batch in batches:
-            s = network.scores(pooled(*A.utf8(batch.column(len(names))), vectors))
+            s = network.scores(pooled(*A.utf8(batch.column(text_at)), vectors))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(s, pa.float64())], names=[*names, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = docs.select(*(docs[c] for c in names), docs[text_col].cast("string").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    out = docs.select(*(docs[c] for c in names), *extra).mapInArrow(run, f"{schema}, score double")
     return out.select(*names, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

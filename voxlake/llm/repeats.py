@@ -215,8 +215,11 @@ def _keyed(parse: Parse, starts: np.ndarray, firsts: np.ndarray) -> tuple[np.nda
     return key[order], order, ids[order], second[order]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """One row per document: the id, the columns named in keep, n_bytes, kept (binary), spans array<struct<start,end>> of removed bytes."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = C.CHUNK_BYTES, as_text: bool = False) -> DataFrame:
+    """One row per document: the id, the columns named in keep, n_bytes, kept (binary), spans array<struct<start,end>> of removed bytes.
+
+    With as_text, kept_text (string) stands in the place of kept: characters that a removed span cuts in two are left out whole.
+    """
     spark = docs.sparkSession
     keep = tuple(c for c in keep if c not in (id_col, text_col))
     table = C.chunked(docs, text_col=text_col, id_col=id_col, keep=keep, chunk_bytes=chunk_bytes)
@@ -266,11 +269,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         cut = np.concatenate([[0], np.cumsum(~removed)])[chunk.offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(pa.binary())
         t = chunk.table
-        return pa.table({"id": t.column("id"), **{f"k{i}": t.column(f"k{i}") for i in range(len(keep))}, "n_bytes": pa.array(np.diff(chunk.offsets)), "kept": kept, "spans": spans})
+        return pa.table({"id": t.column("id"), **{f"k{i}": t.column(f"k{i}") for i in range(len(keep))}, "n_bytes": pa.array(np.diff(chunk.offsets)), **({"kept_text": readable(kept)} if as_text else {"kept": kept}), "spans": spans})
 
-    schema = ", ".join(["id long", *kinds, "n_bytes long", "kept binary", "spans array<struct<start:bigint,end:bigint>>"])
+    schema = ", ".join(["id long", *kinds, "n_bytes long", "kept_text string" if as_text else "kept binary", "spans array<struct<start:bigint,end:bigint>>"])
     out = C.with_answers(table, verdicts.unionByName(replies), finish, schema)
-    return out.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "kept", "spans")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "kept_text" if as_text else "kept", "spans")
+
+
+def readable(kept: pa.Array) -> pa.Array:
+    return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
