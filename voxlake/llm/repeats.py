@@ -13,7 +13,7 @@ occurrences (the parse, in the order of doc_id and place) and from the order of
 suffixes. Suffixes need to be told apart only up to LENGTH bytes:
 
 1. Each chunk sends, for each of its distinct phrases, the trigger's hash, the phrase's hash,
-   its first document, and a byte each for the text left and right of the trigger. All phrases
+   its first document, and four bytes each for the text left and right of the trigger. All phrases
    with one trigger meet in a part. A phrase that occurred earlier is removed whole; one whose trigger
    nobody else shares, or shares without an equal side, stays whole; the rest are open.
 2. For open phrases alone a chunk builds the suffix array of its dictionary, by prefix doubling
@@ -49,7 +49,7 @@ LENGTH, ANCHOR = 100, 32
 
 
 def triggers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Of all phrases in corpus order: first start, last start, trigger hash, phrase hash, hashes (a byte each) left and right of the trigger."""
+    """Of all phrases in corpus order: first start, last start, trigger hash, phrase hash, hashes (four bytes each) left and right of the trigger."""
     reach, side = length - anchor + 1, (length - anchor) // 2
     found: list[tuple[np.ndarray, ...]] = []
     pieces: list[tuple[int, int, np.ndarray]] = []
@@ -92,10 +92,10 @@ def triggers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
         left = A.span(sums, np.maximum(t - side, own[row]), t)
         right = A.span(sums, t + anchor, np.minimum(t + anchor + side, own[row + 1]))
         # the sides must not depend on where a long text was cut
-        found.append((s0 + a, s1 + a, h[t], A.span(sums, s0, s1 + length), (left >> np.uint64(56)).astype(np.uint8), (right >> np.uint64(56)).astype(np.uint8)))
+        found.append((s0 + a, s1 + a, h[t], A.span(sums, s0, s1 + length), (left >> np.uint64(32)).astype(np.uint32), (right >> np.uint64(32)).astype(np.uint32)))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint8), z.astype(np.uint8)
+        return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint32), z.astype(np.uint32)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -163,7 +163,7 @@ STAYS, GONE, OPEN = 0, 1, 2
 
 def judge_phrases(rows: list[dict]) -> Iterator[dict]:
     """For each phrase asked about: GONE, if it occurred earlier; OPEN, if another phrase with its trigger may share a stretch; else STAYS."""
-    keys, (phrase, ids, left, right), source, ends = C.asked_of(rows, ["<u8", "<i8", "u1", "u1"])
+    keys, (phrase, ids, left, right), source, ends = C.asked_of(rows, ["<u8", "<i8", "<u4", "<u4"])
     order = np.lexsort((source, ids, phrase, keys))
     k, p = keys[order], phrase[order]
     first = np.ones(len(k), bool)
