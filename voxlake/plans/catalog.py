@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "S00_customers"
+from . import aggregates, joins, ordered, registry
+
+FLAGSHIP = "A07_campaign_quality"
+MODULES = (aggregates, joins, ordered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: lambda spark, d: spark.read.parquet(f"{d}/customer.parquet").groupBy("c_mktsegment").count()}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
