@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 BYTE_VALUES = np.random.default_rng(20_240_101).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -24,24 +24,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n of the base and of its inverse, kept for later calls up to a few slices."""
     if "up" in _powers and len(_powers["up"]) > n:
         return _powers["up"][: n + 1], _powers["down"][: n + 1]
-    size = max(n + 1, 2 * SLICE_BYTES)
+    size = max(n + 1, 1 << 20)
     out = []
     for base in (_ODD, _INV):
         p = np.ones(size, np.uint64)
         p[1:] = np.uint64(base)
         out.append(np.multiply.accumulate(p))
-    if size <= 8 * SLICE_BYTES:
+    if size <= 4 << 20:
         _powers["up"], _powers["down"] = out
     return out[0][: n + 1], out[1][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    y = x >> np.uint64(33)
+    y ^= x
+    y *= np.uint64(0xFF51AFD7ED558CCD)
+    y ^= y >> np.uint64(33)
+    y *= np.uint64(0xC4CEB9FE1A85EC53)
+    y ^= y >> np.uint64(33)
+    return y
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +106,15 @@ def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * up[ends] ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def rolling(sums: np.ndarray, width: int) -> np.ndarray:
+    """span() of every stretch of one width."""
+    up, _ = powers(len(sums))
+    x = sums[width:] - sums[:-width]
+    x *= up[width : len(sums)]
+    x ^= np.uint64(width * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix(x)
+
+
 def hash_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One hash for each row."""
     out = np.empty(len(offsets) - 1, np.uint64)

@@ -25,7 +25,7 @@ What is sent is a few bytes per 35 bytes of text and never the text. A trigger,
 suffix comes from a chunk at most once however often it occurs there, so a group of
 copies or a common passage loads a part with one entry for each chunk, or for each different surrounding.
 Hashes have 64 bits: phrases are told apart by two (trigger and phrase), suffixes in
-different chunks by one and a half.
+different chunks by their own and half of their trigger's.
 
 Defined results: null text is empty; texts of under LENGTH bytes lose nothing; a null id comes before any other;
 of rows that share an id one is earlier (by chunk and place), so one of equal rows stays; other
@@ -66,9 +66,8 @@ def triggers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
         if n < length:
             continue
         sums = A.prefix(A.BYTE_VALUES[data[a:b]])
-        at = np.arange(n - anchor + 1)
-        h = A.span(sums, at, at + anchor)
-        key = (h & ~np.uint64(0xFFFFF)) | at.astype(np.uint64)
+        h = A.rolling(sums, anchor)
+        key = (h & ~np.uint64(0xFFFFF)) | np.arange(len(h), dtype=np.uint64)
         pad = -len(key) % reach
         grid = np.concatenate([key, np.full(pad, ~np.uint64(0))]).reshape(-1, reach)
         ahead = np.minimum.accumulate(grid, axis=1).ravel()
@@ -91,8 +90,8 @@ def triggers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
         row = np.searchsorted(own, s0, "right") - 1
         left = A.span(sums, np.maximum(t - side, own[row]), t)
         right = A.span(sums, t + anchor, np.minimum(t + anchor + side, own[row + 1]))
-        # the sides must not depend on where a long text was cut
-        found.append((s0 + a, s1 + a, h[t], A.span(sums, s0, s1 + length), (left >> np.uint64(32)).astype(np.uint32), (right >> np.uint64(32)).astype(np.uint32)))
+        # the trigger's hash is small, being the least; mixed, it spreads over the parts
+        found.append((s0 + a, s1 + a, A.mix(h[t]), A.span(sums, s0, s1 + length), (left >> np.uint64(32)).astype(np.uint32), (right >> np.uint64(32)).astype(np.uint32)))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint32), z.astype(np.uint32)
@@ -106,7 +105,7 @@ class Parse:
         self.chunk, self.length = chunk, length
         self.s0, self.s1, self.trigger, self.phrase, self.left, self.right = triggers(chunk.data, chunk.offsets, length, anchor)
         n = len(self.s0)
-        order = np.lexsort((np.arange(n), self.phrase, self.trigger))
+        order = np.lexsort((self.phrase, self.trigger))  # stable: equal phrases stay in corpus order
         new = np.ones(n, bool)
         new[1:] = (self.trigger[order][1:] != self.trigger[order][:-1]) | (self.phrase[order][1:] != self.phrase[order][:-1])
         self.entry = order[new]
@@ -115,13 +114,14 @@ class Parse:
         self.ids = chunk.ids[np.searchsorted(chunk.offsets, self.s0[self.entry], "right") - 1] if n else np.zeros(0, np.int64)
 
 
-def suffixes(parse: Parse, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the stretches in these dictionary entries: start in the chunk, whether an equal one starts earlier, and the ranks' order of the first ones."""
+def suffixes(parse: Parse, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the stretches in these dictionary entries: start in the chunk, and whether an equal one starts earlier; in the order
+    of their keys, the places of those that don't, their keys, and their triggers' hashes (four bytes)."""
     data, length = parse.chunk.data, parse.length
     own = np.sort(parse.entry[entries])  # corpus order
     if not len(own):
         z = np.zeros(0, np.int64)
-        return z, z.astype(bool), z
+        return z, z.astype(bool), z, z.astype(np.uint64), z.astype(np.uint32)
     size = parse.s1[own] - parse.s0[own] + length
     place = A.ragged(parse.s0[own], size)
     text = np.concatenate([data[place], np.zeros(length + 8, np.uint8)])
@@ -133,29 +133,45 @@ def suffixes(parse: Parse, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for k in range(step):
         rank = rank * np.uint64(256) + text[k : k + n]
 
-    def compact(x: np.ndarray) -> np.ndarray:
-        order = np.argsort(x, kind="stable")
-        new = np.zeros(len(x), np.uint64)
-        new[1:] = x[order][1:] != x[order][:-1]
-        out = np.empty(len(x), np.uint64)
-        out[order] = np.cumsum(new)
-        return out
-
-    rank = compact(rank)
+    # a class of equal suffixes is known by the place of its first in the order; only classes of two or more are sorted further
+    order = np.argsort(rank)
+    x = rank[order]
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    count = np.diff(np.append(begin, n))
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.repeat(begin, count)
+    live = order[np.repeat(count > 1, count)]
     while step < length:
         jump = min(step, length - step)
-        ahead = np.zeros(n, np.uint64)
-        ahead[: n - jump] = rank[jump:]
-        rank = compact((rank << np.uint64(32)) | ahead)
+        to = live + jump
+        ahead = np.where(to < n, rank[np.minimum(to, n - 1)], 0)
+        x = (rank[live] << np.uint64(32)) | ahead
+        order = np.argsort(x)
+        x, live = x[order], live[order]
+        old = x >> np.uint64(32)
+        fresh = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+        parent = np.concatenate([[True], old[1:] != old[:-1]]) if len(x) else np.zeros(0, bool)
+        begin, top = np.flatnonzero(fresh), np.flatnonzero(parent)
+        count = np.diff(np.append(begin, len(x)))
+        rank[live] = old + np.repeat(begin, count).astype(np.uint64) - np.repeat(top, np.diff(np.append(top, len(x)))).astype(np.uint64)
+        live = live[np.repeat(count > 1, count)]
         step += jump
     whole = np.repeat(np.cumsum(size), size) - np.arange(n) >= length  # suffixes with LENGTH bytes left in their phrase
     at = np.flatnonzero(whole)
-    order = at[np.argsort(rank[at], kind="stable")]
+    order = np.sort((rank[at] << np.uint64(32)) | at.astype(np.uint64))
     new = np.ones(len(order), bool)
-    new[1:] = rank[order][1:] != rank[order][:-1]
+    new[1:] = (order[1:] >> np.uint64(32)) != (order[:-1] >> np.uint64(32))
+    first = np.sort((order[new] & np.uint64(0xFFFFFFFF)).astype(np.int64))
     repeated = np.ones(n, bool)
-    repeated[order[new]] = False
-    return place[at], repeated[at], np.searchsorted(at, order[new])
+    repeated[first] = False
+    key = np.empty(n, np.uint64)
+    for k in range(0, n, A.SLICE_BYTES):
+        stop = min(n, k + A.SLICE_BYTES)
+        key[k:stop] = A.rolling(A.prefix(A.BYTE_VALUES[text[k : stop + length - 1]]), length)
+    second = np.repeat((parse.trigger[own] >> np.uint64(32)).astype(np.uint32), size)[first]
+    key = key[first]
+    order = np.lexsort((second, key))
+    return place[at], repeated[at], np.searchsorted(at, first[order]), key[order], second[order]
 
 
 STAYS, GONE, OPEN = 0, 1, 2
@@ -194,27 +210,6 @@ def judge_suffixes(rows: list[dict]) -> Iterator[dict]:
     yield from C.answer(2, rows, ends, verdict)
 
 
-def _keyed(parse: Parse, starts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the first suffixes, with the places in firsts, the documents, and a second hash."""
-    at = starts[firsts]
-    key, second = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
-    data, length = parse.chunk.data, parse.length
-    by = np.argsort(at, kind="stable")
-    k = 0
-    while k < len(by):
-        base = int(at[by[k]])
-        stop = int(np.searchsorted(at[by], base + A.SLICE_BYTES, "left"))
-        own = at[by[k:stop]] - base
-        values = A.BYTE_VALUES[data[base : base + int(own[-1]) + length]]
-        sums = A.prefix(values)
-        key[by[k:stop]] = A.span(sums, own, own + length)
-        second[by[k:stop]] = (A.span(A.prefix(A.mix(values)), own, own + length) >> np.uint64(32)).astype(np.uint32)
-        k = stop
-    ids = parse.chunk.ids[np.searchsorted(parse.chunk.offsets, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
-    order = np.lexsort((second, key))
-    return key[order], order, ids[order], second[order]
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = C.CHUNK_BYTES, as_text: bool = False) -> DataFrame:
     """One row per document: the id, the columns named in keep, n_bytes, kept (binary), spans array<struct<start,end>> of removed bytes.
 
@@ -235,12 +230,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def opened(chunk: C.Chunk, got: dict[int, list[bytes]]):
         p = Parse(chunk, length, anchor)
         verdict = np.concatenate([C.unpack(b, "u1") for b in got.get(1, [])] or [np.zeros(0, np.uint8)])
-        starts, repeated, firsts = suffixes(p, np.flatnonzero(verdict == OPEN))
-        return p, verdict, starts, repeated, firsts
+        return p, verdict, *suffixes(p, np.flatnonzero(verdict == OPEN))
 
     def ask_suffixes(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
-        p, _, starts, _, firsts = opened(chunk, got)
-        key, _, ids, second = _keyed(p, starts, firsts)
+        p, _, starts, _, firsts, key, second = opened(chunk, got)
+        ids = chunk.ids[np.searchsorted(chunk.offsets, starts[firsts], "right") - 1] if len(firsts) else np.zeros(0, np.int64)
         rows = list(C.ask(key, [ids, second], parts, chunk.number))
         return pa.table({f.name: pa.array([r[f.name] for r in rows], f.type) for f in C.ASKED_ARROW})
 
@@ -248,11 +242,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kinds = [f"`k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 
     def finish(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
-        p, verdict, starts, repeated, firsts = opened(chunk, got)
+        p, verdict, starts, repeated, firsts, _, _ = opened(chunk, got)
         later = np.concatenate([C.unpack(b, "u1") for b in got.get(2, [])] or [np.zeros(0, np.uint8)])
-        _, order, _, _ = _keyed(p, starts, firsts)
         gone = repeated.copy()
-        gone[firsts[order]] |= later.astype(bool)
+        gone[firsts] |= later.astype(bool)
         whole = ~p.is_first
         whole[p.entry] |= verdict == GONE
         n = len(chunk.data)
