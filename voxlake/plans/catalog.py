@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, ordered, registry
+from . import aggregates, joins, learning, ordered, registry, scalars, scoring
 
 FLAGSHIP = "A07_campaign_quality"
-MODULES = (aggregates, joins, ordered)
+MODULES = (aggregates, joins, ordered, scalars, scoring, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
