@@ -26,7 +26,20 @@ def least_loaded(plan: DataFrame, *, key: str, size: str, bins: int) -> DataFram
             heapq.heappush(heap, (load + int(n), b))
         return rows.assign(bin=out)
 
-    return plan.groupBy(F.lit("all")).applyInPandas(lambda rows: assign(rows), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in plan.schema)}, bin int")
+    return plan.groupBy(F.lit("all").alias("all")).applyInPandas(assign, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in plan.schema)}, bin int")
+
+
+def best_path(e: np.ndarray, transition: np.ndarray, start: np.ndarray) -> list[int]:
+    """The label sequence with the largest sum of start, emissions (rows x labels) and transitions."""
+    score, back = start + e[0], np.zeros(e.shape, int)
+    for t in range(1, len(e)):
+        paths = score[:, None] + transition
+        back[t] = paths.argmax(axis=0)
+        score = paths.max(axis=0) + e[t]
+    best = [int(score.argmax())]
+    for t in range(len(e) - 1, 0, -1):
+        best.append(int(back[t, best[-1]]))
+    return best[::-1]
 
 
 def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels: list[str], transition: np.ndarray, start: np.ndarray) -> DataFrame:
@@ -34,16 +47,8 @@ def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels:
 
     def decode(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        e = np.stack(rows[column].to_numpy())
-        score, back = start + e[0], np.zeros(e.shape, int)
-        for t in range(1, len(e)):
-            paths = score[:, None] + transition
-            back[t] = paths.argmax(axis=0)
-            score = paths.max(axis=0) + e[t]
-        best = [int(score.argmax())]
-        for t in range(len(e) - 1, 0, -1):
-            best.append(int(back[t, best[-1]]))
-        return pd.DataFrame({keys: rows[keys], order: rows[order], "label": [labels[k] for k in reversed(best)]})
+        best = best_path(np.stack(rows[column].to_numpy()), transition, start)
+        return pd.DataFrame({keys: rows[keys], order: rows[order], "label": [labels[k] for k in best]})
 
     schema = f"{keys} {emissions.schema[keys].dataType.simpleString()}, {order} {emissions.schema[order].dataType.simpleString()}, label string"
     return emissions.groupBy(keys).applyInPandas(decode, schema)

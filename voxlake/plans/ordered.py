@@ -14,16 +14,22 @@ from voxlake.views import ctes
 
 WIN, UTT, TOP = ctes("windows"), ctes("utterances"), ctes("call_topics")
 EVENT = ["ts", "event_id"]
-BY_FILE = Window.partitionBy("file_id").orderBy(*EVENT)
 LINE = ["line", "part_id", "supp_id", "price"]
-BY_CALL = Window.partitionBy("call_id").orderBy(*LINE)
 ON = "OVER (PARTITION BY file_id ORDER BY ts, event_id)"
 ONC = "OVER (PARTITION BY call_id ORDER BY line, part_id, supp_id, price)"
 
 
+def by_file():
+    return Window.partitionBy("file_id").orderBy(*EVENT)
+
+
+def by_call():
+    return Window.partitionBy("call_id").orderBy(*LINE)
+
+
 @query("W01_turn_index", f"WITH {TOP} SELECT call_id, line, part_id, supp_id, price, row_number() {ONC} - 1 AS turn_idx FROM call_topics")
 def turn_index(s: Source) -> DataFrame:
-    return s.view("call_topics").select("call_id", *LINE, (F.row_number().over(BY_CALL) - 1).cast("long").alias("turn_idx"))
+    return s.view("call_topics").select("call_id", *LINE, (F.row_number().over(by_call()) - 1).cast("long").alias("turn_idx"))
 
 
 @query("W02_relative_time", f"WITH {WIN} SELECT event_id, round(least(greatest(second_of_day * 1.0 / nullif(max(second_of_day) OVER (PARTITION BY file_id, day), 0), 0), 1), 8) AS rel FROM windows")
@@ -76,7 +82,7 @@ def sessions_by_reset(s: Source) -> DataFrame:
 
 @query("W09_split_at_zero", f"WITH {TOP}, a AS (SELECT *, CASE WHEN part_id % 5 = 0 THEN 1 ELSE 0 END AS z FROM call_topics) SELECT call_id, line, part_id, supp_id, price, CAST(sum(z) OVER (PARTITION BY call_id ORDER BY line, part_id, supp_id, price ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM a")
 def split_at_zero(s: Source) -> DataFrame:
-    return s.view("call_topics").select("call_id", *LINE, F.sum((F.col("part_id") % 5 == 0).cast("long")).over(BY_CALL.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
+    return s.view("call_topics").select("call_id", *LINE, F.sum((F.col("part_id") % 5 == 0).cast("long")).over(by_call().rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
 
 
 @query("W10_word_windows", f"""WITH {UTT} SELECT call_id, turn, CAST(k AS INT) AS start, array_to_string(words[k + 1:k + 14], ' ') AS text FROM (SELECT *, unnest(range(0, greatest(num_words - 14, 0) + 1, 6)) AS k FROM utterances WHERE num_words > 0)""")
@@ -113,14 +119,14 @@ def bounded_fill(s: Source) -> DataFrame:
 @query("W14_relative_change", f"WITH {WIN} SELECT event_id, round((level - lag(level) {ON}) / (level + 1), 8) AS change, row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, event_id DESC) <= 8 AS in_tail FROM windows")
 def relative_change(s: Source) -> DataFrame:
     late = Window.partitionBy("file_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return s.view("windows").select("event_id", R((F.col("level") - F.lag("level").over(BY_FILE)) / (F.col("level") + 1)).alias("change"), (F.row_number().over(late) <= 8).alias("in_tail"))
+    return s.view("windows").select("event_id", R((F.col("level") - F.lag("level").over(by_file())) / (F.col("level") + 1)).alias("change"), (F.row_number().over(late) <= 8).alias("in_tail"))
 
 
 @query("W15_longest_silence", f"""WITH {TOP}, g AS (SELECT call_id, start_s, lag(end_s) {ONC} AS before, line, part_id, supp_id FROM call_topics), b AS (SELECT call_id, arg_max((before, start_s), (start_s - before, -line, -part_id)) AS g FROM g WHERE start_s > before GROUP BY 1)
 SELECT c.call_id, coalesce(g[2] - g[1], 0) AS silence, g[1] AS from_s, g[2] AS to_s, coalesce(g[2] - g[1], 0) > 60 AS exceeded FROM (SELECT DISTINCT call_id FROM call_topics) c LEFT JOIN (SELECT call_id, [g[1], g[2]] AS g FROM b) b USING (call_id)""")
 def longest_silence(s: Source) -> DataFrame:
     """The largest gap to the end of the row before, and its bounds."""
-    x = s.view("call_topics").withColumn("before", F.lag("end_s").over(BY_CALL))
+    x = s.view("call_topics").withColumn("before", F.lag("end_s").over(by_call()))
     gap = F.when(F.col("start_s") > F.col("before"), F.struct((F.col("start_s") - F.col("before")).alias("d"), -F.col("line"), -F.col("part_id"), F.col("before").alias("a"), F.col("start_s").alias("b")))
     g = x.groupBy("call_id").agg(F.max(gap).alias("g"))
     return g.select("call_id", F.coalesce("g.d", F.lit(0.0)).alias("silence"), F.col("g.a").alias("from_s"), F.col("g.b").alias("to_s"), (F.coalesce("g.d", F.lit(0.0)) > 60).alias("exceeded"))
@@ -170,7 +176,7 @@ def minimum_runs(s: Source) -> DataFrame:
     """Runs of under three rows go; then a majority of each row and its neighbours."""
     h = O.hysteresis(s.view("windows"), "level", on=60, off=20, keys=["file_id"], order=EVENT)
     k = O.enforce_min_run(h, "active", 3, keys=["file_id"], order=EVENT, name="kept")
-    return k.select("event_id", "kept", F.when(F.avg("kept").over(BY_FILE.rowsBetween(-1, 1)) >= 0.5, 1).otherwise(0).alias("smooth"))
+    return k.select("event_id", "kept", F.when(F.avg("kept").over(by_file().rowsBetween(-1, 1)) >= 0.5, 1).otherwise(0).alias("smooth"))
 
 
 @query("W22_least_loaded")
@@ -194,7 +200,7 @@ def merge_short(s: Source) -> DataFrame:
 SELECT call_id, CAST(g AS BIGINT) AS unit, min(start_s) AS start_s, max(end_s) AS end_s, string_agg(CAST(part_id AS VARCHAR), ' ' ORDER BY line, part_id, supp_id, price) AS text FROM b GROUP BY 1, 2""")
 def merge_speaker(s: Source) -> DataFrame:
     speaker = F.col("supp_id") % 2
-    changed = (speaker != F.lag(speaker).over(BY_CALL)) | (F.col("start_s") - F.lag("end_s").over(BY_CALL) > 5)
+    changed = (speaker != F.lag(speaker).over(by_call())) | (F.col("start_s") - F.lag("end_s").over(by_call()) > 5)
     x = O.change_ids(s.view("call_topics"), changed, keys=["call_id"], order=LINE, name="g")
     rows = F.array_sort(F.collect_list(F.struct(*LINE)))
     return x.groupBy("call_id", F.col("g").cast("long").alias("unit")).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.array_join(F.transform(rows, lambda r: r.part_id.cast("string")), " ").alias("text"))
@@ -208,7 +214,7 @@ def split_units(s: Source) -> DataFrame:
 
 @query("W27_chunks_of_rows", f"WITH {WIN} SELECT event_id, CAST(floor((row_number() {ON} - 1) / 70) AS BIGINT) AS chunk, (row_number() {ON} - 1) % 70 AS local_idx FROM windows")
 def chunks_of_rows(s: Source) -> DataFrame:
-    n = (F.row_number().over(BY_FILE) - 1).cast("long")
+    n = (F.row_number().over(by_file()) - 1).cast("long")
     return s.view("windows").select("event_id", F.floor(n / 70).alias("chunk"), (n % 70).alias("local_idx"))
 
 
@@ -220,7 +226,7 @@ def latest_per_key(s: Source) -> DataFrame:
 @query("W29_second_best", f"""WITH {TOP}, n AS (SELECT *, row_number() {ONC} - 1 AS turn FROM call_topics) SELECT call_id, line, part_id, supp_id, price, CASE WHEN label = 'SALUDO' AND turn > 3 OR label = 'DESPEDIDA' AND turn < 2 THEN CASE WHEN part_id % 3 >= supp_id % 3 THEN 'MAC' ELSE 'PRECIO' END ELSE label END AS label FROM n""")
 def second_best(s: Source) -> DataFrame:
     """A greeting that comes late, or a farewell that comes early, takes the next label by probability."""
-    n = s.view("call_topics").withColumn("turn", F.row_number().over(BY_CALL) - 1)
+    n = s.view("call_topics").withColumn("turn", F.row_number().over(by_call()) - 1)
     ranked = F.array_sort(F.array(F.struct(F.lit(-9).cast("long").alias("p"), F.lit(0).alias("o"), F.col("label").alias("l")), F.struct((-(F.col("part_id") % 3)).alias("p"), F.lit(1).alias("o"), F.lit("MAC").alias("l")), F.struct((-(F.col("supp_id") % 3)).alias("p"), F.lit(2).alias("o"), F.lit("PRECIO").alias("l"))))
     odd = ((F.col("label") == "SALUDO") & (F.col("turn") > 3)) | ((F.col("label") == "DESPEDIDA") & (F.col("turn") < 2))
     return n.select("call_id", *LINE, F.when(odd, ranked[1].l).otherwise(F.col("label")).alias("label"))
@@ -244,7 +250,7 @@ def max_normalised(s: Source) -> DataFrame:
 
 @query("W32_forward_fill", f"WITH {WIN} SELECT event_id, coalesce(last_value(CASE WHEN state = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS source FROM windows")
 def forward_fill(s: Source) -> DataFrame:
-    last = F.last(F.when(F.col("state") == "view", F.col("event_id")), ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("state") == "view", F.col("event_id")), ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, 0))
     return s.view("windows").select("event_id", F.coalesce(last, F.lit(-1)).alias("source"))
 
 
