@@ -551,3 +551,101 @@ def append_new(s: Source) -> DataFrame:
 def chart_markers(s: Source) -> DataFrame:
     """Six markers into each chart's array."""
     return s.table("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("k"), "embedding").select("vec_id", "k", F.element_at("embedding", (F.col("k") * 8 + 1).cast("int")).cast("double").alias("value"))
+
+
+PHRASES = "SELECT item_id, CAST(item_id % 14 AS BIGINT) AS cluster, array_to_string((list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> ''))[1:6], ' ') AS phrase FROM benchmark"
+SPANS = "SELECT doc_id, k, array_to_string(w[k + 1:k + 6], ' ') AS span FROM (SELECT doc_id, w, unnest(range(0, len(w) - 5, 6)) AS k FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '') AS w FROM documents WHERE n_chars < 800) WHERE len(w) >= 6)"
+LIKE = f"WITH p AS ({PHRASES}), s AS ({SPANS}), c AS (SELECT DISTINCT doc_id, k, span, item_id, cluster, phrase FROM (SELECT *, unnest(string_split(span, ' ')) AS t FROM s) JOIN (SELECT *, unnest(string_split(phrase, ' ')) AS t FROM p) USING (t)), x AS (SELECT *, round(1 - levenshtein(span, phrase) * 1.0 / greatest(length(span), length(phrase)), 6) AS score FROM c)"
+
+
+def likelihoods(s: Source) -> DataFrame:
+    """Spans of six words against script phrases that share a word: the join is on words, so spans that could not score are never paired."""
+    tokens = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z ]", ""), " "), lambda w: w != "")
+    p = s.table("benchmark").select("item_id", (F.col("item_id") % 14).alias("cluster"), F.slice(tokens(F.col("text")), 1, 6).alias("pw"))
+    d = s.table("documents").where("n_chars < 800").select("doc_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= 6)
+    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - 6, F.lit(6).cast("long"))).alias("k"), "w").select("doc_id", "k", F.slice("w", (F.col("k") + 1).cast("int"), 6).alias("sw"))
+    c = spans.withColumn("t", F.explode(F.array_distinct("sw"))).join(p.withColumn("t", F.explode(F.array_distinct("pw"))), "t").select("doc_id", "k", F.array_join("sw", " ").alias("span"), "item_id", "cluster", F.array_join("pw", " ").alias("phrase")).distinct()
+    return c.withColumn("score", F.round(1 - F.levenshtein("span", "phrase") * F.lit(1.0) / F.greatest(F.length("span"), F.length("phrase")), 6))
+
+
+@query("J18_best_phrase", f"{LIKE} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1")
+def best_phrase(s: Source) -> DataFrame:
+    return likelihoods(s).groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"), -F.col("k"))).alias("item_id"))
+
+
+@query("J19_cluster_evidence", f"{LIKE} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
+def cluster_evidence(s: Source) -> DataFrame:
+    """The three best pieces of evidence for each cluster."""
+    return ordered.first_rows(likelihoods(s), 3, keys=["doc_id", "cluster"], order=[F.desc("score"), "item_id", "k"]).select("doc_id", "cluster", "rank", "item_id", "k", "score")
+
+
+@query("S02_words_of_sentences", f"WITH {UTT} SELECT call_id, turn, CASE WHEN num_words = 0 THEN ['BLANK'] ELSE words END AS words FROM utterances")
+def words_of_sentences(s: Source) -> DataFrame:
+    """Words from the text itself; an empty sentence has a placeholder."""
+    return s.view("utterances").select("call_id", "turn", F.when(F.size("words") == 0, F.array(F.lit("BLANK"))).otherwise(F.col("words")).alias("words"))
+
+
+@query("S03_filled_gaps", "SELECT d.doc_id, coalesce(c.turns, 2) AS turns FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) c ON c.conv_id = d.doc_id")
+def filled_gaps(s: Source) -> DataFrame:
+    """Calls without a transcript get two blank rows."""
+    c = s.table("conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("turns"))
+    have = s.table("documents").select("doc_id")
+    blanks = have.join(c, "doc_id", "left_anti").withColumn("turns", F.lit(2).cast("long"))
+    return have.join(c, "doc_id").unionByName(blanks)
+
+
+@query("S04_two_folders", "SELECT conv_id AS call_id, turn, 'first' AS origin FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, 'memory' FROM conversations WHERE conv_id % 2 = 1")
+def two_folders(s: Source) -> DataFrame:
+    c = s.table("conversations").select(F.col("conv_id").alias("call_id"), "turn")
+    return c.where("call_id % 2 = 0").withColumn("origin", F.lit("first")).unionByName(c.where("call_id % 2 = 1").withColumn("origin", F.lit("memory")))
+
+
+@query("S07_script_columns", "SELECT 'p_brand' AS cluster, 'p_type' AS phrase")
+def script_columns(s: Source) -> DataFrame:
+    from voxlake.sources import tables
+
+    df = s.table("part").select(F.col("p_brand").alias("Cluster"), F.col("p_size").alias("size"), F.concat_ws(" ", "p_name", "p_type").alias("texto"))
+    found = tables.script_columns(df)
+    names = {"Cluster": "p_brand", "texto": "p_type", "size": "p_size"}
+    return s.spark.createDataFrame([(names[found["cluster"]], names[found["phrase"]])], "cluster string, phrase string")
+
+
+@query("S08_filtered_read", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def filtered_read(s: Source) -> DataFrame:
+    """Both filters and the three columns reach the scan."""
+    return s.table("orders").where("o_orderstatus = 'F' and o_totalprice > 100000").select("o_orderkey", "o_totalprice")
+
+
+@query("P06_range_and_list", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-09-30' AND o_custkey % 10 IN (1, 3, 5)")
+def range_and_list(s: Source) -> DataFrame:
+    o = s.table("orders")
+    kind = o.schema["o_orderdate"].dataType
+    return o.where(F.col("o_orderdate").between(F.lit("1996-03-01 00:00:00").cast(kind), F.lit("1996-09-30 00:00:00").cast(kind)) & (F.col("o_custkey") % 10).isin(1, 3, 5)).select("o_orderkey")
+
+
+@query("K01_K02_append_and_read", "SELECT c_custkey AS id, CAST(c_custkey % 2 AS INT) AS part FROM customer")
+def append_and_read(s: Source) -> DataFrame:
+    """Two appends to one table, in folders by a column, read back."""
+    from voxlake.sources import tables
+    from voxlake.storage import shared_folder
+
+    path = shared_folder(s.spark)
+    c = s.table("customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).cast("int").alias("part"))
+    tables.append(c.where("part = 0"), path, by=("part",))
+    tables.append(c.where("part = 1"), path, by=("part",))
+    return s.spark.read.schema("id long, part int").parquet(path)
+
+
+@query("K10_annotated_json", "SELECT conv_id AS call_id, CAST(sum(CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END) AS BIGINT) AS marked FROM conversations GROUP BY 1")
+def annotated_json(s: Source) -> DataFrame:
+    """Sentences are marked inside the document, which is written as JSON and read again."""
+    from voxlake.storage import shared_folder
+
+    t = transcripts.parse(transcripts.nested(s.table("conversations")))
+    paragraphs = F.col("results.channels")[0].alternatives[0].paragraphs.paragraphs
+    marked = F.transform(paragraphs, lambda p: p.withField("sentences", F.transform(p.sentences, lambda x: x.withField("highlight", F.contains(x.text, F.lit("the"))))))
+    path = shared_folder(s.spark)
+    t.select("call_id", marked.alias("paragraphs")).write.json(path)
+    back = s.spark.read.schema("call_id long, paragraphs array<struct<sentences:array<struct<text:string,highlight:boolean>>>>").json(path)
+    n = F.size(F.filter(F.flatten(F.transform("paragraphs", lambda p: p.sentences)), lambda x: x.highlight))
+    return back.select("call_id", n.cast("long").alias("marked"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def conversation_classifier(s: Source) -> DataFrame:
     w = O.word_windows(s.view("utterances"), "words", size=14, step=6, tail=False).select("call_id", (F.col("turn") * 10_000 + F.col("window_start")).alias("place"), F.array_join("window_words", " ").alias("text"), F.when(F.col("speaker") == 1, "client").otherwise("agent").alias("label"))
     scored = topics.predict(topics.fit(w), w).withColumn("p", F.when(F.col("predicted") == "agent", F.col("confidence")).otherwise(1 - F.col("confidence")))
     e = scored.select("call_id", "place", sequential.log_emissions(F.col("p"), 1 - F.col("p")).alias("e"))
-    import numpy as np
-
     return sequential.viterbi(e, keys="call_id", order="place", column="e", labels=["agent", "client"], transition=np.log(np.array([[0.9, 0.1], [0.1, 0.9]])), start=np.log(np.array([0.5, 0.5])))
 
 
@@ -122,3 +121,74 @@ def flatness(s: Source) -> DataFrame:
 def activity_metrics(s: Source) -> DataFrame:
     v = F.col("value")
     return s.table("events").groupBy(F.col("user_id").alias("file_id")).agg(R(F.avg((v >= 99).cast("double"))).alias("saturation"), R(F.avg((v > 20).cast("double"))).alias("activity"), R(F.avg(v * v), 4).alias("energy"))
+
+
+def wave(fn, kind: str):
+    """A kernel over an embedding taken for a waveform of 640 samples a second."""
+    from voxlake.functions.python import by_value
+
+    return by_value(lambda x: None if x is None else fn(np.asarray(x, float)), kind)("embedding")
+
+
+RATE = 640
+
+
+@query("V01_dial_seconds")
+def dial_seconds(s: Source) -> DataFrame:
+    return s.table("embeddings").select("vec_id", wave(lambda x: kernels.dial_seconds(x, RATE, 60, 120, 0.5), "double").alias("dial_s"))
+
+
+@query("V02_signatures")
+def signatures(s: Source) -> DataFrame:
+    template = np.sin(np.arange(8) * 0.8)
+    return s.table("embeddings").select("vec_id", F.size(wave(lambda x: kernels.detect(x.tolist(), template, RATE, 0.7), "array<double>")).alias("hits"))
+
+
+@query("V03_levelled")
+def levelled(s: Source) -> DataFrame:
+    fn = lambda x: float(np.abs(kernels.levelled(kernels.band_limit(x, RATE, 20, 250))).max())
+    return s.table("embeddings").select("vec_id", R(wave(fn, "double"), 6).alias("peak"))
+
+
+@query("V04_voice_activity")
+def voice_activity(s: Source) -> DataFrame:
+    return s.table("embeddings").select("vec_id", F.array_join(wave(lambda x: kernels.voice_frames(x, RATE, 3, 1, 1).astype(int).tolist(), "array<int>"), "").alias("active"))
+
+
+@query("V05_overlap")
+def overlap(s: Source) -> DataFrame:
+    """The frame with the highest score of each file."""
+    x = s.table("embeddings").select("vec_id", F.posexplode(wave(lambda x: kernels.overlap_score(x, 160).tolist(), "array<double>")).alias("frame", "score"))
+    return x.groupBy("vec_id").agg(F.max_by("frame", F.struct("score", -F.col("frame"))).alias("frame"))
+
+
+@query("V07_band_limited")
+def band_limited(s: Source) -> DataFrame:
+    return s.table("embeddings").select("vec_id", R(wave(lambda x: float((kernels.band_limit(x, RATE, 40, 200) ** 2).sum()), "double"), 6).alias("energy"))
+
+
+@query("V10_active_part")
+def active_part(s: Source) -> DataFrame:
+    return s.table("embeddings").select("vec_id", wave(lambda x: len(kernels.active_part(x, RATE)), "int").alias("samples"))
+
+
+@query("V11_audio_metrics")
+def audio_metrics(s: Source) -> DataFrame:
+    """All metrics of a file in one pass; a file that fails has NULLs."""
+
+    def safe(x):
+        try:
+            return [kernels.dial_seconds(x, RATE), kernels.snr(x, RATE), kernels.saturation(x), float(kernels.levels(x, 16, 16).mean())]
+        except (ValueError, IndexError, FloatingPointError):
+            return [None] * 4
+
+    m = s.table("embeddings").select("vec_id", wave(safe, "array<double>").alias("m"))
+    return m.select("vec_id", *(R(F.col("m")[k], 6).alias(n) for k, n in enumerate(("dial_s", "snr", "saturation", "level"))))
+
+
+@query("M12_grid", "SELECT reg, elastic FROM (VALUES (0.001), (0.01), (0.1)) a(reg), (VALUES (0.0), (0.5)) b(elastic)")
+def grid(s: Source) -> DataFrame:
+    from pyspark.ml.classification import LogisticRegression
+
+    model = LogisticRegression()
+    return s.spark.createDataFrame([(p[model.regParam], p[model.elasticNetParam]) for p in topics.grid(model)], "reg double, elastic double")
