@@ -194,3 +194,15 @@ def test_transcripts_round_trip(spark, tmp_path):
     broken = spark.createDataFrame([("{nope",), (None,)], "json string")
     assert transcripts.sentences(transcripts.parse(broken)).count() == 0
     assert json.loads(nested.first().json)["metadata"]["channels"] == 1
+
+
+def test_shared_folder_follows_the_setting(spark):
+    from voxlake.storage import shared_folder
+
+    a, b = shared_folder(spark), shared_folder(spark)
+    assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda key, other: other)})()
+
+    assert shared_folder(Unset()).rpartition("/")[0] == shared_folder(Unset()).rpartition("/")[0]

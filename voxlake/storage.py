@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="voxlake-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="voxlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path under spark.checkpoint.dir; under a folder of this process only where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/voxlake-{uuid.uuid4().hex}"
