@@ -87,3 +87,17 @@ def test_empty_table_and_clashing_columns(spark):
 
 def test_vocabulary_reader():
     assert bpe.read_ranks(base64.b64encode(b"ab") + b" 7\n") == {b"ab": 7}
+
+
+def test_a_full_table_ages_and_changes_nothing(monkeypatch, ranks):
+    monkeypatch.setattr(tokens, "CACHE", 3)
+    known = tokens.Known()
+    for k in range(50):
+        for s in known.missing({f"w{k % 7}", f"x{k}"}):
+            known[s] = len(s)
+        assert known[f"w{k % 7}"] == 2 and known[f"x{k}"] == len(f"x{k}")
+        assert len(known) <= 3 + 2 and len(known.older) <= 3 + 2
+    codec = bpe.Codec(open(BPE, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three four five six seven thhaer", "two thhaer one", "", "six five"] * 3
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in codec.encode([t])] == [library.encode_ordinary(t) for t in texts]

@@ -7,6 +7,7 @@ value for each byte; equal strings have equal hashes wherever they stand.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,15 @@ BYTE_VALUES = np.random.default_rng(20_240_101).integers(1, 1 << 63, 256, dtype=
 _powers: dict[str, np.ndarray] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on after their tasks, and several share an executor's bound."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n of the base and of its inverse, kept for later calls up to a few slices."""
     if "up" in _powers and len(_powers["up"]) > n:

@@ -6,8 +6,8 @@ time, those that are vocabulary entries; the entry's bytes are compared, so no o
 passes. Tier two: a miss merges its linked bytes, the lowest rank first and then the
 leftmost, from a heap of possible merges; stale heap entries are skipped.
 
-Encoded pre-tokens are kept in the worker process as little-endian uint32 bytes; the table
-is emptied at ``CACHE`` entries. Nothing is shuffled. The vocabulary is broadcast as a file's
+Encoded pre-tokens are kept in the worker process as little-endian uint32 bytes, in a bounded
+table (tokens.Known). Nothing is shuffled. The vocabulary is broadcast as a file's
 contents, whose size is checked against ``VOCAB_BYTES``.
 
 Texts that hold characters which the regex engines class differently are split by the
@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 
 
 from . import arrays as A
-from .tokens import UNUSUAL, batches_of_texts
+from .tokens import UNUSUAL, Known, batches_of_texts
 
-CACHE = 1_000_000
 VOCAB_BYTES = 64 << 20
 
 
@@ -143,7 +142,7 @@ class Codec:
         self.pattern = public_tokenizers.PATTERN
         self.split = regex.compile(self.pattern).findall
         self.unusual = regex.compile(UNUSUAL).search
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
         self.library = None
 
     def _by_library(self, text: str) -> bytes:
@@ -155,9 +154,7 @@ class Codec:
 
     def learn(self, tokens: set[str]) -> None:
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [t for t in tokens if t not in known]
+        new = known.missing(tokens)
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             raw = [t.encode() for t in part]
@@ -220,6 +217,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
                 more = [pa.array(np.diff(offsets), pa.int64()), pa.array([c.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)])] if check else []
                 yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), *more], names=[*names, ids_col, *(["n_tokens", "exact"] if check else [])])
                 at += len(texts)
+        A.trim()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return docs.select(*(docs[c] for c in names), docs[text_col].cast("string").alias("__text")).mapInArrow(run, f"{schema}, `{ids_col}` array<int>" + ", n_tokens long, exact boolean" * check)
@@ -254,6 +252,7 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        A.trim()
 
     rows = docs.select(docs[id_col], docs[text_col].cast("string").alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,6 @@ entry. It sends back arrays in the same order, which need no keys.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxlake.storage import shared_folder
+
 from . import arrays as A
 
 CHUNK_BYTES = 8 << 20
@@ -29,15 +30,6 @@ ROW_BYTES = 16
 PLACE_BITS = 23
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the cluster's shared checkpoint folder; only where none is set, in a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="voxlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/voxlake-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet files in the shared folder: computed once, safe from lost executors."""
     path = shared_folder(df.sparkSession)
@@ -50,7 +42,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A table of chunk, seq (place in it), id, text and the columns of keep as k0, k1, ..., bucketed by chunk."""
+    """A table of chunk, seq (place in it), id (as long), text and the columns of keep as k0, k1, ..., bucketed by chunk."""
     spark = docs.sparkSession
     names = ["id", "text", *(f"k{i}" for i in range(len(keep)))]
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"k{i}") for i, c in enumerate(keep)))
@@ -127,6 +119,8 @@ def each_chunk(table: DataFrame, fn: Callable[[Chunk], Iterator[dict]], schema:
         rows = list(batches)
         if rows:
             yield from _rows(fn(Chunk(pa.Table.from_batches(rows))), kinds)
+        rows.clear()
+        A.trim()
 
     return table.groupBy("chunk").applyInArrow(run, schema)
 
@@ -149,6 +143,8 @@ def by_part(asked: DataFrame, fn: Callable[[list[dict]], Iterator[dict]], schema
         rows = [r for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: r["chunk"])
         yield from _rows(fn(rows), kinds)
+        rows.clear()
+        A.trim()
 
     return asked.groupBy("part").applyInArrow(run, schema)
 
@@ -160,7 +156,9 @@ def with_answers(table: DataFrame, answers: DataFrame, fn: Callable[[Chunk, dict
         got: dict[int, list[bytes]] = {}
         for r in sorted(theirs.select(["kind", "part", "answer"]).to_pylist(), key=lambda r: (r["kind"], r["part"])):
             got.setdefault(r["kind"], []).append(r["answer"])
-        return fn(Chunk(mine), got)
+        out = fn(Chunk(mine), got)
+        A.trim()
+        return out
 
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

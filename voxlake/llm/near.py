@@ -43,6 +43,7 @@ from .decontaminate import words_of
 WORDS, THRESHOLD = 5, 0.8
 BANDS, PER_BAND = 36, 5
 STEP, TOLERANCE = 36, 1e-9
+CHUNK_BYTES = 4 << 20
 TILE = 1024
 _NONE = np.iinfo(np.int64).min
 _rng = np.random.default_rng(9)
@@ -256,7 +257,7 @@ def _common(values: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray)
     return total[ia, ib].astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk_bytes: int = C.CHUNK_BYTES, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk_bytes: int = CHUNK_BYTES, tile: int = TILE) -> DataFrame:
     """One row per document: the id, the columns named in keep, class_id, n_links (long), is_first (true for one row of each class)."""
     spark = docs.sparkSession
     wanted = [c for c in keep if c != id_col]

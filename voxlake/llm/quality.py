@@ -100,6 +100,7 @@ def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
             total += contexts(*A.utf8(batch.column(0)), places, signs)
         blocks = range(0, ROWS, BLOCK_ROWS)
         yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK_ROWS for k in blocks], pa.int32()), pa.array([total[k : k + BLOCK_ROWS].astype("<f4").tobytes() for k in blocks], pa.binary())], names=["block", "sums"])
+        A.trim()
 
     def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BLOCK_ROWS * DIM)
@@ -221,6 +222,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             s = network.scores(pooled(*A.utf8(batch.column(text_at)), vectors))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(s, pa.float64())], names=[*names, "score"])
+        A.trim()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     out = docs.select(*(docs[c] for c in names), *extra).mapInArrow(run, f"{schema}, score double")

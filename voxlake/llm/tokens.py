@@ -3,8 +3,9 @@
 Each task splits its texts into pre-tokens, joins them to a table of piece counts that it
 fills once for each distinct pre-token, and sums the counts; no ids are materialised and
 nothing is shuffled, so a hot source or a group of copies costs no more than other rows.
-The table of counts belongs to the worker process, outlives its tasks and is emptied at
-``CACHE`` entries, which bounds memory and changes no result.
+The table of counts belongs to the worker process and outlives its tasks. It has two generations of
+at most ``CACHE`` entries and a batch's own; the older is dropped when the newer is full, which bounds
+memory and changes no result.
 
 Some code points have another class in the tokenizer's Unicode tables than in this
 process's. Texts with characters outside ranges on which both agree go to the library whole.
@@ -25,24 +26,38 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-CACHE = 1_000_000
+CACHE = 150_000
 #: Ranges of characters that every regex engine in use puts into the same classes.
 UNUSUAL = r"[^\x00-\x1B\x20-՗‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]"
 
 
-class PieceCounts(dict):
-    """Pre-token to number of pieces; a miss asks the tokenizer."""
+class Known(dict):
+    """A bounded table of what is known about strings: what is looked up stays, what is not ages out."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self) -> None:
+        self.older: dict = {}
 
-    def fill(self, tokens: set[str]) -> None:
+    def missing(self, strings: set[str]) -> list[str]:
+        """Those that must be worked out; the others are in the table after this."""
         if len(self) > CACHE:
+            self.older = dict(self)
             self.clear()
-        new = [t for t in tokens if t not in self]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+        older, out = self.older, []
+        for s in strings:
+            if s not in self:
+                if s in older:
+                    self[s] = older[s]
+                else:
+                    out.append(s)
+        return out
+
+
+def fill(counts: Known, tokenizer, tokens: set[str]) -> None:
+    """Counts the pieces of each new pre-token once."""
+    new = counts.missing(tokens)
+    for k in range(0, len(new), 20_000):
+        part = new[k : k + 20_000]
+        counts.update(zip(part, map(len, tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
 
 
 _state: dict[str, tuple] = {}
@@ -65,7 +80,7 @@ def counter(path: str):
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         special = [t["content"] for t in spec["added_tokens"]]
         cut = regex.compile("|".join(map(regex.escape, special))) if special else None
-        _state[path] = (tokenizer, PieceCounts(tokenizer), regex.compile(public_tokenizers.PATTERN).findall, regex.compile(UNUSUAL).search, cut, plain)
+        _state[path] = (tokenizer, Known(), regex.compile(public_tokenizers.PATTERN).findall, regex.compile(UNUSUAL).search, cut, plain)
     tokenizer, counts, split, unusual, cut, plain = _state[path]
 
     def whole(text: str) -> int:
@@ -82,7 +97,7 @@ def counter(path: str):
             tokens = split(text)
             rows.append((i, tokens))
             distinct.update(tokens)
-        counts.fill(distinct)
+        fill(counts, tokenizer, distinct)
         for i, tokens in rows:
             out[i] = sum(map(counts.__getitem__, tokens))
         return out
@@ -106,6 +121,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             _, offsets = A.utf8(batch.column(1))
             n = [x for texts in batches_of_texts(batch.column(1)) for x in count(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+        A.trim()
 
     rows = docs.select(docs[id_col], docs[text_col].cast("string").alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
