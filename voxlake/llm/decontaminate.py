@@ -8,9 +8,10 @@ that ends at its position, jumps by the shift, and where the shift is zero looks
 m words' hash in the suffix buckets; a direct comparison of the words confirms it. The
 search advances many stretches of text at a time, a numpy step for all of them.
 
-Skew and bounds: no shuffle. The patterns are broadcast in blocks of at most
-``block_bytes`` of benchmark text; the documents pass through one map for each block, so
-a benchmark of any size works and no broadcast grows beyond the bound.
+Skew and bounds: no shuffle. The patterns are broadcast in blocks of about
+``block_bytes`` of benchmark text; the documents pass through one map for each block and are
+written in between, so a benchmark of any size works and neither a broadcast nor the
+number of a task's Python workers grows with it.
 
 Defined results: null or empty text has no words and is clean; repeated rows and ties in
 doc_id are independent rows; an empty benchmark leaves every document clean; null
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from . import chunks as C
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -185,6 +187,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([columns[c] for c in batch.schema.names], schema=batch.schema)
 
         out = out.mapInArrow(scan, schema)
+        if block < blocks - 1:  # passes in one task would each hold a Python worker
+            out = C.written(out)
     return out.select(*names, *([F.col("__text").alias(text_col)] if text_col in keep else []), F.col("__words").alias("n_words"), F.col("__hits").alias("hits"), F.col("__items").alias("items"))
 
 
