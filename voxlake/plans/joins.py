@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators import merge, ordered
+from voxlake.operators import likelihood, merge, ordered
 from voxlake.plans.aggregates import BASE, R, quality_base
 from voxlake.plans.registry import Source, query
 from voxlake.sources import transcripts
@@ -558,25 +558,25 @@ SPANS = "SELECT doc_id, k, array_to_string(w[k + 1:k + 6], ' ') AS span FROM (SE
 LIKE = f"WITH p AS ({PHRASES}), s AS ({SPANS}), c AS (SELECT DISTINCT doc_id, k, span, item_id, cluster, phrase FROM (SELECT *, unnest(string_split(span, ' ')) AS t FROM s) JOIN (SELECT *, unnest(string_split(phrase, ' ')) AS t FROM p) USING (t)), x AS (SELECT *, round(1 - levenshtein(span, phrase) * 1.0 / greatest(length(span), length(phrase)), 6) AS score FROM c)"
 
 
-def likelihoods(s: Source) -> DataFrame:
-    """Spans of six words against script phrases that share a word: the join is on words, so spans that could not score are never paired."""
-    tokens = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z ]", ""), " "), lambda w: w != "")
-    p = s.table("benchmark").select("item_id", (F.col("item_id") % 14).alias("cluster"), F.slice(tokens(F.col("text")), 1, 6).alias("pw"))
-    d = s.table("documents").where("n_chars < 800").select("doc_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - 6, F.lit(6).cast("long"))).alias("k"), "w").select("doc_id", "k", F.slice("w", (F.col("k") + 1).cast("int"), 6).alias("sw"))
-    c = spans.withColumn("t", F.explode(F.array_distinct("sw"))).join(p.withColumn("t", F.explode(F.array_distinct("pw"))), "t").select("doc_id", "k", F.array_join("sw", " ").alias("span"), "item_id", "cluster", F.array_join("pw", " ").alias("phrase")).distinct()
-    return c.withColumn("score", F.round(1 - F.levenshtein("span", "phrase") * F.lit(1.0) / F.greatest(F.length("span"), F.length("phrase")), 6))
+def likelihoods(s: Source, **how) -> DataFrame:
+    """The best pairs of all documents' windows and all whole script phrases (how: see best_pairs)."""
+    words = likelihood.words
+    p = s.table("benchmark").select("item_id", (F.col("item_id") % 14).cast("long").alias("cluster"), F.array_join(words("text"), " ").alias("phrase"))
+    return likelihood.best_pairs(s.table("documents").select("doc_id", words("text").alias("w")), p, **how)
 
 
 @query("J18_best_phrase", f"{LIKE} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1")
 def best_phrase(s: Source) -> DataFrame:
-    return likelihoods(s).groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"), -F.col("k"))).alias("item_id"))
+    """The best of every window of six words, at each word, against every phrase; a document without words has score 0 and no phrase."""
+    x = likelihoods(s, size=6, step=1, tail=False, top=1)
+    return x.groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"), -F.col("k"))).alias("item_id"))
 
 
 @query("J19_cluster_evidence", f"{LIKE} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
 def cluster_evidence(s: Source) -> DataFrame:
-    """The three best pieces of evidence for each cluster."""
-    return ordered.first_rows(likelihoods(s), 3, keys=["doc_id", "cluster"], order=[F.desc("score"), "item_id", "k"]).select("doc_id", "cluster", "rank", "item_id", "k", "score")
+    """The three best pieces of evidence for each cluster, in windows of 18 words at each sixth and the last 18."""
+    x = likelihoods(s, size=18, step=6, tail=True, top=3).where("item_id is not null")
+    return ordered.first_rows(x, 3, keys=["doc_id", "cluster"], order=[F.desc("score"), "item_id", "k"]).select("doc_id", "cluster", "rank", "item_id", "k", "score")
 
 
 @query("S02_words_of_sentences", f"WITH {UTT} SELECT call_id, turn, CASE WHEN num_words = 0 THEN ['BLANK'] ELSE words END AS words FROM utterances")
