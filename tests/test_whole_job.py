@@ -55,3 +55,26 @@ def test_J18_J19_long_texts_and_texts_without_a_shared_word(spark, tmp_path):
 def test_windows():
     assert likelihood.windows(["a"] * 20, 18, 6, True) == [0, 2] and likelihood.windows([], 6, 1, False) == []
     assert likelihood.windows(["a"] * 3, 6, 1, False) == [0] and likelihood.windows(["a"] * 8, 6, 1, False) == [0, 1, 2]
+
+
+def test_M02_all_calls_and_all_terms(spark, sf):
+    import math
+    from collections import Counter
+
+    from voxlake.plans import catalog, scoring
+    from voxlake.plans.registry import Source
+
+    rows = Source(spark, sf).view("call_topics").collect()
+    end: dict = {}
+    for r in rows:
+        end[r.call_id] = max(end.get(r.call_id, 0), r.end_s)
+    seen = [(r, "early" if r.start_s <= 20 else "late", sum(r.start_s / end[r.call_id] >= e for e in scoring.REL_BINS)) for r in rows]
+    tb, rb, ys = Counter((r.label, b) for r, b, _ in seen), Counter((r.label, p) for r, _, p in seen), Counter(r.label for r in rows)
+    want = Counter()
+    for r, b, p in seen:
+        w = {y: math.exp(math.log(0.4 if y == r.label else 0.6 / 13) + 0.5 * math.log((tb[y, b] + 1) / (n + 2)) + 0.5 * math.log((rb[y, p] + 1) / (n + 7)) + 0.1 * math.log(n / len(rows))) for y, n in ys.items()}
+        want.update((r.call_id, r.line, r.part_id, r.supp_id, y, x / sum(w.values())) for y, x in w.items())
+    got = catalog.queries()["M02_time_fusion"](spark, sf).collect()
+    assert len(got) == len(rows) * len(ys) and len({r.call_id for r in got}) == len(end)
+    pairs = list(zip(sorted(want.elements()), sorted((r.call_id, r.line, r.part_id, r.supp_id, r.cand, r.p) for r in got), strict=True))
+    assert all(a[:5] == b[:5] and abs(a[5] - b[5]) < 2e-6 for a, b in pairs), next((a, b) for a, b in pairs if a[:5] != b[:5] or abs(a[5] - b[5]) >= 2e-6)

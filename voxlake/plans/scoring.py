@@ -187,8 +187,37 @@ x AS (SELECT call_id, line, part_id, supp_id, price, ordinal, CASE WHEN start_s
 
 @query("M02_time_fusion", f"{FUSED} SELECT call_id, line, part_id, supp_id, price, cand, round(exp(lp + 0.5 * tp) / sum(exp(lp + 0.5 * tp)) OVER (PARTITION BY call_id, line, part_id, supp_id, price), 6) AS p FROM e WHERE call_id < 200")
 def time_fusion(s: Source) -> DataFrame:
-    """Text and time evidence, log-linear, normalised over the labels (calls below 200: a feature of the report)."""
-    return fused(s).where("call_id < 200").select("call_id", "line", "part_id", "supp_id", "price", "cand", R(F.exp(F.col("lp") + 0.5 * F.col("tp")) / F.sum(F.exp(F.col("lp") + 0.5 * F.col("tp"))).over(Window.partitionBy("call_id", "line", "part_id", "supp_id", "price")), 6).alias("p"))
+    """Text, time bin, place in the call and label frequency, log-linear, normalised over the labels, for all calls."""
+    keys = ["call_id", "line", "part_id", "supp_id", "price"]
+    w = F.exp(F.col("lp") + ALPHA * F.col("tp") + BETA * F.col("rp") + GAMMA * F.col("yp"))
+    shares = evidence(s).withColumn("w", w).withColumn("p", R(F.col("w") / F.sum("w").over(Window.partitionBy("ordinal", "bin", "rel")), 6)).select("ordinal", "bin", "rel", "cand", "p")
+    return placed(s).join(F.broadcast(shares), ["ordinal", "bin", "rel"]).select(*keys, "cand", "p")
+
+
+#: Weights of the time bin, the place in the call and the label's frequency (a start of the reference's search), and the edges of places.
+ALPHA, BETA, GAMMA = 0.5, 0.5, 0.1
+REL_BINS = (0.10, 0.20, 0.35, 0.50, 0.65, 0.80)
+
+
+def placed(s: Source) -> DataFrame:
+    """Topics of calls with their time bin and the bin of their place in the call."""
+    place = F.col("start_s") / F.max("end_s").over(Window.partitionBy("call_id"))
+    rel = sum(((F.col("place") >= e).cast("int") for e in REL_BINS), F.lit(0))
+    return s.view("call_topics").withColumn("bin", F.when(F.col("start_s") <= 20, "early").otherwise("late")).withColumn("place", place).withColumn("rel", rel)
+
+
+def evidence(s: Source) -> DataFrame:
+    """For each ordinal, bin and place that occur, n of them, and each label's log-probabilities: lp of the text, tp of the bin, rp of the place, yp of the label; Laplace's smoothing."""
+    n = placed(s).groupBy("label", "ordinal", "bin", "rel").agg(F.count("*").alias("n"))
+    share = lambda by, of, kinds: F.ln((by + 1.0) / (of + kinds))
+    labels = n.groupBy(F.col("label").alias("cand")).agg(F.sum("n").alias("of"))
+    labels = labels.crossJoin(F.broadcast(labels.agg(F.sum("of").alias("all")))).select("cand", "of", F.ln(F.col("of") / F.col("all")).alias("yp"))
+    count = lambda c: n.groupBy(F.col("label").alias("cand"), c).agg(F.sum("n").alias(f"n_{c}"))
+    topics = s.spark.createDataFrame([(t, k) for k, t in enumerate(SCRIPT_ORDER)], "cand string, k int")
+    x = n.groupBy("ordinal", "bin", "rel").agg(F.first("label").alias("label"), F.sum("n").alias("n")).crossJoin(F.broadcast(labels.join(topics, "cand")))
+    x = x.join(count("bin"), ["cand", "bin"], "left").join(count("rel"), ["cand", "rel"], "left").fillna(0, ["n_bin", "n_rel"])
+    text = F.ln(F.when(F.col("k") == F.col("ordinal"), 0.4).otherwise(0.6 / 13))
+    return x.select("ordinal", "label", "bin", "rel", "n", "cand", "yp", text.alias("lp"), share(F.col("n_bin"), F.col("of"), 2).alias("tp"), share(F.col("n_rel"), F.col("of"), len(REL_BINS) + 1).alias("rp"))
 
 
 def fused(s: Source) -> DataFrame:
