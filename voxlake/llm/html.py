@@ -7,9 +7,10 @@ sends one row for each batch and hash. Pass two parses again and leaves out subt
 recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages. By their
 meaning, it leaves out menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, told by element, role, class or id. If what remains
-has article or main elements, the text is theirs. An article itself, what contains one,
-and what holds most of a page's text are never taken for a template, so copies of an
-article on many pages stay.
+has article or main elements, the text is theirs. An article itself, its parts, what contains one,
+and what holds most of a page's text are never taken for a template, nor are the parts of such a
+block if it recurs itself, nor those of a page that recurs as a whole unless they stand on other
+pages too. So copies of an article on many pages stay.
 
 Bounds: a template stands on MIN_SHARE of its host's pages, so a host has a bounded number
 of them. They are broadcast up to ``BROADCAST_ROWS``; beyond, pages are joined to their
@@ -150,25 +151,38 @@ def mark(out: list[tuple[str, Node]], nodes: list[Node]) -> list[Node]:
     able = []
     for node in nodes:
         node.chars = sums[node.end] - sums[node.start]
-        if node.tag in CONTAINERS and not node.holds and node.chars:
+        if node.tag in CONTAINERS and not node.holds and not node.article and node.chars:
             text = squeeze("".join(f"\x01{n.tag}\x02" if t == "\n" else t for t, n in out[node.start : node.end]))
             node.hash = int.from_bytes(blake2b(f"{node.tag}\x00{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             able.append(node)
     return able
 
 
+def whole_hash(out: list[tuple[str, Node]]) -> int:
+    """A hash of what a page has besides menus and the like."""
+    text = squeeze("".join(f"\x01{n.tag}\x02" if t == "\n" else t for t, n in out if not n.bad))
+    return int.from_bytes(blake2b(f"\x00{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def subtree_hashes(page: str) -> set[int]:
-    return {n.hash for n in mark(*parse(page))}
+    out, nodes = parse(page)
+    return {n.hash for n in mark(out, nodes)} | {whole_hash(out)}
 
 
-def extract(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of one page, given the hashes of its host's templates."""
+def extract(page: str, templates: dict[int, int] | None = None) -> str:
+    """The main text of one page, given the hashes of its host's templates with their pages."""
     out, nodes = parse(page)
     gone: set[int] = set()
     if templates:
         able = mark(out, nodes)
         total = max(1, sum(len(t) for t, n in out if not n.bad))
-        gone = {id(n) for n in able if n.hash in templates and 2 * n.chars <= total}
+        copies = templates.get(whole_hash(out), 0)
+        main = {id(n) for n in able if n.hash in templates and 2 * n.chars > total}
+
+        def in_main(node: Node | None) -> bool:
+            return node is not None and (id(node) in main or in_main(node.parent))
+
+        gone = {id(n) for n in able if templates.get(n.hash, 0) > copies and 2 * n.chars <= total and not in_main(n)}
     lost: dict[int, bool] = {}
 
     def is_lost(node: Node | None) -> bool:
@@ -224,19 +238,19 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             own = batch.column(3).to_pylist() if lookup is None else None
             for texts in batches_of_texts(batch.column(2)):
                 for t in texts:
-                    out.append(extract(t, set(own[at] or ()) if lookup is None else lookup.value.get(host_of(urls[at]), frozenset())))
+                    out.append(extract(t, dict(own[at] or ()) if lookup is None else lookup.value.get(host_of(urls[at]))))
                     at += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     small = found.limit(broadcast_rows + 1).collect()
     if len(small) <= broadcast_rows:
-        by: dict[str, set[int]] = {}
+        by: dict[str, dict[int, int]] = {}
         for r in small:
-            by.setdefault(r.host, set()).add(r.hash)
+            by.setdefault(r.host, {})[r.hash] = r.n_pages
         lookup = pages.sparkSession.sparkContext.broadcast(by)
         return rows.mapInArrow(lambda batches: run(batches, lookup), schema)
     host = F.rtrim(F.lower(F.regexp_extract("u", r"(?i)^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("."))
     salted = rows.withColumn("k", F.coalesce(host, F.lit(""))).withColumn("s", F.pmod(F.xxhash64("i", "h"), F.lit(SALTS)))
-    sets = found.groupBy("host").agg(F.collect_list("hash").alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sets = found.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n_pages"))).alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = salted.join(sets.withColumnRenamed("host", "k").withColumn("s", F.col("s").cast("long")), ["k", "s"], "left")
     return joined.select("i", "u", "h", "t").mapInArrow(run, schema)
