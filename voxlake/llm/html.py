@@ -4,7 +4,7 @@ Pass one parses each page, hashes the subtree of every container element (its ta
 normalised text) and counts, in Spark, on how many pages of a host each hash stands: a
 task sums the counts of its batch before the shuffle, so a host with a third of all pages
 sends one row for each batch and hash. Pass two parses again and leaves out subtrees that
-recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages. By their
+recur on at least ``MIN_PAGES`` pages, however many the host has. By their
 meaning, it leaves out menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, told by element, role, class or id. If what remains
 has article or main elements, the text is theirs. An article itself, its parts, what contains one,
@@ -12,9 +12,8 @@ and what holds most of a page's text are never taken for a template, nor are the
 block if it recurs itself, nor those of a page that recurs as a whole unless they stand on other
 pages too. So copies of an article on many pages stay.
 
-Bounds: a template stands on MIN_SHARE of its host's pages, so a host has a bounded number
-of them. They are broadcast up to ``BROADCAST_ROWS``; beyond, pages are joined to their
-host's templates with a salted key.
+Bounds: templates are broadcast up to ``BROADCAST_ROWS``; beyond, the pages' own hashes are joined to
+them, with a salted key, so that a page gets only those that it has.
 
 Defined results: null and empty html give "" and 0; a null url is the host ""; repeated
 rows are extracted each; a tag cut off by the end of the page is dropped, unclosed elements end
@@ -33,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks as C
 from .tokens import batches_of_texts
 
-MIN_PAGES, MIN_SHARE = 5, 0.02
+MIN_PAGES = 5
 BROADCAST_ROWS = 500_000
 SALTS = 32
 
@@ -204,7 +204,7 @@ def extract(page: str, templates: dict[int, int] | None = None) -> str:
     return "\n".join(b for b in map(squeeze, blocks) if b)
 
 
-def templates_by_host(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates_by_host(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """host, hash, n_pages of the subtrees that recur on many pages of their host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,20 +215,18 @@ def templates_by_host(pages: DataFrame, *, url_col: str = "url", html_col: str =
                 for t in texts:
                     host = host_of(urls[at])
                     at += 1
-                    counts[host, None] += 1
                     counts.update((host, h) for h in subtree_hashes(t))
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], names=["host", "hash", "n"])
 
     rows = pages.select(pages[url_col].cast("string").alias("u"), pages[html_col].cast("string").alias("h")).mapInArrow(run, "host string, hash long, n long")
     counted = rows.groupBy("host", "hash").agg(F.sum("n").alias("n_pages"))
-    total = counted.where("hash is null").select(F.col("host").alias("h"), F.col("n_pages").alias("t"))
-    return counted.where(F.col("hash").isNotNull() & (F.col("n_pages") >= min_pages)).join(total, F.col("host") == F.col("h")).where(F.col("n_pages") >= min_share * F.col("t")).select("host", "hash", "n_pages")
+    return counted.where(F.col("hash").isNotNull() & (F.col("n_pages") >= min_pages))
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per page: the id, the url, text, n_chars (long)."""
-    found = templates_by_host(pages, url_col=url_col, html_col=html_col, min_pages=min_pages, min_share=min_share)
+    found = templates_by_host(pages, url_col=url_col, html_col=html_col, min_pages=min_pages)
     rows = pages.select(pages[id_col].alias("i"), pages[url_col].alias("u"), pages[html_col].cast("string").alias("h"))
     schema = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` {pages.schema[url_col].dataType.simpleString()}, text string, n_chars long"
 
@@ -249,8 +247,17 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             by.setdefault(r.host, {})[r.hash] = r.n_pages
         lookup = pages.sparkSession.sparkContext.broadcast(by)
         return rows.mapInArrow(lambda batches: run(batches, lookup), schema)
-    host = F.rtrim(F.lower(F.regexp_extract("u", r"(?i)^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("."))
-    salted = rows.withColumn("k", F.coalesce(host, F.lit(""))).withColumn("s", F.pmod(F.xxhash64("i", "h"), F.lit(SALTS)))
-    sets = found.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n_pages"))).alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(sets.withColumnRenamed("host", "k").withColumn("s", F.col("s").cast("long")), ["k", "s"], "left")
-    return joined.select("i", "u", "h", "t").mapInArrow(run, schema)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = batch.column(1).to_pylist()
+            own = [list(subtree_hashes(t)) for texts in batches_of_texts(batch.column(2)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in urls], pa.string()), pa.array(own, pa.list_(pa.int64()))], names=["i", "u", "h", "r", "k", "x"])
+
+    # written, as the row numbers must not change between the two reads
+    kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
+    seen = C.written(rows.withColumn("r", F.monotonically_increasing_id()).mapInArrow(hashes, f"i {kinds[0]}, u {kinds[1]}, h string, r long, k string, x array<long>"))
+    own = seen.select("r", F.col("k").alias("host"), F.explode("x").alias("hash"), F.pmod("r", F.lit(SALTS)).alias("s"))
+    salted = found.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    sets = own.join(salted, ["host", "hash", "s"]).groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n_pages"))).alias("t"))
+    return seen.join(sets, "r", "left").select("i", "u", "h", "t").mapInArrow(run, schema)
