@@ -9,9 +9,9 @@ last two labels of the host), smoothed towards the overall one; a page's own sha
 host's, site's and overall sums first. All sums are grouped aggregations with a partial sum in each task, so a
 host with a third of all pages is no burden; the posterior is the normalised product.
 
-What is broadcast: the trigram table (languages x 2**14, at most ``LANGUAGES`` languages), and the
-sums by declared code and by suffix, which are fewer than ``CODES`` (rarer or malformed ones count
-as none). Host sums are joined: broadcast by Spark if small, else a join whose skewed keys are split.
+What is broadcast: the trigram table (languages x 2**14, at most ``LANGUAGES`` languages). Sums by host,
+site, declared code and suffix are joined, all of them: broadcast if small, else a join whose skewed keys
+are split. A suffix is any last label of a host name that is not part of an IP address.
 
 Defined results: null or empty html has no text and no declaration; a null address is the host "" with
 no suffix; ties go to the language first in the alphabet; documents with a null lang or text teach
@@ -34,7 +34,7 @@ from . import chunks as C
 from .html import extract, host_of
 from .tokens import batches_of_texts
 
-BITS, LANGUAGES, CODES = 14, 256, 5000
+BITS, LANGUAGES = 14, 256
 #: Overlapping trigrams are not independent: their log-likelihood counts for a third.
 TEMPER = 1 / 3
 HOST_WEIGHT, SITE_WEIGHT, EVIDENCE_WEIGHT = 5.0, 20.0, 10.0
@@ -53,7 +53,7 @@ def declared(page: str) -> str:
 
 def suffix_of(host: str) -> str:
     last = host.rpartition(".")[2]
-    return last if "." in host and re.fullmatch(r"[a-z]{2,12}", last) else ""
+    return "" if "." not in host or host.startswith("[") or re.fullmatch(r"[0-9]+|0x[0-9a-f]*", last) else last
 
 
 def site_of(host: str) -> str:
@@ -155,22 +155,22 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
     sites = hosts.groupBy("site").agg(sums("host_sum").alias("site_sum"))
     overall = np.array(hosts.agg(sums("host_sum").alias("s")).first().s or [0.0] * count, float)
 
-    def weights(column: str) -> dict[str, np.ndarray]:
-        """log P(value | language), up to what is the same for all languages."""
-        rows = seen.where(F.col(column) != "").groupBy(column).agg(sums("own").alias("s"), F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(CODES).collect()
-        share = (overall + 1) / (overall + 1).sum()
-        out = {}
-        for r in rows:
-            s = np.array(r.s)
-            p = (s + EVIDENCE_WEIGHT * share) / (s.sum() + EVIDENCE_WEIGHT)
-            out[r[column]] = np.log(p) - np.log(share)
-        return out
+    def by(column: str) -> DataFrame:
+        return C.written(seen.where(F.col(column) != "").groupBy(column).agg(sums("own").alias(f"{column}_sum")))
+
+    shared_overall = spark.sparkContext.broadcast(overall)
 
-    evidence = spark.sparkContext.broadcast((overall, weights("declared"), weights("suffix")))
+    def weights(sums: pa.Array) -> np.ndarray:
+        """log P(value | language), up to what is the same for all languages; 0 without a value."""
+        share = (shared_overall.value + 1) / (shared_overall.value + 1).sum()
+        has = sums.is_valid().to_numpy(zero_copy_only=False)
+        s = sums.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
+        out = np.zeros((len(sums), count))
+        out[has] = np.log((s + EVIDENCE_WEIGHT * share) / (s.sum(axis=1, keepdims=True) + EVIDENCE_WEIGHT)) - np.log(share)
+        return out
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        overall, by_declared, by_suffix = evidence.value
-        zero = np.zeros(count)
+        overall = shared_overall.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -182,8 +182,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
             level /= level.sum(axis=1, keepdims=True)
             prior = rest(host) + HOST_WEIGHT * level
             prior /= prior.sum(axis=1, keepdims=True)
-            names, ends = batch.column("declared").to_pylist(), batch.column("suffix").to_pylist()
-            total = like + np.log(prior) + np.array([by_declared.get(d, zero) for d in names]) + np.array([by_suffix.get(e, zero) for e in ends])
+            total = like + np.log(prior) + weights(batch.column("declared_sum")) + weights(batch.column("suffix_sum"))
             p = softmax(total)
             best, text = p.argmax(axis=1), own.argmax(axis=1)
             has_text = like.any(axis=1)
@@ -193,7 +192,10 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
             )
 
     joined = seen.join(hosts.select("host", "host_sum"), "host").join(F.broadcast(sites) if _small(sites) else sites, "site")
-    return joined.select("id", "host", "suffix", "declared", "like", "own", "host_sum", "site_sum").mapInArrow(fuse, f"`{id_col}` {id_type}, lang string, probability double, text_lang string, declared string, suffix string, host string")
+    for column in ("declared", "suffix"):
+        found = by(column)
+        joined = joined.join(F.broadcast(found) if _small(found) else found, column, "left")
+    return joined.select("id", "host", "suffix", "declared", "like", "own", "host_sum", "site_sum", "declared_sum", "suffix_sum").mapInArrow(fuse, f"`{id_col}` {id_type}, lang string, probability double, text_lang string, declared string, suffix string, host string")
 
 
 def _small(df: DataFrame, rows: int = 20_000) -> bool:
