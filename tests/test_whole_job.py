@@ -78,3 +78,18 @@ def test_M02_all_calls_and_all_terms(spark, sf):
     assert len(got) == len(rows) * len(ys) and len({r.call_id for r in got}) == len(end)
     pairs = list(zip(sorted(want.elements()), sorted((r.call_id, r.line, r.part_id, r.supp_id, r.cand, r.p) for r in got), strict=True))
     assert all(a[:5] == b[:5] and abs(a[5] - b[5]) < 2e-6 for a, b in pairs), next((a, b) for a, b in pairs if a[:5] != b[:5] or abs(a[5] - b[5]) >= 2e-6)
+
+
+def test_J21_best_member_and_M05_grid(spark, sf, tmp_path):
+    from voxlake.plans import catalog
+
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [-1.0, 0.1]), (3, 1, [0.6, 0.8]), (4, 1, [0.7, 0.7]), (5, 2, [0.99, 0.05])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.cluster, r.score) for r in catalog.queries()["J21_nearest_cluster"](spark, str(tmp_path)).collect()}
+    assert got[5][0] == 2 and got[1][0] == 2 and got[3][0] == 1
+    # the mean of cluster 0 is far from its member (1, 0)
+    spark.createDataFrame([*rows, (6, 2, [0.0, -1.0]), (7, 0, [0.98, -0.05])], "vec_id long, label int, embedding array<float>").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id: r.cluster for r in catalog.queries()["J21_nearest_cluster"](spark, str(tmp_path)).collect()}[7] == 0
+    grid = catalog.queries()["M05_weight_search"](spark, sf).collect()
+    assert len(grid) == 64 and sum(r.best for r in grid) == 1 and max(grid, key=lambda r: r.macro_f1).macro_f1 == next(r.macro_f1 for r in grid if r.best)
+    assert next(r.macro_f1 for r in grid if (r.alpha, r.beta, r.gamma) == (0.0, 0.0, 0.0)) == 1.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,14 +152,39 @@ def best_name_match(s: Source) -> DataFrame:
 @query("J21_nearest_cluster", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT label AS cluster, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1)
 SELECT vec_id, arg_max(cluster, (s, -cluster)) AS cluster, round(max(s), 6) AS score FROM (SELECT vec_id, cluster, round(list_cosine_similarity(v, c), 8) AS s FROM e, c) GROUP BY vec_id""")
 def nearest_cluster(s: Source) -> DataFrame:
-    """Cosine to each cluster's mean; clusters are a handful of rows, counted by label."""
+    """The greater of the cosine to a cluster's mean and that to its best member other than the row itself; blocks of rows meet all blocks."""
     e = s.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     mean = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy(F.col("label").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t.x).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    x = e.crossJoin(F.broadcast(mean)).withColumn("s", F.round(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c")), 8))
+    centre = e.crossJoin(F.broadcast(mean)).select("vec_id", "cluster", F.round(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c")), 8).alias("s"))
+    x = centre.unionByName(best_members(e)).groupBy("vec_id", "cluster").agg(F.max("s").alias("s"))
     return x.groupBy("vec_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"), R(F.max("s"), 6).alias("score"))
 
 
+def best_members(e: DataFrame, block: int = 1024) -> DataFrame:
+    """vec_id, cluster, s: the greatest cosine to a cluster's other members, from each block."""
+    n = max(1, -(-e.count() // block))
+    blocks = e.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("vec_id", "label", "v")).alias("m"))
+    parts = [F.col("m.vec_id").alias("i"), F.col("m.label").alias("l"), F.flatten("m.v").alias("v")]
+    left, right = blocks.select(*parts), blocks.select(*(c.alias(f"r{k}") for k, c in enumerate(parts)))
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+
+    def run(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                i, own_l, v, j, l, w = (np.asarray(c[row].values) for c in batch.columns)
+                v, w = v.reshape(len(i), -1), w.reshape(len(j), -1)
+                unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+                cos = unit(v) @ unit(w).T
+                cos[i[:, None] == j[None, :]] = -2
+                for c in np.unique(l):
+                    best = cos[:, l == c].max(axis=1)
+                    some = best > -2
+                    yield pa.RecordBatch.from_arrays([pa.array(i[some]), pa.array(np.full(some.sum(), c)), pa.array(np.round(best[some], 8))], names=["vec_id", "cluster", "s"])
+
+    return left.crossJoin(right).mapInArrow(run, f"vec_id {kinds['vec_id']}, cluster {kinds['label']}, s double")
+
+
 @query("J22_anti_join", f"WITH {ctes('calls', 'affected')} SELECT call_id FROM calls WHERE call_id NOT IN (SELECT call_id FROM affected WHERE line = 1)")
 def anti_join(s: Source) -> DataFrame:
     return s.view("calls").select("call_id").join(s.view("affected").where("line = 1"), "call_id", "left_anti")

@@ -220,26 +220,23 @@ def evidence(s: Source) -> DataFrame:
     return x.select("ordinal", "label", "bin", "rel", "n", "cand", "yp", text.alias("lp"), share(F.col("n_bin"), F.col("of"), 2).alias("tp"), share(F.col("n_rel"), F.col("of"), len(REL_BINS) + 1).alias("rp"))
 
 
-def fused(s: Source) -> DataFrame:
-    bin_ = F.when(F.col("start_s") <= 20, "early").otherwise("late")
-    t = s.view("call_topics").withColumn("bin", bin_)
-    n = t.groupBy("label", "bin").agg(F.count("*").alias("n"))
-    prior = n.select(F.col("label").alias("cand"), "bin", ((F.col("n") + 1.0) / (F.sum("n").over(Window.partitionBy("label")) + 2)).alias("p"))
-    topics = s.spark.createDataFrame([(t_, k) for k, t_ in enumerate(SCRIPT_ORDER)], "cand string, k int")
-    e = t.join(F.broadcast(prior.join(F.broadcast(topics), "cand")), "bin")
-    return e.withColumn("lp", F.ln(F.when(F.col("k") == F.col("ordinal"), 0.4).otherwise(0.6 / 13))).withColumn("tp", F.ln("p"))
-
-
 GRID = (0.0, 0.5, 1.0, 4.0)
 
 
 @query("M05_weight_search", f"{FUSED}, g AS (SELECT unnest([0.0, 0.5, 1.0, 4.0]) AS a), b AS (SELECT a, call_id, line, part_id, supp_id, price, ordinal, arg_max(cand, (round(lp + a * tp, 9), cand)) AS said FROM e, g GROUP BY ALL) SELECT CAST(a AS DOUBLE) AS alpha, round(avg(CASE WHEN said = t.topic THEN 1.0 ELSE 0 END), 6) AS accuracy FROM b JOIN {'(VALUES ' + ', '.join(f"('{t}', {k})" for k, t in enumerate(SCRIPT_ORDER)) + ')'} t(topic, k) ON t.k = ordinal GROUP BY 1")
 def weight_search(s: Source) -> DataFrame:
-    """Accuracy at every grid point, in one pass."""
-    x = fused(s).withColumn("alpha", F.explode(F.array(*map(F.lit, GRID))))
-    keys = ["alpha", "call_id", "line", "part_id", "supp_id", "price", "label"]
-    b = x.groupBy(*keys).agg(F.max_by("cand", F.struct(F.round(F.col("lp") + F.col("alpha") * F.col("tp"), 9), "cand")).alias("said"))
-    return b.groupBy("alpha").agg(R(F.avg((F.col("said") == F.col("label")).cast("double")), 6).alias("accuracy"))
+    """Macro F1 at every point of a grid of (alpha, beta, gamma), and which is best (of equals the least weights); rows of the same evidence are one with a count."""
+    weights = ("alpha", "beta", "gamma")
+    x = evidence(s)
+    for w in weights:
+        x = x.withColumn(w, F.explode(F.array(*map(F.lit, GRID))))
+    total = F.round(F.col("lp") + F.col("alpha") * F.col("tp") + F.col("beta") * F.col("rp") + F.col("gamma") * F.col("yp"), 9)
+    b = x.groupBy(*weights, "label", "ordinal", "bin", "rel", "n").agg(F.max_by("cand", F.struct(total, "cand")).alias("said"))
+    hit = F.when(F.col("said") == F.col("label"), F.col("n")).otherwise(0)
+    both = b.select(*weights, F.explode(F.array(F.struct(F.col("label").alias("y"), "n", hit.alias("hit")), F.struct(F.col("said").alias("y"), "n", F.lit(0).cast("long").alias("hit")))).alias("t"))
+    f1 = both.groupBy(*weights, "t.y").agg((2 * F.sum("t.hit") / F.sum("t.n")).alias("f1")).groupBy(*weights).agg(R(F.avg("f1"), 6).alias("macro_f1"))
+    top = f1.agg(F.min_by(F.struct(*weights), F.struct(-F.col("macro_f1"), *weights)).alias("top"))
+    return f1.crossJoin(F.broadcast(top)).select(*weights, "macro_f1", (F.struct(*weights) == F.col("top")).alias("best"))
 
 
 @query("M06_feedback", "SELECT doc_id, 'topic_' || lang AS label FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND lang IN ('en', 'es')")
