@@ -1,13 +1,13 @@
 """Main-text extraction with site template removal.
 
-Pass one parses each page, hashes the subtree of every container element (its tags and its
-normalised text) and counts, in Spark, on how many pages of a host each hash stands: a
+Pass one parses each page, hashes the subtree of every container element, children first (its block
+tags, its normalised text and its children's hashes), and counts, in Spark, on how many pages of a host each hash stands: a
 task sums the counts of its batch before the shuffle, so a host with a third of all pages
 sends one row for each batch and hash. Pass two parses again and leaves out subtrees that
 recur on at least ``MIN_PAGES`` pages, however many the host has. By their
 meaning, it leaves out menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, told by element, role, class or id. If what remains
-has article or main elements, the text is theirs. An article itself, its parts, what contains one,
+scripts, styles and reader comments, told by element, role, or whole names of class and id. If what remains
+has article or main elements, the text is theirs; a form or the like around the whole page does not take its article away. An article itself, its parts, what contains one,
 and what holds most of a page's text are never taken for a template, nor are the parts of such a
 block if it recurs itself, nor those of a page that recurs as a whole unless they stand on other
 pages too. So copies of an article on many pages stay.
@@ -56,10 +56,12 @@ IMPLIED = frozenset("p li dt dd tr option".split())
 SPACES = frozenset("br td th img".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu object applet canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class names and ids, as they stand or as a part between other characters.
+#: Words of class names and ids that name boilerplate.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply replies disqus discussion pagination pager search widget skip copyright".split()
 )
+#: Words that may stand beside them in one name: site-nav, comment-list; but not has-sidebar, share-price-story.
+BESIDE = frozenset("site page main top bottom left right primary secondary global local inner outer section sections list area box block wrapper wrap container content panel bar item items group row column col links link buttons button form post article entry user reader text message body title head inline sticky fixed mobile desktop".split())
 PAGE_ONLY = frozenset(["header", "masthead"])
 
 
@@ -69,73 +71,87 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("article", "bad", "chars", "end", "hash", "holds", "parent", "start", "tag")
+    """A container element: its own texts, block marks and container children in ``items``; ``mark`` says that it is boilerplate by its meaning."""
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool, article: bool, start: int):
-        self.tag, self.parent, self.bad, self.article, self.start = tag, parent, bad, article, start
-        self.end, self.chars, self.holds, self.hash = -1, 0, article and tag in ("article", "main"), None
+    __slots__ = ("article", "chars", "hash", "hidden", "holds", "items", "lost", "mark", "parent", "tag")
 
+    def __init__(self, tag: str, parent: Node | None, mark: bool, hidden: bool, article: bool):
+        self.tag, self.parent, self.mark, self.hidden, self.article = tag, parent, mark, hidden, article
+        self.items: list[str | tuple[str] | Node] = []
+        self.chars, self.holds, self.hash, self.lost = 0, 0, 0, False
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
-    if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" and m[0].lower() == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and any(p in NAMES and not (inside and p in PAGE_ONLY) for p in _PART.findall(value)):
-            return tag not in ("html", "body")
-    return False
+
+def _is_name(name: str, inside: bool) -> bool:
+    """Whether a class name or id says boilerplate: all its words do, or stand beside one that does."""
+    parts = _PART.findall(name)
+    return bool(parts) and any(p in NAMES and not (inside and p in PAGE_ONLY) for p in parts) and all(p in NAMES or p in BESIDE for p in parts)
+
+
+def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its meaning, and whether it is hidden."""
+    mark, hidden = tag in DROPPED or tag == "header" and not inside, False
+    if attrs:
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name == "hidden" and m[0].lower() == "hidden" or name == "aria-hidden" and value == "true":
+                hidden = True
+            elif name == "role":
+                mark = mark or value in ROLES
+            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                mark = mark or any(_is_name(x, inside) for x in value.split())
+            elif name in ("class", "id") and tag == "article":  # many sites make each reader comment an article
+                mark = mark or any(x.split("-")[0].split("_")[0] in ("comment", "reply") for x in value.split())
+    return mark, hidden
 
 
 def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
-    """Texts and block breaks in page order with the element that each is in ("\\n": a break); the container elements."""
-    root = Node("", None, False, False, 0)
-    here, at, out, nodes = root, 0, [], []
+    """Texts and block breaks in page order with the element that each is in ("\\n": a break); the container elements, parents first."""
+    root = Node("", None, False, False, False)
+    here, at, out, nodes, open_ = root, 0, [], [root], Counter()
 
-    def close(node: Node) -> None:
-        node.end = len(out)
-        if node.parent is not None and node.holds:
-            node.parent.holds = True
+    def text(t: str) -> None:
+        out.append((t, here))
+        here.items.append(t)
+        here.chars += len(t)
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            out.append((page[at : m.start()], here))
+            text(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
-        block = tag in BLOCKS
-        if block:
+        if tag in BLOCKS:
             if here.tag in IMPLIED and (here.tag == tag or here.tag == "p"):
-                close(here)
+                open_[here.tag] -= 1
                 here = here.parent
             out.append(("\n", here))
+            here.items.append((tag,))
         elif tag in SPACES:
-            out.append((" ", here))
+            text(" ")
         if m["end"]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                while here is not node:
-                    close(here)
+            if open_[tag] > 0:
+                while here.tag != tag:
+                    open_[here.tag] -= 1
                     here = here.parent
-                close(node)
-                here = node.parent
+                open_[tag] -= 1
+                here = here.parent
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            bad = _boilerplate(tag, m["attrs"], here.article)
-            if bad or tag in CONTAINERS or tag in ("article", "main", "body", "html"):
-                here = Node(tag, here, here.bad or bad, here.article or tag in ("article", "main"), len(out))
-                nodes.append(here)
+            mark, hidden = _boilerplate(tag, m["attrs"], here.article)
+            if mark or hidden or tag in CONTAINERS or tag in ("article", "main", "body", "html"):
+                node = Node(tag, here, mark, hidden, here.article or tag in ("article", "main"))
+                here.items.append(node)
+                nodes.append(node)
+                open_[tag] += 1
+                here = node
     if at < len(page):
-        out.append((page[at:], here))
-    while here is not None:
-        close(here)
-        here = here.parent
+        text(page[at:])
+    for node in reversed(nodes[1:]):
+        if node.tag in ("article", "main") and not node.mark and not node.hidden:
+            node.holds = max(node.holds, node.chars)
+        node.parent.chars += node.chars
+        node.parent.holds += node.holds
     return out, nodes
 
 
@@ -143,30 +159,58 @@ def squeeze(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def mark(out: list[tuple[str, Node]], nodes: list[Node]) -> list[Node]:
-    """Gives the container elements that may be templates their chars and hash, and returns them."""
-    sums = [0]
-    for t, _ in out:
-        sums.append(sums[-1] + (0 if t == "\n" else len(t)))
-    able = []
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def mark(nodes: list[Node]) -> list[Node]:
+    """Gives all container elements their hash, children first, and returns those that may be templates."""
+    for node in reversed(nodes):
+        parts, texts = [node.tag], []
+        for x in node.items:
+            if isinstance(x, str):
+                texts.append(x)
+                continue
+            if texts:
+                parts.append("\x01" + squeeze("".join(texts)))
+                texts = []
+            parts.append(f"\x02{x[0]}" if isinstance(x, tuple) else f"\x03{x.hash}")
+        if texts:
+            parts.append("\x01" + squeeze("".join(texts)))
+        node.hash = _hash("\x00".join(p for p in parts if p != "\x01"))
+    return [n for n in nodes if n.tag in CONTAINERS and not n.holds and not n.article and n.chars]
+
+
+def lose(nodes: list[Node], gone: set[int] = frozenset(), spared: int = 0) -> None:
+    """Marks what is left out: hidden elements, those of ``gone`` (hashes), and those that are boilerplate by their meaning, but for those that hold at least ``spared`` characters of articles, if that is not 0."""
     for node in nodes:
-        node.chars = sums[node.end] - sums[node.start]
-        if node.tag in CONTAINERS and not node.holds and not node.article and node.chars:
-            text = squeeze("".join(f"\x01{n.tag}\x02" if t == "\n" else t for t, n in out[node.start : node.end]))
-            node.hash = int.from_bytes(blake2b(f"{node.tag}\x00{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            able.append(node)
-    return able
+        node.lost = node.parent is not None and node.parent.lost or node.hidden or id(node) in gone or node.mark and not (spared and node.holds >= spared)
 
 
-def whole_hash(out: list[tuple[str, Node]]) -> int:
+def decide(out: list[tuple[str, Node]], nodes: list[Node], gone: set[int] = frozenset()) -> bool:
+    """Marks what is left out, and returns whether the text is that of article and main elements.
+
+    An element that is boilerplate by its meaning keeps the page's only articles if they are half of its text: a form around the whole page, say.
+    """
+    lose(nodes, gone)
+    if any(n.article and not n.lost and t != "\n" and not t.isspace() for t, n in out):
+        return True
+    lose(nodes, gone, spared=max(1, -(-nodes[0].chars // 2)))
+    if any(n.article and not n.lost and t != "\n" and not t.isspace() for t, n in out):
+        return True
+    lose(nodes, gone)
+    return False
+
+
+def whole_hash(out: list[tuple[str, Node]], nodes: list[Node]) -> int:
     """A hash of what a page has besides menus and the like."""
-    text = squeeze("".join(f"\x01{n.tag}\x02" if t == "\n" else t for t, n in out if not n.bad))
-    return int.from_bytes(blake2b(f"\x00{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    decide(out, nodes)
+    return _hash("\x04" + squeeze("".join(f"\x01{n.tag}\x02" if t == "\n" else t for t, n in out if not n.lost)))
 
 
 def subtree_hashes(page: str) -> set[int]:
     out, nodes = parse(page)
-    return {n.hash for n in mark(out, nodes)} | {whole_hash(out)}
+    return {n.hash for n in mark(nodes)} | {whole_hash(out, nodes)}
 
 
 def extract(page: str, templates: dict[int, int] | None = None) -> str:
@@ -174,31 +218,22 @@ def extract(page: str, templates: dict[int, int] | None = None) -> str:
     out, nodes = parse(page)
     gone: set[int] = set()
     if templates:
-        able = mark(out, nodes)
-        total = max(1, sum(len(t) for t, n in out if not n.bad))
-        copies = templates.get(whole_hash(out), 0)
-        main = {id(n) for n in able if n.hash in templates and 2 * n.chars > total}
-
-        def in_main(node: Node | None) -> bool:
-            return node is not None and (id(node) in main or in_main(node.parent))
-
-        gone = {id(n) for n in able if templates.get(n.hash, 0) > copies and 2 * n.chars <= total and not in_main(n)}
-    lost: dict[int, bool] = {}
-
-    def is_lost(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if (key := id(node)) not in lost:
-            lost[key] = node.bad or key in gone or is_lost(node.parent)
-        return lost[key]
-
-    whole = any(n.article and not is_lost(n) for _, n in out)
+        able = mark(nodes)
+        copies = templates.get(whole_hash(out, nodes), 0)
+        total = max(1, sum(len(t) for t, n in out if not n.lost and t != "\n"))
+        most = {id(n) for n in able if 2 * n.chars > total}
+        main: set[int] = set()  # in a block that recurs and holds most of the page
+        for n in nodes:
+            if id(n.parent) in main or id(n) in most and n.hash in templates:
+                main.add(id(n))
+        gone = {id(n) for n in able if templates.get(n.hash, 0) > copies and id(n) not in most and id(n) not in main}
+    whole = decide(out, nodes, gone)
     blocks, part = [], []
     for t, node in out:
         if t == "\n":
             blocks.append("".join(part))
             part = []
-        elif not is_lost(node) and (node.article or not whole):
+        elif not node.lost and (node.article or not whole):
             part.append(t)
     blocks.append("".join(part))
     return "\n".join(b for b in map(squeeze, blocks) if b)
