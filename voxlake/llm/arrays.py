@@ -2,19 +2,22 @@
 
 Texts are handled as one byte array plus offsets, so a batch of documents costs a
 fixed number of numpy passes. All hashes are polynomial, modulo 2**64, over a random
-value for each byte; equal strings have equal hashes wherever they stand.
+value for each byte; equal strings have equal hashes wherever they stand. Such hashes collide by structure
+on strings of a thousand bytes and more, so words of over ``LONG`` bytes have a hash of another kind.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 17
+LONG = 256
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 BYTE_VALUES = np.random.default_rng(20_240_101).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -116,6 +119,14 @@ def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * up[ends] ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def words_hash(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span() of words, but a digest of those of over LONG bytes."""
+    out = span(sums, starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
 def rolling(sums: np.ndarray, width: int) -> np.ndarray:
     """span() of every stretch of one width."""
     up, _ = powers(len(sums))
@@ -131,7 +142,7 @@ def hash_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for lo, hi in slices(offsets):
         a, b = offsets[lo], offsets[hi]
         own = offsets[lo : hi + 1] - a
-        out[lo:hi] = span(prefix(BYTE_VALUES[data[a:b]]), own[:-1], own[1:])
+        out[lo:hi] = words_hash(data[a:b], prefix(BYTE_VALUES[data[a:b]]), own[:-1], own[1:])
     return out
 
 

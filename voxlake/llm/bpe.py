@@ -1,17 +1,14 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
+Texts are cut into pre-tokens by whole-array steps (``pretokens``); a batch's distinct ones are looked up.
 Tier one: a minimal perfect hash over the vocabulary (hash and displace: one displacement
-for each small bucket of keys) resolves, for a whole batch of distinct pre-tokens at a
-time, those that are vocabulary entries; the entry's bytes are compared, so no other string
-passes. Tier two: a miss merges its linked bytes, the lowest rank first and then the
+for each small bucket of keys) resolves those that are vocabulary entries; the entry's bytes are compared, so no
+other string passes. Tier two: a miss merges its linked bytes, the lowest rank first and then the
 leftmost, from a heap of possible merges; stale heap entries are skipped.
 
-Encoded pre-tokens are kept in the worker process as little-endian uint32 bytes, in a bounded
-table (tokens.Known). Nothing is shuffled. The vocabulary is broadcast as a file's
-contents, whose size is checked against ``VOCAB_BYTES``.
-
-Texts that hold characters which the regex engines class differently are split by the
-tiktoken library itself.
+Merged pre-tokens are kept in the worker process in a bounded table (tokens.Known). Nothing is
+shuffled. The hash is built once, on the driver, and broadcast as arrays; the size of the vocabulary is
+checked against ``VOCAB_BYTES``. The library only says, on the driver, which class each code point is in.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows are
 encoded each; other columns are ignored. Every byte is a vocabulary entry, so every
@@ -29,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
 from . import arrays as A
-from .tokens import UNUSUAL, Known, batches_of_texts
+from . import pretokens
+from .tokens import Known
 
 VOCAB_BYTES = 64 << 20
 
@@ -126,97 +123,117 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def matches(pattern: str, text: str) -> str:
+    """The characters of text that match, by the library's regex engine."""
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+    return bytes(tiktoken.Encoding(f"class {pattern}", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(text)).decode()
+
+
 class Codec:
-    """Encodes lists of texts to bytes of little-endian uint32 ids and back."""
+    """Encodes texts, as bytes and offsets, to ids and back. Built on the driver; workers get its arrays."""
 
     def __init__(self, content: bytes):
-        import public_tokenizers
-        import regex
-
-        self.ranks = read_ranks(content)
-        self.words = PerfectHash(list(self.ranks))
-        self.slot_ids = [self.ranks[k].to_bytes(4, "little") for k in self.words.keys]
-        self.pieces: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        for k, r in self.ranks.items():
-            self.pieces[r] = k
-        self.pattern = public_tokenizers.PATTERN
-        self.split = regex.compile(self.pattern).findall
-        self.unusual = regex.compile(UNUSUAL).search
+        ranks = read_ranks(content)
+        self.words = PerfectHash(list(ranks))
+        self.slot_ids = np.array([ranks[k] for k in self.words.keys], np.uint32)
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for k, r in ranks.items():
+            pieces[r] = k
+        self.piece_size = np.array(list(map(len, pieces)), np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.classes = pretokens.classes(matches)
+        self.prepare()
+
+    def prepare(self) -> None:
+        self.ranks = dict(zip(self.words.keys, self.slot_ids.tolist(), strict=True))
+        self.table = pretokens.read_classes(self.classes)
         self.known = Known()
-        self.library = None
-
-    def _by_library(self, text: str) -> bytes:
-        if self.library is None:
-            import tiktoken
-
-            self.library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
-
-    def learn(self, tokens: set[str]) -> None:
-        known = self.known
-        new = known.missing(tokens)
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            raw = [t.encode() for t in part]
-            ranks = self.ranks
-            for t, b, slot in zip(part, raw, self.words.find(raw), strict=True):
-                known[t] = self.slot_ids[slot] if slot >= 0 else b"".join([x.to_bytes(4, "little") for x in merge(b, ranks)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, rows, distinct = [b""] * len(texts), [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.unusual(text):
-                out[i] = self._by_library(text)
-                continue
-            tokens = self.split(text)
-            rows.append((i, tokens))
-            distinct.update(tokens)
-        self.learn(distinct)
-        for i, tokens in rows:
-            out[i] = b"".join(map(self.known.__getitem__, tokens))
-        return out
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("ranks", "table", "known")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.prepare()
+
+    def ids_of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' ids, one after another, and how many each has."""
+        slot = np.array(self.words.find(tokens), np.int64)
+        size = np.ones(len(tokens), np.int64)
+        missed = np.flatnonzero(slot < 0).tolist()
+        known, ranks = self.known, self.ranks
+        for t in known.missing([tokens[k] for k in missed]):
+            known[t] = np.array(merge(t, ranks), "<u4").tobytes()
+        found = [known[tokens[k]] for k in missed]
+        size[missed] = [len(x) // 4 for x in found]
+        start = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.uint32)
+        hit = slot >= 0
+        ids[start[hit]] = self.slot_ids[slot[hit]]
+        ids[A.ragged(start[missed], size[missed])] = np.frombuffer(b"".join(found), "<u4")
+        return ids, size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids and where each row's begin (n + 1)."""
+        d = pretokens.Distinct(data, offsets, self.table)
+        ids, size = self.ids_of(d.tokens)
+        start = np.cumsum(size) - size
+        count = size[d.which]
+        first = np.concatenate([[0], np.cumsum(count)])[d.first]
+        return ids[A.ragged(start[d.which], count)].astype("<u4"), first
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for."""
+        return self.piece_bytes[A.ragged(self.piece_start[ids], self.piece_size[ids])]
+
+    def decoded_offsets(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.piece_size[ids])])[first]
 
 
 _codecs: dict[str, Codec] = {}
 
 
-def codec(key: str, content: bytes) -> Codec:
+def codec(path: str) -> Codec:
+    """The file's codec; built once in the driver's process."""
+    with open(path, "rb") as f:
+        content = f.read()
+    if len(content) > VOCAB_BYTES:
+        raise ValueError(f"the vocabulary has {len(content)} bytes; at most {VOCAB_BYTES} are broadcast")
+    key = hashlib.sha256(content).hexdigest()
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(content)
     return _codecs[key]
 
 
-def _vocabulary(docs: DataFrame, path: str):
-    content = open(path, "rb").read()
-    if len(content) > VOCAB_BYTES:
-        raise ValueError(f"the vocabulary has {len(content)} bytes; at most {VOCAB_BYTES} are broadcast")
-    return hashlib.sha256(content).hexdigest(), docs.sparkSession.sparkContext.broadcast(content)
+def _slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs [lo, hi) of a column's texts of at most limit bytes together, with their bytes and offsets."""
+    data, offsets = A.utf8(column)
+    for lo, hi in A.slices(offsets, limit):
+        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
     """The columns named in keep, and the text's ids as array<int>; with check, n_tokens and whether decoding the ids gives the text back (exact)."""
-    key, vocabulary = _vocabulary(docs, path)
+    shared = docs.sparkSession.sparkContext.broadcast(codec(path))
     names = [c for c in keep if c != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(key, vocabulary.value)
+        c = shared.value
         for batch in batches:
-            text, at = batch.column(len(names)), 0
-            for texts in batches_of_texts(text):
-                ids = c.encode(texts)
-                flat = np.frombuffer(b"".join(ids), "<i4")
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-                rows = batch.slice(at, len(texts))
-                more = [pa.array(np.diff(offsets), pa.int64()), pa.array([c.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)])] if check else []
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), *more], names=[*names, ids_col, *(["n_tokens", "exact"] if check else [])])
-                at += len(texts)
+            for lo, hi, data, offsets in _slices(batch.column(len(names))):
+                ids, first = c.encode(data, offsets)
+                rows = batch.slice(lo, hi - lo)
+                more = []
+                if check:
+                    back, at = c.decode(ids), c.decoded_offsets(ids, first)
+                    same = np.array_equal(back, data) and np.array_equal(at, offsets)
+                    exact = np.full(hi - lo, True) if same else np.array([np.array_equal(back[a:b], data[x:y]) for a, b, x, y in zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True)])
+                    more = [pa.array(np.diff(first), pa.int64()), pa.array(exact)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.view("<i4"), pa.int32())), *more], names=[*names, ids_col, *(["n_tokens", "exact"] if check else [])])
         A.trim()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
@@ -225,13 +242,13 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, and the bytes that an array of ids stands for (binary; null: empty)."""
-    key, vocabulary = _vocabulary(encoded, path)
+    shared = encoded.sparkSession.sparkContext.broadcast(codec(path))
     names = [c for c in keep if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(key, vocabulary.value)
+        c = shared.value
         for batch in batches:
-            out = [b"" if ids is None else c.decode(np.array(ids, "<u4").tobytes()) for ids in batch.column(len(names)).to_pylist()]
+            out = [b"" if ids is None else c.decode(np.array(ids, "<u4")).tobytes() for ids in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.binary())], names=[*names, out_col])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
@@ -239,19 +256,17 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The contract's digests, from the ids that encode() makes and the bytes that decode() makes of them, without sending either through Spark."""
-    key, vocabulary = _vocabulary(docs, path)
+    """The contract's digests, of the ids and of the bytes that they decode to, without sending either through Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast(codec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(key, vocabulary.value)
+        c = shared.value
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for texts in batches_of_texts(batch.column(1)):
-                for ids in c.encode(texts):
-                    counts.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for lo, hi, data, offsets in _slices(batch.column(1)):
+                ids, first = c.encode(data, offsets)
+                back, at = c.decode(ids), c.decoded_offsets(ids, first)
+                digest = lambda x, k: [hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(digest(ids, first), pa.string()), pa.array(digest(back, at), pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         A.trim()
 
     rows = docs.select(docs[id_col], docs[text_col].cast("string").alias("__text"))

@@ -141,7 +141,7 @@ def match(groups: list[Group], data: np.ndarray, offsets: np.ndarray) -> tuple[n
         counts[lo:hi] = np.diff(first)
         if not len(starts):
             continue
-        hashes = A.span(A.prefix(A.BYTE_VALUES[low]), starts, ends)
+        hashes = A.words_hash(low, A.prefix(A.BYTE_VALUES[low]), starts, ends)
         raw = None
         for g in groups:
             at, k = g.search(hashes, first)

@@ -52,7 +52,7 @@ class Sequence:
             a, b = chunk.offsets[lo], chunk.offsets[hi]
             low = A.lower_ascii(chunk.data[a:b])
             starts, ends, first = A.runs(_TOKEN[low], chunk.offsets[lo : hi + 1] - a)
-            hashes.append(A.span(A.prefix(A.BYTE_VALUES[low]), starts, ends))
+            hashes.append(A.words_hash(low, A.prefix(A.BYTE_VALUES[low]), starts, ends))
             counts.append(np.diff(first))
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)

@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     for lo, hi in A.slices(offsets):
         a, b = offsets[lo], offsets[hi]
         low, starts, ends, first = words_of(data[a:b], offsets[lo : hi + 1] - a)
-        h = A.span(A.prefix(A.BYTE_VALUES[low]), starts, ends)
+        h = A.words_hash(low, A.prefix(A.BYTE_VALUES[low]), starts, ends)
         n = np.diff(first)
         size = np.where(n >= words, n - words + 1, np.minimum(n, 1))
         at = A.ragged(first[:-1], size)

@@ -1,22 +1,24 @@
-"""Token counts: pieces are counted once for each distinct pre-token and summed by document.
+"""Token counts: pieces are counted once for each distinct pre-token and joined to the documents' pre-token frequencies.
 
-Each task splits its texts into pre-tokens, joins them to a table of piece counts that it
-fills once for each distinct pre-token, and sums the counts; no ids are materialised and
-nothing is shuffled, so a hot source or a group of copies costs no more than other rows.
-The table of counts belongs to the worker process and outlives its tasks. It has two generations of
-at most ``CACHE`` entries and a batch's own; the older is dropped when the newer is full, which bounds
-memory and changes no result.
+1. Each chunk of documents is cut into pre-tokens (``pretokens``). For each document its distinct pre-tokens and
+   how often they stand there are kept, as numbers into the chunk's list of distinct pre-tokens; the list
+   is kept beside them, in the order of hashes. Both are written once, packed, to the shared folder.
+2. The lists are cut by hash into parts, as many as their size needs. A part sees a pre-token at most once from each
+   chunk, however frequent it is, and has the library count its pieces once.
+3. Each chunk gets its counts back in the order it sent the pre-tokens, and sums frequency times count for each
+   document. Texts are not shuffled and the ids of a text are never made.
 
-Some code points have another class in the tokenizer's Unicode tables than in this
-process's. Texts with characters outside ranges on which both agree go to the library whole.
+Special strings inside a text are one token each and end the pre-tokens before them, as the library has it.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
-each; other columns are ignored.
+each; other columns are ignored. A file that is not byte-level BPE is refused.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from . import chunks as C
+from . import pretokens
 
 CACHE = 150_000
-#: Ranges of characters that every regex engine in use puts into the same classes.
-UNUSUAL = r"[^\x00-\x1B\x20-՗‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]"
+CHUNK_BYTES = 8 << 20
+#: Bytes of pre-tokens that a part is to have.
+PART_BYTES = 32 << 20
 
 
 class Known(dict):
@@ -37,7 +42,7 @@ class Known(dict):
     def __init__(self) -> None:
         self.older: dict = {}
 
-    def missing(self, strings: set[str]) -> list[str]:
+    def missing(self, strings: list[bytes]) -> list[bytes]:
         """Those that must be worked out; the others are in the table after this."""
         if len(self) > CACHE:
             self.older = dict(self)
@@ -52,57 +57,68 @@ class Known(dict):
         return out
 
 
-def fill(counts: Known, tokenizer, tokens: set[str]) -> None:
-    """Counts the pieces of each new pre-token once."""
-    new = counts.missing(tokens)
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        counts.update(zip(part, map(len, tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-
-
-_state: dict[str, tuple] = {}
-
-
-def counter(path: str):
-    """A function from texts to their numbers of tokens, for a byte-level tokenizers file."""
-    if path not in _state:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        spec = json.loads(open(path).read())
-        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        special = [t["content"] for t in spec["added_tokens"]]
-        cut = regex.compile("|".join(map(regex.escape, special))) if special else None
-        _state[path] = (tokenizer, Known(), regex.compile(public_tokenizers.PATTERN).findall, regex.compile(UNUSUAL).search, cut, plain)
-    tokenizer, counts, split, unusual, cut, plain = _state[path]
-
-    def whole(text: str) -> int:
-        return len(tokenizer.encode(text, add_special_tokens=False))
-
-    def count(texts: list[str]) -> list[int]:
-        out, rows, distinct = [0] * len(texts), [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not plain or unusual(text) or (cut and cut.search(text)):
-                out[i] = whole(text)
-                continue
-            tokens = split(text)
-            rows.append((i, tokens))
-            distinct.update(tokens)
-        fill(counts, tokenizer, distinct)
-        for i, tokens in rows:
-            out[i] = sum(map(counts.__getitem__, tokens))
-        return out
-
-    return count
+def read_file(path: str) -> tuple[bytes, list[bytes]]:
+    """A byte-level file's contents and its special strings."""
+    with open(path, "rb") as f:
+        content = f.read()
+    spec = json.loads(content)
+    if spec["normalizer"] is not None or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path} is not a byte-level tokenizer")
+    return content, [t["content"].encode() for t in spec["added_tokens"]]
+
+
+def library(content: bytes):
+    """The file's tokenizer, without truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_buffer(content)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def matches(pattern: str, text: str) -> str:
+    """The characters of text that match, by the library's regex engine."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    left = {c for part, _ in Split(Regex(pattern), "removed").pre_tokenize_str(text) for c in part}
+    return "".join(c for c in text if c not in left)
+
+
+def without_special(data: np.ndarray, offsets: np.ndarray, special: re.Pattern | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and offsets of the stretches between special strings, the row that each is of, and how many special strings a row has."""
+    n = len(offsets) - 1
+    count = np.zeros(n, np.int64)
+    raw = data.tobytes() if special else b""
+    if not special or not special.search(raw):
+        return data, offsets, np.arange(n), count
+    bounds, rows = [], []
+    hit = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in special.finditer(raw)}
+    for row in range(n):
+        at = int(offsets[row])
+        if row in hit:
+            for m in special.finditer(raw[at : offsets[row + 1]]):
+                bounds.append((at, int(offsets[row]) + m.start()))
+                rows.append(row)
+                count[row] += 1
+                at = int(offsets[row]) + m.end()
+        bounds.append((at, int(offsets[row + 1])))
+        rows.append(row)
+    size = np.array([b - a for a, b in bounds], np.int64)
+    place = A.ragged(np.array([a for a, _ in bounds], np.int64), size)
+    return data[place], np.concatenate([[0], np.cumsum(size)]), np.array(rows, np.int64), count
+
+
+def frequencies(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, special: re.Pattern | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' distinct pre-tokens; each row's number of pairs, the pairs (number of the pre-token, frequency) row by row, and its special strings."""
+    body, bounds, row, count = without_special(data, offsets, special)
+    d = pretokens.Distinct(body, bounds, table)
+    own = np.repeat(row, np.diff(d.first))
+    pair, times = np.unique(own * max(1, len(d.tokens)) + d.which, return_counts=True)
+    owner, which = np.divmod(pair, max(1, len(d.tokens)))
+    return d.tokens, np.bincount(owner, minlength=len(offsets) - 1), which, times, count
 
 
 def batches_of_texts(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[str]]:
@@ -112,19 +128,102 @@ def batches_of_texts(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[st
         yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
-def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: the id, n_bytes and n_tokens (both long)."""
+    sc = docs.sparkSession.sparkContext
+    content, strings = read_file(path)
+    shared = sc.broadcast((content, pretokens.classes(matches), [re.escape(s) for s in sorted(strings, key=len, reverse=True)]))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["chunk", "ids", "sizes", "pairs", "which", "times", "special", "hashes", "lengths", "tokens", "n_list"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        _, packed, escaped = shared.value
+        table = pretokens.read_classes(packed)
+        special = re.compile(b"|".join(escaped)) if escaped else None
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            data, offsets = A.utf8(rows.column(1))
+            tokens, pairs, which, times, count = frequencies(data, offsets, table, special)
+            hashes = _hashes(tokens)
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            sent = [tokens[k] for k in order.tolist()]
+            ids = rows.column(0).combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            packs = [np.diff(offsets), pairs.astype("<u4"), place[which].astype("<u4"), times.astype("<u4"), count.astype("<u4")]
+            body = b"".join(sent)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), lists, *(pa.array([C.pack(x)], pa.binary()) for x in packs), pa.array([C.pack_keys(hashes[order])], pa.binary()), pa.array([C.pack(np.array(list(map(len, sent)), "<u4"))], pa.binary()), pa.array([C.pack(np.frombuffer(body, np.uint8))], pa.binary()), pa.array([len(body) + 4 * len(sent)], pa.int64())], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
         for batch in batches:
             _, offsets = A.utf8(batch.column(1))
-            n = [x for texts in batches_of_texts(batch.column(1)) for x in count(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            for lo, hi in A.slices(offsets + 16 * np.arange(len(offsets)), chunk_bytes):
+                n = int(offsets[hi] - offsets[lo]) + 16 * (hi - lo)
+                if held and size + n > chunk_bytes:
+                    yield flush()
+                    chunk, held, size = chunk + 1, [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += n
+        if held:
+            yield flush()
         A.trim()
 
-    rows = docs.select(docs[id_col], docs[text_col].cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("__text"))
+    blobs = ", ".join(f"{c} binary" for c in names[2:10])
+    chunks = C.written(rows.mapInArrow(cut, f"chunk long, ids array<{id_type}>, {blobs}, n_list long"))
+    total = chunks.agg(F.sum("n_list")).first()[0] or 0
+    parts = max(C.partitions(docs.sparkSession), -(-total // part_bytes))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                edge = C.key_parts(C.unpack_keys(r["hashes"]), parts)
+                lengths, tokens = C.unpack(r["lengths"], "<u4"), C.unpack(r["tokens"], "u1")
+                at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                own = np.flatnonzero(edge[1:] > edge[:-1])
+                parted = [(int(p), C.pack(lengths[edge[p] : edge[p + 1]]), C.pack(tokens[at[edge[p]] : at[edge[p + 1]]])) for p in own]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parted], pa.int32()), pa.array([r["chunk"]] * len(parted), pa.int64()), pa.array([x for _, x, _ in parted], pa.binary()), pa.array([x for _, _, x in parted], pa.binary())], names=["part", "chunk", "lengths", "tokens"])
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = library(shared.value[0])
+        seen: dict[bytes, int] = {}
+        chunk, asked = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                raw = C.unpack(r["tokens"], "u1").tobytes()
+                ends = np.cumsum(C.unpack(r["lengths"], "<u4"), dtype=np.int64).tolist()
+                chunk.append(r["chunk"])
+                asked.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)], np.uint32))
+        tokens = list(seen)
+        pieces = np.array([n for k in range(0, len(tokens), 20_000) for n in map(len, tokenizer.encode_batch([t.decode() for t in tokens[k : k + 20_000]], add_special_tokens=False))], "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([key[0].as_py()] * len(chunk), pa.int32()), pa.array([C.pack(pieces[x]) for x in asked], pa.binary())], names=["chunk", "part", "pieces"])
+        A.trim()
+
+    asked = chunks.select("chunk", "hashes", "lengths", "tokens").mapInArrow(ask, "part int, chunk long, lengths binary, tokens binary")
+    told = asked.groupBy("part").applyInArrow(count, "chunk long, part int, pieces binary")
+
+    def add(key: tuple[pa.Scalar, ...], mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        blobs = [b for _, b in sorted(zip(theirs.column("part").to_pylist(), theirs.column("pieces").to_pylist(), strict=True))]
+        pieces = np.concatenate([C.unpack(b, "<u4") for b in blobs] or [np.zeros(0, "<u4")]).astype(np.int64)
+        r = {c: mine.column(c)[0].as_py() for c in ("sizes", "pairs", "which", "times", "special")}
+        pairs = C.unpack(r["pairs"], "<u4").astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(pieces[C.unpack(r["which"], "<u4")] * C.unpack(r["times"], "<u4"))])
+        to = np.cumsum(pairs)
+        n = sums[to] - sums[to - pairs] + C.unpack(r["special"], "<u4")
+        return pa.table({id_col: mine.column("ids").combine_chunks().flatten(), "n_bytes": pa.array(C.unpack(r["sizes"], "<i8")), "n_tokens": pa.array(n, pa.int64())})
+
+    kept = chunks.select("chunk", "ids", "sizes", "pairs", "which", "times", "special")
+    return kept.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")
+
+
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    offsets = np.zeros(len(tokens) + 1, np.int64)
+    np.cumsum(list(map(len, tokens)), out=offsets[1:])
+    return A.hash_rows(np.frombuffer(b"".join(tokens), np.uint8), offsets)
 
 
 def digest(counted: DataFrame, limit: int = 1024) -> DataFrame:
