@@ -37,3 +37,30 @@ def test_hot_vector_is_cut_into_pieces(spark, monkeypatch):
     want = sorted((q, r, v) for q, r, v, _ in N.brute_force(np.arange(600), x, np.arange(0, 600, 50)))
     assert len(set(got) & set(want)) >= 0.9 * len(want)
     assert [g for g in got if g[0] == 0] == [w for w in want if w[0] == 0]
+
+
+def test_extreme_magnitudes_lose_nothing(spark):
+    """Squares of such components overflow or vanish in double precision; cosines do not change with a vector's length."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6))
+    factors = [1.0, 1e170, 1e-170, 1e300, 1e-300, 4.0]
+    rows = [(i, [float(c * factors[i % 6]) for c in v]) for i, v in enumerate(x)]
+    plain = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    frames = [spark.createDataFrame(r, "vec_id long, embedding array<double>") for r in (rows, plain)]
+    got, want = (sorted(map(tuple, N.search(d, d.where("vec_id % 50 = 0")).collect())) for d in frames)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) == 10
+    assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want, strict=True))
+
+
+def test_the_sample_grows_with_the_rows():
+    size = lambda n: min(max(N.SAMPLE, int(N.GROWTH * n**0.5)), N.SAMPLE_MOST)
+    assert size(10_000) == N.SAMPLE and size(10**7) > 400_000 and size(10**12) == N.SAMPLE_MOST
+
+
+def test_best_with_many_ties_and_repeated_ids():
+    ids = np.array([7] * 300 + list(range(10, 30)) + [3])
+    v = np.concatenate([np.ones((300, 3)), np.ones((10, 3)), np.eye(3)[np.arange(10) % 3], -np.ones((1, 3))])
+    q, w, s = N.best(np.array([99]), np.ones((1, 3)), ids, v, 5)
+    assert w.tolist() == [7, 10, 11, 12, 13] and np.allclose(s, 1)
+    q, w, s = N.best(np.array([99]), np.ones((1, 3)), np.array([7] * 400 + [8, 9]), np.concatenate([np.ones((400, 3)), np.eye(3)[:2]]), 5)
+    assert w.tolist() == [7, 8, 9]

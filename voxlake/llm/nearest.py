@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by cosine, over balanced posting lists.
 
-Fit: at most ``SAMPLE`` vectors (the least by hash, a documented bound) are halved by
-balanced two-means until a part has at most ``LEAF``; the parts' means are the centroids,
+Fit: a sample of the vectors (the least by hash) is halved by balanced two-means until a part has at most
+``LEAF``; the sample has ``SAMPLE`` vectors, or ``GROWTH`` times the root of their number if that is more, but at most
+``SAMPLE_MOST`` (a documented bound), so that lists become more as well as longer; the parts' means are the centroids,
 and a nearest-neighbour graph over them is the in-memory index. Every row is then
 indexed: the graph search finds its nearest centroids, and it goes to the list of each
 whose distance is at most ``BORDER`` times the least, unless a list already taken has a
 centroid nearer than ``SPREAD`` times the vector's distance to that one (at most ``REPLICAS`` lists). A query searches
 the same graph and reads the lists within ``PRUNE`` times its least centroid distance, at
 least ``MIN_LISTS`` and at most ``MAX_LISTS``, going on while they hold fewer than
-``MIN_ROWS`` rows. Scores are exact cosines of the original vectors in double precision.
+``MIN_ROWS`` rows. Scores are exact cosines of the original vectors in double precision; for that a vector is
+first scaled by a power of two, which changes no digit and keeps its squares finite.
 
 Skew: lists are cut into pieces of about ``PIECE`` rows by a hash of the id, each piece
 is a group of its own, and gives each query its best k; so one vector shared by a third of the
-rows makes many pieces, not one large task. List sizes and centroids (at most SAMPLE / LEAF
+rows makes many pieces, not one large task. List sizes and centroids (at most SAMPLE_MOST / LEAF
 * 2) are all that is broadcast.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, LEAF, DEGREE = 50_000, 64, 24
+SAMPLE, GROWTH, SAMPLE_MOST, LEAF, DEGREE = 50_000, 128, 2_000_000, 64, 24
 BORDER, REPLICAS, SPREAD = 1.3, 8, 0.5
 PRUNE, MIN_LISTS, MAX_LISTS, MIN_ROWS, BEAM = 1.2, 24, 256, 128, 256
 PIECE = 4096
@@ -47,8 +49,13 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], x[good]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows with their largest component in [0.5, 1), by powers of two: exact but for components too small to matter."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -165,27 +172,26 @@ class Index:
 def best(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of each query's k best other ids; equal vectors get equal scores, wherever they stand."""
     order = np.argsort(vec_ids, kind="stable")
-    vec_ids, v = vec_ids[order], v[order]
+    vec_ids, v, q = vec_ids[order], scaled(v[order]), scaled(q)
     nq, nv = np.sqrt(np.einsum("rd,rd->r", q, q)), np.sqrt(np.einsum("rd,rd->r", v, v))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(q)):
         s = np.einsum("rd,d->r", v, q[i]) / (nv * nq[i])
         s[vec_ids == query_ids[i]] = -np.inf
-        top = np.argsort(-s, kind="stable")
-        ids = vec_ids[top[: 4 * k]]
+        if len(s) > 32 * k:  # the rows that can be among the best, ties included
+            some = np.flatnonzero(s >= np.partition(s, len(s) - 4 * k)[len(s) - 4 * k])
+            if len(np.unique(vec_ids[some][s[some] > -np.inf])) < k:
+                some = np.arange(len(s))
+        else:
+            some = np.arange(len(s))
+        top = some[np.argsort(-s[some], kind="stable")]
         keep, seen = [], set()
-        for p, x in zip(top[: 4 * k].tolist(), ids.tolist(), strict=True):
-            if np.isfinite(s[p]) and x not in seen:
+        for p in top.tolist():
+            if len(keep) == k or s[p] == -np.inf:
+                break
+            if (x := int(vec_ids[p])) not in seen:
                 seen.add(x)
                 keep.append(p)
-        if len(keep) < k and len(top) > 4 * k:
-            for p in top[4 * k :].tolist():
-                if len(keep) == k:
-                    break
-                if np.isfinite(s[p]) and int(vec_ids[p]) not in seen:
-                    seen.add(int(vec_ids[p]))
-                    keep.append(p)
-        keep = keep[:k]
         out.append((np.full(len(keep), query_ids[i]), vec_ids[keep], s[keep]))
     return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))  # type: ignore[return-value]
 
@@ -205,10 +211,11 @@ def search(embeddings: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims.d
     usable = rows.where(F.size("v") == dim)
+    sample = min(max(sample, int(GROWTH * dims["count"] ** 0.5)), max(sample, SAMPLE_MOST))
     # the share that gives the sample in expectation, then the bound itself
     share = min(1.0, 1.5 * sample / dims["count"])
     drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else usable
-    _, x = matrix(pa.array([r.v for r in drawn.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toLocalIterator()], pa.list_(pa.float64())), dim)
+    _, x = matrix(drawn.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v"), dim)
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = spark.sparkContext.broadcast(Index(unit(x), leaf))
