@@ -26,3 +26,23 @@ def test_edges(spark):
     one = spark.createDataFrame([(2, 1), (3, 0), (3, 1)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in Q.score(docs, one).collect())
     assert Q.score(docs.limit(0), labels).count() == 0
+
+
+def test_layout_changes_no_score_and_repeated_ids_are_bounded(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").select(*c) for t, c in (("documents", ("doc_id", "text")), ("labels", ("doc_id", "quality"))))
+    one = {r.doc_id: r.score for r in Q.score(docs, labels).collect()}
+    two = {r.doc_id: r.score for r in Q.score(docs.repartition(7).sortWithinPartitions(Q.F.desc("text")), labels.repartition(5)).collect()}
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-4 for i in one)
+    many = docs.crossJoin(spark.range(30)).select("doc_id", "text")
+    network = Q.fit(many, labels, Q.word_vectors(docs), sample=40)
+    assert network.seen == 40
+
+
+def test_words_keep_their_vectors_when_they_are_capitals_or_repeat():
+    import pyarrow as pa
+
+    from voxlake.llm import arrays as A
+
+    rows, first, capitals, again = Q.token_rows(*A.utf8(pa.array(["the THE cat", "cat", "no, no"])))
+    assert first.tolist() == [0, 3, 4, 7] and rows[0] == rows[1] and rows[2] == rows[3] and rows[4] == rows[6]
+    assert capitals.tolist() == [False, True] + [False] * 5 and again.tolist() == [False, True, False, False, False, False, True]

@@ -2,14 +2,14 @@
 
 Word vectors: every token has a sparse ternary index vector drawn from its hash; its word
 vector is its own index vector plus the normalised sum of its neighbours' index vectors over
-the whole corpus. Tokens are runs of word bytes or of punctuation; a word in capitals and a
-word that repeats the one before are tokens of their own. Words share ``ROWS`` hashed rows, so
+the whole corpus. Tokens are runs of word bytes or of punctuation, lower-cased. Words share ``ROWS`` hashed rows, so
 the vectors are one matrix of fixed size: each task sums its own, blocks of rows are summed
 after a shuffle, and the sum (4 MB whatever the input) is broadcast.
 
-A document's vector is the mean of its tokens' vectors and the log of its length. A
-numpy network with one hidden layer learns from at most ``SAMPLE`` labelled rows (the
-least by hash of the id, a documented bound), holds a fifth back, and divides its logits
+A document's vector is the mean of its tokens' vectors, the shares of words in capitals and of words that repeat
+the one before, and the log of its length. A numpy network with one hidden layer learns from at most ``SAMPLE`` labelled rows (the
+least by hash of the id, a documented bound on rows as well as ids), in the order of that hash, so that
+scores do not depend on how the table is laid out; it holds a fifth back, and divides its logits
 by the temperature that fits those best.
 
 Only rows outside the held-out fold (crc32 of the id as text, mod 3, is 1) give labels.
@@ -34,7 +34,6 @@ ROWS, DIM, NONZERO, REACH = 1 << 14, 64, 4, 2
 BLOCK_ROWS = 1 << 10
 SAMPLE = 20_000
 HIDDEN = 32
-CAPITALS, REPEATED = 0, 1
 
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[*range(0x21), 0x7F]] = 0
@@ -47,8 +46,8 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(rng.random((ROWS, DIM)), axis=1)[:, :NONZERO].astype(np.int64), rng.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
-def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The matrix rows of all tokens, and each document's first token (n + 1)."""
+def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix rows of all tokens, each document's first token (n + 1), and which tokens are words in capitals and which repeat the word before."""
     kind = _CLASS[data]
     change = np.ones(len(kind), bool)
     change[1:] = kind[1:] != kind[:-1]
@@ -57,21 +56,21 @@ def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = np.append(bounds[1:], len(kind)) if len(bounds) else bounds
     solid = kind[bounds] != 0
     starts, ends = bounds[solid], ends[solid]
-    hashes = A.span(A.prefix(A.BYTE_VALUES[A.lower_ascii(data)]), starts, ends)
+    low = A.lower_ascii(data)
+    hashes = A.words_hash(low, A.prefix(A.BYTE_VALUES[low]), starts, ends)
     first = np.searchsorted(starts, offsets)
     rows = (hashes >> np.uint64(50)).astype(np.int64)
-    upper = (data >= 65) & (data <= 90)
+    capitals, again = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
     if len(starts):
+        upper = (data >= 65) & (data <= 90)
         second = np.minimum(starts + 1, ends - 1)
-        rows[(ends - starts > 1) & upper[starts] & upper[second]] = CAPITALS
-        again = np.zeros(len(rows), bool)
+        capitals = (ends - starts > 1) & upper[starts] & upper[second]
         again[1:] = hashes[1:] == hashes[:-1]
         again[2:] |= (hashes[2:] == hashes[:-2]) & (kind[starts[1:-1]] == 2)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         again[1:] &= doc[1:] == doc[:-1]
         again[2:] &= doc[2:] == doc[:-2]
-        rows[again] = REPEATED
-    return rows, first
+    return rows, first, capitals, again
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -79,7 +78,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, signs: n
     total = np.zeros(ROWS * DIM)
     for lo, hi in A.slices(offsets, 4 << 20):
         a, b = offsets[lo], offsets[hi]
-        rows, first = token_rows(data[a:b], offsets[lo : hi + 1] - a)
+        rows, first, _, _ = token_rows(data[a:b], offsets[lo : hi + 1] - a)
         doc = np.repeat(np.arange(hi - lo), np.diff(first))
         for o in range(1, REACH + 1):
             same = doc[o:] == doc[:-o]
@@ -120,20 +119,23 @@ def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Each document's vector: the mean over its tokens, and the log of their number."""
-    out = np.zeros((len(offsets) - 1, DIM + 1), np.float32)
+    """Each document's vector: the mean over its tokens, the shares of capitals and repetitions, and the log of the tokens' number."""
+    out = np.zeros((len(offsets) - 1, DIM + 3), np.float32)
     for lo, hi in A.slices(offsets):
         a, b = offsets[lo], offsets[hi]
-        rows, first = token_rows(data[a:b], offsets[lo : hi + 1] - a)
+        rows, first, capitals, again = token_rows(data[a:b], offsets[lo : hi + 1] - a)
         n = np.diff(first)
         full = n > 0
         if full.any():
+            at = first[:-1][full]
             if hi - lo == 1:  # one long document: by parts
                 total = sum(vectors[rows[k : k + 100_000]].sum(axis=0, dtype=np.float64) for k in range(0, len(rows), 100_000))[None, :]
             else:
-                total = np.add.reduceat(vectors[rows], first[:-1][full], axis=0)
+                total = np.add.reduceat(vectors[rows], at, axis=0)
             out[lo:hi][full, :DIM] = total / n[full, None]
-        out[lo:hi, DIM] = np.log1p(n) / 8
+            for k, flags in enumerate((capitals, again)):
+                out[lo:hi][full, DIM + k] = np.add.reduceat(flags.astype(np.int64), at) / n[full]
+        out[lo:hi, DIM + 2] = np.log1p(n) / 8
     return out
 
 
@@ -163,7 +165,7 @@ class Network:
                     m[q] = 0.9 * m[q] + 0.1 * grads[q]
                     v[q] = 0.999 * v[q] + 0.001 * grads[q] ** 2
                     p[q] = p[q] - rate * (m[q] / (1 - 0.9**t)) / (np.sqrt(v[q] / (1 - 0.999**t)) + 1e-8)
-        self.p, self.temperature = p, 1.0
+        self.p, self.temperature, self.seen = p, 1.0, len(y)
         at = held if held.any() else ~held
         logits, target = self.logits(x[at]), y[at]
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 80))
@@ -198,13 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(*A.utf8(batch.column(0)), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], names=["i", "y", "x"])
 
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t")).join(F.broadcast(known), "i")
-    got = rows.select("t", "y").mapInArrow(run, "y double, x binary").collect()
+    vectors_of = rows.select("t", "i", "y").mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, y double, x binary")
+    got = vectors_of.orderBy(F.xxhash64("i"), "i", "x").limit(sample).select("y", "x").collect()
     if not got:
         return Constant()
-    x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, DIM + 1).astype(np.float64)
+    x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, DIM + 3).astype(np.float64)
     return Network(x, np.array([r.y for r in got]))
 
 
