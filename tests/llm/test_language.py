@@ -46,7 +46,7 @@ def test_host_prior_by_hand(spark):
     assert r.lang == "en" and r.probability == pytest.approx(0.5)
 
 
-@pytest.mark.parametrize("html,want", [("<HTML LANG=pt-BR>", "pt"), ("<html xml:lang='de'>", "de"), ("<html data-lang='x'>", ""), ("<meta http-equiv=content-language content='es, en'>", "es"), ("", "")])
+@pytest.mark.parametrize("html,want", [("<HTML LANG=pt-BR>", "pt"), ("<html xml:lang='de'>", "de"), ("<html data-lang='x'>", ""), ("<meta http-equiv=content-language content='es, en'>", "es"), ("", ""), ("<!-- <html lang=de> --><html lang=fr>", "fr"), ("<!-- <html lang=de> --><p>x", ""), ("<script>'<html lang=de>'</script><html><head><meta http-equiv=content-language content=it></head>", "it"), ("<html><body><html lang=de>", "")])
 def test_declared(html, want):
     assert L.declared(html) == want
 
@@ -57,3 +57,38 @@ def test_trigrams_count_bytes():
     h, first = L.trigrams(np.frombuffer("abcé".encode(), np.uint8), np.array([0, 0, 2, 5]))
     assert first.tolist() == [0, 0, 2, 5] and len(h) == 5
     assert math.isfinite(L.likelihoods(["", "abc"], np.log(np.full((2, 1 << L.BITS), 0.5))).sum())
+
+
+def test_own_text_is_no_evidence_for_itself(spark):
+    """Pages that are alone with their suffix and code are as sure as pages without them."""
+    docs = spark.createDataFrame([("en", "the cat of the house " * 9), ("fr", "le chat de la maison " * 9)], "lang string, text string")
+    rows = [(1, "http://one.aa/x", page("le chat et the house", "xx")), (2, "http://two", page("le chat et the house"))]
+    got = {r.page_id: r for r in L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert (got[1].declared, got[1].suffix) == ("xx", "aa") and (got[2].declared, got[2].suffix) == ("", "")
+    assert got[1].lang == got[2].lang and got[1].probability == pytest.approx(got[2].probability, abs=1e-9)
+
+
+def test_fusion_by_hand(spark):
+    """The posterior of every page against the formulas, written out page by page."""
+    import numpy as np
+
+    docs = spark.createDataFrame([("en", "the cat of the house " * 9), ("fr", "le chat de la maison " * 9), ("de", "die katze im haus " * 9)], "lang string, text string")
+    words = ["the cat of the house", "le chat de la maison", "die katze im haus", "the chat im haus", ""]
+    rng = np.random.default_rng(3)
+    rows = [(k, f"http://{'ab'[k % 2]}.s{k % 3}.{['de', 'fr', 'com'][k % 3]}/x", page(words[int(rng.integers(5))], ["de", "fr", None][int(rng.integers(3))])) for k in range(40)]
+    got = {r.page_id: r for r in L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    langs, table = L.text_model(docs)
+    like = {k: L.likelihoods([L.extract(h)], table)[0] for k, _, h in rows}
+    own = {k: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for k, x in like.items()}
+    host, code = {k: L.host_of(u) for k, u, _ in rows}, {k: L.declared(h) for k, _, h in rows}
+    for k, _, _ in rows:
+        others = lambda same: sum((own[j] for j in own if j != k and same(j)), np.zeros(3))
+        share = lambda x: x / x.sum()
+        base = share(others(lambda j: True) + 1)
+        level = share(others(lambda j: L.site_of(host[j]) == L.site_of(host[k])) + L.SITE_WEIGHT * base)
+        total = like[k] + np.log(share(others(lambda j: host[j] == host[k]) + L.HOST_WEIGHT * level))
+        for value in (code, {j: L.suffix_of(h) for j, h in host.items()}):
+            if value[k]:
+                total = total + np.log(share(others(lambda j, value=value: value[j] == value[k]) + L.EVIDENCE_WEIGHT * base)) - np.log(base)
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[k].lang == langs[int(p.argmax())] and got[k].probability == pytest.approx(p.max(), abs=1e-6)

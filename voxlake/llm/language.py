@@ -3,13 +3,13 @@
 Evidence on a page: its text, the language its markup declares, and the suffix of its address; the
 prior is that of its host. Text likelihoods are of hashed byte trigrams, counted per language
 over all labelled documents. How far a declaration or a suffix is to be believed is counted over all pages:
-the languages that the texts alone suggest, summed for each declared code and suffix and smoothed
-towards the overall shares. A host's prior is its pages' sum, smoothed towards its site's (the
+the languages that the texts alone suggest, summed for each declared code and suffix without the page's own share and
+smoothed towards the overall shares. A host's prior is its pages' sum, smoothed towards its site's (the
 last two labels of the host), smoothed towards the overall one; a page's own share is taken out of its
 host's, site's and overall sums first. All sums are grouped aggregations with a partial sum in each task, so a
 host with a third of all pages is no burden; the posterior is the normalised product.
 
-What is broadcast: the trigram table (languages x 2**14, at most ``LANGUAGES`` languages). Sums by host,
+What is broadcast: the trigram table (languages x 2**14 in single precision, at most ``LANGUAGES`` languages, 128 MiB; more are refused). Sums by host,
 site, declared code and suffix are joined, all of them: broadcast if small, else a join whose skewed keys
 are split. A suffix is any last label of a host name that is not part of an IP address.
 
@@ -31,24 +31,35 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import chunks as C
-from .html import extract, host_of
+from .html import _TOKEN as TOKEN
+from .html import BLOCKS, extract, host_of
 from .tokens import batches_of_texts
 
-BITS, LANGUAGES = 14, 256
+BITS, LANGUAGES = 14, 2048
 #: Overlapping trigrams are not independent: their log-likelihood counts for a third.
 TEMPER = 1 / 3
 HOST_WEIGHT, SITE_WEIGHT, EVIDENCE_WEIGHT = 5.0, 20.0, 10.0
 
-_HTML = re.compile(r"<html\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I)
 _LANG = re.compile(r"(?:^|\s)(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])", re.I)
-_META = re.compile(r"<meta\b[^>]*http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])", re.I)
+_META = re.compile(r"http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])", re.I)
 
 
 def declared(page: str) -> str:
-    """The primary subtag that the markup declares, or ""."""
-    tag = _HTML.search(page)
-    found = (_LANG.search(tag[1]) if tag else None) or _META.search(page)
-    return found[1].lower() if found else ""
+    """The primary subtag that the markup declares, or "": that of the html element, else of a meta element in the head. Comments, scripts and the body declare nothing."""
+    meta = ""
+    for m in TOKEN.finditer(page):
+        tag = (m["tag"] or "").lower()
+        if not tag:
+            continue
+        if tag == "html" and not m["end"]:
+            if found := _LANG.search(m["attrs"]):
+                return found[1].lower()
+        elif tag == "meta" and not meta:
+            if found := _META.search(m["attrs"]):
+                meta = found[1].lower()
+        elif tag in BLOCKS and tag != "head" or m["end"] and tag == "head":
+            break
+    return meta
 
 
 def suffix_of(host: str) -> str:
@@ -107,7 +118,7 @@ def text_model(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text
         raise ValueError(f"more than {LANGUAGES} languages")
     found.sort(key=lambda r: r.lang)
     counts = np.array([C.unpack(r.counts, "<i8") for r in found]).reshape(len(found), 1 << BITS) + 0.5
-    return [r.lang for r in found], np.log(counts / counts.sum(axis=1, keepdims=True))
+    return [r.lang for r in found], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -123,7 +134,9 @@ def likelihoods(texts: list[str], table: np.ndarray) -> np.ndarray:
         h, first = trigrams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         full = np.diff(first) > 0
         if full.any():
-            out[lo:hi][full] = TEMPER * np.add.reduceat(table[:, h], first[:-1][full], axis=1).T
+            at = first[:-1][full]
+            for k in range(0, len(table), 64):  # some languages at a time
+                out[lo:hi][full, k : k + 64] = TEMPER * np.add.reduceat(table[k : k + 64, h].astype(np.float64), at, axis=1).T
     return out
 
 
@@ -160,13 +173,12 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
 
     shared_overall = spark.sparkContext.broadcast(overall)
 
-    def weights(sums: pa.Array) -> np.ndarray:
-        """log P(value | language), up to what is the same for all languages; 0 without a value."""
-        share = (shared_overall.value + 1) / (shared_overall.value + 1).sum()
+    def weights(sums: pa.Array, own: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log P(value | language) from the other pages, up to what is the same for all languages; 0 without a value."""
         has = sums.is_valid().to_numpy(zero_copy_only=False)
-        s = sums.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
+        s = np.maximum(sums.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, count) - own[has], 0)
         out = np.zeros((len(sums), count))
-        out[has] = np.log((s + EVIDENCE_WEIGHT * share) / (s.sum(axis=1, keepdims=True) + EVIDENCE_WEIGHT)) - np.log(share)
+        out[has] = np.log((s + EVIDENCE_WEIGHT * share[has]) / (s.sum(axis=1, keepdims=True) + EVIDENCE_WEIGHT)) - np.log(share[has])
         return out
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +194,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
             level /= level.sum(axis=1, keepdims=True)
             prior = rest(host) + HOST_WEIGHT * level
             prior /= prior.sum(axis=1, keepdims=True)
-            total = like + np.log(prior) + weights(batch.column("declared_sum")) + weights(batch.column("suffix_sum"))
+            total = like + np.log(prior) + weights(batch.column("declared_sum"), own, base) + weights(batch.column("suffix_sum"), own, base)
             p = softmax(total)
             best, text = p.argmax(axis=1), own.argmax(axis=1)
             has_text = like.any(axis=1)
