@@ -53,3 +53,32 @@ def test_many_pairs_are_verified_like_few():
 def test_bounds_of_the_posterior():
     few, many = N.least_matches(0.8, (36, 180), 1e-9)
     assert 5 < few < 20 and 90 < many < 130
+
+
+def test_pairs_that_share_a_band():
+    """Going through bands gives the pairs that a comparison of all keys gives, within a tile and between two."""
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 4000, (700, N.BANDS)).astype(np.uint64)
+    keys[::50] = keys[0]
+    share = (keys[:, None, :] == keys[None, :, :]).any(axis=2)
+    a, b = rng.permutation(700)[:300], None
+    i, j = N.sharing(keys, a, b)
+    assert {frozenset(x) for x in zip(i.tolist(), j.tolist(), strict=True)} == {frozenset((x, y)) for x in a.tolist() for y in a.tolist() if x != y and share[x, y]}
+    a, b = np.arange(0, 250), np.arange(250, 700)
+    i, j = N.sharing(keys, a, b)
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i) == share[:250, 250:].sum()
+    assert N.sharing(np.zeros((300, N.BANDS), np.uint64), np.arange(300), None) is None
+
+
+def test_a_tie_of_many_different_texts(spark, monkeypatch):
+    """Texts that all share half of their shingles are tied by bands here and there; only near copies among them are linked."""
+    rng = np.random.default_rng(7)
+    common = [f"c{k}" for k in range(60)]
+    docs = []
+    for i in range(180):
+        own = [f"w{int(x)}" for x in rng.integers(0, 10_000, 60)]
+        docs.append((2 * i, " ".join(common + own)))
+        docs.append((2 * i + 1, " ".join(common + own[:-1] + ["z"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in N.near_duplicates(df, tile=200, slot_bytes=10_000).collect())
+    assert got == [(i, i - i % 2, 1) for i in range(360)]

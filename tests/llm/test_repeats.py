@@ -35,7 +35,7 @@ def test_long_texts_cut_into_slices(spark, monkeypatch):
     rng = np.random.default_rng(4)
     body = " ".join(rng.choice(["the", "of", "b"], 1500))
     docs = [(1, body), (2, body[333:2222] + " new " + body[100:900]), (3, body + body)]
-    table = C.Chunk(C.chunked(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), text_col="text", id_col="doc_id").toArrow())
+    table = C.Chunk(C.chunked(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), text_col="text", id_col="doc_id", part_bytes=1 << 20)[0].toArrow())
     p = R.Parse(table, 100, 32)
     assert len(p.s0) and (np.diff(p.s0) > 0).all()
     assert int((p.s1 - p.s0 + 1).sum()) == sum(len(t) - 99 for _, t in docs)
@@ -47,5 +47,5 @@ def test_repeated_rows_empty_table_and_kept_columns(spark):
     rows = R.remove_repeats(df, keep=("doc_id", "text")).collect()
     assert sorted(len(r.kept) for r in rows) == [0, 2, len(t)]
     assert R.remove_repeats(df.limit(0)).count() == 0
-    plan = C.chunked(df, text_col="text", id_col="doc_id").groupBy("chunk").applyInArrow(lambda t: t, "chunk long, seq long, id long, text string")._jdf.queryExecution().executedPlan().toString()
+    plan = C.chunked(df, text_col="text", id_col="doc_id", part_bytes=1 << 20)[0].groupBy("chunk").applyInArrow(lambda t: t, "chunk long, seq long, id long, text string")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan

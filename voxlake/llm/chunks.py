@@ -3,9 +3,11 @@
 A corpus-wide question such as "who else has this string" need not move texts. The
 documents are written once, as chunks of bounded size, to a table bucketed by chunk, in the
 shared checkpoint folder; every later pass reads a whole chunk in one task without a shuffle.
-A pass may send packed arrays of 64-bit keys, cut by key into ``parts``; a part's task
-sees a key at most once from each chunk, whatever its frequency, so a hot key costs a chunk one
+A pass may send packed arrays of 64-bit keys, cut by key into parts, as many as the size of all texts
+needs; a part's task sees a key at most once from each chunk, whatever its frequency, so a hot key costs a chunk one
 entry. It sends back arrays in the same order, which need no keys.
+
+The catalog forgets the table as soon as it is read; its files stay in the folder, whose cleaning is the cluster's.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from . import arrays as A
 CHUNK_BYTES = 8 << 20
 #: What a row counts for besides its text, so that a chunk's rows are bounded too.
 ROW_BYTES = 16
-#: A row is known by its chunk and its place in it.
-PLACE_BITS = 23
+#: A row is known by its chunk (input partition and number) and its place in it.
+PLACE_BITS, CHUNK_BITS, PARTITION_BITS = 23, 20, 20
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,17 +43,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A table of chunk, seq (place in it), id (as long), text and the columns of keep as k0, k1, ..., bucketed by chunk."""
-    spark = docs.sparkSession
+def bucketed(df: DataFrame) -> DataFrame:
+    """The same rows, read back from Parquet files in the shared folder that are bucketed by chunk."""
+    spark, name = df.sparkSession, f"voxlake_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", shared_folder(spark)).bucketBy(max(8, 2 * partitions(spark)), "chunk").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files are read by their place, not through the catalog
+    return table
+
+
+def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_col: str, chunk_bytes: int = CHUNK_BYTES, part_bytes: int) -> tuple[DataFrame, int]:
+    """A table of chunk, seq (place in it), id (as long), text and the columns of keep as k0, k1, ..., bucketed by chunk; and how many parts of part_bytes of text there are, at least the shuffle partitions."""
     names = ["id", "text", *(f"k{i}" for i in range(len(keep)))]
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"k{i}") for i, c in enumerate(keep)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, held = TaskContext.get().partitionId() << 20, 0
-        seq = 0
+        number = TaskContext.get().partitionId()
+        if number >> PARTITION_BITS:
+            raise ValueError(f"more than {1 << PARTITION_BITS} input partitions; read larger splits")
+        chunk, held, seq = number << CHUNK_BITS, 0, 0
         for batch in batches:
             _, offsets = A.utf8(batch.column(1))
             offsets = offsets + ROW_BYTES * np.arange(len(offsets))
@@ -62,15 +74,16 @@ def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_co
                     chunk, held, seq = chunk + 1, 0, 0
                     continue
                 hi = min(max(hi, lo + 1), len(batch))
+                if chunk >> CHUNK_BITS != number or seq + hi - lo > 1 << PLACE_BITS:
+                    raise ValueError(f"an input partition has over {1 << CHUNK_BITS} chunks, or a chunk over {1 << PLACE_BITS} rows")
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, chunk)), pa.array(np.arange(seq, seq + hi - lo)), *part.columns], names=["chunk", "seq", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, chunk)), pa.array(np.arange(seq, seq + hi - lo)), pa.array(np.diff(offsets[lo : hi + 1])), *part.columns], names=["chunk", "seq", "size", *names])
                 held, seq, lo = held + int(offsets[hi] - offsets[lo]), seq + hi - lo, hi
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    name = f"voxlake_{uuid.uuid4().hex}"
-    out = rows.mapInArrow(cut, f"chunk long, seq long, {kinds}")
-    out.write.format("parquet").option("compression", "zstd").option("path", shared_folder(spark)).bucketBy(max(8, 2 * partitions(spark)), "chunk").saveAsTable(name)
-    return spark.table(name)
+    table = bucketed(rows.mapInArrow(cut, f"chunk long, seq long, size long, {kinds}"))
+    total = table.agg(F.sum("size")).first()[0] or 0
+    return table.drop("size"), max(partitions(docs.sparkSession), -(-total // part_bytes))
 
 
 class Chunk:
@@ -163,11 +176,6 @@ def with_answers(table: DataFrame, answers: DataFrame, fn: Callable[[Chunk, dict
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def sizes(df: DataFrame, column: str) -> int:
-    """Total bytes of a text column."""
-    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-
-
 def ask(keys: np.ndarray, columns: list[np.ndarray], parts: int, number: int) -> Iterator[dict]:
     """Rows for each part; keys are sorted."""
     edge = key_parts(keys, parts)

@@ -31,7 +31,7 @@ from . import arrays as A
 from . import chunks as C
 
 FOLDS, TEST, FOLD = 7, 2, 3
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, PART_BYTES = 16 << 20, 32 << 20
 BUCKETS, STEPS = 64, 4
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -146,11 +146,9 @@ def learn(table: dict[int, int], vocabulary: int, rounds: int = 60) -> np.ndarra
     return out
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: the id, held_out, n_tokens, n_known, train_tokens, vocabulary, base_score, score."""
-    spark = docs.sparkSession
-    table = C.chunked(docs, text_col=text_col, id_col=id_col, chunk_bytes=chunk_bytes)
-    parts = C.partitions(spark)
+    table, parts = C.chunked(docs, text_col=text_col, id_col=id_col, chunk_bytes=chunk_bytes, part_bytes=part_bytes)
 
     def ask(chunk: C.Chunk) -> Iterator[dict]:
         s, f = Sequence(chunk), folds(chunk.ids)

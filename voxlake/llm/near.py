@@ -10,16 +10,17 @@ and its number of links; pairs are never listed.
    the key's least member, so a key of n members gives n ties, and the ties' components
    hold every pair that shares a band. A pair at the threshold shares none of ``BANDS``
    with probability (1 - THRESHOLD**PER_BAND)**BANDS, below one in a million.
-3. Within a component, pairs are compared by ever more MinHash values. Under a uniform prior the
+3. Within a component, pairs that share a band (or all pairs, where those would be no more, or are few) are compared by ever more MinHash values. Under a uniform prior the
    similarity of a pair that agrees on m of n values is Beta(m + 1, n - m + 1); once the
    probability of reaching the threshold is below ``TOLERANCE`` the pair is dropped. The pairs
    that remain are verified exactly on their sets of shingles (64-bit hashes).
 
 Skew: a component of more than ``TILE`` distinct texts is dealt into tiles by hash, and each pair of
-tiles is a task's group of its own; what leaves a task is one row per text and tile pair (its links,
-a spanning tree's root). The work on a group of n near copies, all different, is still
-n**2 / 2 comparisons, as counting their links needs; it is spread over tasks and
-bounded in memory.
+tiles is a group of its own; what leaves a task is one row per text and tile pair (its links,
+a spanning tree's root). A text is sent once from its chunk and repeated for its tile pairs by Spark, row by
+row. Groups are dealt to as many slots as their texts' bytes need (``SLOT_BYTES`` each). The work on a group of n
+near copies, all different, is still n**2 / 2 comparisons, as counting their links needs, and their texts
+are sent n / TILE times; both are spread over tasks and bounded in memory.
 
 Defined results: null texts and texts without words have no links and a class of their own; a null id comes
 before any other; rows that share an id are rows of their own; class_id is the least id of the class; other columns
@@ -43,8 +44,9 @@ from .decontaminate import words_of
 WORDS, THRESHOLD = 5, 0.8
 BANDS, PER_BAND = 36, 5
 STEP, TOLERANCE = 36, 1e-9
-CHUNK_BYTES = 4 << 20
-TILE = 1024
+CHUNK_BYTES, PART_BYTES = 4 << 20, 256 << 20
+TILE, SLOT_BYTES = 1024, 16 << 20
+FEW = 128
 _NONE = np.iinfo(np.int64).min
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(0, 1 << 32, BANDS * PER_BAND, dtype=np.uint32) | np.uint32(1)
@@ -197,18 +199,46 @@ def _band_edges(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def linked(values: np.ndarray, first: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float, needs: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sharing(keys: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs (i, j) of set numbers that share a band, within left or between left and right; None if going through them band by band is no less than all pairs, or the sets are few."""
+    both = left if right is None else np.concatenate([left, right])
+    if len(both) <= FEW:
+        return None
+    n, m = len(left), len(both)
+    most = n * (n - 1) // 2 if right is None else n * len(right)
+    order = np.argsort(keys[both], axis=0, kind="stable")
+    found, total = [], 0
+    for band in range(keys.shape[1]):
+        at = order[:, band]
+        x = keys[both[at], band]
+        begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        size = np.diff(np.append(begin, m))
+        begin, size = begin[size > 1], size[size > 1]
+        total += int((size * (size - 1) // 2).sum())
+        if total > most:
+            return None
+        # each member with all that stand behind it in its group
+        member = A.ragged(begin, size)
+        behind = np.repeat(begin + size, size) - member - 1
+        p, q = at[np.repeat(member, behind)], at[A.ragged(member + 1, behind)]
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        if right is not None:
+            ok = (p < n) & (q >= n)
+            p, q = p[ok], q[ok]
+        found.append(p * m + q)
+    pairs = np.unique(np.concatenate(found))
+    return both[pairs // m], both[pairs % m]
+
+
+def linked(values: np.ndarray, first: np.ndarray, sig: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float, needs: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of verified pairs (i, j) of set numbers: within left, or between left and right."""
-    other = left if right is None else right
-    block = max(1, min(len(left), (4 << 20) // max(1, len(other) * STEP)))
+    if (pairs := sharing(keys, left, right)) is not None:
+        step = 4 << 20
+        blocks = ((pairs[0][k : k + step], pairs[1][k : k + step]) for k in range(0, len(pairs[0]), step))
+    else:
+        blocks = all_pairs(left, right)
     size = np.diff(first)
-    for k in range(0, len(left), block):
-        mine = left[k : k + block]
-        if right is None:
-            i, j = np.nonzero(np.arange(k, k + len(mine))[:, None] < np.arange(len(other))[None, :])
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(len(mine)), np.arange(len(other)), indexing="ij"))
-        i, j = mine[i], other[j]
+    for i, j in blocks:
         # sizes alone bound the similarity
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         ok = small >= threshold * large
@@ -230,6 +260,18 @@ def linked(values: np.ndarray, first: np.ndarray, sig: np.ndarray, left: np.ndar
         yield i[ok], j[ok]
 
 
+def all_pairs(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    other = left if right is None else right
+    block = max(1, min(len(left), (4 << 20) // max(1, len(other) * STEP)))
+    for k in range(0, len(left), block):
+        mine = left[k : k + block]
+        if right is None:
+            i, j = np.nonzero(np.arange(k, k + len(mine))[:, None] < np.arange(len(other))[None, :])
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(len(mine)), np.arange(len(other)), indexing="ij"))
+        yield mine[i], other[j]
+
+
 def _common(values: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The exact sizes of the pairs' intersections."""
     if len(i) < 200:
@@ -257,14 +299,12 @@ def _common(values: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray)
     return total[ia, ib].astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk_bytes: int = CHUNK_BYTES, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES, tile: int = TILE, slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """One row per document: the id, the columns named in keep, class_id, n_links (long), is_first (true for one row of each class)."""
-    spark = docs.sparkSession
     wanted = [c for c in keep if c != id_col]
     keep = tuple(c for c in wanted if c != text_col)
-    table = C.chunked(docs, text_col=text_col, id_col=id_col, keep=keep, chunk_bytes=chunk_bytes)
+    table, parts = C.chunked(docs, text_col=text_col, id_col=id_col, keep=keep, chunk_bytes=chunk_bytes, part_bytes=part_bytes)
     bare = table.select("chunk", "seq", "id", "text")
-    parts = C.partitions(spark)
     steps = tuple(range(STEP, BANDS * PER_BAND + 1, STEP))
     needs = list(zip(steps, least_matches(threshold, steps, tolerance), strict=True))
 
@@ -304,8 +344,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         yield pa.RecordBatch.from_arrays([pa.array([5], pa.int32()), pa.array([0], pa.int32()), pa.array([key[0].as_py()], pa.int64()), pa.array([C.pack(x)], pa.binary())], schema=C.ANSWERED_ARROW)
 
     told = placed.withColumn("chunk", F.shiftright("v", C.PLACE_BITS)).groupBy("chunk").applyInArrow(gather, C.ANSWERED)
-    sent = pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("v", pa.int64()), ("id", pa.int64()), ("times", pa.int64()), ("text", pa.string())])
-    sent_ddl = "root long, i int, j int, tile int, v long, id long, times long, text string"
+    sent = pa.schema([("root", pa.int64()), ("tile", pa.int32()), ("tiles", pa.int32()), ("v", pa.int64()), ("id", pa.int64()), ("times", pa.int64()), ("text", pa.string())])
 
     def send(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
         x = np.concatenate([C.unpack(b, "<i8").reshape(3, -1) for b in got.get(5, [])] or [np.zeros((3, 0), np.int64)], axis=1)
@@ -316,19 +355,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = np.flatnonzero(lead == chunk.rids[s.lead])
         by = own[np.argsort(chunk.rids[s.lead[own]])]
         at = by[np.searchsorted(chunk.rids[s.lead[by]], x[0])]
-        mine = (A.mix(x[0].astype(np.uint64)) % x[2].astype(np.uint64)).astype(np.int64)
-        row = np.repeat(np.arange(x.shape[1]), x[2])
-        other = A.ragged(np.zeros(x.shape[1], np.int64), x[2])
-        return pa.table(
-            [x[1][row], np.minimum(mine[row], other).astype(np.int32), np.maximum(mine[row], other).astype(np.int32), mine[row].astype(np.int32), x[0][row], chunk.ids[s.lead[at]][row], whole(got, 4)[at][row], chunk.table.column("text").take(pa.array(s.lead[at][row]))],
-            schema=sent,
-        )
+        mine = A.mix(x[0].astype(np.uint64)) % x[2].astype(np.uint64)
+        return pa.table([x[1], mine.astype(np.int32), x[2].astype(np.int32), x[0], chunk.ids[s.lead[at]], whole(got, 4)[at], chunk.table.column("text").take(pa.array(s.lead[at]))], schema=sent)
+
+    paired = ["root", "i", "j", "tile", "v", "id", "times", "text"]
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).select(sent.names).sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("v", "ascending")])
+        t = pa.Table.from_batches(list(batches)).select(paired).sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("v", "ascending")])
         n = len(t)
         values, first = shingles(*A.utf8(t.column("text")), words)
         sig = signatures(values, first)
+        keys = band_keys(sig)
         root, i, j, mine, v, times = (t.column(c).to_numpy() for c in ("root", "i", "j", "tile", "v", "times"))
         links, up = np.zeros(n, np.int64), np.arange(n)
 
@@ -342,7 +379,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True):
             own = np.arange(a, b)
             left, right = (own, None) if i[a] == j[a] else (own[mine[a:b] == i[a]], own[mine[a:b] == j[a]])
-            for p, q in linked(values, first, sig, left, right, threshold, needs):
+            for p, q in linked(values, first, sig, keys, left, right, threshold, needs):
                 np.add.at(links, p, times[q])
                 np.add.at(links, q, times[p])
                 # one tie for each new p is enough within a block unless it joins others
@@ -353,8 +390,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tops = np.array([top(x) for x in range(n)], np.int64) if n else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(v), t.column("id").combine_chunks(), pa.array(links), pa.array(v[tops])], names=["v", "id", "links", "b"])
 
-    slot = F.pmod(F.xxhash64("root", "i", "j"), F.lit(8 * parts))
-    compared = C.written(C.with_answers(bare, answers.where("kind in (2, 4)").unionByName(told), send, sent_ddl).withColumn("slot", slot).groupBy("slot").applyInArrow(compare, "v long, id long, links long, b long"))
+    members = C.written(C.with_answers(bare, answers.where("kind in (2, 4)").unionByName(told), send, "root long, tile int, tiles int, v long, id long, times long, text string"))
+    total = members.agg(F.sum(F.col("tiles").cast("long") * (F.octet_length("text") + 64))).first()[0] or 0
+    slots = max(parts, -(-total // slot_bytes))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    pairs = members.select("*", other).select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "v", "id", "times", "text")
+    compared = C.written(pairs.withColumn("slot", F.pmod(F.xxhash64("root", "i", "j"), F.lit(slots))).groupBy("slot").applyInArrow(compare, "v long, id long, links long, b long"))
     classes = components(compared.select(F.col("v").alias("a"), "b"))
     links = compared.groupBy("v").agg(F.first("id").alias("id"), F.sum("links").alias("links"))
     named = links.join(classes, "v", "left").withColumn("root", F.coalesce("root", "v"))

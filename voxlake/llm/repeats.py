@@ -46,6 +46,7 @@ from . import arrays as A
 from . import chunks as C
 
 LENGTH, ANCHOR = 100, 32
+PART_BYTES = 64 << 20
 
 
 def triggers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -210,15 +211,13 @@ def judge_suffixes(rows: list[dict]) -> Iterator[dict]:
     yield from C.answer(2, rows, ends, verdict)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = C.CHUNK_BYTES, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = C.CHUNK_BYTES, part_bytes: int = PART_BYTES, as_text: bool = False) -> DataFrame:
     """One row per document: the id, the columns named in keep, n_bytes, kept (binary), spans array<struct<start,end>> of removed bytes.
 
     With as_text, kept_text (string) stands in the place of kept: characters that a removed span cuts in two are left out whole.
     """
-    spark = docs.sparkSession
     keep = tuple(c for c in keep if c not in (id_col, text_col))
-    table = C.chunked(docs, text_col=text_col, id_col=id_col, keep=keep, chunk_bytes=chunk_bytes)
-    parts = C.partitions(spark)
+    table, parts = C.chunked(docs, text_col=text_col, id_col=id_col, keep=keep, chunk_bytes=chunk_bytes, part_bytes=part_bytes)
 
     def ask_phrases(chunk: C.Chunk) -> Iterator[dict]:
         p = Parse(chunk, length, anchor)
