@@ -29,3 +29,38 @@ def test_against_brute_force(spark, blocks):
 def test_empty_tables(spark):
     assert rows_of(spark, [], [(1, "a b", 0)]) == []
     assert rows_of(spark, [(1, "a b", "", "")], []) == expected([(1, "a b")], [])
+
+
+def test_the_tables_take_bounded_memory():
+    """Several blocks are sized by this: bytes broadcast for a byte of benchmark text."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    items = [(str(i), " ".join(f"word{x}" for x in rng.integers(0, 5000, 4000))) for i in range(40)]
+    size = sum(len(t) for _, t in items)
+    tables = D.Tables(items)
+    fixed = sum(g.shift.nbytes for g in tables.groups)  # at most 16 MB for each length
+    assert len(pickle.dumps(tables)) - fixed <= D.BYTES_PER_BYTE * size and fixed <= len(tables.groups) << 24
+
+
+def test_hashes_alone_decide_nothing(monkeypatch):
+    """With hashes that tell words apart by their length only, the direct comparison still finds what brute force finds."""
+    monkeypatch.setattr(D.A, "words_hash", lambda data, sums, starts, ends: (ends - starts).astype(np.uint64))
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice(["ab", "cd", "e", "fgh"], n))
+    items = [(str(i), text(int(rng.integers(1, 15)))) for i in range(12)] + [("0", "ab cd")]
+    docs = [(i, text(int(rng.integers(0, 200))) + " " + items[i % 12][1]) for i in range(30)]
+    import pyarrow as pa
+
+    counts, spans, found = D.match(D.Tables(items), *D.A.utf8(pa.array([t for _, t in docs])))
+    want = D.brute_force(docs, items)
+    for k, (_, n, n_hit, n_items, _, dirty) in enumerate(want):
+        assert (counts[k], len({x for a, m in spans[k] for x in range(a, a + m)}), len(found[k]), bool(spans[k])) == (n, n_hit, n_items, dirty)
+
+
+def test_a_text_that_is_one_frequent_window():
+    import pyarrow as pa
+
+    items = [(str(i), "the " * 30) for i in range(50)]
+    counts, spans, found = D.match(D.Tables(items), *D.A.utf8(pa.array(["the " * 2000, "a the"])))
+    assert counts.tolist() == [2000, 2] and len(spans[0]) == 1991 and len(found[0]) == 50 and not spans[1]
