@@ -14,7 +14,18 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="voxlake-")
 
 
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    sc = spark.sparkContext
+    if (chosen := sc._jsc.sc().getCheckpointDir()).isDefined():  # by setCheckpointDir
+        return chosen.get()
+    if sc.master.startswith("local"):
+        return _own_folder()  # one process, so its folder is everyone's
+    raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; under a folder of this process only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/voxlake-{uuid.uuid4().hex}"
+    """A new path under spark.checkpoint.dir or the folder of setCheckpointDir; under one of this process where neither is set and there are no executors."""
+    return f"{_folder(spark).rstrip('/')}/voxlake-{uuid.uuid4().hex}"

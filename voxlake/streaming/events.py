@@ -1,6 +1,6 @@
 """Event streams: windows with watermarks, sessions, deduplication, stateful runs, and merges of each batch.
 
-Every function takes a streaming or a batch frame; on the same rows both give the same result.
+Every function takes a streaming or a batch frame; on the same rows both give the same result, but for ``once``, which says how it differs.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def once(events: DataFrame) -> DataFrame:
-    """One row per event id within the watermark."""
+    """One row per event id; a stream tells duplicates apart only within its watermark, so there a copy that is later than that is a row of its own, as it is not in the batch form."""
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
@@ -79,18 +79,54 @@ def available(stream: DataFrame, mode: str) -> DataFrame:
     return out.drop("batch")
 
 
-def merged(stream: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The latest row of each key after all batches, each merged into the table before it."""
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
-    state = {"version": None}
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a table's finished versions, least first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def merged(stream: DataFrame, keys: list[str], order: list, *, path: str | None = None, buckets: int = 64) -> DataFrame:
+    """The latest row of each key after all batches, each merged into the table before it.
+
+    The table lies under path, and so does the stream's checkpoint: a run that is started again goes on from both. Rows lie in folders by a hash of
+    their key; a batch makes a new version of only those folders that its keys fall into, numbered by the batch, so one that is repeated after a failure
+    replaces itself. The version to read is told from the finished folders, not kept in memory. Before the first batch the table is empty.
+    """
+    spark, path = stream.sparkSession, path or shared_folder(stream.sparkSession)
+    schema = stream.schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def newest(bucket: int, before: int | None = None) -> list[str]:
+        found = [n for n in _versions(spark, f"{path}/table/b{bucket}") if before is None or n < before]
+        return [f"{path}/table/b{bucket}/v{found[-1]}"] if found else []
 
     def write(batch: DataFrame, number: int) -> None:
-        new = merge.latest(batch, keys=keys, order=order)
-        if state["version"] is not None:
-            old = spark.read.parquet(state["version"])
-            new = merge.latest(old.unionByName(new), keys=keys, order=order)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-        state["version"] = f"{path}/v{number}"
+        new = merge.latest(batch, keys=keys, order=order).withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = sorted(r["__b"] for r in new.select("__b").distinct().collect())
+            old = [p for b in touched for p in newest(b, number)]
+            rows = new
+            if old:
+                was = spark.read.schema(kinds).parquet(*old).withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+                rows = merge.latest(was.unionByName(new), keys=keys, order=order)
+            stage = f"{path}/stage/v{number}"
+            rows.write.mode("overwrite").partitionBy("__b").parquet(stage)
+            jvm = spark._jvm
+            fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+            P = jvm.org.apache.hadoop.fs.Path
+            for b in touched:
+                target = P(f"{path}/table/b{b}/v{number}")
+                fs.delete(target, True)
+                fs.mkdirs(target.getParent())
+                fs.rename(P(f"{stage}/__b={b}"), target)
+                fs.create(P(f"{path}/table/b{b}/v{number}/_SUCCESS"), True).close()
+        finally:
+            new.unpersist()
 
     stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(state["version"])
+    found = [p for b in range(buckets) for p in newest(b)]
+    return spark.read.schema(kinds).parquet(*found) if found else spark.createDataFrame([], schema)
