@@ -94,7 +94,22 @@ def any_condition(s: Source) -> DataFrame:
     return s.view("calls").where("mac_likelihood < 0.5 or price_likelihood < 0.5 or participation > 0.9").select("call_id")
 
 
-@query("X13_calibrated_thresholds")
+def candidate_sql(up: str, c: float = 1.1113071e-16) -> str:
+    """The oracle's next double from a value towards 1."""
+    return f"CASE WHEN {up} = 0 THEN 4.9e-324 WHEN {up} < 1 THEN {up} + {up} * {c} WHEN {up} > 1 THEN {up} - {up} * {c} ELSE {up} END"
+
+
+CANDIDATES = f"""WITH {CALLS}, r AS (SELECT is_empty = 1 AS e, price_likelihood AS p, mac_likelihood AS m FROM calls), s AS (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) AS wanted, count(*) FILTER (e) AS empties FROM r),
+g AS (SELECT least(p, m) AS v, count(*) AS n, count(*) FILTER (p <= m) AS np, count(*) FILTER (m <= p) AS nm FROM r WHERE NOT e GROUP BY 1), u AS (SELECT *, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, {candidate_sql('v')} AS up FROM g),
+c AS (SELECT v, 0 AS k, v AS p, v AS m, below AS t FROM u UNION ALL SELECT v, 1, up, v, below + CASE WHEN v < 1 THEN np ELSE 0 END FROM u UNION ALL SELECT v, 2, v, up, below + CASE WHEN v < 1 THEN nm ELSE 0 END FROM u UNION ALL SELECT v, 3, up, up, below + CASE WHEN v < 1 THEN n ELSE 0 END FROM u),
+d AS (SELECT c.*, empties + t = wanted AS exact, abs(empties + t - wanted) AS off FROM c, s),
+b AS (SELECT (SELECT {{p: p, m: m}} FROM d WHERE exact AND p <> m ORDER BY v, k LIMIT 1) AS apart, (SELECT p FROM d WHERE exact AND p = m ORDER BY v DESC, k DESC LIMIT 1) AS equal, (SELECT {{p: p, m: m}} FROM d ORDER BY off, v, k LIMIT 1) AS near),
+t AS (SELECT wanted, CASE WHEN empties >= wanted OR near IS NULL THEN {{p: 0.0::DOUBLE, m: 4.9e-324}} WHEN apart IS NOT NULL THEN apart WHEN equal < 1 THEN {{p: equal, m: {candidate_sql('equal')}}} WHEN equal IS NOT NULL THEN {{p: equal - equal * 1.1113071e-16, m: equal}}
+  WHEN near.p <> near.m THEN near ELSE {{p: near.p, m: CASE WHEN near.m < 1 THEN {candidate_sql('near.m')} ELSE near.m - near.m * 1.1113071e-16 END}} END AS t, CASE WHEN empties < wanted AND apart IS NULL THEN equal END AS general_th FROM b, s)
+SELECT t.t.p AS price_th, t.t.m AS mac_th, general_th, (SELECT count(*) FROM r WHERE e OR r.p < t.t.p OR r.m < t.t.m) AS selected, wanted FROM t"""
+
+
+@query("X13_calibrated_thresholds", CANDIDATES)
 def calibrated(s: Source) -> DataFrame:
     return calibrate.thresholds(s.view("calls"), empty="is_empty", price="price_likelihood", mac="mac_likelihood", share=0.2)
 
@@ -103,7 +118,7 @@ def calibrated(s: Source) -> DataFrame:
 def counts_below(s: Source) -> DataFrame:
     """How many calls a threshold at each value selects; values are few beside calls."""
     v = F.when(F.col("is_empty") == 1, -1.0).otherwise(F.round(F.least("price_likelihood", "mac_likelihood"), 6))
-    return calibrate.counts_below(s.view("calls").select(v.alias("v")), "v")
+    return calibrate.counts_below(s.view("calls").select(v.alias("v")), "v").select("v", "n", "upto")
 
 
 @query("X14_conscious_sale", f"WITH {CALLS} SELECT call_id, round(0.3 * CASE WHEN questions > 0 THEN 0.5 * least(participation / 0.15, 1) + 0.5 * least(turns / 40.0, 1) ELSE least(participation / 0.15, 1) END + 0.3 * least(questions / 5.0, 1) + 0.2 * mac_likelihood + 0.2 * price_likelihood, 6) AS score FROM calls")
@@ -181,11 +196,17 @@ def agent_export(s: Source) -> DataFrame:
     return s.view("calls").groupBy("agent_id").agg(F.bround(F.avg("score") * 10, 0).cast("int").alias("score"), F.count_if(F.col("status") == "F").alias("affected"))
 
 
-FUSED = f"""WITH {TOP}, n AS (SELECT label, CASE WHEN start_s <= 20 THEN 'early' ELSE 'late' END AS bin, count(*) AS n FROM call_topics GROUP BY 1, 2), pr AS (SELECT label, bin, (n + 1.0) / (sum(n) OVER (PARTITION BY label) + 2) AS p FROM n),
-x AS (SELECT call_id, line, part_id, supp_id, price, ordinal, CASE WHEN start_s <= 20 THEN 'early' ELSE 'late' END AS bin FROM call_topics), e AS (SELECT x.*, pr.label AS cand, ln(CASE WHEN t.k = x.ordinal THEN 0.4 ELSE 0.6 / 13 END) AS lp, ln(pr.p) AS tp FROM x JOIN pr USING (bin) JOIN {'(VALUES ' + ', '.join(f"('{t}', {k})" for k, t in enumerate(SCRIPT_ORDER)) + ')'} t(topic, k) ON t.topic = pr.label)"""
+#: Weights of the time bin, the place in the call and the label's frequency (a start of the reference's search), and the edges of places.
+ALPHA, BETA, GAMMA = 0.5, 0.5, 0.1
+REL_BINS = (0.10, 0.20, 0.35, 0.50, 0.65, 0.80)
+FUSED = f"""WITH {TOP}, y0 AS (SELECT *, CASE WHEN start_s <= 20 THEN 'early' ELSE 'late' END AS bin, start_s / max(end_s) OVER (PARTITION BY call_id) AS place FROM call_topics),
+x AS (SELECT *, {' + '.join(f'CAST(place >= {e} AS INT)' for e in REL_BINS)} AS rel FROM y0), t AS (SELECT * FROM (VALUES {', '.join(f"('{t}', {k})" for k, t in enumerate(SCRIPT_ORDER))}) v(topic, k)),
+c AS (SELECT label AS cand, k, count(*) AS n_of, sum(count(*)) OVER () AS n_all FROM x JOIN t ON topic = label GROUP BY label, k), nb AS (SELECT label AS cand, bin, count(*) AS n_bin FROM x GROUP BY 1, 2), nr AS (SELECT label AS cand, rel, count(*) AS n_rel FROM x GROUP BY 1, 2),
+s AS (SELECT ordinal, bin, rel, any_value(label) AS label, count(*) AS n FROM x GROUP BY 1, 2, 3),
+e AS (SELECT s.ordinal, s.bin, s.rel, s.label, s.n, cand, ln(CASE WHEN k = ordinal THEN 0.4::DOUBLE ELSE 0.6::DOUBLE / 13 END) AS lp, ln((coalesce(n_bin, 0) + 1.0::DOUBLE) / (n_of + 2)) AS tp, ln((coalesce(n_rel, 0) + 1.0::DOUBLE) / (n_of + {len(REL_BINS) + 1})) AS rp, ln(n_of::DOUBLE / n_all) AS yp FROM s CROSS JOIN c LEFT JOIN nb USING (cand, bin) LEFT JOIN nr USING (cand, rel))"""
 
 
-@query("M02_time_fusion", f"{FUSED} SELECT call_id, line, part_id, supp_id, price, cand, round(exp(lp + 0.5 * tp) / sum(exp(lp + 0.5 * tp)) OVER (PARTITION BY call_id, line, part_id, supp_id, price), 6) AS p FROM e WHERE call_id < 200")
+@query("M02_time_fusion", f"{FUSED}, w AS (SELECT *, exp(lp + {ALPHA} * tp + {BETA} * rp + {GAMMA} * yp) AS w FROM e), p AS (SELECT ordinal, bin, rel, cand, round(w / sum(w) OVER (PARTITION BY ordinal, bin, rel), 6) AS p FROM w) SELECT call_id, line, part_id, supp_id, price, cand, p FROM x JOIN p USING (ordinal, bin, rel)")
 def time_fusion(s: Source) -> DataFrame:
     """Text, time bin, place in the call and label frequency, log-linear, normalised over the labels, for all calls."""
     keys = ["call_id", "line", "part_id", "supp_id", "price"]
@@ -194,11 +215,6 @@ def time_fusion(s: Source) -> DataFrame:
     return placed(s).join(F.broadcast(shares), ["ordinal", "bin", "rel"]).select(*keys, "cand", "p")
 
 
-#: Weights of the time bin, the place in the call and the label's frequency (a start of the reference's search), and the edges of places.
-ALPHA, BETA, GAMMA = 0.5, 0.5, 0.1
-REL_BINS = (0.10, 0.20, 0.35, 0.50, 0.65, 0.80)
-
-
 def placed(s: Source) -> DataFrame:
     """Topics of calls with their time bin and the bin of their place in the call."""
     place = F.col("start_s") / F.max("end_s").over(Window.partitionBy("call_id"))
@@ -223,7 +239,10 @@ def evidence(s: Source) -> DataFrame:
 GRID = (0.0, 0.5, 1.0, 4.0)
 
 
-@query("M05_weight_search", f"{FUSED}, g AS (SELECT unnest([0.0, 0.5, 1.0, 4.0]) AS a), b AS (SELECT a, call_id, line, part_id, supp_id, price, ordinal, arg_max(cand, (round(lp + a * tp, 9), cand)) AS said FROM e, g GROUP BY ALL) SELECT CAST(a AS DOUBLE) AS alpha, round(avg(CASE WHEN said = t.topic THEN 1.0 ELSE 0 END), 6) AS accuracy FROM b JOIN {'(VALUES ' + ', '.join(f"('{t}', {k})" for k, t in enumerate(SCRIPT_ORDER)) + ')'} t(topic, k) ON t.k = ordinal GROUP BY 1")
+@query("M05_weight_search", f"""{FUSED}, g AS (SELECT a.w AS alpha, b.w AS beta, c.w AS gamma FROM (VALUES {', '.join(f'({w}::DOUBLE)' for w in GRID)}) a(w), (VALUES {', '.join(f'({w}::DOUBLE)' for w in GRID)}) b(w), (VALUES {', '.join(f'({w}::DOUBLE)' for w in GRID)}) c(w)),
+b AS (SELECT alpha, beta, gamma, label, ordinal, bin, rel, n, arg_max(cand, (round(lp + alpha * tp + beta * rp + gamma * yp, 9), cand)) AS said FROM e, g GROUP BY ALL),
+u AS (SELECT alpha, beta, gamma, label AS y, n, CASE WHEN said = label THEN n ELSE 0 END AS hit FROM b UNION ALL SELECT alpha, beta, gamma, said, n, 0 FROM b), f AS (SELECT alpha, beta, gamma, round(avg(f1), 6) AS macro_f1 FROM (SELECT alpha, beta, gamma, y, 2.0 * sum(hit) / sum(n) AS f1 FROM u GROUP BY ALL) GROUP BY 1, 2, 3)
+SELECT alpha, beta, gamma, macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, alpha, beta, gamma) = 1 AS best FROM f""")
 def weight_search(s: Source) -> DataFrame:
     """Macro F1 at every point of a grid of (alpha, beta, gamma), and which is best (of equals the least weights); rows of the same evidence are one with a count."""
     weights = ("alpha", "beta", "gamma")
