@@ -252,13 +252,13 @@ def minutes_per_file(s: Source) -> DataFrame:
     return s.view("calls").groupBy("campaign_id").agg(F.count("*").alias("files"), R(F.sum("tmo_s") / 60 / F.count("*")).alias("tmo_min"))
 
 
-@query("A30_order_by_variance", "SELECT vec_id, round(list_var_pop(CAST(embedding AS DOUBLE[])), 6) AS variance FROM embeddings ORDER BY variance DESC, vec_id LIMIT 50")
+@query("A30_order_by_variance", "SELECT vec_id, round(list_var_pop(CAST(embedding AS DOUBLE[])), 6) AS variance FROM embeddings ORDER BY variance DESC, vec_id")
 def order_by_variance(s: Source) -> DataFrame:
-    """The report of the 50 most varied arrays."""
+    """All arrays, the most varied first."""
     e = F.col("e")
     x = s.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("m", F.aggregate(e, F.lit(0.0), lambda a, v: a + v) / F.size(e))
     var = F.aggregate(e, F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / F.size(e)
-    return x.select("vec_id", R(var, 6).alias("variance")).orderBy(F.desc("variance"), "vec_id").limit(50)
+    return x.select("vec_id", R(var, 6).alias("variance")).orderBy(F.desc("variance"), "vec_id")
 
 
 EVALUATE = """WITH x AS (SELECT {y} AS y, {p} AS p FROM {t}), k AS (SELECT y AS c FROM x UNION SELECT p FROM x), s AS (SELECT c, count(*) FILTER (WHERE y = c AND p = c) AS tp, count(*) FILTER (WHERE y <> c AND p = c) AS fp, count(*) FILTER (WHERE y = c AND p <> c) AS fn FROM k, x GROUP BY c)

@@ -149,8 +149,9 @@ def best_name_match(s: Source) -> DataFrame:
     return ordered.first_rows(x, 1, keys=["p_partkey"], order=[F.desc("score"), "p_brand"]).drop("rank")
 
 
-@query("J21_nearest_cluster", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT label AS cluster, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1)
-SELECT vec_id, arg_max(cluster, (s, -cluster)) AS cluster, round(max(s), 6) AS score FROM (SELECT vec_id, cluster, round(list_cosine_similarity(v, c), 8) AS s FROM e, c) GROUP BY vec_id""")
+@query("J21_nearest_cluster", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT label AS cluster, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT vec_id, cluster, round(list_cosine_similarity(v, c), 8) AS s FROM e, c UNION ALL SELECT a.vec_id, b.label, round(max(list_cosine_similarity(a.v, b.v)), 8) FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2)
+SELECT vec_id, arg_max(cluster, (s, -cluster)) AS cluster, round(max(s), 6) AS score FROM (SELECT vec_id, cluster, max(s) AS s FROM s GROUP BY 1, 2) GROUP BY vec_id""")
 def nearest_cluster(s: Source) -> DataFrame:
     """The greater of the cosine to a cluster's mean and that to its best member other than the row itself; blocks of rows meet all blocks."""
     e = s.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -580,9 +581,16 @@ def chart_markers(s: Source) -> DataFrame:
     return s.table("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("k"), "embedding").select("vec_id", "k", F.element_at("embedding", (F.col("k") * 8 + 1).cast("int")).cast("double").alias("value"))
 
 
-PHRASES = "SELECT item_id, CAST(item_id % 14 AS BIGINT) AS cluster, array_to_string((list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> ''))[1:6], ' ') AS phrase FROM benchmark"
-SPANS = "SELECT doc_id, k, array_to_string(w[k + 1:k + 6], ' ') AS span FROM (SELECT doc_id, w, unnest(range(0, len(w) - 5, 6)) AS k FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '') AS w FROM documents WHERE n_chars < 800) WHERE len(w) >= 6)"
-LIKE = f"WITH p AS ({PHRASES}), s AS ({SPANS}), c AS (SELECT DISTINCT doc_id, k, span, item_id, cluster, phrase FROM (SELECT *, unnest(string_split(span, ' ')) AS t FROM s) JOIN (SELECT *, unnest(string_split(phrase, ' ')) AS t FROM p) USING (t)), x AS (SELECT *, round(1 - levenshtein(span, phrase) * 1.0 / greatest(length(span), length(phrase)), 6) AS score FROM c)"
+LETTERS = "list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '')"
+
+
+def windows_sql(size: int, step: int, tail: bool) -> str:
+    """Scores of all windows of all documents with all whole phrases."""
+    last = "greatest(len(w) - {0}, 0)".format(size)
+    starts = f"range(0, {last} + 1, {step})" + (f" || CASE WHEN {last} % {step} = 0 THEN [] ELSE [{last}] END" if tail else "")
+    return f"""WITH p AS (SELECT item_id, CAST(item_id % 14 AS BIGINT) AS cluster, array_to_string({LETTERS}, ' ') AS phrase FROM benchmark), d AS (SELECT doc_id, coalesce({LETTERS}, []) AS w FROM documents),
+s AS (SELECT doc_id, k, array_to_string(w[k + 1:k + {size}], ' ') AS span FROM (SELECT doc_id, w, unnest({starts}) AS k FROM d WHERE len(w) > 0)),
+x AS (SELECT doc_id, k, item_id, cluster, round(1 - levenshtein(span, phrase) * 1.0 / greatest(length(span), length(phrase)), 6) AS score FROM s, p)"""
 
 
 def likelihoods(s: Source, **how) -> DataFrame:
@@ -592,14 +600,14 @@ def likelihoods(s: Source, **how) -> DataFrame:
     return likelihood.best_pairs(s.table("documents").select("doc_id", words("text").alias("w")), p, **how)
 
 
-@query("J18_best_phrase", f"{LIKE} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1")
+@query("J18_best_phrase", f"{windows_sql(6, 1, False)} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1 UNION ALL SELECT doc_id, 0, NULL FROM d WHERE len(w) = 0")
 def best_phrase(s: Source) -> DataFrame:
     """The best of every window of six words, at each word, against every phrase; a document without words has score 0 and no phrase."""
     x = likelihoods(s, size=6, step=1, tail=False, top=1)
     return x.groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"), -F.col("k"))).alias("item_id"))
 
 
-@query("J19_cluster_evidence", f"{LIKE} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
+@query("J19_cluster_evidence", f"{windows_sql(18, 6, True)} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
 def cluster_evidence(s: Source) -> DataFrame:
     """The three best pieces of evidence for each cluster, in windows of 18 words at each sixth and the last 18."""
     x = likelihoods(s, size=18, step=6, tail=True, top=3).where("item_id is not null")
