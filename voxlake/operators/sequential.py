@@ -9,7 +9,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,26 +54,11 @@ def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels:
     return emissions.groupBy(keys).applyInPandas(decode, schema)
 
 
-def smooth_labels(values: list[str], reach: int) -> list[str]:
-    """Majority within +-reach; of equals the one seen first in the window."""
-    out = []
-    for i in range(len(values)):
-        window = values[max(0, i - reach) : i + reach + 1]
-        counts: dict[str, int] = {}
-        for v in window:
-            counts[v] = counts.get(v, 0) + 1
-        out.append(max(counts, key=lambda v: counts[v]))
-    return out
-
-
-def smoothed(df: DataFrame, label: str, *, keys: str, order: list[str], reach: int) -> DataFrame:
-    """The rows with column smooth."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(smooth=smooth_labels(rows[label].tolist(), reach))
-
-    return df.groupBy(keys).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, smooth string")
+def smoothed(df: DataFrame, label: str, *, keys: str, order: list, reach: int) -> DataFrame:
+    """The rows with column smooth: the majority within +-reach; of equals the one seen first in the window. Null labels don't count."""
+    seen = F.collect_list(label).over(Window.partitionBy(keys).orderBy(*order).rowsBetween(-reach, reach))
+    votes = F.transform(F.array_distinct("__w"), lambda v, k: F.struct(F.size(F.filter("__w", lambda x: x == v)).alias("n"), (-k).alias("place"), v.alias("v")))
+    return df.withColumn("__w", seen).withColumn("smooth", F.array_max(votes)["v"]).drop("__w")
 
 
 def compact(sizes: list[int], least: int, most: int) -> list[int]:

@@ -150,7 +150,7 @@ def interpolated(s: Source) -> DataFrame:
     return O.interpolate(x.join(g, ["user_id", "d"], "left"), "d", "v", keys=["user_id"], name="w").select("user_id", "d", R(F.col("w"), 6).alias("v"))
 
 
-@query("W18_majority_smoothing")
+@query("W18_majority_smoothing", f"WITH {WIN}, w AS (SELECT event_id, list(state) OVER (PARTITION BY file_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w FROM windows), u AS (SELECT event_id, unnest(w) AS v, unnest(range(0, len(w))) AS k FROM w), c AS (SELECT event_id, v, count(*) AS n, min(k) AS k FROM u GROUP BY 1, 2) SELECT event_id, arg_max(v, (n, -k)) AS smooth FROM c GROUP BY 1")
 def majority(s: Source) -> DataFrame:
     return sequential.smoothed(s.view("windows").select("file_id", "ts", "event_id", "state"), "state", keys="file_id", order=EVENT, reach=2).select("event_id", "smooth")
 

@@ -8,7 +8,9 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.functions import fuzzy as fuzzy_ratio
 from voxlake.functions import numeric as Nu
+from voxlake.functions import snowball
 from voxlake.functions import text as T
 from voxlake.functions.python import by_value
 from voxlake.plans.aggregates import R
@@ -51,16 +53,8 @@ def stop_words(s: Source) -> DataFrame:
     return docs(s, F.array_join(T.without(T.words(F.lower("text")), T.CONNECTORS), " ").alias("kept"))
 
 
-def stem(word: str) -> str:
-    """A light suffix stemmer: the longest listed ending that leaves three letters goes."""
-    for ending in ("mente", "ciones", "cion", "ando", "iendo", "tion", "ing", "ed", "es", "os", "as", "ly", "s"):
-        if word.endswith(ending) and len(word) - len(ending) >= 3:
-            return word[: -len(ending)]
-    return word
-
-
 def stem_set(words: list[str]) -> list[str]:
-    return sorted({stem(w) for w in words})
+    return sorted({snowball.stem(w) for w in words})
 
 
 stems = by_value(stem_set, "array<string>")
@@ -142,30 +136,7 @@ def sequence_ratio(a: str, b: str) -> float:
 similarity = by_value(sequence_ratio, "double")
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text against the other's stretches of its length."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 0.0
-    m = difflib.SequenceMatcher(None, short, long, autojunk=False)
-    starts = {max(0, j - i) for i, j, n in m.get_matching_blocks() if n}
-    return max((difflib.SequenceMatcher(None, short, long[k : k + len(short)], autojunk=False).ratio() for k in starts), default=0.0)
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    common = " ".join(sorted(x & y))
-    one, two = (" ".join(filter(None, (common, " ".join(sorted(z))))) for z in (x - y, y - x))
-    r = lambda p, q: difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() if p or q else 0.0
-    return max(r(common, one) if common else 0.0, r(common, two) if common else 0.0, r(one, two))
-
-
-def fuzzy_score(a: str, b: str) -> float:
-    """max(token set, 0.85 partial) in 0..1."""
-    return max(token_set_ratio(a, b), 0.85 * partial_ratio(a, b))
-
-
-fuzzy = by_value(fuzzy_score, "double")
+fuzzy = by_value(lambda a, b: fuzzy_ratio.score(a or "", b or ""), "double")
 
 
 def pairs(s: Source) -> DataFrame:
@@ -407,20 +378,28 @@ def split_long(s: Source) -> DataFrame:
     return s.view("utterances").select("call_id", "turn", F.posexplode(F.when(F.col("num_words") > 30, both).otherwise(F.array("words"))).alias("part", "w")).select("call_id", "turn", "part", F.array_join("w", " ").alias("text"))
 
 
-def cut_place(text: str) -> int:
-    """Behind the punctuation nearest the middle; the middle space if there is none."""
-    middle = len(text) / 2
-    marks = [k + 1 for k, c in enumerate(text[:-1]) if c in ".,;:?!"]
-    spaces = [k for k, c in enumerate(text) if c == " "]
-    return min(marks or spaces or [len(text)], key=lambda k: (abs(k - middle), k))
+def nearest_cut(text: str, marks: str, whole: bool) -> F.Column:
+    """struct(distance to the middle, k) of the best place for a cut: behind a mark (whole: False; the last character is none) or before a space; null without one. One pass over the text's parts."""
+    t = F.col(text) if whole else F.expr(f"substring({text}, 1, length({text}) - 1)")
+    sizes = F.transform(F.split(t, marks, -1), lambda x: F.length(x))
+    step, middle = (0 if whole else 1), F.length(text) / 2.0
+    none = F.struct(F.lit(1e18).alias("off"), F.lit(-1).alias("k"))
 
+    def add(state, size):
+        k = state["at"] + size + step
+        return F.struct((state["at"] + size + 1).alias("at"), F.least(state["best"], F.struct(F.abs(k - middle).alias("off"), k.alias("k"))).alias("best"))
 
-cut_places = by_value(lambda text: cut_place(text or ""), "int")
+    found = F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), F.struct(F.lit(0).alias("at"), none.alias("best")), add)["best"]
+    return F.when(found["k"] >= 0, found["k"])
 
 
-@query("U04b_split_at_punctuation")
+@query("U04b_split_at_punctuation", f"""WITH {UTT}, u AS (SELECT call_id, turn, text, length(text) AS n FROM utterances WHERE num_words > 30), m AS (SELECT *, list_filter(range(1, n), lambda i: contains('.,;:?!', substring(text, i, 1))) AS marks, list_transform(list_filter(range(1, n + 1), lambda i: substring(text, i, 1) = ' '), lambda i: i - 1) AS spaces FROM u),
+p AS (SELECT *, CASE WHEN len(marks) > 0 THEN marks WHEN len(spaces) > 0 THEN spaces ELSE [n] END AS places FROM m), k AS (SELECT *, list_sort(list_transform(places, lambda i: {{{{d: abs(i - n / 2.0), k: i}}}}))[1].k AS k FROM p)
+SELECT call_id, turn, 0 AS part, trim(substring(text, 1, CAST(k AS BIGINT)), ' ') AS text FROM k UNION ALL SELECT call_id, turn, 1, trim(substring(text, CAST(k + 1 AS BIGINT)), ' ') FROM k""".replace("{{", "{").replace("}}", "}"))
 def split_at_punctuation(s: Source) -> DataFrame:
-    u = s.view("utterances").where("num_words > 30").withColumn("k", cut_places("text"))
+    """Utterances of over 30 words are cut behind the punctuation nearest the middle; without any, at the space nearest it."""
+    k = F.coalesce(nearest_cut("text", "[.,;:?!]", False), nearest_cut("text", " ", True), F.length("text"))
+    u = s.view("utterances").where("num_words > 30").withColumn("k", k)
     return u.select("call_id", "turn", F.posexplode(F.array(F.expr("trim(substring(text, 1, k))"), F.expr("trim(substring(text, k + 1))"))).alias("part", "text"))
 
 
