@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 12
 
 
-def features(text: str, out: str = "features") -> list:
-    return [RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="__w", outputCol="__tf", numFeatures=FEATURES), IDF(inputCol="__tf", outputCol=out, minDocFreq=2)]
+def held_out(*key: str) -> Column:
+    """A fifth of the rows by a hash of their key: they teach nothing, and what is said of a model's worth is said of them."""
+    return F.pmod(F.xxhash64(*key), F.lit(5)) == 0
 
 
-def fit(rows: DataFrame, *, text: str = "text", label: str = "label", kind: str = "bayes", balanced: bool = False) -> PipelineModel:
-    """Learns label from text; balanced weights classes inversely to their frequency."""
+def features(text: str, out: str = "features", embedding: int = 0, more: tuple[str, ...] = ()) -> list:
+    """Hashed TF-IDF of a text; with embedding also the mean of its words' vectors, of that many numbers, and the columns of more."""
+    words = RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"[^\p{L}\p{N}]+")
+    tf_idf = [HashingTF(inputCol="__w", outputCol="__tf", numFeatures=FEATURES), IDF(inputCol="__tf", outputCol="__ti" if embedding or more else out, minDocFreq=2)]
+    if not embedding and not more:
+        return [words, *tf_idf]
+    vectors = [Word2Vec(inputCol="__w", outputCol="__e", vectorSize=embedding, minCount=2, seed=1)] if embedding else []
+    return [words, *tf_idf, *vectors, VectorAssembler(inputCols=["__ti", *(["__e"] if embedding else []), *more], outputCol=out)]
+
+
+def fit(rows: DataFrame, *, text: str = "text", label: str = "label", kind: str = "bayes", balanced: bool = False, embedding: int = 0, more: tuple[str, ...] = (), settings: dict | None = None) -> PipelineModel:
+    """Learns label from text; balanced weights classes inversely to their frequency; embedding and more add features (see features)."""
     if balanced:
         n = rows.groupBy(label).agg(F.count("*").alias("__n"))
         t = n.agg(F.sum("__n").alias("__t"), F.count("*").alias("__k"))
-        rows = rows.join(F.broadcast(n.crossJoin(F.broadcast(t)).select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight"))), label)
-    more = {"weightCol": "weight"} if balanced else {}
-    model = {"bayes": lambda: NaiveBayes(labelCol="__y", **more), "logistic": lambda: LogisticRegression(labelCol="__y", maxIter=20, regParam=0.01, **more), "forest": lambda: RandomForestClassifier(labelCol="__y", numTrees=20, seed=1, **more)}[kind]()
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), *features(text), model]).fit(rows)
+        rows = rows.join(n.crossJoin(F.broadcast(t)).select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight")), label)
+    how = ({"weightCol": "weight"} if balanced else {}) | (settings or {})
+    model = {"bayes": lambda: NaiveBayes(labelCol="__y", **how), "logistic": lambda: LogisticRegression(labelCol="__y", **({"maxIter": 20, "regParam": 0.01} | how)), "forest": lambda: RandomForestClassifier(labelCol="__y", numTrees=20, seed=1, **how)}[kind]()
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), *features(text, embedding=embedding, more=more), model]).fit(rows)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -34,12 +44,24 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     labels = F.array(*map(F.lit, model.stages[0].labels))
     out = model.transform(rows)
     p = vector_to_array("probability")
-    return out.select(*rows.columns, F.try_element_at(labels, F.col("prediction").cast("int") + 1).alias("predicted"), F.array_max(p).alias("confidence"))
+    return out.select(*rows.columns, F.try_element_at(labels, F.col("prediction").cast("int") + 1).alias("predicted"), F.array_max(p).alias("confidence"), p.alias("probabilities"))
+
+
+def macro_f1(said: DataFrame, *, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """One row: the mean over labels of 2 * hits / (rows with the label + rows said to have it)."""
+    hit = (F.col(label) == F.col(predicted)).cast("long")
+    both = said.select(F.explode(F.array(F.struct(F.col(label).alias("y"), hit.alias("hit")), F.struct(F.col(predicted).alias("y"), F.lit(0).cast("long").alias("hit")))).alias("t"))
+    return both.groupBy("t.y").agg((2 * F.sum("t.hit") / F.count("*")).alias("f1")).agg(F.avg("f1").alias("macro_f1"))
 
 
-def grid(model) -> list:
-    """The space of settings to search."""
-    return ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).addGrid(model.elasticNetParam, [0.0, 0.5]).build()
+def search(rows: DataFrame, *, key: str, reg: tuple[float, ...] = (0.001, 0.01, 0.1), elastic: tuple[float, ...] = (0.0, 0.5)) -> list[tuple[float, float, float]]:
+    """(reg, elastic, macro F1 on the rows held out) for every setting of a logistic model."""
+    learn, judge = (rows.where(c).persist() for c in (~held_out(key), held_out(key)))
+    try:
+        return [(r, e, macro_f1(predict(fit(learn, kind="logistic", settings={"regParam": r, "elasticNetParam": e}), judge)).first().macro_f1) for r in reg for e in elastic]
+    finally:
+        learn.unpersist()
+        judge.unpersist()
 
 
 def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3) -> DataFrame:
@@ -59,7 +81,7 @@ def mixture(rows: DataFrame, columns: list[str], *, k: int = 2, seed: int = 1) -
     return GaussianMixture(k=k, seed=seed, maxIter=20).fit(x).transform(x).select(*rows.columns, F.col("prediction").alias("component"))
 
 
-def embedding_classifier(rows: DataFrame, *, vector: str, label: str) -> DataFrame:
-    """Adds predicted: logistic regression on a vector column."""
-    x = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("__y", F.col(label).cast("double"))
-    return LogisticRegression(labelCol="__y", maxIter=20, regParam=0.01).fit(x).transform(x).select(*rows.columns, F.col("prediction").cast("int").alias("predicted"))
+def label_distances(text: str, labels: list[str]) -> dict[str, Column]:
+    """Columns of the edit distance of a text from each label's name, as a share of the longer."""
+    far = lambda name: F.levenshtein(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(name.lower())) / F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))), F.lit(max(1, len(name))))
+    return {f"__d{k}": far(name) for k, name in enumerate(labels)}

@@ -46,6 +46,21 @@ def ncc(x: np.ndarray, template: np.ndarray) -> np.ndarray:
     return dots / (norm + EPS)
 
 
+def zncc(x: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """As ncc, of deviations from the mean of the template and of each stretch; 0 where a stretch hardly deviates."""
+    x, h = np.asarray(x, float), np.asarray(template, float)
+    m = len(h)
+    if m < 2 or m > len(x):
+        return np.zeros(0)
+    h = h - h.mean()
+    n = 1 << int(np.ceil(np.log2(len(x) + m)))
+    dots = np.fft.irfft(np.fft.rfft(x, n) * np.conj(np.fft.rfft(h, n)), n)[: len(x) - m + 1]
+    sums, squares = (np.cumsum(np.concatenate([[0], v])) for v in (x, x * x))
+    mean = (sums[m:] - sums[:-m]) / m
+    spread = np.sqrt(np.maximum((squares[m:] - squares[:-m]) / m - mean**2, 0))
+    return np.where(spread < 1e-3, 0.0, dots / (spread * np.sqrt(m) * np.sqrt((h**2).sum()) + EPS))
+
+
 def peaks(score: np.ndarray, least: float, apart: int) -> list[int]:
     """Offsets above ``least``, the best of those closer than ``apart``."""
     out: list[int] = []
@@ -57,10 +72,23 @@ def peaks(score: np.ndarray, least: float, apart: int) -> list[int]:
     return sorted(out)
 
 
-def detect(x: list[float] | None, template: np.ndarray, rate: int, least: float = 0.8) -> list[float]:
-    """Seconds at which the signature stands."""
-    s = ncc(np.asarray(x or [], float), template)
-    return [p / rate for p in peaks(s, least, len(template))]
+def adaptive_least(score: np.ndarray, base: float) -> float:
+    """base, or what stands out of this score: six median deviations over the median, and 0.02 over the 99.5th percentile."""
+    middle = np.median(score)
+    return max(base, middle + 6 * (np.median(np.abs(score - middle)) + 1e-8), np.quantile(score, 0.995) + 0.02)
+
+
+def detect(x, template: np.ndarray, rate: int, least: float = 0.8, *, zero_mean: bool = False, adaptive: bool = False, apart: float | None = None, merge: float = 0.0) -> list[float]:
+    """Seconds at which the signature begins: peaks of the correlation at least ``apart`` seconds from a higher one (default: its length), then those within ``merge`` seconds of the last one left out."""
+    s = (zncc if zero_mean else ncc)(np.asarray([] if x is None else x, float), template)
+    if not len(s):
+        return []
+    found = peaks(s, adaptive_least(s, least) if adaptive else least, max(1, len(template) if apart is None else int(apart * rate)))
+    out: list[float] = []
+    for p in found:
+        if not out or p / rate - out[-1] >= merge:
+            out.append(p / rate)
+    return out
 
 
 def voice_frames(x: np.ndarray, rate: int, on: float = 9.0, off: float = 5.0, least: int = 3) -> np.ndarray:
@@ -79,40 +107,12 @@ def voice_frames(x: np.ndarray, rate: int, on: float = 9.0, off: float = 5.0, le
     return active
 
 
-def band_limit(x: np.ndarray, rate: int, low: float = 300, high: float = 3400) -> np.ndarray:
-    f = np.fft.rfftfreq(len(x), 1 / rate)
-    spectrum = np.fft.rfft(x)
-    spectrum[(f < low) | (f > high)] = 0
-    return np.fft.irfft(spectrum, len(x))
-
-
-def levelled(x: np.ndarray, target: float = -20.0, ceiling: float = 0.98) -> np.ndarray:
-    """Scaled to a level in dB and limited."""
-    rms = np.sqrt(np.mean(x**2)) if len(x) else 0.0
-    y = x * (10 ** (target / 20) / rms) if rms > 0 else x
-    return np.clip(y, -ceiling, ceiling)
-
-
 def flatness(x: np.ndarray, size: int) -> np.ndarray:
     """Geometric over arithmetic mean of each frame's power spectrum."""
     p = np.abs(np.fft.rfft(frames(x, size, size), axis=1)) ** 2 + EPS
     return np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1)
 
 
-def overlap_score(x: np.ndarray, rate: int) -> np.ndarray:
-    """Robust z of spectral spread plus flatness for each 100 ms frame: high where voices overlap."""
-    size = rate // 10
-    f = frames(x, size, size)
-    if not len(f):
-        return np.zeros(0)
-    p = np.abs(np.fft.rfft(f, axis=1)) ** 2 + EPS
-    hz = np.fft.rfftfreq(size, 1 / rate)
-    centre = (p * hz).sum(axis=1) / p.sum(axis=1)
-    spread = np.sqrt((p * (hz[None, :] - centre[:, None]) ** 2).sum(axis=1) / p.sum(axis=1))
-    z = lambda v: (v - np.median(v)) / (1.4826 * np.median(np.abs(v - np.median(v))) + EPS)
-    return z(spread) + z(flatness(x, size))
-
-
 def snr(x: np.ndarray, rate: int) -> float:
     """dB between active and inactive frames."""
     db, active = levels(x, rate // 50, rate // 50), voice_frames(x, rate)
@@ -123,12 +123,6 @@ def saturation(x: np.ndarray, top: float = 0.99) -> float:
     return float((np.abs(np.asarray(x, float)) >= top).mean()) if len(x) else 0.0
 
 
-def active_part(x: np.ndarray, rate: int) -> np.ndarray:
-    """The samples of active frames, one after another."""
-    size, on = rate // 50, voice_frames(x, rate)
-    return np.concatenate([x[k * size : (k + 1) * size] for k in np.flatnonzero(on)] or [np.zeros(0)])
-
-
 def two_means(v: np.ndarray, rounds: int = 20) -> np.ndarray:
     """1 where a value is nearer to the upper of two centres, which start at the 20th and 80th percentile."""
     v = np.asarray(v, float)
@@ -143,6 +137,5 @@ def two_means(v: np.ndarray, rounds: int = 20) -> np.ndarray:
     return (np.abs(v - b) < np.abs(v - a)).astype(int)
 
 
-levels_of = by_value(lambda x: None if x is None else levels(np.asarray(x), 16, 16).tolist(), "array<double>")
 flatness_of = by_value(lambda x: None if x is None else flatness(np.asarray(x), 32).tolist(), "array<double>")
 groups_of = by_value(lambda x: None if x is None else two_means(np.asarray(x)).tolist(), "array<int>")
