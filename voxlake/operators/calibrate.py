@@ -27,6 +27,17 @@ def counts_below(df: DataFrame, value: str, *more: str) -> DataFrame:
     return ranges.withColumn("__o", own).join(F.broadcast(before), "__r").select(value, "n", *more, (upto - F.col("n")).alias("below"), upto.alias("upto"))
 
 
+def percentile(df: DataFrame, value: str, share: float, name: str = "p") -> DataFrame:
+    """One row: the exact percentile of a column, linear between neighbours, from the running counts of its distinct values. Nulls and NaN don't count; none of them: null."""
+    rows = df.select(F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    counts = counts_below(rows, "__v")
+    place = (F.col("__n") - 1) * F.lit(share)
+    x = counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n")))).withColumn("__at", place)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("__v")))
+    low, high = at(F.floor("__at")), at(F.ceil("__at"))
+    return x.agg(low.alias("__l"), high.alias("__h"), F.first(F.col("__at") - F.floor("__at")).alias("__s")).select((F.col("__l") + (F.col("__h") - F.col("__l")) * F.col("__s")).alias(name))
+
+
 def above(v: Column) -> Column:
     """The next double from v towards 1."""
     return F.when(v == 0, F.lit(TINY)).when(v < 1, v + v * STEP).when(v > 1, v - v * STEP).otherwise(v)

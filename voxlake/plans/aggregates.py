@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators import merge
+from voxlake.operators import calibrate, merge
 from voxlake.plans.registry import Source, query
 from voxlake.views import SCRIPT_ORDER, ctes
 
@@ -239,7 +239,8 @@ def affected_by_agent(s: Source) -> DataFrame:
 @query("A27_words_per_call", f"WITH {ctes('utterances')}, c AS (SELECT call_id, sum(num_words) AS w FROM utterances GROUP BY 1) SELECT round(quantile_cont(w, 0.95), 8) AS p95, round(avg(w), 8) AS mean, count(*) AS calls FROM c")
 def words_per_call(s: Source) -> DataFrame:
     c = s.view("utterances").groupBy("call_id").agg(F.sum("num_words").alias("w"))
-    return c.agg(R(F.percentile("w", F.lit(0.95))).alias("p95"), R(F.avg("w")).alias("mean"), F.count("*").alias("calls"))
+    p = calibrate.percentile(c, "w", 0.95)
+    return c.agg(R(F.avg("w")).alias("mean"), F.count("*").alias("calls")).crossJoin(p).select(R(F.col("p")).alias("p95"), "mean", "calls")
 
 
 @query("A28_lists_by_cluster", "SELECT r_name AS cluster, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -290,7 +291,7 @@ def first_and_last(s: Source) -> DataFrame:
 
 @query("A33_rollup", f"WITH {ctes('calls', 'campaigns')} SELECT sponsor, campaign, count(*) AS calls, round(avg(score), 8) AS score FROM calls JOIN campaigns USING (campaign_id) GROUP BY ROLLUP (sponsor, campaign)")
 def rollup(s: Source) -> DataFrame:
-    return s.view("calls").join(F.broadcast(s.view("campaigns")), "campaign_id").rollup("sponsor", "campaign").agg(F.count("*").alias("calls"), R(F.avg("score")).alias("score"))
+    return s.view("calls").join(s.view("campaigns"), "campaign_id").rollup("sponsor", "campaign").agg(F.count("*").alias("calls"), R(F.avg("score")).alias("score"))
 
 
 __all__ = ["SCRIPT_ORDER", "class_report", "quality_base"]

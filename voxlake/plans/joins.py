@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -102,7 +104,7 @@ def three_way(s: Source) -> DataFrame:
 @query("J12_surrogate_keys", f"WITH {ctes('calls', 'campaigns', 'agents')} SELECT call_id, sponsor_id, segment FROM calls LEFT JOIN campaigns ON campaigns.campaign_id = calls.campaign_id LEFT JOIN agents ON agents.agent_id = calls.agent_id AND agents.campaign_id = calls.campaign_id")
 def surrogate_keys(s: Source) -> DataFrame:
     """One key, then a pair of keys; campaigns are as few as nations, and are broadcast."""
-    return s.view("calls").join(F.broadcast(s.view("campaigns").select("campaign_id", "sponsor_id")), "campaign_id", "left").join(s.view("agents").select("agent_id", "campaign_id", "segment"), ["agent_id", "campaign_id"], "left").select("call_id", "sponsor_id", "segment")
+    return s.view("calls").join(s.view("campaigns").select("campaign_id", "sponsor_id"), "campaign_id", "left").join(s.view("agents").select("agent_id", "campaign_id", "segment"), ["agent_id", "campaign_id"], "left").select("call_id", "sponsor_id", "segment")
 
 
 @query("J13_tuple_lookup", "SELECT l_orderkey AS call_id, l_linenumber AS line, l_returnflag || '/' || l_linestatus AS pair, m.code FROM lineitem JOIN (VALUES ('A', 'F', 1), ('N', 'O', 2), ('R', 'F', 3)) m(f, s, code) ON f = l_returnflag AND s = l_linestatus")
@@ -119,7 +121,7 @@ def semi_of_repeated(s: Source) -> DataFrame:
 @query("J15_report_join", f"WITH {ctes('calls', 'agents', 'campaigns')} SELECT call_id, agent_name, campaign, sponsor FROM calls LEFT JOIN agents USING (agent_id) LEFT JOIN campaigns ON campaigns.campaign_id = calls.campaign_id WHERE call_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' AND status IN ('F', 'O')")
 def report_join(s: Source) -> DataFrame:
     calls = s.view("calls").where(F.col("call_ts").between(F.lit("1996-01-01").cast("timestamp"), F.lit("1997-12-31").cast("timestamp")) & F.col("status").isin("F", "O"))
-    return calls.join(s.view("agents").select("agent_id", "agent_name"), "agent_id", "left").join(F.broadcast(s.view("campaigns")), "campaign_id", "left").select("call_id", "agent_name", "campaign", "sponsor")
+    return calls.join(s.view("agents").select("agent_id", "agent_name"), "agent_id", "left").join(s.view("campaigns"), "campaign_id", "left").select("call_id", "agent_name", "campaign", "sponsor")
 
 
 @query("J16_feedback", "SELECT DISTINCT d.doc_id, d.lang, l.quality, l.toxic FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
@@ -299,7 +301,8 @@ SELECT c.c_custkey, coalesce(e.id, (SELECT max(id) FROM e) + row_number() OVER (
 def get_or_make_key(s: Source) -> DataFrame:
     """Existing ids stay; others get new, distinct ones without a gap."""
     c = s.table("customer").select("c_custkey")
-    have = c.where("c_custkey % 3 = 0").withColumn("id", 100 + F.row_number().over(Window.orderBy("c_custkey")))
+    none = s.spark.createDataFrame([(None, 100)], "c_custkey long, id long").select(F.col("c_custkey").cast(c.schema["c_custkey"].dataType), "id")
+    have = merge.with_keys(c.where("c_custkey % 3 = 0"), none, on=["c_custkey"], key="id")
     made = merge.with_keys(c, have, on=["c_custkey"], key="id").join(have.select("c_custkey", F.col("id").alias("o")), "c_custkey", "left")
     return made.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max("id").alias("top"), F.sum(F.when(F.col("id") == F.col("o"), 1).otherwise(0)).alias("kept"))
 
@@ -566,7 +569,7 @@ def conditional_update(s: Source) -> DataFrame:
 
 @query("K11_latest_report", f"WITH {ctes('calls', 'campaigns')}, d AS (SELECT sponsor, CAST(call_ts AS DATE) AS day, count(*) AS n, round(avg(score), 8) AS score FROM calls JOIN campaigns USING (campaign_id) GROUP BY 1, 2) SELECT sponsor, CAST(max(day) AS VARCHAR) AS day, arg_max(n, day) AS n, arg_max(score, day) AS score FROM d GROUP BY 1")
 def latest_report(s: Source) -> DataFrame:
-    d = s.view("calls").join(F.broadcast(s.view("campaigns")), "campaign_id").groupBy("sponsor", F.to_date("call_ts").alias("day")).agg(F.count("*").alias("n"), R(F.avg("score")).alias("score"))
+    d = s.view("calls").join(s.view("campaigns"), "campaign_id").groupBy("sponsor", F.to_date("call_ts").alias("day")).agg(F.count("*").alias("n"), R(F.avg("score")).alias("score"))
     return d.groupBy("sponsor").agg(F.max("day").cast("string").alias("day"), F.max_by("n", "day").alias("n"), F.max_by("score", "day").alias("score"))
 
 
@@ -671,6 +674,61 @@ def append_and_read(s: Source) -> DataFrame:
     return s.spark.read.schema("id long, part int").parquet(path)
 
 
+def database(s: Source) -> tuple[str, str, dict[str, str]]:
+    """Address, a table's name and options of a database: that of spark.voxlake.jdbc.url, else one in this process's memory, which does where there are no executors."""
+    name = f"t_{uuid.uuid4().hex}"
+    url = s.spark.conf.get("spark.voxlake.jdbc.url", None)
+    return (url, name, {}) if url else ("jdbc:derby:memory:voxlake;create=true", name, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+
+
+@query("K07_batched_insert", "SELECT c_custkey AS id, c_mktsegment AS segment, CAST(round(c_acctbal, 2) AS DOUBLE) AS balance FROM customer")
+def batched_insert(s: Source) -> DataFrame:
+    """Rows into a database in batches of 500, and back."""
+    from voxlake.sources import tables
+
+    url, name, how = database(s)
+    tables.write_jdbc(s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal").cast("double"), 2).alias("balance")), url, name, batch=500, **how)
+    back = tables.read_jdbc(s.spark, url, name, **how)
+    return back.toDF(*(c.lower() for c in back.columns))
+
+
+@query("S08b_database_read", "SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_nationkey < 10 AND c_custkey % 2 = 1")
+def database_read(s: Source) -> DataFrame:
+    """A filtered read; the predicates cut the table into partitions that are read side by side, and the filter on top goes to the database."""
+    from voxlake.sources import tables
+
+    url, name, how = database(s)
+    tables.write_jdbc(s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nation")), url, name, **how)
+    quoted = lambda c: f'"{c}"'
+    back = tables.read_jdbc(s.spark, url, name, predicates=[f"MOD({quoted('id')}, 2) = 1 AND {quoted('nation')} < 5", f"MOD({quoted('id')}, 2) = 1 AND {quoted('nation')} >= 5"], **how)
+    return back.where("nation < 10").select("id", "nation")
+
+
+@query("K09_report", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey IN (1, 2)")
+def report(s: Source) -> DataFrame:
+    """A report that replaces an older one, and rows added to it."""
+    from voxlake.sources import tables
+    from voxlake.storage import shared_folder
+
+    path = shared_folder(s.spark)
+    n = s.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    tables.write_csv(n.where("n_regionkey = 0").drop("n_regionkey"), path)
+    tables.write_csv(n.where("n_regionkey = 1").drop("n_regionkey"), path)
+    tables.write_csv(n.where("n_regionkey = 2").drop("n_regionkey"), path, append=True)
+    return tables.read_csv(s.spark, path, f"id {n.schema['id'].dataType.simpleString()}, name string")
+
+
+@query("S17_pdf_scripts", r"SELECT item_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\x20-\x7E]', '', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> ''), ' ') AS text FROM benchmark")
+def pdf_scripts(s: Source) -> DataFrame:
+    """Scripts as PDF files, written and read."""
+    from voxlake.functions.python import by_value
+    from voxlake.sources import pdf
+
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\x20-\x7E]", ""), " +", " "))
+    files = s.table("benchmark").select("item_id", by_value(lambda t: pdf.written((t or "").split("\n")), "binary")(plain).alias("content"))
+    return pdf.texts(files, "item_id", "content")
+
+
 @query("K10_annotated_json", "SELECT conv_id AS call_id, CAST(sum(CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END) AS BIGINT) AS marked FROM conversations GROUP BY 1")
 def annotated_json(s: Source) -> DataFrame:
     """Sentences are marked inside the document, which is written as JSON and read again."""

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.ml import topics
+from voxlake.ml import hosted, topics
 from voxlake.operators import sequential
 from voxlake.plans.aggregates import R
 from voxlake.plans.registry import Source, query
@@ -163,6 +163,38 @@ def mixture(s: Source) -> DataFrame:
     return x.select("file_id", "minute", "component", F.when(odd, F.col("before")).otherwise(F.col("component")).alias("smooth"))
 
 
+INSTRUCTIONS = "Label every line of the call."
+HOSTED = ["SALUDO", "MAC", "PRECIO", "DESPEDIDA"]
+
+
+def pretended(prompt: str) -> str:
+    """Stands for the hosted model: a label for each line by its length, one of them unknown until it is told so."""
+    lines = prompt.split("\n\n", 1)[1].split("\n") if prompt.startswith(INSTRUCTIONS) else [x.split("\t")[0] for x in prompt.split("\n")[2:]]
+    names = HOSTED if not prompt.startswith(INSTRUCTIONS) else [*HOSTED[:3], "ADIOS"]
+    return "\n".join(f"{t}\t{names[len(t) % 4].lower()}\t{k}" for k, t in enumerate(lines))
+
+
+@query("M13_hosted_labels", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS line, ['SALUDO', 'MAC', 'PRECIO', 'DESPEDIDA'][CAST(length(role || ': ' || text) % 4 AS INT) + 1] AS label FROM conversations")
+def hosted_labels(s: Source) -> DataFrame:
+    """Prompts, replies, and their repair where a label is not allowed; the model is a function that stands for it."""
+    c = s.table("conversations").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[\t\n]", " "))
+    asked = hosted.prompts(c, "conv_id", instructions=INSTRUCTIONS, labels=HOSTED)
+    return hosted.labelled(asked, "conv_id", pretended, HOSTED).select("conv_id", "line", "label")
+
+
+@query("M14_transcripts", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'default' WHEN sum(length(text)) >= 4000 THEN 'whole' ELSE 'short' END AS status FROM conversations GROUP BY 1")
+def hosted_transcripts(s: Source) -> DataFrame:
+    """Transcripts by a function that stands for the service: it fails for each third call."""
+
+    def service(audio: bytes) -> str:
+        if audio.startswith(b"0"):
+            raise TimeoutError
+        return '{"t":"' + "x" * (int(audio[1:]) - len('{"t":""}')) + '"}' if int(audio[1:]) >= 4000 else '{"t":""}'
+
+    files = s.table("conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).select("conv_id", F.concat((F.col("conv_id") % 3).cast("string"), F.coalesce("n", F.lit(0)).cast("string")).cast("binary").alias("audio"))
+    return hosted.transcribed(files, "conv_id", "audio", service).select("conv_id", "status")
+
+
 @query("V06_frame_levels", "SELECT vec_id, CAST(k AS INT) AS frame, round(20 * log10(sqrt(list_avg(list_transform(list_slice(CAST(embedding AS DOUBLE[]), 16 * k + 1, 16 * k + 16), lambda x: x * x))) + 1e-12), 6) AS db FROM embeddings, range(0, 4) r(k)")
 def frame_levels(s: Source) -> DataFrame:
     """dB of the root mean square of each 16 samples."""

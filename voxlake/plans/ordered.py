@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.operators import calibrate
 from voxlake.operators import ordered as O
 from voxlake.operators import sequential
 from voxlake.plans.aggregates import R
@@ -256,7 +257,8 @@ def forward_fill(s: Source) -> DataFrame:
 
 @query("W33_first_appearance_codes", "SELECT p_partkey, c.code FROM part JOIN (SELECT p_type, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS code FROM part GROUP BY 1) c USING (p_type)")
 def first_appearance(s: Source) -> DataFrame:
-    """Codes by first appearance; only the distinct values are ordered in one task."""
+    """Codes by first appearance: how many values appear earlier, counted in ranges of first places."""
     p = s.table("part").select("p_partkey", "p_type")
-    codes = p.groupBy("p_type").agg(F.min("p_partkey").alias("f")).withColumn("code", (F.row_number().over(Window.orderBy("f")) - 1).cast("long"))
+    first = p.groupBy("p_type").agg(F.min("p_partkey").alias("f"))
+    codes = first.join(calibrate.counts_below(first, "f"), "f").select("p_type", F.col("below").cast("long").alias("code"))
     return p.join(codes, "p_type").select("p_partkey", "code")

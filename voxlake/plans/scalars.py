@@ -13,6 +13,7 @@ from voxlake.functions import numeric as Nu
 from voxlake.functions import snowball
 from voxlake.functions import text as T
 from voxlake.functions.python import by_value
+from voxlake.operators import calibrate
 from voxlake.plans.aggregates import R
 from voxlake.plans.joins import names
 from voxlake.plans.registry import Source, query
@@ -367,7 +368,7 @@ def machines(s: Source) -> DataFrame:
 def capped(s: Source) -> DataFrame:
     """Scaled to the 99th percentile."""
     e = s.table("events").select("event_id", "value")
-    return e.crossJoin(F.broadcast(e.agg(F.percentile("value", F.lit(0.99)).alias("p")))).select("event_id", R(F.least(F.col("value") / F.col("p"), F.lit(1.0))).alias("capped"))
+    return e.crossJoin(F.broadcast(calibrate.percentile(e, "value", 0.99))).select("event_id", R(F.least(F.col("value") / F.col("p"), F.lit(1.0))).alias("capped"))
 
 
 @query("U04_split_long", f"WITH {UTT} SELECT call_id, turn, 0 AS part, array_to_string(words[1:num_words // 2], ' ') AS text FROM utterances WHERE num_words > 30 UNION ALL SELECT call_id, turn, 1, array_to_string(words[num_words // 2 + 1:], ' ') FROM utterances WHERE num_words > 30 UNION ALL SELECT call_id, turn, 0, array_to_string(words, ' ') FROM utterances WHERE num_words <= 30")

@@ -143,7 +143,7 @@ def audio_quality(s: Source) -> DataFrame:
 def legacy_score(s: Source) -> DataFrame:
     v = F.sqrt(F.col("mac_likelihood") * F.col("price_likelihood")) * F.least(F.col("tmo_s") / 300, F.lit(1.0)) * F.pow(1 - F.col("overlap"), F.lit(0.25))
     x = s.view("calls").select("call_id", v.alias("v"))
-    return x.crossJoin(F.broadcast(x.agg(F.percentile("v", F.lit(0.99)).alias("p")))).select("call_id", R(10 * F.least(F.col("v") / F.col("p"), F.lit(1.0)), 6).alias("score"))
+    return x.crossJoin(F.broadcast(calibrate.percentile(x, "v", 0.99))).select("call_id", R(10 * F.least(F.col("v") / F.col("p"), F.lit(1.0)), 6).alias("score"))
 
 
 MARKERS = (("SALUDO", 0.1), ("PRODUCTO", 0.3), ("MAC", 0.6), ("PRECIO", 0.5), ("TERMINOS LEGALES", 0.7), ("DESPEDIDA", 0.9))

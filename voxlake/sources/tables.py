@@ -54,6 +54,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, *, batch: int = 500, **optio
     df.write.option("batchsize", batch).jdbc(url, table, mode="append", properties=options)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A report for people: CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, *, append: bool = False) -> None:
+    """A report for people: CSV with a header, in the place of an older one or added to it."""
+    df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
