@@ -587,13 +587,21 @@ def chart_markers(s: Source) -> DataFrame:
 LETTERS = "list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '')"
 
 
-def windows_sql(size: int, step: int, tail: bool) -> str:
-    """Scores of all windows of all documents with all whole phrases."""
-    last = "greatest(len(w) - {0}, 0)".format(size)
+def windows_sql(size: int, step: int, tail: bool, groups: str, top: int) -> str:
+    """Scores (x) of all windows of all documents and all whole phrases that can be among the first ``top`` of a document's groups.
+
+    A distance is at least the difference of the lengths. Each window is first compared with its group's phrase of the nearest length (f); what cannot reach the
+    score that this gives the group's top-th pair is not compared.
+    """
+    last = f"greatest(len(w) - {size}, 0)"
     starts = f"range(0, {last} + 1, {step})" + (f" || CASE WHEN {last} % {step} = 0 THEN [] ELSE [{last}] END" if tail else "")
+    score = "round(1 - levenshtein(span, phrase) * 1.0 / greatest(length(span), length(phrase)), 6)"
     return f"""WITH p AS (SELECT item_id, CAST(item_id % 14 AS BIGINT) AS cluster, array_to_string({LETTERS}, ' ') AS phrase FROM benchmark), d AS (SELECT doc_id, coalesce({LETTERS}, []) AS w FROM documents),
 s AS (SELECT doc_id, k, array_to_string(w[k + 1:k + {size}], ' ') AS span FROM (SELECT doc_id, w, unnest({starts}) AS k FROM d WHERE len(w) > 0)),
-x AS (SELECT doc_id, k, item_id, cluster, round(1 - levenshtein(span, phrase) * 1.0 / greatest(length(span), length(phrase)), 6) AS score FROM s, p)"""
+b AS (SELECT doc_id, k, span, item_id, cluster, phrase, least(length(span), length(phrase)) * 1.0 / greatest(length(span), length(phrase), 1) AS most FROM s, p),
+f AS (SELECT doc_id, {groups} AS g, {score} AS score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, k, {groups} ORDER BY most DESC, item_id) = 1),
+t AS (SELECT doc_id, g, score AS least FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY score DESC) = {top}),
+x AS (SELECT b.doc_id, k, item_id, cluster, {score} AS score FROM b LEFT JOIN t ON t.doc_id = b.doc_id AND t.g = {groups} WHERE least IS NULL OR most >= least - 1e-6)"""
 
 
 def likelihoods(s: Source, **how) -> DataFrame:
@@ -603,14 +611,14 @@ def likelihoods(s: Source, **how) -> DataFrame:
     return likelihood.best_pairs(s.table("documents").select("doc_id", words("text").alias("w")), p, **how)
 
 
-@query("J18_best_phrase", f"{windows_sql(6, 1, False)} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1 UNION ALL SELECT doc_id, 0, NULL FROM d WHERE len(w) = 0")
+@query("J18_best_phrase", f"{windows_sql(6, 1, False, '0', 1)} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1 UNION ALL SELECT doc_id, 0, NULL FROM d WHERE len(w) = 0")
 def best_phrase(s: Source) -> DataFrame:
     """The best of every window of six words, at each word, against every phrase; a document without words has score 0 and no phrase."""
     x = likelihoods(s, size=6, step=1, tail=False, top=1)
     return x.groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"), -F.col("k"))).alias("item_id"))
 
 
-@query("J19_cluster_evidence", f"{windows_sql(18, 6, True)} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
+@query("J19_cluster_evidence", f"{windows_sql(18, 6, True, 'cluster', 3)} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
 def cluster_evidence(s: Source) -> DataFrame:
     """The three best pieces of evidence for each cluster, in windows of 18 words at each sixth and the last 18."""
     x = likelihoods(s, size=18, step=6, tail=True, top=3).where("item_id is not null")
