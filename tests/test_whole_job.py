@@ -52,6 +52,49 @@ def test_J18_J19_long_texts_and_texts_without_a_shared_word(spark, tmp_path):
     assert max(r.k for r in rows) > 0
 
 
+def test_J19b_blended_evidence(spark):
+    """Every window against every phrase, score by score."""
+    from collections import Counter
+    from math import sqrt
+
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcd") for _ in range(random.randint(1, 7)))
+    phrases = [(i, i % 3, " ".join(word() for _ in range(random.randint(1, 12)))) for i in range(7)]
+    docs = [(d, [word() for _ in range(n)]) for d, n in enumerate((0, 1, 5, 18, 19, 40))] + [(9, None), (10, phrases[4][2].split())]
+
+    def vector(t):
+        number = {c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz")}
+        n = Counter((((number[t[k]] * 729 + number[t[k + 1]] * 27 + number[t[k + 2]]) * 2654435761) & 0xFFFFFFFF) >> 22 for k in range(len(t) - 2))
+        size = sqrt(sum(x * x for x in n.values())) or 1.0
+        return {k: x / size for k, x in n.items()}
+
+    dot = lambda a, b: sum(x * b.get(k, 0.0) for k, x in a.items())
+    want = []
+    for d, w in docs:
+        spans = [(k, " ".join((w or [])[k : k + 18])) for k in likelihood.windows(w or [], 18, 6, True)]
+        for c in range(3):
+            mine = [(i, p) for i, x, p in phrases if x == c]
+            vectors = [vector(p) for _, p in mine]
+            mean: Counter = Counter()
+            for v in vectors:
+                mean.update(v)
+            size = sqrt(sum(x * x for x in mean.values())) or 1.0
+            found = []
+            for k, span in spans:
+                edit = [round(1 - distance(span, p) / max(len(span), len(p)), 6) for _, p in mine]
+                near = [dot(vector(span), v) for v in vectors]
+                alike = max(max(near), dot(vector(span), mean) / size)
+                ref = mine[near.index(max(near))][0] if round(alike, 6) >= max(edit) else mine[edit.index(max(edit))][0]
+                found.append((-(0.55 * max(edit) + 0.45 * alike), k, ref, max(edit), alike))
+            want += [(d, c, -x, e, a) for x, k, ref, e, a in sorted(found)[:3]]
+    df = spark.createDataFrame(docs, "doc_id long, w array<string>")
+    got = sorted((r.doc_id, r.cluster, -r.score, r.fuzzy, r.semantic) for r in likelihood.evidence(df, spark.createDataFrame(phrases, "item_id long, cluster long, phrase string")).collect())
+    want = sorted((d, c, -x, e, a) for d, c, x, e, a in want)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and all(abs(a - b) < 3e-6 for a, b in zip(g[2:], w[2:], strict=True)), (g, w)
+
+
 def test_windows():
     assert likelihood.windows(["a"] * 20, 18, 6, True) == [0, 2] and likelihood.windows([], 6, 1, False) == []
     assert likelihood.windows(["a"] * 3, 6, 1, False) == [0] and likelihood.windows(["a"] * 8, 6, 1, False) == [0, 1, 2]

@@ -74,9 +74,8 @@ class Best:
             to[d[kept], cluster, rank[kept]] = x[kept]
 
 
-def best_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clusters: int, *, size: int, step: int, tail: bool, top: int) -> Best:
-    """phrases: item, cluster number and text, letters and spaces only, as the words are."""
-    best = Best(len(texts), clusters, top)
+def laid_out(texts: list[list[str]], size: int, step: int, tail: bool) -> tuple[np.ndarray, ...] | None:
+    """All windows of all texts: the letters, and for each window its text, first word, and begin and end among the letters; None without any."""
     joined, doc, start, lo, hi, at = [], [], [], [], [], 0
     for j, words in enumerate(texts):
         ends = np.cumsum([len(w) + 1 for w in words]) + at if words else np.zeros(0, np.int64)
@@ -89,21 +88,38 @@ def best_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clu
             at = int(ends[-1])
             joined.append(" ".join(words))
     if not doc:
-        return best
-    data = np.frombuffer((" ".join(joined) + " ").encode(), np.uint8)
-    doc, start, lo, hi = map(np.concatenate, (doc, start, lo, hi))
-    blocks = (hi - lo + 63) // 64
+        return None
+    return np.frombuffer((" ".join(joined) + " ").encode(), np.uint8), *map(np.concatenate, (doc, start, lo, hi))
+
+
+def letter_numbers() -> np.ndarray:
     number = np.zeros(256, np.intp)
     number[LETTERS] = np.arange(len(LETTERS))
+    return number
+
+
+def masks_of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, blocks: int) -> np.ndarray:
+    """Where each letter stands in windows of that many blocks: letters x blocks x windows."""
+    place = np.minimum(lo[:, None] + np.arange(64 * blocks), len(data) - 1)
+    shown = np.where(np.arange(64 * blocks) < (hi - lo)[:, None], data[place], 0)
+    return np.stack([np.packbits(shown == c, axis=1, bitorder="little").view("<u8").T for c in LETTERS])
+
+
+def best_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clusters: int, *, size: int, step: int, tail: bool, top: int) -> Best:
+    """phrases: item, cluster number and text, letters and spaces only, as the words are."""
+    best = Best(len(texts), clusters, top)
+    if (laid := laid_out(texts, size, step, tail)) is None:
+        return best
+    data, doc, start, lo, hi = laid
+    blocks = (hi - lo + 63) // 64
+    number = letter_numbers()
     coded = [(item, cluster, number[np.frombuffer(text.encode(), np.uint8)]) for item, cluster, text in sorted(phrases, key=lambda p: (len(p[2]), p[0]))]
     counts = [np.bincount(p, minlength=len(LETTERS)) for _, _, p in coded]
     for b in np.unique(blocks).tolist():
         same = np.flatnonzero(blocks == b)
         for own in np.split(same, range(each := max(1, LAID_OUT // (64 * b)), len(same), each)):
             length = hi[own] - lo[own]
-            place = np.minimum(lo[own, None] + np.arange(64 * b), len(data) - 1)
-            shown = np.where(np.arange(64 * b) < length[:, None], data[place], 0)
-            masks = np.stack([np.packbits(shown == c, axis=1, bitorder="little").view("<u8").T for c in LETTERS])
+            masks = masks_of(data, lo[own], hi[own], b)
             has = np.bitwise_count(masks).sum(axis=1, dtype=np.int64)
             for (item, cluster, phrase), count in zip(coded, counts, strict=True):
                 longer = np.maximum(length, len(phrase))
@@ -151,6 +167,88 @@ def best_pairs(docs: DataFrame, phrases: DataFrame, *, size: int, step: int, tai
     return spread.mapInArrow(run, f"doc_id {id_type}, cluster long, item_id long, k long, score double")
 
 
+#: What the edit score and the likeness of meaning count for.
+FUZZY, SEMANTIC = 0.55, 0.45
+DIMENSIONS = 1024
+
+
+def meaning(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Unit vectors of hashed letter trigrams, which stand for an embedding; stretches of under three letters have the zero vector."""
+    n = np.maximum(hi - lo - 2, 0)
+    first = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) - np.repeat(first - lo, n)
+    x = letter_numbers()[data].astype(np.uint32)
+    code = (x[at] * np.uint32(729) + x[at + 1] * np.uint32(27) + x[at + 2]) * np.uint32(2654435761) >> np.uint32(22)
+    out = np.bincount(np.repeat(np.arange(len(lo)), n) * DIMENSIONS + code, minlength=len(lo) * DIMENSIONS).reshape(len(lo), DIMENSIONS).astype(np.float64)
+    return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def evidence_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clusters: int, *, size: int, step: int, tail: bool, top: int) -> list[tuple[int, int, int, int, float, float, float]]:
+    """(text, cluster, item, first word, combined, edit and meaning score) of each text's and cluster's ``top`` windows, first those with the highest combined score, then the earlier.
+
+    Within a cluster a window has the best edit score over its phrases, and as meaning the greater of the cosine to the cluster's mean and to its nearest phrase. It is
+    named after the phrase that is nearest in meaning, or after that of the edit score if that score is higher.
+    """
+    if (laid := laid_out(texts, size, step, tail)) is None or not phrases:
+        return []
+    data, doc, start, lo, hi = laid
+    phrases = sorted(phrases)
+    number = letter_numbers()
+    coded = [number[np.frombuffer(t.encode(), np.uint8)] for _, _, t in phrases]
+    ends = np.cumsum([len(t) + 1 for _, _, t in phrases])
+    script = np.frombuffer((" ".join(t for _, _, t in phrases) + " ").encode(), np.uint8)
+    refs = meaning(script, ends - 1 - np.array([len(t) for _, _, t in phrases]), ends - 1)
+    near = meaning(data, lo, hi) @ refs.T
+    edit = np.zeros((len(doc), len(phrases)))
+    blocks = (hi - lo + 63) // 64
+    for b in np.unique(blocks).tolist():
+        same = np.flatnonzero(blocks == b)
+        for own in np.split(same, range(each := max(1, LAID_OUT // (64 * b)), len(same), each)):
+            length, masks = hi[own] - lo[own], masks_of(data, lo[own], hi[own], b)
+            for k, phrase in enumerate(coded):
+                for some in np.split(np.arange(len(own)), range(AT_ONCE, len(own), AT_ONCE)):
+                    longer = np.maximum(length[some], len(phrase))
+                    far = distances(np.ascontiguousarray(masks[:, :, some]), length[some], phrase)
+                    edit[own[some], k] = millionths(longer - far, longer) / 1e6
+    out = []
+    cluster_of = np.array([c for _, c, _ in phrases])
+    windows_of = meaning(data, lo, hi)
+    for c in range(clusters):
+        own = np.flatnonzero(cluster_of == c)
+        if not len(own):
+            continue
+        mean = refs[own].mean(axis=0)
+        mean /= np.sqrt((mean**2).sum()) + 1e-12
+        fuzzy, alike = edit[:, own].max(axis=1), np.round(np.maximum(near[:, own].max(axis=1), windows_of @ mean), 6)
+        both = np.round(FUZZY * fuzzy + SEMANTIC * alike, 6)
+        named = np.where(alike >= fuzzy, own[near[:, own].argmax(axis=1)], own[edit[:, own].argmax(axis=1)])
+        order = np.lexsort((start, -both, doc))
+        rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+        for k in order[rank < top].tolist():
+            out.append((int(doc[k]), c, phrases[named[k]][0], int(start[k]), float(both[k]), float(fuzzy[k]), float(alike[k])))
+    return out
+
+
+def evidence(docs: DataFrame, phrases: DataFrame, *, size: int = 18, step: int = 6, tail: bool = True, top: int = 3) -> DataFrame:
+    """doc_id, cluster, item_id, k, score, fuzzy, semantic: see evidence_of. docs: doc_id, w; phrases: item_id, cluster, phrase (a script: sent to every task)."""
+    spark = docs.sparkSession
+    rows = [(r.item_id, r.cluster, r.phrase) for r in phrases.collect()]
+    names = sorted({c for _, c, _ in rows})
+    shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded, names = shared.value
+        for whole in batches:
+            for lo in range(0, len(whole), 64):
+                batch = whole.slice(lo, 64)
+                found = evidence_of([x or [] for x in batch.column(1).to_pylist()], coded, len(names), size=size, step=step, tail=tail, top=top)
+                d, c, i, k, *scores = map(list, zip(*found, strict=True)) if found else ([] for _ in range(7))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array([names[x] for x in c], pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int64()), *(pa.array(x, pa.float64()) for x in scores)], names=["doc_id", "cluster", "item_id", "k", "score", "fuzzy", "semantic"])
+
+    spread = docs.select("doc_id", "w").repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spread.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cluster long, item_id long, k long, score double, fuzzy double, semantic double")
+
+
 def words(column: str):
     """The words of a text in letters a to z; other characters go."""
     return F.filter(F.split(F.regexp_replace(F.lower(column), "[^a-z ]", ""), " "), lambda w: w != "")

@@ -625,6 +625,14 @@ def cluster_evidence(s: Source) -> DataFrame:
     return ordered.first_rows(x, 3, keys=["doc_id", "cluster"], order=[F.desc("score"), "item_id", "k"]).select("doc_id", "cluster", "rank", "item_id", "k", "score")
 
 
+@query("J19b_blended_evidence")
+def blended_evidence(s: Source) -> DataFrame:
+    """The three best windows for each cluster by 0.55 edit score + 0.45 likeness of meaning."""
+    words = likelihood.words
+    p = s.table("benchmark").select("item_id", (F.col("item_id") % 14).cast("long").alias("cluster"), F.array_join(words("text"), " ").alias("phrase"))
+    return likelihood.evidence(s.table("documents").select("doc_id", words("text").alias("w")), p)
+
+
 @query("S02_words_of_sentences", f"WITH {UTT} SELECT call_id, turn, CASE WHEN num_words = 0 THEN ['BLANK'] ELSE words END AS words FROM utterances")
 def words_of_sentences(s: Source) -> DataFrame:
     """Words from the text itself; an empty sentence has a placeholder."""
