@@ -3,10 +3,10 @@
 P(w | v) = a3(b) c(v, w) / c(v) + a2(b) c(w) / N + a1(b) / (V + 1), where v is the token before (or a
 mark for the text's start), and b the bucket of c(v): 0, or one for each power of two. The weights of each
 bucket are learned by expectation-maximisation on held-out counts: one part of the training documents
-(``FOLD``) is kept out of the counts whose maximum-likelihood estimates it then weighs. For that,
-all of that part's tokens are gathered as counts over (bucket, bigram estimate, unigram
-estimate) with estimates rounded to a quarter of an octave, a table of bounded size. The final
-model takes its estimates from all training documents.
+(``FOLD``) is kept out of the counts whose maximum-likelihood estimates it then weighs. All of that part's
+tokens are gathered as counts over the exact c(v, w), c(v) and c(w), a table that is written once and grows
+with the corpus; each round of expectation-maximisation is one grouped sum over it, of at most ``BUCKETS`` rows, with
+the weights as literals. The final model takes its estimates from all training documents.
 
 Counting moves keys, not texts: each chunk of documents sends its distinct unigrams and bigrams with
 their counts, parts sum them, and each chunk gets the sums back in its own order. A frequent
@@ -32,7 +32,7 @@ from . import chunks as C
 
 FOLDS, TEST, FOLD = 7, 2, 3
 CHUNK_BYTES, PART_BYTES = 16 << 20, 32 << 20
-BUCKETS, STEPS = 64, 4
+BUCKETS, ROUNDS, TOLERANCE = 64, 40, 1e-4
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 _TOKEN = np.ones(256, bool)
@@ -115,35 +115,35 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))).astype(np.int64), 0)
 
 
-def rounded(top: np.ndarray, bottom: np.ndarray | int) -> np.ndarray:
-    """0 for 0, else 1 and more the smaller top / bottom is."""
-    p = top / np.maximum(bottom, 1)
-    return np.where(p > 0, 1 + np.rint(-STEPS * np.log2(np.where(p > 0, p, 1))).astype(np.int64), 0)
-
-
-def learn(table: dict[int, int], vocabulary: int, rounds: int = 60) -> np.ndarray:
-    """Weights (BUCKETS x 3) of bigram, unigram and uniform estimates by expectation-maximisation on {code: count}."""
-    codes = np.array(sorted(table), np.int64)
-    n = np.array([table[c] for c in codes.tolist()], float)
-    b, i, j = codes >> 24, (codes >> 12) & 0xFFF, codes & 0xFFF
-    value = lambda x: np.where(x > 0, 2.0 ** (-(x - 1) / STEPS), 0.0)
-    p = np.stack([value(i), value(j), np.full(len(codes), 1 / (vocabulary + 1))], axis=1) if len(codes) else np.zeros((0, 3))
-
-    def run(groups: np.ndarray, count: int) -> np.ndarray:
-        w = np.full((count, 3), 1 / 3)
-        for _ in range(rounds):
-            part = w[groups] * p
-            part /= part.sum(axis=1, keepdims=True)
-            sums = np.stack([np.bincount(groups, n * part[:, k], count) for k in range(3)], axis=1) + 1e-3
-            w = sums / sums.sum(axis=1, keepdims=True)
-        return w
-
-    overall = run(np.zeros(len(codes), np.int64), 1)[0]
-    out = run(b, BUCKETS)
-    seen = np.bincount(b, n, BUCKETS) if len(codes) else np.zeros(BUCKETS)
-    out[seen == 0] = overall
-    out[0] = [0, *(out[0, 1:] / out[0, 1:].sum())]
-    return out
+def learn(held: DataFrame, tokens: int, vocabulary: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Weights (BUCKETS x 3) of bigram, unigram and uniform estimates by expectation-maximisation on held-out counts: bucket, pair, context, word, n.
+
+    A bucket that no held-out token is in takes the weights that are best for all tokens together; bucket 0 has no bigram estimates.
+    """
+    estimates = F.array(F.try_divide(F.col("pair").cast("double"), F.col("context")), F.col("word") / F.lit(float(max(tokens, 1))), F.lit(1 / (vocabulary + 1)))
+    rows = held.select("bucket", F.col("n").cast("double").alias("n"), F.transform(estimates, lambda p: F.coalesce(p, F.lit(0.0))).alias("p"))
+    own, every = np.full((BUCKETS, 3), 1 / 3), np.full(3, 1 / 3)
+    seen = np.zeros(BUCKETS)
+    for _ in range(rounds):
+        mine = [F.element_at(F.lit(own[:, k].tolist()), F.col("bucket") + 1) * F.col("p")[k] for k in range(3)]
+        all_ = [F.lit(float(every[k])) * F.col("p")[k] for k in range(3)]
+        share = lambda parts, k: F.sum(F.col("n") * parts[k] / (parts[0] + parts[1] + parts[2]))
+        found = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *(share(mine, k).alias(f"m{k}") for k in range(3)), *(share(all_, k).alias(f"a{k}") for k in range(3))).collect()
+        if not found:
+            break
+        sums, total = np.zeros((BUCKETS, 3)), np.zeros(3)
+        for r in found:
+            seen[r.bucket], sums[r.bucket] = r.n, (r.m0, r.m1, r.m2)
+            total += (r.a0, r.a1, r.a2)
+        sums, total = sums + 1e-3, total + 1e-3
+        new, whole = sums / sums.sum(axis=1, keepdims=True), total / total.sum()
+        moved = max(np.abs(new - own)[seen > 0].max(initial=0), np.abs(whole - every).max())
+        own, every = new, whole
+        if moved < tolerance:
+            break
+    own[seen == 0] = every
+    own[0] = [0, *(own[0, 1:] / own[0, 1:].sum())]
+    return own
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -155,7 +155,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ch
         keys = np.concatenate(s.keys)[s.order]
         yield from C.ask(keys, [s.counted((f != TEST) & (f != FOLD)).astype("<u4"), s.counted(f == FOLD).astype("<u4")], parts, chunk.number)
 
-    answers = C.written(C.by_part(C.each_chunk(table, ask, C.ASKED, C.ASKED_ARROW), add_up))
+    answers = C.written(C.by_part(C.each_chunk(table, ask, C.ASKED, C.ASKED_ARROW), parts, add_up))
     totals = np.zeros(4, np.int64)
     for r in answers.where(F.col("kind") == TOTALS).toLocalIterator():
         totals += np.frombuffer(r.answer, "<i8")
@@ -165,11 +165,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ch
         s = Sequence(chunk)
         at = (folds(chunk.ids) == FOLD)[s.doc]
         word, pair, context = (x[at] for x in s.sums(got.get(CORE, [])))
-        codes, n = np.unique((bucket(context) << 24) | (rounded(pair, context) << 12) | rounded(word, core_tokens), return_counts=True)
-        return pa.table({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
+        rows, n = np.unique(np.stack([pair, context, word]).astype(np.int64), axis=1, return_counts=True)
+        return pa.table({"bucket": pa.array(bucket(rows[1]), pa.int32()), "pair": pa.array(rows[0]), "context": pa.array(rows[1]), "word": pa.array(rows[2]), "n": pa.array(n, pa.int64())})
 
-    held = C.with_answers(table, answers.where(F.col("kind") == CORE), tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    weights = learn({r.code: r.n for r in held.toLocalIterator()}, core_words)
+    held = C.with_answers(table, answers.where(F.col("kind") == CORE), tally, "bucket int, pair long, context long, word long, n long")
+    weights = learn(C.written(held.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n"))), core_tokens, core_words)
 
     def rate(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
         s = Sequence(chunk)
