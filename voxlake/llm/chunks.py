@@ -149,8 +149,8 @@ ANSWERED = "kind int, part int, chunk long, answer binary"
 ANSWERED_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("answer", pa.binary())])
 
 
-def by_part(asked: DataFrame, fn: Callable[[list[dict]], Iterator[dict]], schema: str = ANSWERED, kinds: pa.Schema = ANSWERED_ARROW) -> DataFrame:
-    """fn's rows for every part, given all that was asked of it."""
+def by_part(asked: DataFrame, parts: int, fn: Callable[[list[dict]], Iterator[dict]], schema: str = ANSWERED, kinds: pa.Schema = ANSWERED_ARROW) -> DataFrame:
+    """fn's rows for every part, given all that was asked of it. There are as many tasks as parts, so that tasks don't grow with the input."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
@@ -159,7 +159,7 @@ def by_part(asked: DataFrame, fn: Callable[[list[dict]], Iterator[dict]], schema
         rows.clear()
         A.trim()
 
-    return asked.groupBy("part").applyInArrow(run, schema)
+    return asked.repartitionById(parts, "part").groupBy("part").applyInArrow(run, schema)
 
 
 def with_answers(table: DataFrame, answers: DataFrame, fn: Callable[[Chunk, dict[int, list[bytes]]], Iterator[pa.RecordBatch] | pa.Table], schema: str) -> DataFrame:

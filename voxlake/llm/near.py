@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         s = Sets(chunk, words)
         yield from C.ask(s.keys, [s.second, s.count.astype("<i8"), chunk.ids[s.lead], chunk.rids[s.lead], s.times.astype("<i8")], parts, chunk.number)
 
-    answers = C.written(C.by_part(C.each_chunk(bare, ask_sets, C.ASKED, C.ASKED_ARROW), judge_sets))
+    answers = C.written(C.by_part(C.each_chunk(bare, ask_sets, C.ASKED, C.ASKED_ARROW), parts, judge_sets))
     whole = lambda got, kind: np.concatenate([C.unpack(b, "<i8") for b in got.get(kind, [])] or [np.zeros(0, np.int64)])
 
     def ask_bands(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             rows.append({"part": chunk.number % parts, "chunk": -1 - chunk.number, "keys": C.pack(own[:, 0]), "more": C.pack(own[:, 1])})
         return pa.table({f.name: pa.array([r[f.name] for r in rows], f.type) for f in C.ASKED_ARROW})
 
-    ties = C.with_answers(bare, answers.where("kind = 2"), ask_bands, C.ASKED).groupBy("part").applyInArrow(_band_edges, "a long, b long")
+    ties = C.with_answers(bare, answers.where("kind = 2"), ask_bands, C.ASKED).repartitionById(parts, "part").groupBy("part").applyInArrow(_band_edges, "a long, b long")
     groups = components(ties)
     tiles = F.ceil(F.col("n") / tile).cast("int").alias("tiles")
     placed = groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").select("v", "root", tiles)
@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slots = max(parts, -(-total // slot_bytes))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     pairs = members.select("*", other).select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "v", "id", "times", "text")
-    compared = C.written(pairs.withColumn("slot", F.pmod(F.xxhash64("root", "i", "j"), F.lit(slots))).groupBy("slot").applyInArrow(compare, "v long, id long, links long, b long"))
+    compared = C.written(pairs.withColumn("slot", F.pmod(F.xxhash64("root", "i", "j"), F.lit(slots)).cast("int")).repartitionById(slots, "slot").groupBy("slot").applyInArrow(compare, "v long, id long, links long, b long"))
     classes = components(compared.select(F.col("v").alias("a"), "b"))
     links = compared.groupBy("v").agg(F.first("id").alias("id"), F.sum("links").alias("links"))
     named = links.join(classes, "v", "left").withColumn("root", F.coalesce("root", "v"))

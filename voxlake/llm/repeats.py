@@ -224,7 +224,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         e = p.entry
         yield from C.ask(p.trigger[e], [p.phrase[e], p.ids, p.left[e], p.right[e]], parts, chunk.number)
 
-    verdicts = C.written(C.by_part(C.each_chunk(table, ask_phrases, C.ASKED, C.ASKED_ARROW), judge_phrases))
+    verdicts = C.written(C.by_part(C.each_chunk(table, ask_phrases, C.ASKED, C.ASKED_ARROW), parts, judge_phrases))
 
     def opened(chunk: C.Chunk, got: dict[int, list[bytes]]):
         p = Parse(chunk, length, anchor)
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         rows = list(C.ask(key, [ids, second], parts, chunk.number))
         return pa.table({f.name: pa.array([r[f.name] for r in rows], f.type) for f in C.ASKED_ARROW})
 
-    replies = C.written(C.by_part(C.with_answers(table, verdicts, ask_suffixes, C.ASKED), judge_suffixes))
+    replies = C.written(C.by_part(C.with_answers(table, verdicts, ask_suffixes, C.ASKED), parts, judge_suffixes))
     kinds = [f"`k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 
     def finish(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
