@@ -2,7 +2,7 @@
 
 1. Each chunk of documents is cut into pre-tokens (``pretokens``). For each document its distinct pre-tokens and
    how often they stand there are kept, as numbers into the chunk's list of distinct pre-tokens; the list
-   is kept beside them, in the order of hashes. Both are written once, packed, to the shared folder.
+   is kept beside them, in the order of hashes. Both are written once to the shared folder, bucketed by chunk.
 2. The lists are cut by hash into parts, as many as their size needs. A part sees a pre-token at most once from each
    chunk, however frequent it is, and has the library count its pieces once.
 3. Each chunk gets its counts back in the order it sent the pre-tokens, and sums frequency times count for each
@@ -16,6 +16,7 @@ each; other columns are ignored. A file that is not byte-level BPE is refused.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -31,9 +32,9 @@ from . import chunks as C
 from . import pretokens
 
 CACHE = 150_000
-CHUNK_BYTES = 8 << 20
-#: Bytes of pre-tokens that a part is to have.
-PART_BYTES = 32 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of pre-tokens that a part is to have, and slices that a chunk's list is kept in, so that no row is large.
+PART_BYTES, SLICES = 8 << 20, 16
 
 
 class Known(dict):
@@ -67,8 +68,9 @@ def read_file(path: str) -> tuple[bytes, list[bytes]]:
     return content, [t["content"].encode() for t in spec["added_tokens"]]
 
 
+@functools.lru_cache(1)
 def library(content: bytes):
-    """The file's tokenizer, without truncation and padding."""
+    """The file's tokenizer, without truncation and padding; kept by the process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -78,6 +80,24 @@ def library(content: bytes):
     return tokenizer
 
 
+def count_pieces(tokenizer, lists: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """For (packed lengths, packed bytes) of pre-tokens, their packed numbers of pieces; each distinct pre-token is counted once."""
+    seen: dict[bytes, int] = {}
+    asked = []
+    for lengths, body in lists:
+        raw = C.unpack(body, "u1").tobytes()
+        ends = np.cumsum(C.unpack(lengths, "<u4"), dtype=np.int64).tolist()
+        asked.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)], np.uint32))
+    pieces, part = np.empty(len(seen), "<u4"), []
+    at = 0
+    for t in seen:
+        part.append(t.decode())
+        if len(part) == 5000 or at + len(part) == len(seen):
+            pieces[at : at + len(part)] = [len(x) for x in tokenizer.encode_batch(part, add_special_tokens=False)]
+            at, part = at + len(part), []
+    return [C.pack(pieces[x]) for x in asked]
+
+
 def matches(pattern: str, text: str) -> str:
     """The characters of text that match, by the library's regex engine."""
     from tokenizers import Regex
@@ -128,13 +148,25 @@ def batches_of_texts(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[st
         yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
+def _blobs(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Runs of count values as binaries of little-endian uint32."""
+    ends = np.concatenate([[0], 4 * np.cumsum(count)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(values.astype("<u4").tobytes())]).cast(pa.binary())
+
+
+def _values(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """What _blobs() was given."""
+    data, offsets = A.utf8(blobs)
+    return np.frombuffer(data.tobytes(), "<u4").astype(np.int64), np.diff(offsets) // 4
+
+
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: the id, n_bytes and n_tokens (both long)."""
     sc = docs.sparkSession.sparkContext
     content, strings = read_file(path)
     shared = sc.broadcast((content, pretokens.classes(matches), [re.escape(s) for s in sorted(strings, key=len, reverse=True)]))
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["chunk", "ids", "sizes", "pairs", "which", "times", "special", "hashes", "lengths", "tokens", "n_list"]
+    names = ["chunk", "slice", "id", "n_bytes", "special", "which", "times", "hashes", "lengths", "tokens", "n_list"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,7 +176,8 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         special = re.compile(b"|".join(escaped)) if escaped else None
         chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The documents' frequencies, and the chunk's list in slices of hashes."""
             rows = pa.Table.from_batches(held)
             data, offsets = A.utf8(rows.column(1))
             tokens, pairs, which, times, count = frequencies(data, offsets, table, special)
@@ -152,30 +185,44 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             order = np.argsort(hashes, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            sent = [tokens[k] for k in order.tolist()]
-            ids = rows.column(0).combine_chunks()
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            packs = [np.diff(offsets), pairs.astype("<u4"), place[which].astype("<u4"), times.astype("<u4"), count.astype("<u4")]
-            body = b"".join(sent)
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), lists, *(pa.array([C.pack(x)], pa.binary()) for x in packs), pa.array([C.pack_keys(hashes[order])], pa.binary()), pa.array([C.pack(np.array(list(map(len, sent)), "<u4"))], pa.binary()), pa.array([C.pack(np.frombuffer(body, np.uint8))], pa.binary()), pa.array([len(body) + 4 * len(sent)], pa.int64())], names=names)
+            owner = np.repeat(np.arange(len(pairs)), pairs)
+            near = np.lexsort((place[which], owner))
+            which, times = place[which][near], times[near]
+            first = np.cumsum(pairs) - pairs
+            steps = np.diff(which, prepend=0)
+            steps[first[pairs > 0]] = which[first[pairs > 0]]
+            n = len(rows)
+            full = lambda k, kind: pa.nulls(k, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, -1, np.int32)), rows.column(0).combine_chunks(), pa.array(np.diff(offsets)), pa.array(count), _blobs(steps, pairs), _blobs(times, pairs), *(full(n, pa.binary()) for _ in range(3)), full(n, pa.int64())], names=names)
+            lists = []
+            hashes, sent = hashes[order], [tokens[k] for k in order.tolist()]
+            edge = C.key_parts(hashes, SLICES)
+            for k in range(SLICES):
+                own = sent[edge[k] : edge[k + 1]]
+                if own:
+                    body = b"".join(own)
+                    lists.append((k, C.pack_keys(hashes[edge[k] : edge[k + 1]]), C.pack(np.array(list(map(len, own)), "<u4")), C.pack(np.frombuffer(body, np.uint8)), len(body) + 4 * len(own)))
+            n = len(lists)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([x[0] for x in lists], pa.int32()), full(n, rows.schema.field(0).type), full(n, pa.int64()), full(n, pa.int64()), full(n, pa.binary()), full(n, pa.binary()), *(pa.array([x[j] for x in lists], pa.binary()) for j in (1, 2, 3)), pa.array([x[4] for x in lists], pa.int64())], names=names)
 
         for batch in batches:
             _, offsets = A.utf8(batch.column(1))
             for lo, hi in A.slices(offsets + 16 * np.arange(len(offsets)), chunk_bytes):
                 n = int(offsets[hi] - offsets[lo]) + 16 * (hi - lo)
                 if held and size + n > chunk_bytes:
-                    yield flush()
+                    yield from flush()
                     chunk, held, size = chunk + 1, [], 0
                 held.append(batch.slice(lo, hi - lo))
                 size += n
         if held:
-            yield flush()
+            yield from flush()
+        held.clear()
         A.trim()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("__text"))
-    blobs = ", ".join(f"{c} binary" for c in names[2:10])
-    chunks = C.written(rows.mapInArrow(cut, f"chunk long, ids array<{id_type}>, {blobs}, n_list long"))
-    total = chunks.agg(F.sum("n_list")).first()[0] or 0
+    chunks = C.bucketed(rows.mapInArrow(cut, f"chunk long, slice int, id {id_type}, n_bytes long, special long, which binary, times binary, hashes binary, lengths binary, tokens binary, n_list long"))
+    lists = chunks.where("slice >= 0")
+    total = lists.agg(F.sum("n_list")).first()[0] or 0
     parts = max(C.partitions(docs.sparkSession), -(-total // part_bytes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,37 +233,31 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                 at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
                 own = np.flatnonzero(edge[1:] > edge[:-1])
                 parted = [(int(p), C.pack(lengths[edge[p] : edge[p + 1]]), C.pack(tokens[at[edge[p]] : at[edge[p + 1]]])) for p in own]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parted], pa.int32()), pa.array([r["chunk"]] * len(parted), pa.int64()), pa.array([x for _, x, _ in parted], pa.binary()), pa.array([x for _, _, x in parted], pa.binary())], names=["part", "chunk", "lengths", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parted], pa.int32()), *(pa.array([r[c]] * len(parted), kind) for c, kind in (("chunk", pa.int64()), ("slice", pa.int32()))), pa.array([x for _, x, _ in parted], pa.binary()), pa.array([x for _, _, x in parted], pa.binary())], names=["part", "chunk", "slice", "lengths", "tokens"])
 
     def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = library(shared.value[0])
-        seen: dict[bytes, int] = {}
-        chunk, asked = [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                raw = C.unpack(r["tokens"], "u1").tobytes()
-                ends = np.cumsum(C.unpack(r["lengths"], "<u4"), dtype=np.int64).tolist()
-                chunk.append(r["chunk"])
-                asked.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)], np.uint32))
-        tokens = list(seen)
-        pieces = np.array([n for k in range(0, len(tokens), 20_000) for n in map(len, tokenizer.encode_batch([t.decode() for t in tokens[k : k + 20_000]], add_special_tokens=False))], "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([key[0].as_py()] * len(chunk), pa.int32()), pa.array([C.pack(pieces[x]) for x in asked], pa.binary())], names=["chunk", "part", "pieces"])
+        asked = [(r["chunk"], r["slice"], r["lengths"], r["tokens"]) for batch in batches for r in batch.to_pylist()]
+        found = count_pieces(library(shared.value[0]), [x[2:] for x in asked])
+        out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in asked], pa.int64()), pa.array([x[1] for x in asked], pa.int32()), pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["chunk", "slice", "part", "pieces"])
+        asked.clear()
         A.trim()
+        yield out
 
-    asked = chunks.select("chunk", "hashes", "lengths", "tokens").mapInArrow(ask, "part int, chunk long, lengths binary, tokens binary")
-    told = asked.groupBy("part").applyInArrow(count, "chunk long, part int, pieces binary")
+    asked = lists.select("chunk", "slice", "hashes", "lengths", "tokens").mapInArrow(ask, "part int, chunk long, slice int, lengths binary, tokens binary")
+    told = asked.repartitionById(parts, "part").groupBy("part").applyInArrow(count, "chunk long, slice int, part int, pieces binary")
 
     def add(key: tuple[pa.Scalar, ...], mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        blobs = [b for _, b in sorted(zip(theirs.column("part").to_pylist(), theirs.column("pieces").to_pylist(), strict=True))]
-        pieces = np.concatenate([C.unpack(b, "<u4") for b in blobs] or [np.zeros(0, "<u4")]).astype(np.int64)
-        r = {c: mine.column(c)[0].as_py() for c in ("sizes", "pairs", "which", "times", "special")}
-        pairs = C.unpack(r["pairs"], "<u4").astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(pieces[C.unpack(r["which"], "<u4")] * C.unpack(r["times"], "<u4"))])
+        pieces = np.concatenate([C.unpack(r["pieces"], "<u4") for r in sorted(theirs.to_pylist(), key=lambda r: (r["slice"], r["part"]))] or [np.zeros(0, "<u4")]).astype(np.int64)
+        steps, pairs = _values(mine.column("which"))
+        times, _ = _values(mine.column("times"))
+        upto = np.concatenate([[0], np.cumsum(steps)])
         to = np.cumsum(pairs)
-        n = sums[to] - sums[to - pairs] + C.unpack(r["special"], "<u4")
-        return pa.table({id_col: mine.column("ids").combine_chunks().flatten(), "n_bytes": pa.array(C.unpack(r["sizes"], "<i8")), "n_tokens": pa.array(n, pa.int64())})
+        which = upto[1:] - np.repeat(upto[to - pairs], pairs)
+        sums = np.concatenate([[0], np.cumsum(pieces[which] * times)])
+        n = sums[to] - sums[to - pairs] + mine.column("special").to_numpy()
+        return pa.table({id_col: mine.column("id"), "n_bytes": mine.column("n_bytes"), "n_tokens": pa.array(n, pa.int64())})
 
-    kept = chunks.select("chunk", "ids", "sizes", "pairs", "which", "times", "special")
+    kept = chunks.where("slice < 0").select("chunk", "id", "n_bytes", "special", "which", "times")
     return kept.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")
 
 
