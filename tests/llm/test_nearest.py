@@ -64,3 +64,19 @@ def test_best_with_many_ties_and_repeated_ids():
     assert w.tolist() == [7, 10, 11, 12, 13] and np.allclose(s, 1)
     q, w, s = N.best(np.array([99]), np.ones((1, 3)), np.array([7] * 400 + [8, 9]), np.concatenate([np.ones((400, 3)), np.eye(3)[:2]]), 5)
     assert w.tolist() == [7, 8, 9]
+
+
+def test_recall_where_most_lists_are_not_read(spark):
+    """Twenty thousand vectors in loose groups, indexed on a sample of a tenth: a query reads a small part of the lists."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 24))
+    x = (centres[rng.integers(0, 300, 20_000)] + 0.6 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    index = N.Index(N.unit(x[::10].astype(np.float64)), leaf=16)
+    sizes = np.bincount(index.lists(N.unit(x.astype(np.float64)))[1], minlength=len(index.centroids))
+    queries = np.arange(0, 20_000, 400)
+    row, own = index.probes(N.unit(x[queries].astype(np.float64)), sizes)
+    assert len(own) < 0.4 * len(queries) * len(index.centroids)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {(q, v) for q, _, v, _ in N.search(df, df.where("vec_id % 400 = 0"), sample=2000, leaf=16).collect()}
+    want = {(q, v) for q, _, v, _ in N.brute_force(np.arange(20_000), x, queries)}
+    assert len(got & want) >= 0.9 * len(want)

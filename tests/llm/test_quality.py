@@ -46,3 +46,54 @@ def test_words_keep_their_vectors_when_they_are_capitals_or_repeat():
     rows, first, capitals, again = Q.token_rows(*A.utf8(pa.array(["the THE cat", "cat", "no, no"])))
     assert first.tolist() == [0, 3, 4, 7] and rows[0] == rows[1] and rows[2] == rows[3] and rows[4] == rows[6]
     assert capitals.tolist() == [False, True] + [False] * 5 and again.tolist() == [False, True, False, False, False, False, True]
+
+
+def slow_scores(docs, labels):
+    """Scores from vectors that are added up token by token; the network is the module's, given the rows in the module's order."""
+    import re
+    from math import log
+
+    import numpy as np
+
+    places, signs = Q.index_vectors()
+    token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
+
+    def row(word):
+        data, offsets = np.frombuffer(word, np.uint8), np.array([0, len(word)])
+        return int(Q.A.hash_rows(data, offsets)[0] >> np.uint64(50))
+
+    cut = {i: token.findall((t or "").encode()) for i, t in docs}
+    known = {w: row(w.lower()) for ws in cut.values() for w in ws}
+    total = np.zeros((Q.ROWS, Q.DIM))
+    for ws in cut.values():
+        for k, w in enumerate(ws):
+            for j in range(max(0, k - Q.REACH), min(len(ws), k + Q.REACH + 1)):
+                if j != k:
+                    total[known[w], places[known[ws[j]]]] += signs[known[ws[j]]]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    vectors = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+    for r in range(Q.ROWS):
+        vectors[r, places[r]] += signs[r] / np.sqrt(Q.NONZERO)
+    out = {}
+    for i, ws in cut.items():
+        x = np.zeros(Q.DIM + 3)
+        low = [w.lower() for w in ws]
+        is_word = [w[:1].isalnum() or w[0] >= 0x80 for w in ws]
+        for k, w in enumerate(ws):
+            x[: Q.DIM] += vectors[known[w]] / len(ws)
+            x[Q.DIM] += (w[:1].isalpha() and w[:1].isupper() and w[1:2].isupper()) / len(ws)
+            x[Q.DIM + 1] += (k > 0 and low[k] == low[k - 1] or k > 1 and low[k] == low[k - 2] and not is_word[k - 1]) / len(ws)
+        x[Q.DIM + 2] = log(1 + len(ws)) / 8
+        out[i] = x
+    rows = [i for i in labels if i in out]
+    network = Q.Network(np.array([out[i] for i in rows]), np.array([float(labels[i]) for i in rows]))
+    return {i: float(network.scores(x[None, :])[0]) for i, x in out.items()}
+
+
+def test_scores_equal_a_slow_computation(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    small = docs.where("length(text) < 3000").select("doc_id", "text")
+    known = labels.where(~Q.held_out(Q.F.col("doc_id"))).join(small.select("doc_id"), "doc_id").orderBy(Q.F.xxhash64("doc_id"), "doc_id").collect()
+    want = slow_scores([(r.doc_id, r.text) for r in small.collect()], {r.doc_id: r.quality for r in known})
+    got = {r.doc_id: r.score for r in Q.score(small, labels.join(small.select("doc_id"), "doc_id")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.01 for i in want), max(abs(got[i] - want[i]) for i in want)
