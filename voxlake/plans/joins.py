@@ -639,13 +639,13 @@ def words_of_sentences(s: Source) -> DataFrame:
     return s.view("utterances").select("call_id", "turn", F.when(F.size("words") == 0, F.array(F.lit("BLANK"))).otherwise(F.col("words")).alias("words"))
 
 
-@query("S03_filled_gaps", "SELECT d.doc_id, coalesce(c.turns, 2) AS turns FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) c ON c.conv_id = d.doc_id")
+@query("S03_filled_gaps", f"WITH {UTT}, u AS (SELECT call_id, turn, CASE WHEN num_words = 0 THEN ['BLANK'] ELSE words END AS words FROM utterances) SELECT d.doc_id AS call_id, coalesce(u.turn, k) AS turn, coalesce(words, ['BLANK']) AS words, u.call_id IS NULL AS filler FROM documents d LEFT JOIN u ON u.call_id = d.doc_id, range(0, 2) r(k) WHERE u.call_id IS NULL OR k = 0")
 def filled_gaps(s: Source) -> DataFrame:
-    """Calls without a transcript get two blank rows."""
-    c = s.table("conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("turns"))
-    have = s.table("documents").select("doc_id")
-    blanks = have.join(c, "doc_id", "left_anti").withColumn("turns", F.lit(2).cast("long"))
-    return have.join(c, "doc_id").unionByName(blanks)
+    """Sentences with their words; a call without a transcript has two blank rows."""
+    u = s.view("utterances").select("call_id", "turn", F.when(F.size("words") == 0, F.array(F.lit("BLANK"))).otherwise(F.col("words")).alias("words"), F.lit(False).alias("filler"))
+    have = s.table("documents").select(F.col("doc_id").alias("call_id"))
+    blanks = have.join(u, "call_id", "left_anti").withColumn("turn", F.explode(F.array(*(F.lit(k).cast(u.schema["turn"].dataType) for k in (0, 1)))))
+    return have.join(u, "call_id").unionByName(blanks.withColumn("words", F.array(F.lit("BLANK"))).withColumn("filler", F.lit(True)))
 
 
 @query("S04_two_folders", "SELECT conv_id AS call_id, turn, 'first' AS origin FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, 'memory' FROM conversations WHERE conv_id % 2 = 1")
@@ -654,7 +654,7 @@ def two_folders(s: Source) -> DataFrame:
     return c.where("call_id % 2 = 0").withColumn("origin", F.lit("first")).unionByName(c.where("call_id % 2 = 1").withColumn("origin", F.lit("memory")))
 
 
-@query("S07_script_columns", "SELECT 'p_brand' AS cluster, 'p_type' AS phrase")
+@query("S07_script_columns", "SELECT 'p_brand' AS cluster, arg_max(name, m) AS phrase FROM (SELECT 'p_type' AS name, avg(length(p_name || ' ' || p_type)) AS m FROM part UNION ALL SELECT 'p_size', avg(length(CAST(p_size AS VARCHAR))) FROM part)")
 def script_columns(s: Source) -> DataFrame:
     from voxlake.sources import tables
 

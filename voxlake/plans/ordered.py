@@ -180,7 +180,10 @@ def minimum_runs(s: Source) -> DataFrame:
     return k.select("event_id", "kept", F.when(F.avg("kept").over(by_file().rowsBetween(-1, 1)) >= 0.5, 1).otherwise(0).alias("smooth"))
 
 
-@query("W22_least_loaded")
+@query("W22_least_loaded", f"""WITH RECURSIVE {ctes('calls')}, p AS (SELECT campaign_id, count(*) AS files, row_number() OVER (ORDER BY count(*) DESC, campaign_id) AS rn FROM calls GROUP BY 1),
+g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS INT) AS campaign_id, CAST(NULL AS BIGINT) AS files, CAST([0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(NULL AS INT) AS bin UNION ALL
+SELECT p.rn, p.campaign_id, p.files, list_transform([1, 2, 3, 4], lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN p.files ELSE 0 END), CAST(list_position(loads, list_min(loads)) - 1 AS INT) FROM g JOIN p ON p.rn = g.rn + 1)
+SELECT campaign_id, files, bin FROM g WHERE rn > 0""")
 def least_loaded(s: Source) -> DataFrame:
     plan = s.view("calls").groupBy("campaign_id").agg(F.count("*").alias("files"))
     return sequential.least_loaded(plan, key="campaign_id", size="files", bins=4)
@@ -233,7 +236,11 @@ def second_best(s: Source) -> DataFrame:
     return n.select("call_id", *LINE, F.when(odd, ranked[1].l).otherwise(F.col("label")).alias("label"))
 
 
-@query("W30_viterbi")
+@query("W30_viterbi", f"""WITH RECURSIVE {WIN}, w AS (SELECT file_id, event_id, row_number() OVER (PARTITION BY file_id ORDER BY event_id) AS n, ln(greatest(least(level / 100, 0.99), 1e-12)) AS ea, ln(greatest(1 - least(level / 100, 0.99), 1e-12)) AS eb FROM windows),
+f AS (SELECT file_id, n, ln(0.5) + ea AS a, ln(0.5) + eb AS b, 0 AS pa, 0 AS pb FROM w WHERE n = 1 UNION ALL SELECT w.file_id, w.n, greatest(f.a + ln(0.8), f.b + ln(0.3)) + ea, greatest(f.a + ln(0.2), f.b + ln(0.7)) + eb,
+CASE WHEN f.a + ln(0.8) >= f.b + ln(0.3) THEN 0 ELSE 1 END, CASE WHEN f.a + ln(0.2) >= f.b + ln(0.7) THEN 0 ELSE 1 END FROM f JOIN w ON w.file_id = f.file_id AND w.n = f.n + 1), z AS (SELECT *, max(n) OVER (PARTITION BY file_id) AS last FROM f),
+t AS (SELECT file_id, n, CASE WHEN a >= b THEN 0 ELSE 1 END AS l, pa, pb FROM z WHERE n = last UNION ALL SELECT f.file_id, f.n, CASE WHEN t.l = 0 THEN t.pa ELSE t.pb END, f.pa, f.pb FROM t JOIN f ON f.file_id = t.file_id AND f.n = t.n - 1)
+SELECT file_id, event_id, CASE l WHEN 0 THEN 'loud' ELSE 'quiet' END AS label FROM t JOIN w USING (file_id, n)""")
 def viterbi(s: Source) -> DataFrame:
     w = s.view("windows").withColumn("p", F.least(F.col("level") / 100, F.lit(0.99)))
     e = w.select("file_id", "event_id", sequential.log_emissions(F.col("p"), 1 - F.col("p")).alias("e"))
