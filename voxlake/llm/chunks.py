@@ -7,6 +7,10 @@ A pass may send packed arrays of 64-bit keys, cut by key into parts, as many as
 needs; a part's task sees a key at most once from each chunk, whatever its frequency, so a hot key costs a chunk one
 entry. It sends back arrays in the same order, which need no keys.
 
+Beyond ``GROUPS`` parts the arrays of so many chunks and parts would be too many and too small, so they go by two
+steps, each of the same size for a task: a chunk cuts its keys into GROUPS ranges; tasks merge a range's keys of some of the chunks and
+cut them into parts; and the answers go back the same way. A chunk thus sends GROUPS arrays however large the corpus is.
+
 The catalog forgets the table as soon as it is read; its files stay in the folder, whose cleaning is the cluster's.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,7 @@ from . import arrays as A
 CHUNK_BYTES = 8 << 20
 #: What a row counts for besides its text, so that a chunk's rows are bounded too.
 ROW_BYTES = 16
+GROUPS = 512
 #: A row is known by its chunk (input partition and number) and its place in it.
 PLACE_BITS, CHUNK_BITS, PARTITION_BITS = 23, 20, 20
 
@@ -43,6 +49,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Parts(NamedTuple):
+    """How keys are cut: into ``groups`` ranges, and each of these into ``per`` parts."""
+
+    groups: int
+    per: int
+
+    @classmethod
+    def of(cls, count: int) -> Parts:
+        return cls(count, 1) if count <= GROUPS else cls(GROUPS, -(-count // GROUPS))
+
+    @property
+    def total(self) -> int:
+        return self.groups * self.per
+
+
 def bucketed(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet files in the shared folder that are bucketed by chunk."""
     spark, name = df.sparkSession, f"voxlake_{uuid.uuid4().hex}"
@@ -52,7 +73,7 @@ def bucketed(df: DataFrame) -> DataFrame:
     return table
 
 
-def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_col: str, chunk_bytes: int = CHUNK_BYTES, part_bytes: int) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_col: str, chunk_bytes: int = CHUNK_BYTES, part_bytes: int) -> tuple[DataFrame, Parts]:
     """A table of chunk, seq (place in it), id (as long), text and the columns of keep as k0, k1, ..., bucketed by chunk; and how many parts of part_bytes of text there are, at least the shuffle partitions."""
     names = ["id", "text", *(f"k{i}" for i in range(len(keep)))]
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"k{i}") for i, c in enumerate(keep)))
@@ -83,7 +104,7 @@ def chunked(docs: DataFrame, *, text_col: str, keep: tuple[str, ...] = (), id_co
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     table = bucketed(rows.mapInArrow(cut, f"chunk long, seq long, size long, {kinds}"))
     total = table.agg(F.sum("size")).first()[0] or 0
-    return table.drop("size"), max(partitions(docs.sparkSession), -(-total // part_bytes))
+    return table.drop("size"), Parts.of(max(partitions(docs.sparkSession), -(-total // part_bytes)))
 
 
 class Chunk:
@@ -140,26 +161,113 @@ def each_chunk(table: DataFrame, fn: Callable[[Chunk], Iterator[dict]], schema:
 
 def _rows(rows: Iterator[dict], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
     found = list(rows)
-    yield pa.RecordBatch.from_pydict({f.name: pa.array([r[f.name] for r in found], f.type) for f in kinds}, schema=kinds)
+    yield pa.RecordBatch.from_pydict({f.name: pa.array([r.get(f.name) for r in found], f.type) for f in kinds}, schema=kinds)
 
 
 ASKED = "part int, chunk long, keys binary, more binary"
 ASKED_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
 ANSWERED = "kind int, part int, chunk long, answer binary"
 ANSWERED_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("answer", pa.binary())])
+#: Of a row that holds several chunks' entries: which chunk each is of.
+_SOURCES = pa.field("sources", pa.binary())
+
+
+def _joined(blobs: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
+
+
+def _parted(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(blob[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _pack_sources(chunks: np.ndarray) -> bytes:
+    names, which = np.unique(chunks, return_inverse=True)
+    return _joined([pack(names), pack(which.astype("<u4"))])
+
 
+def _sources(row: dict, count: int) -> np.ndarray:
+    """The chunk of each of a row's entries."""
+    if row.get("sources") is None:
+        return np.full(count, row["chunk"])
+    names, which = _parted(row["sources"])
+    return unpack(names, "<i8")[unpack(which, "<u4")]
 
-def by_part(asked: DataFrame, parts: int, fn: Callable[[list[dict]], Iterator[dict]], schema: str = ANSWERED, kinds: pa.Schema = ANSWERED_ARROW) -> DataFrame:
-    """fn's rows for every part, given all that was asked of it. There are as many tasks as parts, so that tasks don't grow with the input."""
+
+def _items(blob: bytes, count: int) -> np.ndarray:
+    """A packed array whose kind is not known here, as items of its size."""
+    raw = unpack(blob, "u1")
+    return raw.reshape(count, -1).view(f"V{max(1, len(raw) // max(1, count))}").ravel() if count else raw[:0].view("V1")
+
+
+def merged(asked: DataFrame, parts: Parts) -> DataFrame:
+    """What was asked, with a task for each part; rows with a negative chunk go to a group's first part."""
+    if parts.per == 1:
+        return asked.withColumn("sources", F.lit(None).cast("binary")).repartitionById(parts.total, "part")
+
+    def regroup(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["chunk"])
+        out = [{**r, "part": r["part"] * parts.per} for r in rows if r["chunk"] < 0]
+        rows = [r for r in rows if r["chunk"] >= 0]
+        if rows:
+            group, keys = rows[0]["part"], [unpack_keys(r["keys"]) for r in rows]
+            chunks = np.repeat([r["chunk"] for r in rows], [len(k) for k in keys])
+            columns = [np.concatenate(c) for c in zip(*([_items(x, len(k)) for x in _parted(r["more"])] for r, k in zip(rows, keys, strict=True)), strict=True)]
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")  # a chunk's equal keys stay in their order
+            keys, chunks, columns = keys[order], chunks[order], [c[order] for c in columns]
+            edges = np.array([((group * parts.per + f) << 64) // parts.total for f in range(parts.per)], np.uint64)
+            first = np.append(np.searchsorted(keys, edges), len(keys))
+            for f in range(parts.per):
+                own = slice(first[f], first[f + 1])
+                if first[f + 1] > first[f]:
+                    out.append({"part": group * parts.per + f, "chunk": key[0].as_py() % parts.per, "keys": pack_keys(keys[own]), "more": _joined([pack(c[own]) for c in columns]), "sources": _pack_sources(chunks[own])})
+        yield from _rows(out, ASKED_ARROW.append(_SOURCES))
+        rows.clear()
+        A.trim()
+
+    batch = F.when(F.col("chunk") < 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(parts.per)))
+    slots = asked.withColumn("slot", (F.col("part") * parts.per + batch).cast("int")).repartitionById(parts.total, "slot")
+    return slots.groupBy("slot").applyInArrow(regroup, f"{ASKED}, sources binary").repartitionById(parts.total, "part")
+
+
+def by_part(asked: DataFrame, parts: Parts, fn: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
+    """fn's answers for every part, given all that was asked of it. There are as many tasks as parts, so that tasks don't grow with the input."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: r["chunk"])
-        yield from _rows(fn(rows), kinds)
+        yield from _rows(fn(rows), ANSWERED_ARROW.append(_SOURCES))
+        rows.clear()
+        A.trim()
+
+    judged = merged(asked, parts).groupBy("part").applyInArrow(run, f"{ANSWERED}, sources binary")
+    if parts.per == 1:
+        return judged.drop("sources")
+
+    def back(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["kind"], r["part"]))
+        out = [{**r, "part": r["part"] // parts.per} for r in rows if r["sources"] is None]
+        for kind in sorted({r["kind"] for r in rows if r["sources"] is not None}):
+            own = [r for r in rows if r["kind"] == kind and r["sources"] is not None]
+            chunks = [_sources(r, 0) for r in own]
+            values = np.concatenate([_items(r["answer"], len(c)) for r, c in zip(own, chunks, strict=True)])
+            chunks = np.concatenate(chunks)
+            order = np.argsort(chunks, kind="stable")
+            values, chunks = values[order], chunks[order]
+            names, first = np.unique(chunks, return_index=True)
+            for name, a, b in zip(names.tolist(), first, [*first[1:], len(chunks)], strict=True):
+                out.append({"kind": kind, "part": own[0]["part"] // parts.per, "chunk": name, "answer": pack(values[a:b])})
+        yield from _rows(out, ANSWERED_ARROW)
         rows.clear()
         A.trim()
 
-    return asked.repartitionById(parts, "part").groupBy("part").applyInArrow(run, schema)
+    slot = F.floor(F.col("part") / parts.per) * parts.per + F.greatest(F.col("chunk"), F.lit(0))
+    return judged.withColumn("slot", slot.cast("int")).repartitionById(parts.total, "slot").groupBy("slot").applyInArrow(back, ANSWERED)
 
 
 def with_answers(table: DataFrame, answers: DataFrame, fn: Callable[[Chunk, dict[int, list[bytes]]], Iterator[pa.RecordBatch] | pa.Table], schema: str) -> DataFrame:
@@ -176,28 +284,23 @@ def with_answers(table: DataFrame, answers: DataFrame, fn: Callable[[Chunk, dict
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def ask(keys: np.ndarray, columns: list[np.ndarray], parts: int, number: int) -> Iterator[dict]:
-    """Rows for each part; keys are sorted."""
-    edge = key_parts(keys, parts)
-    for p in range(parts):
+def ask(keys: np.ndarray, columns: list[np.ndarray], parts: Parts, number: int) -> Iterator[dict]:
+    """Rows for each group of parts; keys are sorted."""
+    edge = key_parts(keys, parts.groups)
+    for p in range(parts.groups):
         a, b = edge[p], edge[p + 1]
         if b > a:
-            yield {"part": p, "chunk": number, "keys": pack_keys(keys[a:b]), "more": b"".join(len(x := pack(c[a:b])).to_bytes(4, "little") + x for c in columns)}
+            yield {"part": p, "chunk": number, "keys": pack_keys(keys[a:b]), "more": _joined([pack(c[a:b]) for c in columns])}
 
 
 def asked_of(rows: list[dict], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """keys, columns, source row of each entry, ends of the rows."""
-    keys, columns = [unpack_keys(r["keys"]) for r in rows], [[] for _ in kinds]
-    for r in rows:
-        at = 0
-        for k, kind in enumerate(kinds):
-            n = int.from_bytes(r["more"][at : at + 4], "little")
-            columns[k].append(unpack(r["more"][at + 4 : at + 4 + n], kind))
-            at += 4 + n
+    """keys, columns, chunk of each entry, ends of the rows."""
+    keys = [unpack_keys(r["keys"]) for r in rows]
+    columns = [[unpack(x, kind) for x, kind in zip(_parted(r["more"]), kinds, strict=True)] for r in rows]
     count = np.array([len(k) for k in keys])
-    return np.concatenate(keys), [np.concatenate(c) for c in columns], np.repeat(np.arange(len(rows)), count), np.cumsum(count)
+    return np.concatenate(keys), [np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate([_sources(r, n) for r, n in zip(rows, count.tolist(), strict=True)]), np.cumsum(count)
 
 
 def answer(kind: int, rows: list[dict], ends: np.ndarray, values: np.ndarray) -> Iterator[dict]:
     for r, part in zip(rows, np.split(values, ends[:-1]), strict=True):
-        yield {"kind": kind, "part": r["part"], "chunk": r["chunk"], "answer": pack(part)}
+        yield {"kind": kind, "part": r["part"], "chunk": r["chunk"], "answer": pack(part), "sources": r.get("sources")}

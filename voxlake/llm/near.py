@@ -329,10 +329,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = np.unique(np.stack([rids[root != rids], root[root != rids]], axis=1), axis=0)
         rows = list(C.ask(keys[first], [rids[first]], parts, chunk.number))
         if len(own):
-            rows.append({"part": chunk.number % parts, "chunk": -1 - chunk.number, "keys": C.pack(own[:, 0]), "more": C.pack(own[:, 1])})
+            rows.append({"part": chunk.number % parts.groups, "chunk": -1 - chunk.number, "keys": C.pack(own[:, 0]), "more": C.pack(own[:, 1])})
         return pa.table({f.name: pa.array([r[f.name] for r in rows], f.type) for f in C.ASKED_ARROW})
 
-    ties = C.with_answers(bare, answers.where("kind = 2"), ask_bands, C.ASKED).repartitionById(parts, "part").groupBy("part").applyInArrow(_band_edges, "a long, b long")
+    ties = C.merged(C.with_answers(bare, answers.where("kind = 2"), ask_bands, C.ASKED), parts).groupBy("part").applyInArrow(_band_edges, "a long, b long")
     groups = components(ties)
     tiles = F.ceil(F.col("n") / tile).cast("int").alias("tiles")
     placed = groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").select("v", "root", tiles)
@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     members = C.written(C.with_answers(bare, answers.where("kind in (2, 4)").unionByName(told), send, "root long, tile int, tiles int, v long, id long, times long, text string"))
     total = members.agg(F.sum(F.col("tiles").cast("long") * (F.octet_length("text") + 64))).first()[0] or 0
-    slots = max(parts, -(-total // slot_bytes))
+    slots = max(parts.total, -(-total // slot_bytes))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     pairs = members.select("*", other).select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "v", "id", "times", "text")
     compared = C.written(pairs.withColumn("slot", F.pmod(F.xxhash64("root", "i", "j"), F.lit(slots)).cast("int")).repartitionById(slots, "slot").groupBy("slot").applyInArrow(compare, "v long, id long, links long, b long"))
