@@ -295,3 +295,12 @@ def test_fuzzy_ratios(a, b):
     slow = max((fuzzy.ratio(s, t[max(0, k) : k + len(s)]) for k in range(1 - len(s), len(t))), default=0.0) if s else float(not t)
     assert fuzzy.partial_ratio(a, b) == slow
     assert fuzzy.token_set_ratio("b a", "a b c") == 1.0 and fuzzy.partial_ratio("abc", "xxabcxx") == 1.0 and 0 <= fuzzy.score(a, b) <= 1
+
+
+def test_small_sides_are_looked_at(spark):
+    from voxlake.operators import small
+
+    assert small.bounded(spark.range(5), 5, "rows").count() == 5 and len(small.fetched(spark.range(5), 5, "rows")) == 5
+    for f in (small.bounded, small.fetched):
+        with pytest.raises(ValueError, match="more than 4 rows"):
+            f(spark.range(5), 4, "rows")

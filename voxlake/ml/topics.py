@@ -10,7 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.operators import small
+
 FEATURES = 1 << 12
+#: Phrases of a script at most: each has a vector of FEATURES numbers, and they are sent to every task.
+PHRASES = 4096
 
 
 def held_out(*key: str) -> Column:
@@ -70,7 +74,7 @@ def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3
     a = pipe.transform(rows).select(key, vector_to_array("__u").alias("a"))
     b = pipe.transform(phrases).select("topic", "phrase_id", vector_to_array("__u").alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    d = a.crossJoin(F.broadcast(b)).select(key, "topic", "phrase_id", F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0))).alias("d"))
+    d = a.crossJoin(small.bounded(b, PHRASES, "phrases")).select(key, "topic", "phrase_id", F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0))).alias("d"))
     top = d.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d", "phrase_id"))).where(F.col("r") <= k)
     return top.groupBy(key).agg(F.min_by("topic", "r").alias("topic"), (1 / (F.avg("d") + 1e-5)).alias("confidence"))
 

@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .small import fetched
+
 LETTERS = np.frombuffer(b" abcdefghijklmnopqrstuvwxyz", np.uint8)
 #: Characters of windows that are laid out at a time, and windows that are compared at a time.
 LAID_OUT, AT_ONCE = 4 << 20, 4096
 ONE, TOP = np.uint64(1), np.uint64(63)
+#: Phrases of a script at most: they are sent to every task.
+PHRASES = 100_000
 
 
 def distances(masks: np.ndarray, lengths: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -144,7 +148,7 @@ def best_pairs(docs: DataFrame, phrases: DataFrame, *, size: int, step: int, tai
     A document without words has one row for itself, where the rest is null and the score 0. The phrases are a script: they are sent to every task.
     """
     spark = docs.sparkSession
-    rows = [(r.item_id, r.cluster, r.phrase) for r in phrases.collect()]
+    rows = [(r.item_id, r.cluster, r.phrase) for r in fetched(phrases, PHRASES, "phrases")]
     names = sorted({c for _, c, _ in rows})
     shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -232,7 +236,7 @@ def evidence_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]],
 def evidence(docs: DataFrame, phrases: DataFrame, *, size: int = 18, step: int = 6, tail: bool = True, top: int = 3) -> DataFrame:
     """doc_id, cluster, item_id, k, score, fuzzy, semantic: see evidence_of. docs: doc_id, w; phrases: item_id, cluster, phrase (a script: sent to every task)."""
     spark = docs.sparkSession
-    rows = [(r.item_id, r.cluster, r.phrase) for r in phrases.collect()]
+    rows = [(r.item_id, r.cluster, r.phrase) for r in fetched(phrases, PHRASES, "phrases")]
     names = sorted({c for _, c, _ in rows})
     shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
 

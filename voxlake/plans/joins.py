@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators import likelihood, merge, ordered
+from voxlake.operators import likelihood, merge, ordered, small
 from voxlake.plans.aggregates import BASE, R, quality_base
 from voxlake.plans.registry import Source, query
 from voxlake.sources import transcripts
@@ -159,7 +159,7 @@ def nearest_cluster(s: Source) -> DataFrame:
     e = s.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     mean = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy(F.col("label").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t.x).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    centre = e.crossJoin(F.broadcast(mean)).select("vec_id", "cluster", F.round(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c")), 8).alias("s"))
+    centre = e.crossJoin(small.bounded(mean, 50_000, "clusters")).select("vec_id", "cluster", F.round(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c")), 8).alias("s"))
     x = centre.unionByName(best_members(e)).groupBy("vec_id", "cluster").agg(F.max("s").alias("s"))
     return x.groupBy("vec_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"), R(F.max("s"), 6).alias("score"))
 
