@@ -1,10 +1,11 @@
 """The exchange of keys in two steps gives what one step gives."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from voxlake.llm import chunks as C
-from voxlake.llm import lm, near, repeats
+from voxlake.llm import lm, near, repeats, tokens
 
 WORDS = ["the", "of", "and", "house", "sea", "wind", "Été", "b"]
 
@@ -27,6 +28,14 @@ def results(df):
     return one, two, three
 
 
+def test_token_counts_by_two_steps(spark, monkeypatch):
+    df = C.written(spark.createDataFrame([(i, t and t + f" own{i} \u65e5\u672c") for i, t in corpus()], "doc_id long, text string"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = sorted(map(str, tokens.count_tokens(df, path, chunk_bytes=900).collect()))
+    monkeypatch.setattr(C, "GROUPS", 16)
+    assert sorted(map(str, tokens.count_tokens(df, path, chunk_bytes=900, part_bytes=40).collect())) == plain
+
+
 @pytest.mark.parametrize("groups", [3, 1])
 def test_two_steps_equal_one(spark, monkeypatch, groups):
     df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
@@ -49,6 +58,6 @@ def test_parts():
 def test_packing():
     keys = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert (C.unpack_keys(C.pack_keys(keys)) == keys).all() and len(C.unpack_keys(C.pack_keys(keys[:0]))) == 0
-    assert C._parted(C._joined([b"", b"abc", b"\x00" * 300])) == [b"", b"abc", b"\x00" * 300]
+    assert C.parted(C.joined([b"", b"abc", b"\x00" * 300])) == [b"", b"abc", b"\x00" * 300]
     chunks = np.array([5, 5, 9, 1 << 60])
     assert C._sources({"sources": C._pack_sources(chunks), "chunk": 0}, 0).tolist() == chunks.tolist() and C._sources({"sources": None, "chunk": 4}, 3).tolist() == [4, 4, 4]

@@ -172,11 +172,11 @@ ANSWERED_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk"
 _SOURCES = pa.field("sources", pa.binary())
 
 
-def _joined(blobs: list[bytes]) -> bytes:
+def joined(blobs: list[bytes]) -> bytes:
     return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
 
 
-def _parted(blob: bytes) -> list[bytes]:
+def parted(blob: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(blob):
         n = int.from_bytes(blob[at : at + 4], "little")
@@ -187,14 +187,14 @@ def _parted(blob: bytes) -> list[bytes]:
 
 def _pack_sources(chunks: np.ndarray) -> bytes:
     names, which = np.unique(chunks, return_inverse=True)
-    return _joined([pack(names), pack(which.astype("<u4"))])
+    return joined([pack(names), pack(which.astype("<u4"))])
 
 
 def _sources(row: dict, count: int) -> np.ndarray:
     """The chunk of each of a row's entries."""
     if row.get("sources") is None:
         return np.full(count, row["chunk"])
-    names, which = _parted(row["sources"])
+    names, which = parted(row["sources"])
     return unpack(names, "<i8")[unpack(which, "<u4")]
 
 
@@ -204,8 +204,8 @@ def _items(blob: bytes, count: int) -> np.ndarray:
     return raw.reshape(count, -1).view(f"V{max(1, len(raw) // max(1, count))}").ravel() if count else raw[:0].view("V1")
 
 
-def merged(asked: DataFrame, parts: Parts) -> DataFrame:
-    """What was asked, with a task for each part; rows with a negative chunk go to a group's first part."""
+def merged(asked: DataFrame, parts: Parts, ragged: bool = False) -> DataFrame:
+    """What was asked, with a task for each part; rows with a negative chunk go to a group's first part. With ragged the last column is bytes, as many for each key as the column before it says (uint32)."""
     if parts.per == 1:
         return asked.withColumn("sources", F.lit(None).cast("binary")).repartitionById(parts.total, "part")
 
@@ -216,16 +216,21 @@ def merged(asked: DataFrame, parts: Parts) -> DataFrame:
         if rows:
             group, keys = rows[0]["part"], [unpack_keys(r["keys"]) for r in rows]
             chunks = np.repeat([r["chunk"] for r in rows], [len(k) for k in keys])
-            columns = [np.concatenate(c) for c in zip(*([_items(x, len(k)) for x in _parted(r["more"])] for r, k in zip(rows, keys, strict=True)), strict=True)]
+            blobs = [parted(r["more"]) for r in rows]
+            columns = [np.concatenate(c) for c in zip(*([_items(x, len(k)) for x in (b[:-1] if ragged else b)] for b, k in zip(blobs, keys, strict=True)), strict=True)]
             keys = np.concatenate(keys)
             order = np.argsort(keys, kind="stable")  # a chunk's equal keys stay in their order
+            if ragged:
+                size = columns[-1].view("<u4").astype(np.int64)
+                body = np.concatenate([unpack(b[-1], "u1") for b in blobs])[A.ragged((np.cumsum(size) - size)[order], size[order])]
+                place = np.concatenate([[0], np.cumsum(size[order])])
             keys, chunks, columns = keys[order], chunks[order], [c[order] for c in columns]
             edges = np.array([((group * parts.per + f) << 64) // parts.total for f in range(parts.per)], np.uint64)
             first = np.append(np.searchsorted(keys, edges), len(keys))
             for f in range(parts.per):
                 own = slice(first[f], first[f + 1])
                 if first[f + 1] > first[f]:
-                    out.append({"part": group * parts.per + f, "chunk": key[0].as_py() % parts.per, "keys": pack_keys(keys[own]), "more": _joined([pack(c[own]) for c in columns]), "sources": _pack_sources(chunks[own])})
+                    out.append({"part": group * parts.per + f, "chunk": key[0].as_py() % parts.per, "keys": pack_keys(keys[own]), "more": joined([pack(c[own]) for c in columns] + ([pack(body[place[own.start] : place[own.stop]])] if ragged else [])), "sources": _pack_sources(chunks[own])})
         yield from _rows(out, ASKED_ARROW.append(_SOURCES))
         rows.clear()
         A.trim()
@@ -235,7 +240,7 @@ def merged(asked: DataFrame, parts: Parts) -> DataFrame:
     return slots.groupBy("slot").applyInArrow(regroup, f"{ASKED}, sources binary").repartitionById(parts.total, "part")
 
 
-def by_part(asked: DataFrame, parts: Parts, fn: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
+def by_part(asked: DataFrame, parts: Parts, fn: Callable[[list[dict]], Iterator[dict]], ragged: bool = False) -> DataFrame:
     """fn's answers for every part, given all that was asked of it. There are as many tasks as parts, so that tasks don't grow with the input."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +250,7 @@ def by_part(asked: DataFrame, parts: Parts, fn: Callable[[list[dict]], Iterator[
         rows.clear()
         A.trim()
 
-    judged = merged(asked, parts).groupBy("part").applyInArrow(run, f"{ANSWERED}, sources binary")
+    judged = merged(asked, parts, ragged).groupBy("part").applyInArrow(run, f"{ANSWERED}, sources binary")
     if parts.per == 1:
         return judged.drop("sources")
 
@@ -290,13 +295,13 @@ def ask(keys: np.ndarray, columns: list[np.ndarray], parts: Parts, number: int)
     for p in range(parts.groups):
         a, b = edge[p], edge[p + 1]
         if b > a:
-            yield {"part": p, "chunk": number, "keys": pack_keys(keys[a:b]), "more": _joined([pack(c[a:b]) for c in columns])}
+            yield {"part": p, "chunk": number, "keys": pack_keys(keys[a:b]), "more": joined([pack(c[a:b]) for c in columns])}
 
 
 def asked_of(rows: list[dict], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """keys, columns, chunk of each entry, ends of the rows."""
     keys = [unpack_keys(r["keys"]) for r in rows]
-    columns = [[unpack(x, kind) for x, kind in zip(_parted(r["more"]), kinds, strict=True)] for r in rows]
+    columns = [[unpack(x, kind) for x, kind in zip(parted(r["more"]), kinds, strict=True)] for r in rows]
     count = np.array([len(k) for k in keys])
     return np.concatenate(keys), [np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate([_sources(r, n) for r, n in zip(rows, count.tolist(), strict=True)]), np.cumsum(count)
 

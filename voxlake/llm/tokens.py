@@ -32,9 +32,9 @@ from . import chunks as C
 from . import pretokens
 
 CACHE = 150_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
 #: Bytes of pre-tokens that a part is to have, and slices that a chunk's list is kept in, so that no row is large.
-PART_BYTES, SLICES = 8 << 20, 16
+PART_BYTES, SLICES = 32 << 20, 16
 
 
 class Known(dict):
@@ -80,8 +80,8 @@ def library(content: bytes):
     return tokenizer
 
 
-def count_pieces(tokenizer, lists: list[tuple[bytes, bytes]]) -> list[bytes]:
-    """For (packed lengths, packed bytes) of pre-tokens, their packed numbers of pieces; each distinct pre-token is counted once."""
+def count_pieces(tokenizer, lists: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
+    """For (packed lengths, packed bytes) of pre-tokens, their numbers of pieces; each distinct pre-token is counted once."""
     seen: dict[bytes, int] = {}
     asked = []
     for lengths, body in lists:
@@ -95,7 +95,7 @@ def count_pieces(tokenizer, lists: list[tuple[bytes, bytes]]) -> list[bytes]:
         if len(part) == 5000 or at + len(part) == len(seen):
             pieces[at : at + len(part)] = [len(x) for x in tokenizer.encode_batch(part, add_special_tokens=False)]
             at, part = at + len(part), []
-    return [C.pack(pieces[x]) for x in asked]
+    return [pieces[x] for x in asked]
 
 
 def matches(pattern: str, text: str) -> str:
@@ -174,13 +174,23 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         _, packed, escaped = shared.value
         table = pretokens.read_classes(packed)
         special = re.compile(b"|".join(escaped)) if escaped else None
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        seen: dict[bytes, int] = {}  # the chunk's list, filled slice by slice
+        held: list[tuple] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            """The documents' frequencies, and the chunk's list in slices of hashes."""
-            rows = pa.Table.from_batches(held)
+        def add(rows: pa.RecordBatch) -> None:
             data, offsets = A.utf8(rows.column(1))
             tokens, pairs, which, times, count = frequencies(data, offsets, table, special)
+            number = np.array([seen.setdefault(t, len(seen)) for t in tokens], np.uint32)
+            held.append((rows.column(0), np.diff(offsets), pairs, number[which], times.astype(np.uint32), count))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The documents' frequencies, and the chunk's list in slices of hashes."""
+            ids = pa.concat_arrays([x[0] for x in held])
+            sizes, pairs, which, times, count = (np.concatenate([x[k] for x in held]) for k in range(1, 6))
+            tokens = list(seen)
+            seen.clear()
+            held.clear()
             hashes = _hashes(tokens)
             order = np.argsort(hashes, kind="stable")
             place = np.empty(len(order), np.int64)
@@ -191,9 +201,9 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             first = np.cumsum(pairs) - pairs
             steps = np.diff(which, prepend=0)
             steps[first[pairs > 0]] = which[first[pairs > 0]]
-            n = len(rows)
+            n = len(ids)
             full = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, -1, np.int32)), rows.column(0).combine_chunks(), pa.array(np.diff(offsets)), pa.array(count), _blobs(steps, pairs), _blobs(times, pairs), *(full(n, pa.binary()) for _ in range(3)), full(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, -1, np.int32)), ids, pa.array(sizes), pa.array(count), _blobs(steps, pairs), _blobs(times, pairs), *(full(n, pa.binary()) for _ in range(3)), full(n, pa.int64())], names=names)
             lists = []
             hashes, sent = hashes[order], [tokens[k] for k in order.tolist()]
             edge = C.key_parts(hashes, SLICES)
@@ -203,51 +213,50 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                     body = b"".join(own)
                     lists.append((k, C.pack_keys(hashes[edge[k] : edge[k + 1]]), C.pack(np.array(list(map(len, own)), "<u4")), C.pack(np.frombuffer(body, np.uint8)), len(body) + 4 * len(own)))
             n = len(lists)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([x[0] for x in lists], pa.int32()), full(n, rows.schema.field(0).type), full(n, pa.int64()), full(n, pa.int64()), full(n, pa.binary()), full(n, pa.binary()), *(pa.array([x[j] for x in lists], pa.binary()) for j in (1, 2, 3)), pa.array([x[4] for x in lists], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([x[0] for x in lists], pa.int32()), full(n, ids.type), full(n, pa.int64()), full(n, pa.int64()), full(n, pa.binary()), full(n, pa.binary()), *(pa.array([x[j] for x in lists], pa.binary()) for j in (1, 2, 3)), pa.array([x[4] for x in lists], pa.int64())], names=names)
 
         for batch in batches:
             _, offsets = A.utf8(batch.column(1))
-            for lo, hi in A.slices(offsets + 16 * np.arange(len(offsets)), chunk_bytes):
+            for lo, hi in A.slices(offsets + 16 * np.arange(len(offsets)), min(SLICE_BYTES, chunk_bytes)):
                 n = int(offsets[hi] - offsets[lo]) + 16 * (hi - lo)
                 if held and size + n > chunk_bytes:
                     yield from flush()
-                    chunk, held, size = chunk + 1, [], 0
-                held.append(batch.slice(lo, hi - lo))
+                    chunk, size = chunk + 1, 0
+                add(batch.slice(lo, hi - lo))
                 size += n
         if held:
             yield from flush()
-        held.clear()
         A.trim()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("__text"))
     chunks = C.bucketed(rows.mapInArrow(cut, f"chunk long, slice int, id {id_type}, n_bytes long, special long, which binary, times binary, hashes binary, lengths binary, tokens binary, n_list long"))
     lists = chunks.where("slice >= 0")
     total = lists.agg(F.sum("n_list")).first()[0] or 0
-    parts = max(C.partitions(docs.sparkSession), -(-total // part_bytes))
+    wanted = max(C.partitions(docs.sparkSession), -(-total // part_bytes))
+    parts = C.Parts.of(-(-wanted // SLICES) * SLICES)  # so that a part's keys of a chunk are in one slice
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                edge = C.key_parts(C.unpack_keys(r["hashes"]), parts)
-                lengths, tokens = C.unpack(r["lengths"], "<u4"), C.unpack(r["tokens"], "u1")
+                keys, lengths, tokens = C.unpack_keys(r["hashes"]), C.unpack(r["lengths"], "<u4"), C.unpack(r["tokens"], "u1")
+                edge = C.key_parts(keys, parts.groups)
                 at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                own = np.flatnonzero(edge[1:] > edge[:-1])
-                parted = [(int(p), C.pack(lengths[edge[p] : edge[p + 1]]), C.pack(tokens[at[edge[p]] : at[edge[p + 1]]])) for p in own]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parted], pa.int32()), *(pa.array([r[c]] * len(parted), kind) for c, kind in (("chunk", pa.int64()), ("slice", pa.int32()))), pa.array([x for _, x, _ in parted], pa.binary()), pa.array([x for _, _, x in parted], pa.binary())], names=["part", "chunk", "slice", "lengths", "tokens"])
-
-    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(r["chunk"], r["slice"], r["lengths"], r["tokens"]) for batch in batches for r in batch.to_pylist()]
-        found = count_pieces(library(shared.value[0]), [x[2:] for x in asked])
-        out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in asked], pa.int64()), pa.array([x[1] for x in asked], pa.int32()), pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["chunk", "slice", "part", "pieces"])
-        asked.clear()
-        A.trim()
-        yield out
+                out = []
+                for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                    a, b = edge[p], edge[p + 1]
+                    # the keys are only read where arrays are merged
+                    out.append({"part": p, "chunk": r["chunk"], "keys": C.pack_keys(keys[a:b]) if parts.per > 1 else b"", "more": C.joined([C.pack(lengths[a:b]), C.pack(tokens[at[a] : at[b]])])})
+                yield pa.RecordBatch.from_pydict({f.name: pa.array([x[f.name] for x in out], f.type) for f in C.ASKED_ARROW}, schema=C.ASKED_ARROW)
+
+    def count(rows: list[dict]) -> Iterator[dict]:
+        found = count_pieces(library(shared.value[0]), [C.parted(r["more"]) for r in rows])
+        yield from C.answer(1, rows, np.cumsum(list(map(len, found))), np.concatenate(found))
 
-    asked = lists.select("chunk", "slice", "hashes", "lengths", "tokens").mapInArrow(ask, "part int, chunk long, slice int, lengths binary, tokens binary")
-    told = asked.repartitionById(parts, "part").groupBy("part").applyInArrow(count, "chunk long, slice int, part int, pieces binary")
+    asked = lists.select("chunk", "hashes", "lengths", "tokens").mapInArrow(ask, C.ASKED)
+    told = C.by_part(asked, parts, count, ragged=True)
 
     def add(key: tuple[pa.Scalar, ...], mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        pieces = np.concatenate([C.unpack(r["pieces"], "<u4") for r in sorted(theirs.to_pylist(), key=lambda r: (r["slice"], r["part"]))] or [np.zeros(0, "<u4")]).astype(np.int64)
+        pieces = np.concatenate([C.unpack(r["answer"], "<u4") for r in sorted(theirs.to_pylist(), key=lambda r: r["part"])] or [np.zeros(0, "<u4")]).astype(np.int64)
         steps, pairs = _values(mine.column("which"))
         times, _ = _values(mine.column("times"))
         upto = np.concatenate([[0], np.cumsum(steps)])
