@@ -186,7 +186,40 @@ def test_sequential_operators(spark):
     got = {r.k: r.bin for r in sequential.least_loaded(plan, key="k", size="n", bins=2).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
     assert sequential.compact([5, 50, 5, 5, 60], 10, 100) == [0, 0, 1, 1, 2]
-    assert sequential.merge_short([(0, 1, 0, 50), (1.2, 2, 0, 3), (5, 6, 1, 2), (6.5, 9, 1, 40)], 5, 1.0) == [0, 0, 1, 1]
+
+
+def slow_merge_short(rows, least, gap):
+    """Group numbers of (start, end, speaker, words), one row after another."""
+    n = len(rows)
+    target = list(range(n))
+    for i, (start, end, speaker, words) in enumerate(rows):
+        if words < least:
+            if i and rows[i - 1][2] == speaker and start - rows[i - 1][1] <= gap:
+                target[i] = target[i - 1]
+            elif i + 1 < n and rows[i + 1][2] == speaker and rows[i + 1][0] - end <= gap:
+                target[i] = i + 1
+    for i in range(n - 1, -1, -1):
+        while target[target[i]] != target[i]:
+            target[i] = target[target[i]]
+    number = {t: k for k, t in enumerate(dict.fromkeys(target))}
+    return [number[t] for t in target]
+
+
+def test_short_rows_join_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    calls = {0: [(0.0, 1.0, 0, 50), (1.2, 2.0, 0, 3), (5.0, 6.0, 1, 2), (6.5, 9.0, 1, 40)]}
+    for k in range(1, 40):
+        t, rows = 0.0, []
+        for _ in range(int(rng.integers(1, 15))):
+            start = t + float(rng.choice([0.1, 0.5, 2.0]))
+            t = start + float(rng.choice([0.5, 1.0]))
+            rows.append((start, t, int(rng.integers(0, 2)), int(rng.integers(1, 10))))
+        calls[k] = rows
+    df = spark.createDataFrame([(k, *r) for k, rows in calls.items() for r in rows], "k int, s double, e double, who int, n int")
+    got: dict = {}
+    for r in sequential.merged_short(df, keys="k", start="s", end="e", speaker="who", words="n", least=5, gap=1.0).orderBy("k", "s").collect():
+        got.setdefault(r.k, []).append(r.unit)
+    assert got == {k: slow_merge_short(rows, 5, 1.0) for k, rows in calls.items()}
 
 
 @settings(max_examples=20, deadline=None)

@@ -97,32 +97,20 @@ def compacted(df: DataFrame, words: str, *, keys: str, order: str, least: int, m
     return df.groupBy(keys).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, unit int")
 
 
-def merge_short(rows: list[tuple[float, float, int, int]], least: int, gap: float) -> list[int]:
-    """Group numbers for (start, end, speaker, words): a short row joins the row before it if that has its speaker and ends within gap, else the one after on the same terms."""
-    n = len(rows)
-    target = list(range(n))
-    for i, (start, end, speaker, words) in enumerate(rows):
-        if words >= least:
-            continue
-        if i and rows[i - 1][2] == speaker and start - rows[i - 1][1] <= gap:
-            target[i] = target[i - 1]
-        elif i + 1 < n and rows[i + 1][2] == speaker and rows[i + 1][0] - end <= gap:
-            target[i] = i + 1
-    for i in range(n - 1, -1, -1):
-        while target[target[i]] != target[i]:
-            target[i] = target[target[i]]
-    number = {t: k for k, t in enumerate(dict.fromkeys(target))}
-    return [number[t] for t in target]
-
-
-def merged_short(df: DataFrame, *, keys: str, start: str, end: str, speaker: str, words: str, least: int, gap: float) -> DataFrame:
-    """The rows with column unit."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end])
-        return rows.assign(unit=merge_short(list(rows[[start, end, speaker, words]].itertuples(index=False, name=None)), least, gap))
-
-    return df.groupBy(keys).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, unit int")
+def merged_short(df: DataFrame, *, keys: str, start: str, end: str, speaker: str, words: str, least: int, gap: float, order: list | None = None) -> DataFrame:
+    """The rows with column unit: a row under ``least`` words joins the row before it if that has its speaker and ends within gap, else the one after on the same terms.
+
+    Joins are between neighbours, so units are the stretches between the places where neither of two neighbours joins the other.
+    """
+    w = Window.partitionBy(keys).orderBy(*(order or [start, end]))
+    short = F.coalesce(F.col(words) < least, F.lit(False))
+    close = F.coalesce((F.lag(speaker).over(w) == F.col(speaker)) & (F.col(start) - F.lag(end).over(w) <= gap), F.lit(False))
+    x = df.withColumn("__close", close).withColumn("__back", short & F.col("__close"))
+    ahead = F.coalesce(F.lead("__close").over(w), F.lit(False))
+    x = x.withColumn("__fore", short & ~F.col("__back") & ahead)
+    x = x.withColumn("__new", (~(F.col("__back") | F.coalesce(F.lag("__fore").over(w), F.lit(False)))).cast("int"))
+    unit = (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
+    return x.withColumn("unit", unit).drop("__close", "__back", "__fore", "__new")
 
 
 def log_emissions(*columns: Column) -> Column:

@@ -194,10 +194,14 @@ def compact_units(s: Source) -> DataFrame:
     return sequential.compacted(s.view("utterances").select("call_id", "turn", "num_words"), "num_words", keys="call_id", order="turn", least=40, most=200)
 
 
-@query("W24_merge_short")
+@query("W24_merge_short", f"""WITH {UTT}, u AS (SELECT call_id, turn, start_s, end_s, coalesce(speaker, -1) AS speaker, num_words FROM utterances),
+c AS (SELECT *, coalesce(lag(speaker) OVER w = speaker AND start_s - lag(end_s) OVER w <= 1, false) AS near FROM u WINDOW w AS (PARTITION BY call_id ORDER BY start_s, end_s, turn)),
+j AS (SELECT *, num_words < 20 AND near AS back, num_words < 20 AND NOT near AND coalesce(lead(near) OVER (PARTITION BY call_id ORDER BY start_s, end_s, turn), false) AS fore FROM c),
+n AS (SELECT *, CASE WHEN back OR coalesce(lag(fore) OVER (PARTITION BY call_id ORDER BY start_s, end_s, turn), false) THEN 0 ELSE 1 END AS new FROM j)
+SELECT call_id, turn, start_s, end_s, speaker, num_words, CAST(sum(new) OVER (PARTITION BY call_id ORDER BY start_s, end_s, turn ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS unit FROM n""")
 def merge_short(s: Source) -> DataFrame:
     u = s.view("utterances").select("call_id", "turn", "start_s", "end_s", F.coalesce("speaker", F.lit(-1)).alias("speaker"), "num_words")
-    return sequential.merged_short(u, keys="call_id", start="start_s", end="end_s", speaker="speaker", words="num_words", least=20, gap=1.0)
+    return sequential.merged_short(u, keys="call_id", start="start_s", end="end_s", speaker="speaker", words="num_words", least=20, gap=1.0, order=["start_s", "end_s", "turn"])
 
 
 @query("W25_merge_speaker", f"""WITH {TOP}, a AS (SELECT *, CASE WHEN row_number() {ONC} > 1 AND (supp_id % 2 <> lag(supp_id % 2) {ONC} OR start_s - lag(end_s) {ONC} > 5) THEN 1 ELSE 0 END AS new FROM call_topics), b AS (SELECT *, sum(new) OVER (PARTITION BY call_id ORDER BY line, part_id, supp_id, price ROWS UNBOUNDED PRECEDING) AS g FROM a)
