@@ -43,9 +43,9 @@ def test_words_keep_their_vectors_when_they_are_capitals_or_repeat():
 
     from voxlake.llm import arrays as A
 
-    rows, first, capitals, again = Q.token_rows(*A.utf8(pa.array(["the THE cat", "cat", "no, no"])))
+    rows, first, capitals, again, near = Q.token_rows(*A.utf8(pa.array(["the THE cat", "cat", "no, no"])))
     assert first.tolist() == [0, 3, 4, 7] and rows[0] == rows[1] and rows[2] == rows[3] and rows[4] == rows[6]
-    assert capitals.tolist() == [False, True] + [False] * 5 and again.tolist() == [False, True, False, False, False, False, True]
+    assert capitals.tolist() == [False, True] + [False] * 5 and again.tolist() == near.tolist() == [False, True, False, False, False, False, True]
 
 
 def slow_scores(docs, labels):
@@ -76,14 +76,17 @@ def slow_scores(docs, labels):
         vectors[r, places[r]] += signs[r] / np.sqrt(Q.NONZERO)
     out = {}
     for i, ws in cut.items():
-        x = np.zeros(Q.DIM + 3)
+        x = np.zeros(Q.DIM + 4)
         low = [w.lower() for w in ws]
         is_word = [w[:1].isalnum() or w[0] >= 0x80 for w in ws]
+        again = [k > 0 and low[k] == low[k - 1] or k > 1 and low[k] == low[k - 2] and not is_word[k - 1] for k in range(len(ws))]
         for k, w in enumerate(ws):
-            x[: Q.DIM] += vectors[known[w]] / len(ws)
+            if not again[k]:
+                x[: Q.DIM] += vectors[known[w]] / again.count(False)
             x[Q.DIM] += (w[:1].isalpha() and w[:1].isupper() and w[1:2].isupper()) / len(ws)
-            x[Q.DIM + 1] += (k > 0 and low[k] == low[k - 1] or k > 1 and low[k] == low[k - 2] and not is_word[k - 1]) / len(ws)
-        x[Q.DIM + 2] = log(1 + len(ws)) / 8
+            x[Q.DIM + 1] += again[k] / len(ws)
+            x[Q.DIM + 2] += (low[k] in low[max(0, k - 6) : k]) / len(ws)
+        x[Q.DIM + 3] = log(1 + len(ws)) / 8
         out[i] = x
     rows = [i for i in labels if i in out]
     network = Q.Network(np.array([out[i] for i in rows]), np.array([float(labels[i]) for i in rows]))

@@ -6,8 +6,8 @@ the whole corpus. Tokens are runs of word bytes or of punctuation, lower-cased.
 the vectors are one matrix of fixed size: each task sums its own, blocks of rows are summed
 after a shuffle, and the sum (4 MB whatever the input) is broadcast.
 
-A document's vector is the mean of its tokens' vectors, the shares of words in capitals and of words that repeat
-the one before, and the log of its length. A numpy network with one hidden layer learns from at most ``SAMPLE`` labelled rows (the
+A document's vector is the mean of its tokens' vectors, of tokens that repeat the one before only the first; the shares
+of words in capitals, of such repetitions and of tokens that stood up to ``NEAR`` places before; and the log of its length. A numpy network with one hidden layer learns from at most ``SAMPLE`` labelled rows (the
 least by hash of the id, a documented bound on rows as well as ids), in the order of that hash, so that
 scores do not depend on how the table is laid out; it holds a fifth back, and divides its logits
 by the temperature that fits those best.
@@ -33,7 +33,7 @@ from . import arrays as A
 ROWS, DIM, NONZERO, REACH = 1 << 14, 64, 4, 2
 BLOCK_ROWS = 1 << 10
 SAMPLE = 20_000
-HIDDEN = 32
+HIDDEN, NEAR, SHARES = 32, 6, 3
 
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[*range(0x21), 0x7F]] = 0
@@ -46,8 +46,8 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(rng.random((ROWS, DIM)), axis=1)[:, :NONZERO].astype(np.int64), rng.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
-def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The matrix rows of all tokens, each document's first token (n + 1), and which tokens are words in capitals and which repeat the word before."""
+def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix rows of all tokens, each document's first token (n + 1), and which tokens are words in capitals, which repeat the word before, and which one of the NEAR before."""
     kind = _CLASS[data]
     change = np.ones(len(kind), bool)
     change[1:] = kind[1:] != kind[:-1]
@@ -60,17 +60,17 @@ def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     hashes = A.words_hash(low, A.prefix(A.BYTE_VALUES[low]), starts, ends)
     first = np.searchsorted(starts, offsets)
     rows = (hashes >> np.uint64(50)).astype(np.int64)
-    capitals, again = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    capitals, again, near = (np.zeros(len(rows), bool) for _ in range(3))
     if len(starts):
         upper = (data >= 65) & (data <= 90)
         second = np.minimum(starts + 1, ends - 1)
         capitals = (ends - starts > 1) & upper[starts] & upper[second]
-        again[1:] = hashes[1:] == hashes[:-1]
-        again[2:] |= (hashes[2:] == hashes[:-2]) & (kind[starts[1:-1]] == 2)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        again[1:] &= doc[1:] == doc[:-1]
-        again[2:] &= doc[2:] == doc[:-2]
-    return rows, first, capitals, again
+        again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+        again[2:] |= (hashes[2:] == hashes[:-2]) & (doc[2:] == doc[:-2]) & (kind[starts[1:-1]] == 2)
+        for lag in range(1, min(NEAR, len(rows) - 1) + 1):
+            near[lag:] |= (hashes[lag:] == hashes[:-lag]) & (doc[lag:] == doc[:-lag])
+    return rows, first, capitals, again, near
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, signs: n
     total = np.zeros(ROWS * DIM)
     for lo, hi in A.slices(offsets, 4 << 20):
         a, b = offsets[lo], offsets[hi]
-        rows, first, _, _ = token_rows(data[a:b], offsets[lo : hi + 1] - a)
+        rows, first, _, _, _ = token_rows(data[a:b], offsets[lo : hi + 1] - a)
         doc = np.repeat(np.arange(hi - lo), np.diff(first))
         for o in range(1, REACH + 1):
             same = doc[o:] == doc[:-o]
@@ -119,23 +119,23 @@ def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Each document's vector: the mean over its tokens, the shares of capitals and repetitions, and the log of the tokens' number."""
-    out = np.zeros((len(offsets) - 1, DIM + 3), np.float32)
+    """Each document's vector: the mean over its tokens, the shares of capitals and of repetitions, and the log of the tokens' number."""
+    out = np.zeros((len(offsets) - 1, DIM + SHARES + 1), np.float32)
     for lo, hi in A.slices(offsets):
         a, b = offsets[lo], offsets[hi]
-        rows, first, capitals, again = token_rows(data[a:b], offsets[lo : hi + 1] - a)
+        rows, first, capitals, again, near = token_rows(data[a:b], offsets[lo : hi + 1] - a)
         n = np.diff(first)
         full = n > 0
         if full.any():
-            at = first[:-1][full]
+            at, counted = first[:-1][full], (~again).astype(np.float32)
             if hi - lo == 1:  # one long document: by parts
-                total = sum(vectors[rows[k : k + 100_000]].sum(axis=0, dtype=np.float64) for k in range(0, len(rows), 100_000))[None, :]
+                total = sum((vectors[rows[k : k + 100_000]] * counted[k : k + 100_000, None]).sum(axis=0, dtype=np.float64) for k in range(0, len(rows), 100_000))[None, :]
             else:
-                total = np.add.reduceat(vectors[rows], at, axis=0)
-            out[lo:hi][full, :DIM] = total / n[full, None]
-            for k, flags in enumerate((capitals, again)):
+                total = np.add.reduceat(vectors[rows] * counted[:, None], at, axis=0)
+            out[lo:hi][full, :DIM] = total / np.add.reduceat(counted, at)[:, None]  # a document's first token is counted
+            for k, flags in enumerate((capitals, again, near)):
                 out[lo:hi][full, DIM + k] = np.add.reduceat(flags.astype(np.int64), at) / n[full]
-        out[lo:hi, DIM + 2] = np.log1p(n) / 8
+        out[lo:hi, DIM + SHARES] = np.log1p(n) / 8
     return out
 
 
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, id_col: str
     got = vectors_of.orderBy(F.xxhash64("i"), "i", "x").limit(sample).select("y", "x").collect()
     if not got:
         return Constant()
-    x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, DIM + 3).astype(np.float64)
+    x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, DIM + SHARES + 1).astype(np.float64)
     return Network(x, np.array([r.y for r in got]))
 
 
