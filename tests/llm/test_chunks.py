@@ -61,3 +61,14 @@ def test_packing():
     assert C.parted(C.joined([b"", b"abc", b"\x00" * 300])) == [b"", b"abc", b"\x00" * 300]
     chunks = np.array([5, 5, 9, 1 << 60])
     assert C._sources({"sources": C._pack_sources(chunks), "chunk": 0}, 0).tolist() == chunks.tolist() and C._sources({"sources": None, "chunk": 4}, 3).tolist() == [4, 4, 4]
+
+
+def test_buckets_grow_with_the_files(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = C.read_bytes(docs)
+    assert size > 500_000 and C.read_bytes(docs.select("doc_id").where("doc_id > 5").mapInArrow(lambda x: x, "doc_id long")) == size
+    assert C.read_bytes(spark.range(5)) < 1000
+    assert C.read_bytes(spark.sparkContext.parallelize([(1, "a")]).toDF(["doc_id", "text"])) < 1 << 60
+    monkeypatch.setattr(C, "BUCKET_BYTES", size // 40)
+    table, _ = C.chunked(docs, text_col="text", id_col="doc_id", chunk_bytes=20_000, part_bytes=1 << 20)
+    assert table.groupBy("chunk").count().rdd.getNumPartitions() >= 40 and table.count() == docs.count()

@@ -31,6 +31,8 @@ from voxlake.storage import shared_folder
 from . import arrays as A
 
 CHUNK_BYTES = 8 << 20
+#: Bytes of input files that a bucket is to have.
+BUCKET_BYTES = 32 << 20
 #: What a row counts for besides its text, so that a chunk's rows are bounded too.
 ROW_BYTES = 16
 GROUPS = 512
@@ -64,10 +66,19 @@ class Parts(NamedTuple):
         return self.groups * self.per
 
 
+def read_bytes(df: DataFrame) -> int:
+    """What the files that a plan reads have in all, without reading them; what is not known counts for nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def bucketed(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet files in the shared folder that are bucketed by chunk."""
+    """The same rows, read back from Parquet files in the shared folder that are bucketed by chunk. A bucket is a task of every later pass, so buckets are as many as the input's size needs."""
     spark, name = df.sparkSession, f"voxlake_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", shared_folder(spark)).bucketBy(max(8, 2 * partitions(spark)), "chunk").saveAsTable(name)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    buckets = min(most, max(8, 2 * partitions(spark), read_bytes(df) // BUCKET_BYTES))
+    df.write.format("parquet").option("compression", "zstd").option("path", shared_folder(spark)).bucketBy(buckets, "chunk").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files are read by their place, not through the catalog
     return table
