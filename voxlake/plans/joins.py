@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import numpy as np
@@ -694,6 +695,8 @@ def database(s: Source) -> tuple[str, str, dict[str, str]]:
     """Address, a table's name and options of a database: that of spark.voxlake.jdbc.url, else one in this process's memory, which does where there are no executors."""
     name = f"t_{uuid.uuid4().hex}"
     url = s.spark.conf.get("spark.voxlake.jdbc.url", None)
+    if not url:
+        s.spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)  # else it leaves a log in the working folder
     return (url, name, {}) if url else ("jdbc:derby:memory:voxlake;create=true", name, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
 
 
