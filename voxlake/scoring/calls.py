@@ -53,14 +53,16 @@ def compliance_score() -> Column:
 
 
 def script_score(topics: DataFrame) -> DataFrame:
-    """Topic flags with d3: completeness, and the share of topic pairs in the script's order."""
-    first = topics.groupBy("call_id", "ordinal").agg(F.min("start_s").alias("t"))
-    seen = first.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("t", "ordinal"))).alias("o"))
-    order = F.transform("o", lambda x: x.ordinal)
-    n = F.size("o")
-    right = F.aggregate(F.transform(order, lambda x, i: F.size(F.filter(F.slice(order, i + 2, F.greatest(n, F.lit(1))), lambda y: y > x))), F.lit(0), lambda a, b: a + b)
-    tau = seen.select("call_id", F.coalesce(F.try_divide(right, n * (n - 1) / 2), F.lit(0.0)).alias("tau"))
-    return topic_flags(topics).join(tau, "call_id").withColumn("d3", 6 * required_count() / 6.0 + 4 * F.col("tau"))
+    """Topic flags with d3: completeness, and the share of topic pairs in the script's order of their first places. One grouping by call."""
+    places = range(len(SCRIPT_ORDER))
+    x = topics.groupBy("call_id").agg(*(F.bool_or(F.col("label") == t).alias(f"f{k}") for k, t in enumerate(SCRIPT_ORDER)), *(F.min(F.when(F.col("ordinal") == k, F.col("start_s"))).alias(f"__t{k}") for k in places))
+    firsts = F.array(*(F.struct(F.col(f"__t{k}").alias("t"), F.lit(k).alias("ordinal")) for k in places))
+    order = F.transform(F.array_sort(F.filter(firsts, lambda x: x.t.isNotNull())), lambda x: x.ordinal)
+    x = x.withColumn("__o", order).drop(*(f"__t{k}" for k in places))
+    n = F.size("__o")
+    right = F.aggregate(F.transform("__o", lambda x, i: F.size(F.filter(F.slice("__o", i + 2, F.greatest(n, F.lit(1))), lambda y: y > x))), F.lit(0), lambda a, b: a + b)
+    x = x.withColumn("tau", F.coalesce(F.try_divide(right, n * (n - 1) / 2), F.lit(0.0))).drop("__o")
+    return x.withColumn("d3", 6 * required_count() / 6.0 + 4 * F.col("tau"))
 
 
 def engagement_score() -> Column:
