@@ -61,8 +61,10 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply replies disqus discussion pagination pager search widget skip copyright".split()
 )
 #: Words that may stand beside them in one name: site-nav, comment-list; but not has-sidebar, share-price-story.
-BESIDE = frozenset("site page main top bottom left right primary secondary global local inner outer section sections list area box block wrapper wrap container content panel bar item items group row column col links link buttons button form post article entry user reader text message body title head inline sticky fixed mobile desktop".split())
+BESIDE = frozenset("site page main top bottom left right primary secondary global local inner outer section sections list area box block wrapper wrap container content panel bar item items group row column col links link buttons button form post article entry user reader text message body title head inline sticky fixed mobile desktop slot unit units posts articles stories tags author toggle icon icons label labels count counter strip zone placement frame media network networks follow print email thread threads add new all show hide open close accept policy privacy meta nested child children depth even odd alt more also us by via on this your".split())
 PAGE_ONLY = frozenset(["header", "masthead"])
+#: What a header with such a word is the header of: no boilerplate.
+OWN = frozenset("article post entry story content".split())
 
 
 def host_of(url: str | None) -> str:
@@ -84,6 +86,7 @@ class Node:
 def _is_name(name: str, inside: bool) -> bool:
     """Whether a class name or id says boilerplate: all its words do, or stand beside one that does."""
     parts = _PART.findall(name)
+    inside = inside or not OWN.isdisjoint(parts)
     return bool(parts) and any(p in NAMES and not (inside and p in PAGE_ONLY) for p in parts) and all(p in NAMES or p in BESIDE for p in parts)
 
 
