@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, language, lm, near, nearest, quality, repeats, sql, tokens
+from . import bpe, centroids, decontaminate, html, language, lm, near, nearest, quality, repeats, sql, tokens
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CODEC_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,5 +58,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), CODEC_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_repeats, op3_lm, op4_quality, op5_near, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op5_near": sql.NEAR, "op9_decontaminate": sql.DECONTAMINATE}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_repeats, op3_lm, op4_quality, op5_near, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe, op11_centroids)}
+ORACLE_SQL: dict[str, str] = {"op5_near": sql.NEAR, "op9_decontaminate": sql.DECONTAMINATE, "op11_centroids": sql.CENTROIDS}

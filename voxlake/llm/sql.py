@@ -27,3 +27,25 @@ k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x),
 m AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS is_first FROM k LEFT JOIN m USING (doc_id)
 """
+
+
+def _rounds(count: int) -> str:
+    """Assignments a0, a1, ... to centroids c0, c1, ...; the last assignment is to c{count}."""
+    out = []
+    for k in range(count + 1):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT rn, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min({{'d': list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v.v, c.v)]), 'c': c.c}}) AS m FROM v, c{k} c GROUP BY rn)""")
+        if k < count:
+            out.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(any_value(n.v), any_value(c.v)) AS v FROM c{k} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+      FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{k}) GROUP BY c, i) GROUP BY c) n USING (c) GROUP BY c.c)""")
+    return ",\n".join(out)
+
+
+CENTROIDS = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT) FOR x IN embedding] AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, vec_id, v FROM v ORDER BY h LIMIT 8)),
+{_rounds(10)},
+s AS (SELECT m.c AS c, sum(m.d) AS s FROM a10 GROUP BY m.c)
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(s.s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(s) FROM s) AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a10 JOIN s ON s.c = a10.m.c JOIN c10 c ON c.c = a10.m.c
+"""
