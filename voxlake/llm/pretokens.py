@@ -112,7 +112,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.nd
 class Distinct:
     """The distinct pre-tokens of some rows, in the order of their hashes: their bytes; which of them each pre-token is; each row's first (n + 1)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cut=cut):
         found: list[tuple[np.ndarray, ...]] = []
         for lo, hi in A.slices(offsets):
             a, b = offsets[lo], offsets[hi]

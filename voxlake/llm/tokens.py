@@ -40,12 +40,13 @@ PART_BYTES, SLICES = 32 << 20, 16
 class Known(dict):
     """A bounded table of what is known about strings: what is looked up stays, what is not ages out."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = CACHE) -> None:
         self.older: dict = {}
+        self.most = most
 
     def missing(self, strings: list[bytes]) -> list[bytes]:
         """Those that must be worked out; the others are in the table after this."""
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         older, out = self.older, []
