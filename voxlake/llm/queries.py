@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, decontaminate, html, language, lm, near, nearest, packing, quality, repeats, sql, tokens
+from . import bpe, centroids, decontaminate, html, language, lm, near, nearest, packing, phrases, quality, repeats, sql, tokens
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -67,5 +67,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_repeats, op3_lm, op4_quality, op5_near, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe, op11_centroids, op12_packing)}
-ORACLE_SQL: dict[str, str] = {"op5_near": sql.NEAR, "op9_decontaminate": sql.DECONTAMINATE, "op11_centroids": sql.CENTROIDS}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_repeats, op3_lm, op4_quality, op5_near, op6_token_counts, op7_nearest, op8_html, op9_decontaminate, op10_bpe, op11_centroids, op12_packing, op13_phrases)}
+ORACLE_SQL: dict[str, str] = {"op5_near": sql.NEAR, "op9_decontaminate": sql.DECONTAMINATE, "op11_centroids": sql.CENTROIDS, "op13_phrases": sql.PHRASES}
