@@ -58,7 +58,7 @@ f AS MATERIALIZED (SELECT lang, m, w[i:i + m - 1] AS w, count(*) AS f FROM (SELE
 inside AS (SELECT lang, w[i:i + j - 1] AS w, max(f) AS f FROM (SELECT lang, w, f, j, unnest(range(1, len(w) - j + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS j) WHERE len(w) > j) GROUP BY ALL),
 c AS (SELECT f.lang, f.w, f.m, f.f AS a FROM f LEFT JOIN inside i USING (lang, w) WHERE f.m > 1 AND (i.f IS NULL OR 100 * i.f < 100 * f.f)),
 s AS (SELECT c.lang, c.w, c.a, n.n, k, x.f AS l, y.f AS r, (1000 * CAST(c.a AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
-      FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:m]),
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:c.m]),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
 o AS (SELECT *, array_to_string(w, ' ') AS phrase FROM b)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o
