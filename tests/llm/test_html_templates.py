@@ -107,7 +107,7 @@ def test_long_deep_pages_take_linear_time():
         ("<aside><article>Teaser</article></aside><div><p>The story is longer than the teaser.</p></div>", "The story is longer than the teaser."),
         ('<main><p>Story</p><div id="comments-area"><article class="comment-body">Me too</article></div></main>', "Story"),
         ('<div class="comment-list">Me too</div><div class="site-nav">Menu</div><div class="cookie-banner">We use</div><div class="post-comments">x</div><p>Story</p>', "Story"),
-        ('<div class="ad-slot-3">Buy</div><div class="related-stories">More</div><ul class="share_buttons"><li>Share</ul><div id="comments-12">x</div><div class="article-header"><h1>Title</h1></div><p>Story</p>', "Title\nStory"),
+        ('<div class="ad-slot-3">Buy</div><div class="nav-stories">More</div><ul class="share_buttons"><li>Share</ul><div id="comments-12">x</div><div class="article-header"><h1>Title</h1></div><p>Story</p>', "Title\nStory"),
         ('<div class="sharepoint commentary navigator">Kept</div><div class="search-results">Kept</div><p>Story</p>', "Kept\nKept\nStory"),
         ('<div hidden><article>Not shown</article></div><p>Story</p>', "Story"),
         ("<body><form><p>Your name</p></form><p>Story</p>", "Story"),

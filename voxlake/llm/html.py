@@ -4,9 +4,12 @@ Pass one parses each page, hashes the subtree of every container element, childr
 tags, its normalised text and its children's hashes), and counts, in Spark, on how many pages of a host each hash stands: a
 task sums the counts of its batch before the shuffle, so a host with a third of all pages
 sends one row for each batch and hash. Pass two parses again and leaves out subtrees that
-recur on at least ``MIN_PAGES`` pages, however many the host has. By their
+recur on at least ``MIN_PAGES`` pages, however many the host has: a table that five pages of a large host quote is taken for
+one too, where no article element holds it. By their
 meaning, it leaves out menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, told by element, role, or whole names of class and id. If what remains
+scripts, styles and reader comments, told by element and role, and containers also by whole names of class and id, within an
+article only those of adverts and comments. Names that an article's parts may have as well (notice, search, related, discussion) say nothing: such blocks go if they recur.
+Elements that are not shown go. If what remains
 has article or main elements, the text is theirs; a form or the like around the whole page does not take its article away. An article itself, its parts, what contains one,
 and what holds most of a page's text are never taken for a template, nor are the parts of such a
 block if it recurs itself, nor those of a page that recurs as a whole unless they stand on other
@@ -33,21 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
+from .markup import attributes, tags
 from .tokens import batches_of_texts
 
 MIN_PAGES = 5
 BROADCAST_ROWS = 500_000
 SALTS = 32
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-z][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split())
@@ -56,15 +51,18 @@ IMPLIED = frozenset("p li dt dd tr option".split())
 SPACES = frozenset("br td th img".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu object applet canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class names and ids that name boilerplate.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply replies disqus discussion pagination pager search widget skip copyright".split()
-)
+#: Words of class names and ids that name boilerplate, where they are all of a name or stand beside words of BESIDE.
+NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs sidebar footer header masthead notification popup modal overlay newsletter subscribe subscription signup share sharing comment comments disqus pagination pager widget".split())
+#: Those of them that also mark a part of an article.
+INSIDE = frozenset("ad ads advert adverts advertisement adsense comment comments disqus".split())
 #: Words that may stand beside them in one name: site-nav, comment-list; but not has-sidebar, share-price-story.
-BESIDE = frozenset("site page main top bottom left right primary secondary global local inner outer section sections list area box block wrapper wrap container content panel bar item items group row column col links link buttons button form post article entry user reader text message body title head inline sticky fixed mobile desktop slot unit units posts articles stories tags author toggle icon icons label labels count counter strip zone placement frame media network networks follow print email thread threads add new all show hide open close accept policy privacy meta nested child children depth even odd alt more also us by via on this your".split())
+BESIDE = frozenset("site page main top bottom left right primary secondary global local inner outer section sections list area box block wrapper wrap container content panel bar item items group row column col links link buttons button form post article entry user reader text message body title head inline sticky fixed mobile desktop slot unit units posts articles stories tags author toggle icon icons label labels count counter strip zone placement frame media network networks follow print email thread threads add new all show hide open close accept policy privacy cookie cookies consent gdpr social related search login notice discussion meta nested child children depth even odd alt more also us by via on this your".split())
+#: Two of these in one name make it that of a notice.
+NOTICES = frozenset("cookie cookies consent gdpr privacy notice".split())
 PAGE_ONLY = frozenset(["header", "masthead"])
 #: What a header with such a word is the header of: no boilerplate.
 OWN = frozenset("article post entry story content".split())
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*+(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)\s*+(?:!|;|$)", re.I)
 
 
 def host_of(url: str | None) -> str:
@@ -84,26 +82,27 @@ class Node:
 
 
 def _is_name(name: str, inside: bool) -> bool:
-    """Whether a class name or id says boilerplate: all its words do, or stand beside one that does."""
+    """Whether a class name or id says boilerplate: all its words do, or stand beside one that does. inside: of an article."""
     parts = _PART.findall(name)
-    inside = inside or not OWN.isdisjoint(parts)
-    return bool(parts) and any(p in NAMES and not (inside and p in PAGE_ONLY) for p in parts) and all(p in NAMES or p in BESIDE for p in parts)
+    own = inside or not OWN.isdisjoint(parts)
+    if not inside and len(NOTICES.intersection(parts)) > 1:
+        return all(p in NAMES or p in BESIDE for p in parts)
+    return bool(parts) and any(p in (INSIDE if inside else NAMES) and not (own and p in PAGE_ONLY) for p in parts) and all(p in NAMES or p in BESIDE for p in parts)
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is boilerplate by its meaning, and whether it is hidden."""
     mark, hidden = tag in DROPPED or tag == "header" and not inside, False
-    if attrs:
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" and m[0].lower() == "hidden" or name == "aria-hidden" and value == "true":
-                hidden = True
-            elif name == "role":
-                mark = mark or value in ROLES
-            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                mark = mark or any(_is_name(x, inside) for x in value.split())
-            elif name in ("class", "id") and tag == "article":  # many sites make each reader comment an article
-                mark = mark or any(x.split("-")[0].split("_")[0] in ("comment", "reply") for x in value.split())
+    for name, value in attributes(attrs) if attrs else ():
+        value = value.lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
+            hidden = True
+        elif name == "role":
+            mark = mark or value in ROLES
+        elif name in ("class", "id") and tag in CONTAINERS:
+            mark = mark or any(_is_name(x, inside) for x in value.split())
+        elif name in ("class", "id") and tag == "article":  # many sites make each reader comment an article
+            mark = mark or any(x.split("-")[0].split("_")[0] in ("comment", "reply") for x in value.split())
     return mark, hidden
 
 
@@ -117,14 +116,12 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
         here.items.append(t)
         here.chars += len(t)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, end, tag, closes, attrs in tags(page):
+        if start > at:
+            text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in BLOCKS:
             if here.tag in IMPLIED and (here.tag == tag or here.tag == "p"):
                 open_[here.tag] -= 1
@@ -133,15 +130,15 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
             here.items.append((tag,))
         elif tag in SPACES:
             text(" ")
-        if m["end"]:
+        if closes:
             if open_[tag] > 0:
                 while here.tag != tag:
                     open_[here.tag] -= 1
                     here = here.parent
                 open_[tag] -= 1
                 here = here.parent
-        elif tag not in VOID and not m["attrs"].endswith("/"):
-            mark, hidden = _boilerplate(tag, m["attrs"], here.article)
+        elif tag not in VOID and not attrs.endswith("/"):
+            mark, hidden = _boilerplate(tag, attrs, here.article)
             if mark or hidden or tag in CONTAINERS or tag in ("article", "main", "body", "html"):
                 node = Node(tag, here, mark, hidden, here.article or tag in ("article", "main"))
                 here.items.append(node)

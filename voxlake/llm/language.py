@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import chunks as C
-from .html import _TOKEN as TOKEN
 from .html import BLOCKS, extract, host_of
+from .markup import attributes, tags
 from .tokens import batches_of_texts
 
 BITS, LANGUAGES = 14, 2048
@@ -40,24 +40,22 @@ BITS, LANGUAGES = 14, 2048
 TEMPER = 1 / 3
 HOST_WEIGHT, SITE_WEIGHT, EVIDENCE_WEIGHT = 5.0, 20.0, 10.0
 
-_LANG = re.compile(r"(?:^|\s)(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])", re.I)
-_META = re.compile(r"http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])", re.I)
+_CODE = re.compile(r"\s*+([a-z]{2,3})(?![a-z])", re.I)
 
 
 def declared(page: str) -> str:
     """The primary subtag that the markup declares, or "": that of the html element, else of a meta element in the head. Comments, scripts and the body declare nothing."""
     meta = ""
-    for m in TOKEN.finditer(page):
-        tag = (m["tag"] or "").lower()
+    for _, _, tag, closes, attrs in tags(page):
         if not tag:
             continue
-        if tag == "html" and not m["end"]:
-            if found := _LANG.search(m["attrs"]):
+        if tag in ("html", "meta") and not closes:
+            own = dict(reversed([*attributes(attrs)]))  # of two of one name the first counts
+            found = _CODE.match(next((own[c] for c in ("lang", "xml:lang") if _CODE.match(own.get(c, ""))), "") if tag == "html" else own.get("content", "") if own.get("http-equiv", "").strip().lower() == "content-language" else "")
+            if found and tag == "html":
                 return found[1].lower()
-        elif tag == "meta" and not meta:
-            if found := _META.search(m["attrs"]):
-                meta = found[1].lower()
-        elif tag in BLOCKS and tag != "head" or m["end"] and tag == "head":
+            meta = meta or (found[1].lower() if found else "")
+        elif tag in BLOCKS and tag != "head" or closes and tag == "head":
             break
     return meta
 
