@@ -737,6 +737,57 @@ def report(s: Source) -> DataFrame:
     return tables.read_csv(s.spark, path, f"id {n.schema['id'].dataType.simpleString()}, name string")
 
 
+@query("S04b_spreadsheets", "SELECT conv_id AS call_id, turn, role AS speaker, text FROM conversations WHERE text IS NULL OR length(text) <= 32767")
+def memory_spreadsheets(s: Source) -> DataFrame:
+    """Transcripts of the second kind: JSON to sentences, to spreadsheets, and back. A sentence that no cell holds can't go into a spreadsheet."""
+    from voxlake.sources import spreadsheets
+    from voxlake.storage import shared_folder
+
+    rows = transcripts.sentences(transcripts.parse(transcripts.nested(s.table("conversations")))).where("text is null or length(text) <= 32767")
+    path = shared_folder(s.spark)
+    spreadsheets.write(rows, path)
+    return spreadsheets.read(s.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+@query("S06b_script_sheets", "SELECT p_brand AS cluster, p_name || ' ' || p_type AS phrase, count(*) AS n FROM part GROUP BY 1, 2")
+def script_sheets(s: Source) -> DataFrame:
+    """Grading scripts as spreadsheets whose columns are told apart by name and by length."""
+    from voxlake.sources import spreadsheets, tables
+    from voxlake.storage import shared_folder
+
+    path = shared_folder(s.spark)
+    spreadsheets.write(s.table("part").select(F.col("p_size").alias("Size"), F.col("p_brand").alias("Topic"), F.concat_ws(" ", "p_name", "p_type").alias("Texto")), path, sheet="Matriz")
+    df = spreadsheets.read(s.spark, path, sheet="Matriz")
+    found = tables.script_columns(df)
+    return df.groupBy(F.col(found["cluster"]).alias("cluster"), F.col(found["phrase"]).alias("phrase")).agg(F.count("*").alias("n"))
+
+
+@query("K01b_spreadsheet_dump", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS shipped, round(l_extendedprice, 2) AS price, l_returnflag = 'R' AS returned FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")
+def spreadsheet_dump(s: Source) -> DataFrame:
+    """A stage's table as spreadsheets of at most 10,000 rows, with dates, numbers and truth values, read back with its types."""
+    from voxlake.sources import spreadsheets
+    from voxlake.storage import shared_folder
+
+    x = s.table("lineitem").where(F.col("l_shipdate") < F.lit("1996-01-01 00:00:00").cast(s.table("lineitem").schema["l_shipdate"].dataType))
+    x = x.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("shipped"), F.round("l_extendedprice", 2).alias("price"), (F.col("l_returnflag") == "R").alias("returned"))
+    path = shared_folder(s.spark)
+    spreadsheets.write(x, path, rows_per_file=10_000)
+    return spreadsheets.read(s.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema))
+
+
+@query("K09b_sheet_report", "SELECT n_nationkey AS id, n_name AS name, CAST(NULL AS VARCHAR) AS remark FROM nation WHERE n_regionkey IN (1, 2)")
+def sheet_report(s: Source) -> DataFrame:
+    """A spreadsheet that replaces an older one, and rows added to it."""
+    from voxlake.sources import spreadsheets
+    from voxlake.storage import shared_folder
+
+    path = shared_folder(s.spark)
+    n = s.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("remark"), "n_regionkey").coalesce(1)
+    for region, append in ((0, False), (1, False), (2, True)):
+        spreadsheets.write(n.where(F.col("n_regionkey") == region).drop("n_regionkey"), path, append=append)
+    return spreadsheets.read(s.spark, path, f"id {n.schema['id'].dataType.simpleString()}, name string, remark string")
+
+
 @query("S17_pdf_scripts", r"SELECT item_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\x20-\x7E]', '', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> ''), ' ') AS text FROM benchmark")
 def pdf_scripts(s: Source) -> DataFrame:
     """Scripts as PDF files, written and read."""
