@@ -1,7 +1,7 @@
 """Collocations by growing contiguous phrases to the right from the occurrences of frequent prefixes.
 
-1. Each chunk of documents asks the corpus how often its words stand in a language; words that are too rare end a phrase.
-2. The occurrences of each frequent word, with the up to four frequent words that follow in their piece, are projected to the
+1. Each chunk of documents asks the corpus how often its words stand in a language, and then its pairs of common words; a pair that is too rare ends a phrase.
+2. The occurrences of each frequent word, with the up to four words that follow by common pairs in their piece, are projected to the
    task that the word is dealt to, equal ones of a chunk as one with their number. There the occurrences are pointers into a
    table: those of a prefix are parted by the next word, and each part that is large enough is extended in its turn, depth first.
 3. A prefix with more than ``HOT`` occurrences isn't dealt to one task: the corpus is asked how often its extensions stand, and each is a
@@ -11,8 +11,8 @@
    are all that can be needed to see whether a longer phrase covers it, since a phrase in between stands no less often. The
    best of each language are found in shares first.
 
-Texts don't move. Keys of 64 bits only say where a prefix goes and which words are too rare to ask further; what is
-counted are the words themselves.
+Texts don't move. Keys of 48 bits only say where a prefix goes and which pairs are too rare to follow (prefixes that share one are
+taken for more frequent than they are, which prunes less); what is counted are the words themselves.
 
 Defined results: a null or empty text has no words; a null lang is ``und``; repeated rows count each; an empty table gives no rows;
 documents of null id count; other columns are ignored. Arithmetic is in decimals of 38 digits; a score that a long can't hold is an error.
@@ -42,6 +42,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
+#: What of a key is sent: it only has to tell the corpus's prefixes apart by and large.
+KEY = np.uint64(0xFFFFFFFFFFFF0000)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,33 +152,38 @@ class Occurrences:
         #: Whether the next word follows in the same piece.
         self.joined = np.zeros(n, bool)
         self.joined[:-1] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
-        #: By depth: the occurrences (their first words' places) that are asked about, their distinct keys, and the key that each has.
-        self.asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        #: By depth: the occurrences of prefixes that are dealt to tasks, and of hot ones, with their keys.
+        #: By depth: the distinct keys that are asked about, and which of them each occurrence asks about.
+        self.asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: By depth: the occurrences (their first words' places) of prefixes that are dealt to tasks, and of hot ones, with their keys.
         self.dealt: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.hot: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.arange(n), named[self.lang])}
-        self.common = np.zeros(n, bool)
-        at, keys = np.arange(n), self.hash
+        #: Whether a word is common, and whether it makes a common pair with the next.
+        self.common = self.pair = np.zeros(n, bool)
+        at, keys, split = np.arange(n), self.hash, np.ones(n, bool)
         for depth in range(1, WORDS):
-            own, which = np.unique(keys, return_inverse=True)
-            self.asked[depth] = (at, own, which)
+            own, which = np.unique(keys & KEY, return_inverse=True)
+            self.asked[depth] = own, which
             if depth > answered:
                 return
             number = np.concatenate([C.unpack(x, "<u8") for x in got.get(depth, [])] or [np.zeros(0, "<u8")]).astype(np.int64)[which]
-            if depth == 1:
-                self.common = number >= least
-            self.dealt[depth] = at[(number >= least) & (number <= hot)], keys[(number >= least) & (number <= hot)]
-            at, keys = at[number > hot], keys[number > hot]
-            self.hot[depth] = at, keys
+            common, many = number >= least, number > hot
+            if depth < 3:
+                seen = np.zeros(n, bool)
+                seen[at[common]] = True
+                self.common, self.pair = (seen, self.pair) if depth == 1 else (self.common, seen)
+            self.dealt[depth] = at[split & common & ~many], keys[split & common & ~many]
+            self.hot[depth] = at[split & many], keys[split & many]
+            on = common if depth == 1 else split & many  # of all pairs it must be known whether they are common
+            at, keys, split = at[on], keys[on], (split & many)[on]
             on = at + depth < n
-            on[on] = self.joined[at[on] + depth - 1] & self.common[at[on] + depth]
-            at, keys = at[on], keys[on]
+            on[on] = (self.joined & np.append(self.common[1:], False))[at[on]] if depth == 1 else self.pair[at[on] + depth - 1]
+            at, keys, split = at[on], keys[on], split[on]
             keys = chained(keys, self.hash[at + depth])
         self.dealt[WORDS] = at, keys
 
     def ask(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys of a depth and how often each stands here."""
-        _, keys, which = self.asked[depth]
+        keys, which = self.asked[depth]
         return keys, np.bincount(which, minlength=len(keys)).astype("<u8")
 
     def project(self) -> Rows:
@@ -192,13 +199,13 @@ class Occurrences:
             word = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)], np.int64)
             strings = list(seen)
         word = (word + 1).astype(np.uint32)
-        # the words that follow, up to one that is too rare
+        # the words that follow, as long as pairs are common
         follow = np.zeros((1 + WORDS, n), np.uint32)
         follow[0], follow[1] = self.lang, word
-        whole, alive = self.hash.copy(), self.common.copy()
+        whole, alive = self.hash.copy(), np.ones(n, bool)
         for j in range(1, WORDS):
             alive[-j:] = False
-            alive[: n - j] &= self.joined[j - 1 : n - 1] & self.common[j:]
+            alive[: n - j] &= self.pair[j - 1 : n - 1]
             follow[1 + j, : n - j] = np.where(alive[: n - j], word[j:], 0)
             whole[: n - j] = np.where(alive[: n - j], chained(whole[: n - j], self.hash[j:]), whole[: n - j])
         out = []
@@ -265,7 +272,7 @@ def frequent(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
             total = np.add.reduceat(count[order].astype(np.int64), first)
             each = np.empty(len(keys), np.uint64)
-            each[order] = np.repeat(total, np.diff(np.append(first, len(keys)))).astype(np.uint64)
+            each[order] = np.repeat(np.where(total < least, 0, total), np.diff(np.append(first, len(keys)))).astype(np.uint64)
             yield from C.answer(depth, rows, ends, each)
             if (total > hot).any():
                 yield {"kind": ANY_HOT, "part": rows[0]["part"], "chunk": -1, "answer": b""}
@@ -285,7 +292,7 @@ def frequent(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         told = C.written(C.by_part(asked, parts, add_up(depth)))
         own = told.where("chunk >= 0")
         answers = own if answers is None else answers.unionByName(own)
-        if not told.where(F.col("kind") == ANY_HOT).limit(1).count():
+        if depth > 1 and not told.where(F.col("kind") == ANY_HOT).limit(1).count():
             break
 
     def project(chunk: C.Chunk, got: dict[int, list[bytes]]) -> pa.Table:
