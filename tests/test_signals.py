@@ -1,10 +1,14 @@
 """Waveform kernels on synthetic tones, noise and silence."""
 
+import itertools
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.signal import activity as V
 from voxlake.signal import chain, kernels, spectral
+from voxlake.signal import frames as FR
 
 RATE = 8000
 rng = np.random.default_rng(12)
@@ -25,42 +29,85 @@ def near(got, want, within):
     assert len(got) == len(want) and all(abs(a - b) <= within for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True)), got
 
 
-def test_speech_segments_are_where_the_tones_are():
-    near(V.speech_segments(SPEECH, RATE, pad_ms=0), [(1, 2), (3.5, 4.3)], 0.1)
-    wide = V.speech_segments(SPEECH, RATE, pad_ms=110)
-    near(wide, [(0.89, 2.11), (3.39, 4.41)], 0.1)
-    assert V.speech_segments(np.zeros(0), RATE) == []
-
-
-def test_hysteresis_equals_the_state_machine():
-    v, on, off = rng.normal(size=400), rng.normal(1, 0.1, 400), rng.normal(-0.5, 0.1, 400)
-    state, want = False, []
-    for k in range(400):
-        state = v[k] >= on[k] if not state else v[k] >= off[k]
-        want.append(bool(state))
-    assert V.hysteresis(v, on, off).tolist() == want
-
-
-def test_runs_and_segments():
-    m = np.array([0, 1, 1, 0, 1, 0, 1, 1, 1], bool)
-    assert V.runs(m).tolist() == [[1, 3], [4, 5], [6, 9]] and V.without_short(m, 2).astype(int).tolist() == [0, 1, 1, 0, 0, 0, 1, 1, 1]
-    assert V.moving_mean(np.arange(5.0), 3).tolist() == pytest.approx([1 / 3, 1, 2, 3, 11 / 3])
-    assert V.joined([(3, 4), (0, 1), (1.1, 2)], 0.15) == [(0, 2), (3, 4)]
-    assert V.tidy([(0, 0.1), (0.2, 1), (5, 5.05)], gap=0.15, least=0.2, pad=0.1, end=1.05) == [(0, 1.05)]
-
-
-def test_overlap_is_where_two_voices_are():
+def files(spark, *waves):
+    return spark.createDataFrame([(k, None if x is None else [float(v) for v in x]) for k, x in enumerate(waves)], "id int, x array<double>")
+
+
+def speech(df, pad=0.0, **how):
+    """Segments by file, in frames of 25 ms each 5 ms."""
+    levels = FR.table(df, "id", "x", FR.rms_of(RATE // 40, RATE // 200), ["rms"])
+    spans = FR.segments(FR.active(levels, "id", **{"least": 3, "smooth": 40, "local": 100, **how}), F.col("active") == 1, "id", 1 / 200)
+    out = {}
+    for r in FR.padded(spans, "id", pad).orderBy("id", "start").collect():
+        out.setdefault(r.id, []).append((r.start, r.end))
+    return out
+
+
+def test_speech_segments_are_where_the_tones_are(spark):
+    df = files(spark, SPEECH, [], None, [np.nan, 1.0], SPEECH[::-1])
+    found = speech(df)
+    assert set(found) == {0, 4}
+    near(found[0], [(1, 2), (3.5, 4.3)], 0.1)
+    near(found[4], [(1, 1.8), (3.3, 4.3)], 0.1)
+    near(speech(df, 0.11)[0], [(0.89, 2.11), (3.39, 4.41)], 0.1)
+
+
+def slow_mean(v, size):
+    left = size // 2
+    return [sum(v[min(max(k, 0), len(v) - 1)] for k in range(i - left, i - left + size)) / size for i in range(len(v))]
+
+
+def test_frames_equal_a_walk_through_each_file(spark):
+    """The windows against the same rules, frame by frame."""
+    waves = [rng.normal(size=700) * np.repeat(rng.choice([0.01, 0.3, 1.0], 14), 50) for _ in range(6)]
+    kernel, least, smooth, local = FR.rms_of(40, 10), 3, 6, 9
+    got = {}
+    for r in FR.active(FR.table(files(spark, *waves), "id", "x", kernel, ["rms"]), "id", least=least, smooth=smooth, local=local).collect():
+        got.setdefault(r.id, {})[r.frame] = r.active
+    for k, x in enumerate(waves):
+        db = 20 * np.log10(kernel(x)["rms"] + FR.EPS)
+        db = np.maximum(db - db.max(), -80)
+        floor, low = np.percentile(db, [10, 35])
+        state, up = False, []
+        for v, here in zip(db, slow_mean(db, local), strict=True):
+            on = 0.3 * max(low + 3, floor + 1) + 0.7 * max(here + 3, floor + 1)
+            state = v >= on if not state else v >= on - 1.5
+            up.append(bool(state))
+        runs, at = [], 0
+        for value, group in itertools.groupby(up):
+            n = len(list(group))
+            runs += [float(value and n >= least)] * n
+            at += n
+        assert [got[k][i] for i in range(len(db))] == [int(m >= 0.5) for m in slow_mean(runs, smooth)]
+
+
+def test_segments_joined_padded_and_tidied(spark):
+    spans = spark.createDataFrame([(1, 3.0, 4.0), (1, 0.0, 1.0), (1, 1.1, 2.0), (2, 0.0, 0.1), (2, 0.2, 1.0), (2, 5.0, 5.05)], "id int, start double, end double")
+    rows = lambda df: sorted((r.id, round(r.start, 6), round(r.end, 6)) for r in df.collect())
+    assert rows(FR.joined(spans, "id", 0.15)) == [(1, 0, 2), (1, 3, 4), (2, 0, 1), (2, 5, 5.05)]
+    assert rows(FR.padded(FR.tidy(spans.where("id = 2"), "id", gap=0.15, least=0.2), "id", 0.1, F.lit(1.05))) == [(2, 0, 1.05)]
+
+
+def voices():
     def voice(hz):
         return sum(tone(hz * k, 6, 0.3 / k) for k in range(1, 12))
 
     one, two = voice(140), voice(253)
     two[: RATE * 3] = two[RATE * 18 // 5 :] = 0
-    x = one + two + 0.4 * np.where(two != 0, rng.normal(size=len(two)), 0) + noise(6)
-    found = V.overlaps(x, RATE)
-    assert found and abs(found[0]["start"] - 3) < 0.3 and abs(found[0]["end"] - 3.6) < 0.3
-    assert found == sorted(found, key=lambda s: -s["p95"]) and all(abs(s["duration"] - (s["end"] - s["start"])) < 1e-9 for s in found)
-    assert V.overlaps(x, RATE, speech=[(0, 1.0)]) == [] or all(s["start"] < 1.2 for s in V.overlaps(x, RATE, speech=[(0, 1.0)]))
-    assert V.overlaps(np.zeros(10), RATE) == []
+    return one + two + 0.4 * np.where(two != 0, rng.normal(size=len(two)), 0) + noise(6)
+
+
+def test_overlap_is_where_two_voices_are(spark):
+    how = {"second": 0.01, "smooth": 25, "least": 16, "gap": 0.12, "pad": 0.08}
+    df = files(spark, voices(), np.zeros(10), None)
+    shapes = FR.table(df, "id", "x", FR.shape_of(RATE, 256, 80), [*FR.WEIGHTS])
+    rows = FR.overlaps(shapes.withColumn("spoken", F.lit(True)), "id", **how).orderBy("rank").collect()
+    assert rows and {r.id for r in rows} == {0} and abs(rows[0].start - 3) < 0.3 and abs(rows[0].end - 3.6) < 0.3
+    assert [r.p95 for r in rows] == sorted((r.p95 for r in rows), reverse=True) and all(r.mean <= r.p95 <= r.max and abs(r.duration - (r.end - r.start)) < 1e-9 for r in rows)
+    early = spark.createDataFrame([(0, 0.0, 1.0)], "id int, start double, end double")
+    assert all(r.start < 1.2 for r in FR.overlaps(FR.spoken(shapes, early, "id", 0.01), "id", **how).collect())
+    inside = FR.spoken(shapes, spark.createDataFrame([(0, 0.5, 1.005)], "id int, start double, end double"), "id", 0.01).where("spoken")
+    assert sorted(r.frame for r in inside.collect()) == list(range(50, 101))
 
 
 def test_zero_mean_correlation_equals_the_definition():
@@ -96,29 +143,43 @@ def test_preparation_chain():
     assert level == pytest.approx(-26 + (20 * np.log10(0.8) + 26) / 2.5, abs=0.5)
     assert np.array_equal(chain.compressed(tone(1000, 1, 0.01), RATE, -26, 2.5, 7, 220), tone(1000, 1, 0.01))
     out = chain.prepared(SPEECH * 1.9, RATE)
-    assert len(out) == len(SPEECH) and np.abs(out).max() <= 1 and chain.measured(out, RATE, [])["clipped"] == 0
+    assert len(out) == len(SPEECH) and np.abs(out).max() <= 1 and chain.measured(out, RATE)["clipped"] == 0
 
 
-def test_file_metrics_and_failures():
+def test_batch_metrics_and_failures(spark):
     x = np.concatenate([tone(430, 0.5), SPEECH])
-    m = chain.file_metrics(x, RATE, tone(900, 0.1))
-    assert set(chain.COLUMNS) == set(m) and m["dial_s"] == pytest.approx(0.5, abs=0.11) and m["duration_s"] == pytest.approx(len(x) / RATE)
-    assert 0.2 < m["speech"] < 0.6 and m["segments"] == 2 and m["snr_db"] > 20
-    assert chain.row(np.array([]), RATE) == chain.row(np.array([np.nan, 1.0]), RATE) == [None] * len(chain.COLUMNS)
+    rows = {r.id: r for r in chain.batch_metrics(files(spark, x, [], [np.nan, 1.0], None, np.concatenate([noise(2), voices(), noise(2)])), "id", "x", RATE, tone(900, 0.1)).collect()}
+    m = rows[0]
+    assert set(chain.COLUMNS) == set(m.asDict()) - {"id"} and m.dial_s == pytest.approx(0.5, abs=0.11) and m.duration_s == pytest.approx(len(x) / RATE)
+    assert 0.2 < m.speech < 0.6 and m.segments == 2 and m.snr_db > 20
+    assert all(rows[k][c] is None for k in (1, 2, 3) for c in chain.COLUMNS)
+    assert 0.4 < rows[4].speech < 0.8 and rows[4].duration_s == pytest.approx(10) and rows[4].overlap_s >= 0
 
 
-def test_variants_and_pitch():
+def test_variants_and_pitch(spark):
     x = np.concatenate([noise(0.5), tone(200, 0.5) + noise(0.5), noise(0.5)])
     f0 = spectral.pitch(tone(200, 0.3), RATE, 400, 80, 70, 400)
     assert np.nanmedian(f0) == pytest.approx(200, rel=0.02) and np.isnan(spectral.pitch(np.zeros(800), RATE, 400, 80, 70, 400)).all()
-    v = V.votes(x, RATE, 400, 80)
-    t = np.arange(len(v["most"])) * 80 / RATE
-    assert v["energy"][(t > 0.6) & (t < 0.9)].all() and not v["energy"][t < 0.4].any()
-    assert v["pitch"][(t > 0.6) & (t < 0.9)].mean() > 0.9 and v["most"][(t > 0.6) & (t < 0.9)].mean() > 0.9 and v["most"][t < 0.4].mean() < 0.2
+    v = V.variants(x, RATE, 400, 80)
+    t = np.arange(len(v["rms"])) * 80 / RATE
+    tones, quiet = (t > 0.6) & (t < 0.9), t < 0.4
+    assert v["rms"][tones].min() > 10 * v["rms"][quiet].max()
+    assert (~np.isnan(v["f0"]))[tones].mean() > 0.9 and v["bands"][tones].mean() > 0.9 and v["bands"][quiet].mean() < 0.2
     p = spectral.pcen(np.full((50, 3), 4.0), RATE, 80)
     assert np.allclose(p, p[0])
 
 
+@pytest.mark.parametrize("level", [0.02, 0.05, 0.2])
+def test_band_models_hear_tones_in_noise(level):
+    """Tones well under the noise's whole energy, in a noise that grows slowly, and nothing in noise alone."""
+    n = np.random.default_rng(5).normal(size=4 * RATE) * level * np.linspace(1, 1.5, 4 * RATE)
+    x = n + np.concatenate([np.zeros(RATE), level * 2 * (tone(300, 1, 1) + tone(700, 1, 1) + tone(1500, 1, 1) + tone(2500, 1, 1)), np.zeros(2 * RATE)])
+    mask = V.modelled(V.band_levels(x, RATE, 400, 80))
+    t = np.arange(len(mask)) / 100
+    assert mask[(t > 1.1) & (t < 1.9)].mean() > 0.9 and mask[(t < 0.9) | (t > 2.2)].mean() < 0.25
+    assert len(V.modelled(np.zeros((0, 6)))) == 0 and not V.modelled(np.zeros((50, 6))).any()
+
+
 def test_mel_and_richest_window():
     m = spectral.mel(tone(1000, 1), RATE, 512, 128, 20)
     centres = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 4000 / 700), 22)[1:-1] / 2595) - 1)
@@ -138,12 +199,15 @@ def test_split_stereo_and_join():
     assert V.joined_calls([x[:2], x[2:3]], 8, 0.25).tolist() == [1, 2, 0, 0, 3] and V.stereo(x, 8, [])[0].tolist() == [0] * 16
 
 
-def test_speakers_and_rules():
+def test_speakers_and_rules(spark):
     x = np.concatenate([tone(200, 1) + tone(400, 1, 0.3), tone(1200, 1) + tone(2500, 1, 0.3), tone(200, 1) + tone(400, 1, 0.3)]) + noise(3)
-    t = V.turns(V.speakers(x, RATE, 512, 128), RATE, 128)
-    long = [(a, b, s) for a, b, s in t if b - a > 0.3]
-    assert len(long) == 3 and long[0][2] == long[2][2] != long[1][2] and abs(long[0][1] - 1) < 0.1 and abs(long[2][0] - 2) < 0.1
-    labels = np.array([0, 0, 1, 1, 0, 1, 0, 0])
-    assert V.ruled(labels, np.array([1, 1, 0.1, 1, 1, 1, 1, 1.0])).tolist() == [0, 0, 0, 1, 0, 1, 0, 0]
-    assert V.ruled(labels, np.array([1, 1, 1, 1, 1, 9.0, 1, 1])).tolist() == [0, 0, 1, 1, 0, 0, 0, 0]
+    found = FR.table(files(spark, x), "id", "x", lambda x: V.cepstral(x, RATE, 512, 128), ["component", "loudness"])
+    long = [r for r in FR.turns(found, "component", "id", 128 / RATE).orderBy("turn").collect() if r.end - r.start > 0.3]
+    assert len(long) == 3 and long[0].component == long[2].component != long[1].component and abs(long[0].end - 1) < 0.1 and abs(long[2].start - 2) < 0.1
+    labels, loudness = [0, 0, 1, 1, 0, 1, 0, 0], [1, 1, 0.1, 1, 1, 1, 9.0, 1]
+    rows = spark.createDataFrame([(1, k, a, float(b)) for k, (a, b) in enumerate(zip(labels, loudness, strict=True))], "id int, frame int, label int, loudness double")
+    odd = (F.col("loudness") < 0.3) | (F.col("label") != F.col("__after")) & (F.col("loudness") > 5)
+    assert [r.s for r in FR.steady_labels(rows, "label", odd, keys=["id"], order=["frame"], name="s").orderBy("frame").collect()] == [0, 0, 0, 1, 0, 1, 0, 0]
+    alone = (F.col("label") != F.col("__after")) & (F.col("frame") == 5)
+    assert [r.s for r in FR.steady_labels(rows, "label", alone, keys=["id"], order=["frame"], name="s").orderBy("frame").collect()] == [0, 0, 1, 1, 0, 0, 0, 0]
     assert V.mixture(np.array([[0.0], [0.1], [9.0], [9.1]])).tolist() in ([0, 0, 1, 1], [1, 1, 0, 0])

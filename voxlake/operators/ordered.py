@@ -85,7 +85,7 @@ def merge_by_gap(df: DataFrame, start: str, end: str, *, keys: Sequence[str], ga
     return x.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__g")
 
 
-def hysteresis(df: DataFrame, level: str, *, on: float, off: float, keys: Sequence[str], order: Sequence, name: str = "active") -> DataFrame:
+def hysteresis(df: DataFrame, level: str, *, on: float | Column, off: float | Column, keys: Sequence[str], order: Sequence, name: str = "active") -> DataFrame:
     """1 from where level reaches ``on`` until it falls below ``off``."""
     mark = F.when(F.col(level) >= on, 1).when(F.col(level) < off, 0)
     return df.withColumn(name, F.coalesce(F.last(mark, ignorenulls=True).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))

@@ -11,7 +11,7 @@ from voxlake.operators import sequential
 from voxlake.plans.aggregates import R
 from voxlake.plans.registry import Source, query
 from voxlake.plans.scoring import ALPHA, BETA, GAMMA, REL_BINS
-from voxlake.signal import activity, chain, kernels, spectral
+from voxlake.signal import activity, chain, frames, kernels, spectral
 from voxlake.streaming import events as E
 from voxlake.views import SCRIPT_ORDER
 
@@ -153,14 +153,12 @@ def two_means(s: Source) -> DataFrame:
 @query("M11_mixture")
 def mixture(s: Source) -> DataFrame:
     """Two components over each file's minutes, by level and spread; then a change to another one for a single quiet or loud minute is none."""
-    by = Window.partitionBy("file_id").orderBy("minute")
     m = s.view("windows").groupBy("file_id", F.floor(F.unix_timestamp("ts") / 60).alias("minute")).agg(F.avg("level").alias("mean"), F.coalesce(F.stddev_pop("level"), F.lit(0.0)).alias("spread"))
     x = topics.mixture(m, ["mean", "spread"])
     cut = x.agg(F.percentile_approx("mean", F.lit(0.2), F.lit(10_000)).alias("quiet"), F.percentile_approx("mean", F.lit(0.8), F.lit(10_000)).alias("loud"))
-    x = x.crossJoin(F.broadcast(cut)).withColumn("before", F.lag("component").over(by)).withColumn("after", F.lead("component").over(by))
-    single = F.col("component") != F.col("after")
-    odd = (F.col("component") != F.col("before")) & F.col("after").isNotNull() & ((F.col("mean") < F.col("quiet")) | single & (F.col("mean") > F.col("loud")))
-    return x.select("file_id", "minute", "component", F.when(odd, F.col("before")).otherwise(F.col("component")).alias("smooth"))
+    odd = (F.col("mean") < F.col("quiet")) | (F.col("component") != F.col("__after")) & (F.col("mean") > F.col("loud"))
+    x = frames.steady_labels(x.crossJoin(F.broadcast(cut)), "component", odd, keys=["file_id"], order=["minute"], name="smooth")
+    return x.select("file_id", "minute", "component", "smooth")
 
 
 INSTRUCTIONS = "Label every line of the call."
@@ -244,45 +242,117 @@ def prepared(s: Source) -> DataFrame:
     names = ("peak_db", "rms_db", "crest_db", "clipped", "floor_db", "snr_db")
 
     def run(x):
-        m = chain.measured(chain.prepared(x, RATE, low=20, high=250), RATE, [])
+        m = chain.measured(chain.prepared(x, RATE, low=20, high=250), RATE)
         return [m[n] for n in names]
 
     m = s.table("embeddings").select("vec_id", wave(run, "array<double>").alias("m"))
     return m.select("vec_id", *(R(F.col("m")[k], 6).alias(n) for k, n in enumerate(names)))
 
 
-SHORT = {"window_ms": 25, "hop_ms": 5, "smooth_ms": 10, "local_ms": 40, "least_frames": 2}
+WAVES = "w AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) > 0)"
 
 
-@query("V04_voice_activity")
+def framed_sql(size: int, hop: int, least: int = 1) -> str:
+    """Centred frames as lists, zeros beyond the ends."""
+    return f"""f AS MATERIALIZED (SELECT vec_id, CAST(t AS INTEGER) AS frame, [CASE WHEN {hop} * t + i - {size // 2} BETWEEN 0 AND len(x) - 1 THEN x[{hop} * t + i - {size // 2} + 1] ELSE 0 END FOR i IN range(0, {size})] AS s
+ FROM (SELECT vec_id, x, unnest(range(0, (len(x) + 2 * {size // 2} - {size}) // {hop} + 1)) AS t FROM w WHERE len(x) >= {least}))"""
+
+
+def mean_sql(v: str, size: int, name: str) -> str:
+    """Moving mean over frames, ends repeated."""
+    left, right = size // 2, size - 1 - size // 2
+    w = "OVER (PARTITION BY vec_id ORDER BY frame"
+    return f"""(sum({v}) {w} ROWS BETWEEN {left} PRECEDING AND {right} FOLLOWING) + greatest({left} - frame, 0) * first_value({v}) {w}) + greatest(frame + {right} - max(frame) OVER (PARTITION BY vec_id), 0) * last_value({v}) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / {size} AS {name}"""
+
+
+def runs_sql(source: str, flag: str, name: str) -> str:
+    """Numbered runs of frames with a flag."""
+    w = "OVER (PARTITION BY vec_id ORDER BY frame"
+    return f"""{name}0 AS (SELECT *, CASE WHEN {flag} AND NOT coalesce(lag({flag}) {w}), false) THEN 1 ELSE 0 END AS new FROM {source}), {name} AS (SELECT *, CASE WHEN {flag} THEN sum(new) {w} ROWS UNBOUNDED PRECEDING) ELSE 0 END AS run FROM {name}0)"""
+
+
+def joined_sql(source: str, gap: float, name: str) -> str:
+    """Spans (a, b) joined over gaps."""
+    return f"""{name}0 AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY vec_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {gap} THEN 1 ELSE 0 END AS new FROM {source}),
+{name} AS (SELECT vec_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY vec_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM {name}0) GROUP BY vec_id, g)"""
+
+
+SECOND = 3 / RATE
+#: Frames of 25 ms, each 5 ms: RMS, level, thresholds, on and off, runs of two, the majority of two.
+ACTIVE = f"""{WAVES}, {framed_sql(16, 3)},
+l0 AS (SELECT vec_id, frame, 20 * log10(sqrt(list_sum([v * v FOR v IN s]) / 16) + 1e-10) AS db FROM f),
+l1 AS (SELECT vec_id, frame, greatest(db - max(db) OVER (PARTITION BY vec_id), -80) AS db FROM l0),
+l2 AS (SELECT *, quantile_cont(db, 0.1) OVER (PARTITION BY vec_id) AS p10, quantile_cont(db, 0.35) OVER (PARTITION BY vec_id) AS p35, {mean_sql('db', 8, 'here')} FROM l1),
+l3 AS (SELECT *, (1 - 0.7) * greatest(p35 + 3, p10 + 1) + 0.7 * greatest(here + 3, p10 + 1) AS lim FROM l2),
+l4 AS (SELECT *, coalesce(last_value(CASE WHEN db >= lim THEN 1 WHEN db < lim - 1.5 THEN 0 END IGNORE NULLS) OVER (PARTITION BY vec_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) = 1 AS up FROM l3),
+{runs_sql('l4', 'up', 'r')}, k AS (SELECT vec_id, frame, db, CASE WHEN run > 0 AND count(*) OVER (PARTITION BY vec_id, run) >= 2 THEN 1 ELSE 0 END AS kept FROM r),
+act AS (SELECT vec_id, frame, db, 2 * m >= 1 AS active FROM (SELECT *, {mean_sql('kept', 2, 'm')} FROM k))"""
+
+
+def speech_frames(s: Source) -> DataFrame:
+    """The waveforms' frames of 25 ms, each 5 ms, with whether somebody speaks."""
+    return frames.active(frames.table(s.table("embeddings"), "vec_id", "embedding", frames.rms_of(16, 3), ["rms"]), "vec_id", least=2, smooth=2, local=8)
+
+
+def speech_spans(s: Source) -> DataFrame:
+    return frames.padded(frames.segments(speech_frames(s), F.col("active") == 1, "vec_id", SECOND), "vec_id", 0.005)
+
+
+@query("V04_voice_activity", f"WITH {ACTIVE}, {runs_sql('act', 'active', 's')}, sp AS (SELECT vec_id, greatest(min(frame) * {SECOND} - 0.005, 0) AS a, (max(frame) + 1) * {SECOND} + 0.005 AS b FROM s WHERE run > 0 GROUP BY vec_id, run), {joined_sql('sp', 0.0, 'j')} SELECT e.vec_id, CASE WHEN a IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY e.vec_id ORDER BY a) - 1 AS INTEGER) END AS segment, round(a, 6) AS start_s, round(b, 6) AS end_s FROM embeddings e LEFT JOIN j USING (vec_id)")
 def voice_activity(s: Source) -> DataFrame:
-    """Speech segments in seconds, by energy with mixed global and local thresholds."""
-    found = wave(lambda x: [list(p) for p in activity.speech_segments(x, RATE, pad_ms=5, **SHORT)], "array<array<double>>")
-    x = s.table("embeddings").select("vec_id", F.posexplode_outer(found).alias("segment", "s"))
-    return x.select("vec_id", "segment", R(F.col("s")[0], 6).alias("start_s"), R(F.col("s")[1], 6).alias("end_s"))
+    """Speech segments in seconds, by energy with mixed global and local thresholds; a file without any has a row of nulls."""
+    number = F.row_number().over(Window.partitionBy("vec_id").orderBy("start")) - 1
+    x = s.table("embeddings").select("vec_id").join(speech_spans(s).withColumn("segment", number), "vec_id", "left")
+    return x.select("vec_id", "segment", R(F.col("start"), 6).alias("start_s"), R(F.col("end"), 6).alias("end_s"))
+
+
+@query("V09b_active_frames", f"WITH {ACTIVE} SELECT vec_id, round(avg(CASE WHEN active THEN 1.0 ELSE 0 END), 8) AS activity, round(avg(db) FILTER (WHERE active), 6) AS active_db, round(avg(db) FILTER (WHERE NOT active), 6) AS other_db, round(quantile_cont(db, 0.9) FILTER (WHERE active), 6) AS loud_db FROM act GROUP BY vec_id")
+def active_frames(s: Source) -> DataFrame:
+    """Share of active frames after smoothing, and the levels of active and other frames, which are the two metrics' parts of each file."""
+    on = F.col("active") == 1
+    return speech_frames(s).groupBy("vec_id").agg(R(F.avg("active")).alias("activity"), R(F.avg(F.when(on, F.col("db"))), 6).alias("active_db"), R(F.avg(F.when(~on, F.col("db"))), 6).alias("other_db"), R(F.percentile(F.when(on, F.col("db")), F.lit(0.9)), 6).alias("loud_db"))
 
 
-@query("V05_overlap")
+#: Magnitudes of 16 samples' spectrum by its definition, and what they look like.
+SHAPES = f"""{WAVES}, {framed_sql(16, 4, 16)},
+m0 AS (SELECT vec_id, frame, [sqrt(list_sum([s[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 16)) * cos(2 * pi() * i * k / 16) FOR i IN range(0, 16)]) ** 2 + list_sum([s[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 16)) * sin(2 * pi() * i * k / 16) FOR i IN range(0, 16)]) ** 2) FOR k IN range(0, 9)] AS m FROM f),
+m1 AS (SELECT vec_id, frame, m, list_sum(m) + 1e-10 AS total, list_sum([m[k + 1] * 40 * k FOR k IN range(0, 9)]) / (list_sum(m) + 1e-10) AS centre FROM m0),
+z0 AS (SELECT vec_id, frame, CAST(len([v FOR v IN m IF v > list_aggregate(m, 'quantile_cont', 0.75)]) AS DOUBLE) AS rich, exp(list_avg([ln(v + 1e-10) FOR v IN m])) / list_avg([v + 1e-10 FOR v IN m]) AS flat,
+ sqrt(list_sum([m[k + 1] * (40 * k - centre) ** 2 FOR k IN range(0, 9)]) / total) AS spread, list_max(m) / (list_avg(m) + 1e-10) AS crest FROM m1)"""
+
+
+def far_sql(c: str) -> str:
+    q = lambda p: f"quantile_cont({c}, {p}) OVER (PARTITION BY vec_id)"
+    return f"({c} - {q(0.5)}) / (CASE WHEN {q(0.75)} - {q(0.25)} >= 1e-8 THEN {q(0.75)} - {q(0.25)} ELSE stddev_pop({c}) OVER (PARTITION BY vec_id) + 1e-8 END + 1e-8)"
+
+
+OVER = "OVER (PARTITION BY vec_id)"
+
+
+@query("V05_overlap", f"""WITH {SHAPES}, z1 AS (SELECT vec_id, frame, 1.3 * {far_sql('rich')} + {far_sql('flat')} + {far_sql('spread')} - 0.8 * {far_sql('crest')} AS raw FROM z0),
+z2 AS MATERIALIZED (SELECT vec_id, frame, {mean_sql('raw', 2, 'score')} FROM z1),
+z3 AS (SELECT *, score >= greatest(0.8, quantile_cont(score, 0.5) {OVER} + 0.5 * greatest(quantile_cont(score, 0.75) {OVER} - quantile_cont(score, 0.25) {OVER}, 1e-6)) AS strong FROM z2),
+{runs_sql('z3', 'strong', 'r')}, sp AS (SELECT vec_id, min(frame) / 160 AS a, (max(frame) + 1) / 160 AS b FROM r WHERE run > 0 GROUP BY vec_id, run HAVING count(*) >= 2), {joined_sql('sp', 0.008, 'j')},
+pa AS (SELECT vec_id, greatest(a - 0.004, 0) AS a, least(b + 0.004, (SELECT max(frame) + 1 FROM z2 WHERE z2.vec_id = j.vec_id) / 160) AS b FROM j), {joined_sql('pa', 0.0, 'g')},
+o AS (SELECT vec_id, a, b, avg(score) AS mean, quantile_cont(score, 0.95) AS p95, max(score) AS max FROM g JOIN z2 USING (vec_id) WHERE frame >= floor(a * 160 + 1e-9) AND frame < ceil(b * 160 - 1e-9) GROUP BY vec_id, a, b)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p95 DESC, a) AS INTEGER) AS rank, round(a, 6) AS start, round(b, 6) AS "end", round(b - a, 6) AS duration, round(mean, 6) AS mean, round(p95, 6) AS p95, round(max, 6) AS max FROM o""")
 def overlap(s: Source) -> DataFrame:
     """Segments where voices overlap, ranked by score within each file."""
-    how = {"size": 16, "hop": 4, "smooth_ms": 12, "least_ms": 12, "gap_ms": 8, "pad_ms": 4, "quartiles": 0.5}
-    keys = ("start", "end", "duration", "mean", "p95", "max")
-    found = wave(lambda x: [[d[k] for k in keys] for d in activity.overlaps(x, RATE, **how)], "array<array<double>>")
-    x = s.table("embeddings").select("vec_id", F.posexplode(found).alias("k", "s"))
-    return x.select("vec_id", (F.col("k") + 1).alias("rank"), *(R(F.col("s")[k], 6).alias(n) for k, n in enumerate(keys)))
+    shapes = frames.table(s.table("embeddings"), "vec_id", "embedding", frames.shape_of(RATE, 16, 4), [*frames.WEIGHTS]).withColumn("spoken", F.lit(True))
+    x = frames.overlaps(shapes, "vec_id", second=4 / RATE, smooth=2, least=2, gap=0.008, pad=0.004, quartiles=0.5)
+    return x.select("vec_id", "rank", *(R(F.col(c), 6).alias(c) for c in ("start", "end", "duration", "mean", "p95", "max")))
 
 
 @query("V07_activity_variants")
 def activity_variants(s: Source) -> DataFrame:
-    """Frames that the energy, PCEN and pitch variants call active, and those on which two agree."""
-    names = ("energy", "pcen", "pitch", "most")
-
-    def run(x):
-        v = activity.votes(x, RATE, 32, 8, low=40, high=160, bands=6)
-        return [int(v[n].sum()) for n in names]
-
-    m = s.table("embeddings").select("vec_id", wave(run, "array<int>").alias("m"))
-    return m.select("vec_id", *(F.col("m")[k].alias(n) for k, n in enumerate(names)))
+    """Frames that the energy, PCEN, pitch and band-model variants call active, and those on which more than half agree."""
+    file = Window.partitionBy("vec_id")
+    x = frames.table(s.table("embeddings"), "vec_id", "embedding", lambda x: activity.variants(x, RATE, 32, 8, low=40, high=160, bands=6), ["rms", "pcen", "f0", "bands"])
+    x = x.withColumn("db", 20 * F.log10(F.col("rms") + frames.EPS)).withColumn("least", F.percentile("db", F.lit(0.6)).over(file) + 2).withColumn("normal", F.percentile("pcen", F.lit(0.88)).over(file))
+    votes = {"energy": F.col("db") >= F.col("least"), "pcen": F.col("pcen") >= F.col("normal"), "pitch": ~F.isnan("f0"), "bands": F.col("bands") == 1}
+    x = x.select("vec_id", *(v.cast("int").alias(n) for n, v in votes.items()))
+    most = (2 * sum((F.col(n) for n in votes), F.lit(0)) > len(votes)).cast("int")
+    return x.withColumn("most", most).groupBy("vec_id").agg(*(F.sum(n).alias(n) for n in (*votes, "most")))
 
 
 @query("V08b_mel_and_richest")
@@ -297,33 +367,44 @@ def mel_and_richest(s: Source) -> DataFrame:
     return m.select("vec_id", *(R(F.col("m")[k], 6).alias(n) for k, n in enumerate(("mel_db", "snr_db", "start_s", "end_s"))))
 
 
+def speaker_turns(s: Source) -> DataFrame:
+    """Turns of two speakers, the first to speak being 0: a mixture over cepstra; a change in a quiet frame, or for one loud frame alone, is none."""
+    x = frames.table(s.table("embeddings"), "vec_id", "embedding", lambda x: activity.cepstral(x, RATE, 16, 8), ["component", "loudness"])
+    x = x.withColumn("__loud", F.percentile("loudness", F.lit(0.8)).over(Window.partitionBy("vec_id")))
+    odd = (F.col("loudness") < 0.05) | (F.col("component") != F.col("__after")) & (F.col("loudness") > F.col("__loud"))
+    x = frames.steady_labels(x, "component", odd, keys=["vec_id"], order=["frame"], name="label")
+    first = F.first("label").over(Window.partitionBy("vec_id").orderBy("frame"))
+    return frames.turns(x.withColumn("speaker", (F.col("label") != first).cast("int")), "speaker", "vec_id", 8 / RATE)
+
+
 @query("V10_tracks")
 def tracks(s: Source) -> DataFrame:
     """Active and other samples, the two channels that the speakers' turns make, and the length of both parts joined again."""
+    from voxlake.functions.python import by_value
 
-    def run(x):
-        on, off = activity.split(x, RATE, activity.speech_segments(x, RATE, pad_ms=5, **SHORT))
-        left, right = activity.stereo(x, RATE, activity.turns(activity.speakers(x, RATE, 16, 8), RATE, 8))
+    def run(x, spans, turns):
+        x = np.asarray([] if x is None else x, float)
+        on, off = activity.split(x, RATE, [tuple(p) for p in ([] if spans is None else spans)])
+        left, right = activity.stereo(x, RATE, [(a, b, str(int(n))) for a, b, n in ([] if turns is None else turns)])
         return [len(on), len(off), float((left != 0).sum()), float((right != 0).sum()), len(activity.joined_calls([on, off], RATE, 0.01))]
 
-    m = s.table("embeddings").select("vec_id", wave(run, "array<double>").alias("m"))
+    listed = lambda df, name, *columns: df.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.array(*(F.col(c).cast("double") for c in columns)))).alias(name))
+    x = s.table("embeddings").select("vec_id", "embedding").join(listed(speech_spans(s), "spans", "start", "end"), "vec_id", "left").join(listed(speaker_turns(s), "turns", "start", "end", "speaker"), "vec_id", "left")
+    m = x.select("vec_id", by_value(run, "array<double>")("embedding", "spans", "turns").alias("m"))
     return m.select("vec_id", *(F.col("m")[k].cast("int").alias(n) for k, n in enumerate(("active", "other", "left", "right", "joined"))))
 
 
 @query("V11_audio_metrics")
 def audio_metrics(s: Source) -> DataFrame:
-    """All metrics of a file in one pass; a file that fails has NULLs."""
-    template = np.sin(np.arange(8) * 0.8)
-    m = s.table("embeddings").select("vec_id", wave(lambda x: chain.row(x, RATE, template), "array<double>").alias("m"))
-    return m.select("vec_id", *(R(F.col("m")[k], 6).alias(n) for k, n in enumerate(chain.COLUMNS)))
+    """All metrics of a batch of files; a file that fails has NULLs."""
+    m = chain.batch_metrics(s.table("embeddings"), "vec_id", "embedding", RATE, np.sin(np.arange(8) * 0.8))
+    return m.select("vec_id", *(R(F.col(c), 6).alias(c) for c in chain.COLUMNS))
 
 
 @query("V12_diarised")
 def diarised(s: Source) -> DataFrame:
     """Turns of two speakers: cepstra, a Gaussian mixture, rules."""
-    found = wave(lambda x: [[a, b, float(n[1:])] for a, b, n in activity.turns(activity.speakers(x, RATE, 16, 8), RATE, 8)], "array<array<double>>")
-    x = s.table("embeddings").select("vec_id", F.posexplode(found).alias("turn", "t"))
-    return x.select("vec_id", "turn", R(F.col("t")[0], 6).alias("start_s"), R(F.col("t")[1], 6).alias("end_s"), F.col("t")[2].cast("int").alias("speaker"))
+    return speaker_turns(s).select("vec_id", "turn", R(F.col("start"), 6).alias("start_s"), R(F.col("end"), 6).alias("end_s"), "speaker")
 
 
 @query("M12_search")

@@ -1,145 +1,61 @@
-"""Where somebody speaks, and where two do: masks over frames and segments in seconds."""
+"""Samples by segments and turns, speakers by a mixture over cepstra, and the frame features of the activity variants."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from .spectral import EPS, mel, mfcc, pcen, pitch, shape, stft
+from .frames import EPS, rms_of
+from .spectral import mel, mfcc, pcen, pitch, stft
 
 Segments = list[tuple[float, float]]
 
 
-def frame_levels(x: np.ndarray, size: int, hop: int) -> np.ndarray:
-    """dB of each centred frame's root mean square against the loudest."""
-    x = np.pad(np.asarray(x, float), size // 2)
-    n = max(0, (len(x) - size) // hop + 1)
-    sums = np.concatenate([[0], np.cumsum(x * x)])
-    at = hop * np.arange(n)
-    rms = np.sqrt(np.maximum(sums[at + size] - sums[at], 0) / size) + EPS
-    return 20 * np.log10(rms / rms.max()) if n else rms
+#: Bands of telephone speech, Hz.
+BANDS = (80.0, 250.0, 500.0, 1000.0, 2000.0, 3000.0, 4000.0)
 
 
-def moving_mean(v: np.ndarray, size: int) -> np.ndarray:
-    """Mean over size values about each, the ends repeated; an even window leans to the left."""
-    if size <= 1 or not len(v):
-        return np.asarray(v, float)
-    sums = np.cumsum(np.concatenate([[0], np.pad(np.asarray(v, float), (size // 2, size - 1 - size // 2), mode="edge")]))
-    return (sums[size:] - sums[:-size]) / size
+def band_levels(x: np.ndarray, rate: int, size: int, hop: int, edges: tuple[float, ...] = BANDS) -> np.ndarray:
+    """Log energies of centred frames between the edges that the rate has, frames x bands."""
+    power, hz = stft(x, size, hop) ** 2, np.fft.rfftfreq(size, 1 / rate)
+    bands = [power[:, (hz >= a) & (hz < b)].sum(axis=1) for a, b in zip(edges[:-1], edges[1:], strict=True) if ((hz >= a) & (hz < b)).any()]
+    return np.log(np.stack(bands, axis=1) + EPS) if bands else np.zeros((len(power), 0))
 
 
-def runs(mask: np.ndarray) -> np.ndarray:
-    """Starts and ends of the runs of true, runs x 2."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(mask, np.int8), [0]])))
-    return edge.reshape(-1, 2)
+def modelled(levels: np.ndarray, *, rate: float = 0.05, over: float = 0.5, hangover: int = 5) -> np.ndarray:
+    """Where speech is likelier than noise: each band has a normal model of either, which the frames taken for it move; speech goes on for some frames.
 
-
-def without_short(mask: np.ndarray, least: int) -> np.ndarray:
-    out = np.zeros(len(mask), bool)
-    for a, b in runs(mask):
-        out[a:b] = b - a >= least
+    Models start at the band's low and high deciles, and never come closer than 1; the mean log-likelihood ratio of the bands has to pass ``over``.
+    """
+    n, bands = levels.shape
+    out = np.zeros(n, bool)
+    if not n or not bands:
+        return out
+    low, high = np.percentile(levels, [10, 90], axis=0)
+    mean = np.stack([low, np.maximum(high, low + 1)])
+    var = np.full((2, bands), max(1.0, float(levels.var(axis=0).mean()) / 4))
+    left = 0
+    for t, v in enumerate(levels):
+        like = -0.5 * (np.log(var) + (v - mean) ** 2 / var)
+        is_speech = int((like[1] - like[0]).mean() > over)
+        mean[is_speech] += rate * (v - mean[is_speech])
+        var[is_speech] = np.maximum(0.25, var[is_speech] + rate * ((v - mean[is_speech]) ** 2 - var[is_speech]))
+        mean[1] = np.maximum(mean[1], mean[0] + 1)
+        left = hangover if is_speech else max(0, left - 1)
+        out[t] = is_speech or left > 0
     return out
 
 
-def hysteresis(v: np.ndarray, on: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """True from where v reaches on until it is under off: the last of the two events before a frame decides."""
-    event = np.where(v >= on, 1, np.where(v < off, -1, 0))
-    last = np.maximum.accumulate(np.where(event != 0, np.arange(len(v)), -1))
-    return (last >= 0) & (event[np.maximum(last, 0)] == 1)
-
-
-def joined(segments: Segments, gap: float = 0.0) -> Segments:
-    """Segments in order, those at most gap apart made one."""
-    out: list[list[float]] = []
-    for a, b in sorted(segments):
-        if out and a <= out[-1][1] + gap:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def padded(segments: Segments, by: float, end: float = np.inf) -> Segments:
-    return joined([(max(0.0, a - by), min(end, b + by)) for a, b in segments])
-
-
-def tidy(segments: Segments, *, gap: float, least: float, pad: float, end: float) -> Segments:
-    """Joined over gaps, without the short ones, then padded."""
-    return padded([(a, b) for a, b in joined(segments, gap) if b - a >= least], pad, end)
-
-
-def speech_mask(x: np.ndarray, rate: int, *, window_ms: float = 25, hop_ms: float = 5, percentile: float = 35, over_db: float = 3, least_frames: int = 3, smooth_ms: float = 200, floor_percentile: float = 10, drop_db: float = 1.5, local_ms: float = 500, local_share: float = 0.7) -> np.ndarray:
-    """Active frames by energy. A frame turns active at a threshold mixed of a global one (a percentile) and a local one (a moving mean), both over the noise floor, and
-    stays so down to drop_db less; short runs go; a majority of the frames around decides."""
-    hop, size = max(1, int(rate * hop_ms / 1000)), max(2, int(rate * window_ms / 1000))
-    db = frame_levels(x, size, hop)
-    if not len(db):
-        return np.zeros(0, bool)
-    least = np.percentile(db, floor_percentile) + 1.0
-    everywhere = max(np.percentile(db, percentile) + over_db, least)
-    here = np.maximum(moving_mean(db, max(1, int(local_ms / hop_ms))) + over_db, least)
-    on = (1 - local_share) * everywhere + local_share * here
-    active = without_short(hysteresis(db, on, on - drop_db), least_frames)
-    return moving_mean(active, max(1, int(smooth_ms / hop_ms))) >= 0.5 - 1e-12
-
-
-def speech_segments(x: np.ndarray, rate: int, *, hop_ms: float = 5, pad_ms: float = 110, **how) -> Segments:
-    hop = max(1, int(rate * hop_ms / 1000))
-    found = [(a * hop / rate, b * hop / rate) for a, b in runs(speech_mask(x, rate, hop_ms=hop_ms, **how)).tolist()]
-    return padded(found, pad_ms / 1000)
-
-
-def robust(v: np.ndarray) -> np.ndarray:
-    """Distance from the median in quartile ranges, or in standard deviations if that is 0."""
-    scale = np.subtract(*np.percentile(v, [75, 25]))
-    return (v - np.median(v)) / ((scale if scale >= 1e-8 else v.std() + 1e-8) + 1e-8)
-
-
-def overlaps(x: np.ndarray, rate: int, *, size: int = 256, hop: int = 80, top_hz: float = 3400, speech: Segments | None = None, smooth_ms: float = 250, least_ms: float = 160, gap_ms: float = 120, pad_ms: float = 80, quartiles: float = 2.0, least_score: float = 0.8, by: str = "p95") -> list[dict[str, float]]:
-    """Segments where voices overlap, the strongest first: start, end, duration, and mean, p95 and max of the score.
-
-    The score is 1.3 richness + flatness + spread - 0.8 crest, each as a robust distance, over speech only, smoothed; it has to exceed the median
-    by quartile ranges of the speech's scores.
-    """
-    x = np.asarray(x, float)
-    if len(x) < size:
-        return []
-    hz = np.fft.rfftfreq(size, 1 / rate)
-    m = stft(x, size, hop)[:, hz <= min(top_hz, rate / 2)]
-    z = {k: robust(v) for k, v in shape(m, hz[hz <= min(top_hz, rate / 2)]).items()}
-    spoken = np.ones(len(m), bool)
-    if speech is not None:
-        t = np.arange(len(m)) * hop / rate
-        spoken = np.any([(t >= np.floor(a * rate / hop) * hop / rate) & (t < b) for a, b in speech] or [np.zeros(len(m), bool)], axis=0)
-    if not spoken.any():
-        return []
-    second = hop / rate
-    score = moving_mean(np.where(spoken, 1.3 * z["rich"] + z["flat"] + z["spread"] - 0.8 * z["crest"], 0.0), max(1, round(smooth_ms / 1000 / second)))
-    low, middle, high = np.percentile(score[spoken], [25, 50, 75])
-    cut = max(least_score, middle + quartiles * max(high - low, 1e-6))
-    strong = without_short(score >= cut, max(1, round(least_ms / 1000 / second)))
-    end = len(m) * second
-    found = padded(joined([(a * second, b * second) for a, b in runs(strong).tolist()], gap_ms / 1000), pad_ms / 1000, end)
-    out = []
-    for a, b in found:
-        v = score[int(np.floor(a / second + 1e-9)) : int(np.ceil(b / second - 1e-9))]
-        if len(v):
-            out.append({"start": a, "end": b, "duration": b - a, "mean": float(v.mean()), "p95": float(np.percentile(v, 95)), "max": float(v.max())})
-    return sorted(out, key=lambda s: (-s[by], s["start"]))
-
-
-def votes(x: np.ndarray, rate: int, size: int, hop: int, *, pcen_percentile: float = 88.0, low: float = 70, high: float = 400, bands: int = 20) -> dict[str, np.ndarray]:
-    """Frame masks of the variants: energy (a percentile), normalised energy (PCEN over its percentile), and voiced frames (a pitch between low and high); and both, where two of the three agree."""
-    db = frame_levels(x, size, hop)
-    if not len(db):
-        return {k: np.zeros(0, bool) for k in ("energy", "pcen", "pitch", "most")}
-    energy = db >= np.percentile(db, 60) + 2
-    p = pcen(mel(x, rate, size, hop, bands, power=1.0), rate, hop).mean(axis=1)
-    normal = np.zeros(len(db), bool)
-    normal[: len(p)] = (p >= np.percentile(p, pcen_percentile))[: len(db)]
-    f0 = pitch(np.pad(np.asarray(x, float), size // 2), rate, size, hop, low, high)
-    voiced = np.zeros(len(db), bool)
-    voiced[: len(f0)] = ~np.isnan(f0)[: len(db)]
-    return {"energy": energy, "pcen": normal, "pitch": voiced, "most": energy.astype(int) + normal + voiced >= 2}
+def variants(x: np.ndarray, rate: int, size: int, hop: int, *, low: float = 70, high: float = 400, bands: int = 20) -> dict[str, np.ndarray]:
+    """Columns of a frame table: rms, pcen (mean normalised energy of mel bands), f0 (Hz; NaN: no pitch), bands (1 where the band models hear speech)."""
+    rms = rms_of(size, hop)(x)["rms"]
+    n = len(rms)
+    fit = lambda v, fill: np.concatenate([v[:n], np.full(max(0, n - len(v)), fill)])
+    return {
+        "rms": rms,
+        "pcen": fit(pcen(mel(x, rate, size, hop, bands, power=1.0), rate, hop).mean(axis=1), 0.0),
+        "f0": fit(pitch(np.pad(x, size // 2), rate, size, hop, low, high), np.nan),
+        "bands": fit(modelled(band_levels(x, rate, size, hop)).astype(float), 0.0),
+    }
 
 
 def split(x: np.ndarray, rate: int, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -193,32 +109,10 @@ def mixture(x: np.ndarray, k: int = 2, rounds: int = 50) -> np.ndarray:
     return resp.argmax(axis=1)
 
 
-def ruled(labels: np.ndarray, loudness: np.ndarray, *, quiet: float = 0.3, seconds: float = 0.0, loud_percentile: float = 80) -> np.ndarray:
-    """A change of speaker in a quiet frame is none; nor is a change for one loud frame, where frames are shorter than 3 s."""
-    out, loud = labels.copy(), np.percentile(loudness, loud_percentile) if len(loudness) else 0.0
-    for i in range(1, len(labels) - 1):
-        if labels[i] != labels[i - 1]:
-            if loudness[i] < quiet:
-                out[i] = out[i - 1]
-            if seconds < 3.0 and labels[i] != labels[i + 1] and loudness[i] > loud:
-                out[i] = labels[i - 1]
-    return out
-
-
-def speakers(x: np.ndarray, rate: int, size: int, hop: int, k: int = 2) -> np.ndarray:
-    """Each frame's speaker, 0 for the first to speak: a mixture over cepstra, then the rules."""
+def cepstral(x: np.ndarray, rate: int, size: int, hop: int, k: int = 2) -> dict[str, np.ndarray]:
+    """Columns of a frame table: component (of a mixture over cepstra) and loudness (against the loudest frame)."""
     f = mfcc(x, rate, size, hop)
-    if not len(f):
-        return np.zeros(0, int)
-    labels = mixture(f, k)
-    level = np.abs(np.pad(np.asarray(x, float), size // 2))
-    loudness = np.array([level[i * hop : i * hop + size].mean() for i in range(len(f))])
-    labels = ruled(labels, loudness / (loudness.max() + EPS), quiet=0.05, seconds=hop / rate)
-    _, first, which = np.unique(labels, return_index=True, return_inverse=True)
-    return np.argsort(np.argsort(first))[which]
-
-
-def turns(labels: np.ndarray, rate: int, hop: int) -> list[tuple[float, float, str]]:
-    """Runs of one speaker as (start, end, label)."""
-    cut = np.flatnonzero(np.diff(labels)) + 1
-    return [(a * hop / rate, b * hop / rate, f"S{labels[a]}") for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(labels)], strict=True) if b > a]
+    level = np.concatenate([[0.0], np.cumsum(np.abs(np.pad(x, size // 2)))])
+    at = hop * np.arange(len(f))
+    loudness = (level[at + size] - level[at]) / size
+    return {"component": mixture(f, k), "loudness": loudness / (loudness.max(initial=0) + EPS)}

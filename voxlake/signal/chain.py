@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxlake.storage import written
 
-from . import activity as V
+from . import frames
 from . import kernels as K
 
 #: Silence, in dB.
@@ -58,24 +65,25 @@ def prepared(x: np.ndarray, rate: int, *, low: float = 150, high: float = 3400,
     return np.clip(compressed(y, rate, -1.5, 1e6, 0.0, 60.0), -1, 1)
 
 
-def measured(y: np.ndarray, rate: int, speech: V.Segments) -> dict[str, float]:
-    """Peak, level and crest in dB, share of clipped samples, noise floor and distance of speech from it, share and number of segments."""
+def measured(y: np.ndarray, rate: int) -> dict[str, float]:
+    """Peak, level and crest in dB, share of clipped samples, noise floor and distance of speech from it."""
     if not len(y):
-        return dict.fromkeys(("peak_db", "rms_db", "crest_db", "clipped", "floor_db", "snr_db", "speech", "segments"), 0.0)
+        return dict.fromkeys(("peak_db", "rms_db", "crest_db", "clipped", "floor_db", "snr_db"), 0.0)
     db = lambda v: float(20 * np.log10(v + NONE))
     peak, rms = db(np.abs(y).max()), db(np.sqrt(np.mean(y * y)))
     size = max(2, int(0.025 * rate))
     levels = K.levels(y, size, max(1, int(0.010 * rate)))
     floor, top = np.percentile(levels, [10, 90]) if len(levels) else (0.0, 0.0)
-    return {"peak_db": peak, "rms_db": rms, "crest_db": peak - rms, "clipped": float((np.abs(y) > 0.99).mean()), "floor_db": float(floor), "snr_db": float(top - floor), "speech": sum(b - a for a, b in speech) * rate / len(y), "segments": float(len(speech))}
+    return {"peak_db": peak, "rms_db": rms, "crest_db": peak - rms, "clipped": float((np.abs(y) > 0.99).mean()), "floor_db": float(floor), "snr_db": float(top - floor)}
 
 
-#: The columns of a file's row.
-COLUMNS = ("dial_s", "hangup_s", "signatures", "duration_s", "speech", "segments", "overlap_s", "overlaps", "peak_db", "rms_db", "crest_db", "clipped", "floor_db", "snr_db", "silence", "saturation")
+#: A file's own measures; the others are those of its frames.
+OWN = ("dial_s", "hangup_s", "signatures", "duration_s", "peak_db", "rms_db", "crest_db", "clipped", "floor_db", "snr_db", "silence", "saturation")
+COLUMNS = (*OWN, "speech", "segments", "overlap_s", "overlaps")
 
 
-def file_metrics(x: np.ndarray, rate: int, template: np.ndarray | None = None) -> dict[str, float | None]:
-    """All metrics of one file in the batch's order: dial tone cut off, signature, preparation, activity, overlaps, levels."""
+def file_metrics(x: np.ndarray, rate: int, template: np.ndarray | None = None) -> tuple[dict[str, float | None], np.ndarray]:
+    """What is measured of one file in the batch's order (dial tone cut off, signature, preparation, levels), and its prepared waveform."""
     x = np.asarray(x, float)
     if x.ndim != 1 or not len(x) or not np.isfinite(x).all():
         raise ValueError("no waveform")
@@ -83,28 +91,45 @@ def file_metrics(x: np.ndarray, rate: int, template: np.ndarray | None = None) -
     rest = x[int(dial * rate) :]
     hits = [] if template is None else K.detect(rest, template, rate, 0.5, zero_mean=True, apart=2.0)
     y = prepared(rest, rate)
-    end = len(y) / rate
-    speech = V.tidy(V.speech_segments(y, rate, hop_ms=10, percentile=35, over_db=4, drop_db=2, local_ms=750, local_share=0.6, least_frames=4, pad_ms=120), gap=0.15, least=0.2, pad=0.1, end=end) if len(y) else []
-    both = V.overlaps(y, rate, size=min(512, 1 << max(3, rate.bit_length() - 4)), hop=max(1, rate // 50), speech=speech, smooth_ms=512, least_ms=125, gap_ms=60, quartiles=2.25, by="duration")
     levels = K.levels(y, max(2, rate // 40), max(1, rate // 100))
-    m = measured(y, rate, speech)
-    return {
+    found = {
         "dial_s": dial,
         "hangup_s": hits[-1] + dial if hits else None,
         "signatures": float(len(hits)),
         "duration_s": len(x) / rate,
-        "overlap_s": sum(s["duration"] for s in both),
-        "overlaps": float(len(both)),
         "silence": float((levels < -50).mean()) if len(levels) else None,
         "saturation": K.saturation(x),
-        **m,
+        **measured(y, rate),
     }
-
-
-def row(x, rate: int, template: np.ndarray | None = None) -> list[float | None]:
-    """The values of COLUMNS; all null for a file that fails."""
-    try:
-        found = file_metrics(x, rate, template)
-    except (ValueError, IndexError, FloatingPointError, ZeroDivisionError):
-        return [None] * len(COLUMNS)
-    return [found[c] for c in COLUMNS]
+    return found, y
+
+
+def batch_metrics(files: DataFrame, key: str, wave: str, rate: int, template: np.ndarray | None = None) -> DataFrame:
+    """key and COLUMNS of every file: its own measures, then speech and overlaps as queries over the frames of the prepared waveforms, which are written once. A file that fails has nulls."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, x in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    found, y = file_metrics(np.array(x.values if x.is_valid else [], float), rate, template)
+                except (ValueError, IndexError, FloatingPointError, ZeroDivisionError):
+                    found, y = dict.fromkeys(OWN), None
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], name.type), *(pa.array([found[c]], pa.float64()) for c in OWN), pa.array([y], pa.list_(pa.float64()))], names=[key, *OWN, "y"])
+
+    rows = files.select(key, F.col(wave).cast("array<double>").alias(wave))
+    done = written(rows.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} double' for c in OWN)}, y array<double>"))
+    hop = max(1, rate // 100)
+    levels = frames.table(done, key, "y", frames.rms_of(max(2, rate // 40), hop), ["rms"])
+    spans = frames.segments(frames.active(levels, key, least=4, smooth=20, local=75, over_db=4, drop_db=2, local_share=0.6), F.col("active") == 1, key, hop / rate)
+    long = frames.tidy(frames.padded(spans, key, 0.12), key, gap=0.15, least=0.2)
+    ends = done.select(key, (F.size("y") / F.lit(rate)).alias("__end"))
+    speech = written(frames.padded(long.join(ends, key), key, 0.1, F.col("__end")))
+    size, step = min(512, 1 << max(3, rate.bit_length() - 4)), max(1, rate // 50)
+    shapes = frames.spoken(frames.table(done, key, "y", frames.shape_of(rate, size, step), [*frames.WEIGHTS]), speech, key, step / rate)
+    second = step / rate
+    both = frames.overlaps(shapes, key, second=second, smooth=max(1, round(0.512 / second)), least=max(1, round(0.125 / second)), gap=0.06, pad=0.08, quartiles=2.25, by="duration")
+    of = lambda spans, length, count: spans.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias(length), F.count("*").cast("double").alias(count))
+    x = done.join(of(speech, "speech_s", "segments"), key, "left").join(of(both, "overlap_s", "overlaps"), key, "left")
+    ours = lambda c: F.when(F.col("y").isNotNull(), F.coalesce(c, F.lit(0.0)))
+    return x.select(key, *OWN, ours(F.col("speech_s") * rate / F.size("y")).alias("speech"), *(ours(F.col(c)).alias(c) for c in COLUMNS[-3:]))
