@@ -185,7 +185,45 @@ def test_sequential_operators(spark):
     plan = spark.createDataFrame([("a", 7), ("b", 5), ("c", 4), ("d", 3), ("e", 1)], "k string, n int")
     got = {r.k: r.bin for r in sequential.least_loaded(plan, key="k", size="n", bins=2).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
-    assert sequential.compact([5, 50, 5, 5, 60], 10, 100) == [0, 0, 1, 1, 2]
+
+
+def slow_pass(sizes, least, most):
+    """Units of one pass, item after item."""
+    units, totals, i = [], [], 0
+    while i < len(sizes):
+        options = []
+        if sizes[i] < least:
+            if totals and totals[-1] + sizes[i] <= most:
+                options.append((totals[-1] + sizes[i], 0))
+            if i + 1 < len(sizes) and sizes[i] + sizes[i + 1] <= most:
+                options.append((sizes[i] + sizes[i + 1], 1))
+        if options and min(options)[1] == 0:
+            totals[-1] += sizes[i]
+            units.append(len(totals) - 1)
+        elif options:
+            totals.append(sizes[i] + sizes[i + 1])
+            units += [len(totals) - 1] * 2
+            i += 1
+        else:
+            totals.append(sizes[i])
+            units.append(len(totals) - 1)
+        i += 1
+    return units, totals
+
+
+def test_compacted_equals_two_passes_item_by_item(spark):
+    rng = np.random.default_rng(8)
+    calls = {k: [int(x) for x in rng.choice([0, 1, 3, 5, 9, 12, 30, 45], rng.integers(0, 25))] for k in range(40)}
+    df = spark.createDataFrame([(k, i, n, "x") for k, sizes in calls.items() for i, n in enumerate(sizes)], "call int, at int, n int, unit0 string")
+    got: dict = {}
+    for r in sequential.compacted(df, "n", keys="call", order="at", least=10, most=40).orderBy("call", "at").collect():
+        got.setdefault(r.call, []).append((r.at, r.unit))
+    for k, sizes in calls.items():
+        kept = [(i, n) for i, n in enumerate(sizes) if 0 < n <= 40]
+        one, totals = slow_pass([n for _, n in kept], 10, 40)
+        two, _ = slow_pass(totals, 10, 40)
+        assert got.get(k, []) == [(i, two[u]) for (i, _), u in zip(kept, one, strict=True)]
+    assert sequential.compacted(df.limit(0), "n", keys="call", order="at", least=10, most=40).collect() == []
 
 
 def slow_merge_short(rows, least, gap):
@@ -228,7 +266,33 @@ def test_viterbi_is_the_best_path(labels, length, seed):
     rng = np.random.default_rng(seed)
     e, move, start = rng.normal(size=(length, labels)), rng.normal(size=(labels, labels)), rng.normal(size=labels)
     worth = lambda p: start[p[0]] + e[0, p[0]] + sum(move[p[t - 1], p[t]] + e[t, p[t]] for t in range(1, length))
-    assert sequential.best_path(e, move, start) == list(max(product(range(labels), repeat=length), key=worth))
+    assert sequential.best_within(e, move, start) == list(max(product(range(labels), repeat=length), key=worth))
+    best = max(worth(p) for p in product(range(labels), repeat=length))
+    assert sequential.times((start + e[0])[None, :], sequential.through(e[1:], move))[0].max() == pytest.approx(best) if length > 1 else True
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
+def test_viterbi_by_chunks_equals_the_whole(spark, chunk):
+    rng = np.random.default_rng(9)
+    move, start = rng.normal(size=(3, 3)), rng.normal(size=3)
+    calls = {k: rng.normal(size=(n, 3)) for k, n in enumerate([1, 2, 3, 4, 20, 33])}
+    rows = [(k, 100 - t, [float(x) for x in v]) for k, e in calls.items() for t, v in enumerate(e[::-1])]
+    df = spark.createDataFrame(rows, "k int, t long, e array<double>").repartition(4)
+    got: dict = {}
+    for r in sequential.viterbi(df, keys="k", order="t", column="e", labels=["a", "b", "c"], transition=move, start=start, chunk=chunk).orderBy("k", "t").collect():
+        got.setdefault(r.k, []).append("abc".index(r.label))
+    assert got == {k: sequential.best_within(e, move, start) for k, e in calls.items()}
+
+
+def test_groups_that_can_not_be_decoded_are_kept_apart(spark):
+    good = [(1, 0, [0.0, -1.0]), (1, 1, [-1.0, 0.0])]
+    bad = [(2, 0, None), (2, 1, [0.0, 0.0]), (3, 0, [0.0]), (4, 0, [float("nan"), 0.0]), (4, 1, [0.0, None]), (5, None, [0.0, 0.0])]
+    df = spark.createDataFrame(good + bad, "k int, t int, e array<double>")
+    rows, apart = sequential.decodable(df, keys="k", order="t", column="e", labels=2)
+    assert {r.k for r in rows.collect()} == {1}
+    assert {r.k: (r.rows, r.bad, r.reason) for r in apart.collect()} == {2: (2, 1, "no emissions"), 3: (1, 1, "labels missing"), 4: (2, 2, "an emission is no number"), 5: (1, 1, "no place")}
+    done = sequential.viterbi(rows, keys="k", order="t", column="e", labels=["a", "b"], transition=np.zeros((2, 2)), start=np.zeros(2))
+    assert {r.t: r.label for r in done.collect()} == {0: "a", 1: "b"}
 
 
 def test_python_functions():

@@ -1,17 +1,21 @@
-"""Operators whose every step depends on the one before: one call (or one small plan) at a time, in pandas.
+"""Operators whose every step depends on the one before: folds over a call's rows, and decoding by chunks.
 
-A call's rows are bounded by its length, so a group fits a task; nothing else gathers groups.
+A call's rows are bounded by its length, so an array of them fits a task. Long sequences are decoded chunk by chunk.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.storage import written
+
 
 def least_loaded(plan: DataFrame, *, key: str, size: str, bins: int) -> DataFrame:
     """Largest first, each to the bin with the least load (the first of equals). The plan is a list of campaigns; it is one group by nature."""
@@ -29,29 +33,94 @@ def least_loaded(plan: DataFrame, *, key: str, size: str, bins: int) -> DataFram
     return plan.groupBy(F.lit("all").alias("all")).applyInPandas(assign, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in plan.schema)}, bin int")
 
 
-def best_path(e: np.ndarray, transition: np.ndarray, start: np.ndarray) -> list[int]:
-    """The label sequence with the largest sum of start, emissions (rows x labels) and transitions."""
-    score, back = start + e[0], np.zeros(e.shape, int)
+#: Rows of a sequence that are decoded at a time.
+CHUNK = 1024
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product: the best sums over all ways through a then b."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
+def through(e: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """A chunk's max-plus matrix: from the label before it to its last label, the best sum of its transitions and emissions. Products are combined pairwise, so its depth is the logarithm of the rows."""
+    steps = list(transition[None] + e[:, None, :])
+    while len(steps) > 1:
+        steps = [times(a, b) for a, b in zip(steps[::2], steps[1::2], strict=False)] + steps[len(steps) & ~1 :]
+    return steps[0]
+
+
+def best_within(e: np.ndarray, transition: np.ndarray, first: np.ndarray, last: int | None = None) -> list[int]:
+    """The best labels of some rows, given the scores with which their first row is entered, and their last label if it is known."""
+    score, back = first + e[0], np.zeros(e.shape, int)
     for t in range(1, len(e)):
         paths = score[:, None] + transition
         back[t] = paths.argmax(axis=0)
         score = paths.max(axis=0) + e[t]
-    best = [int(score.argmax())]
+    best = [int(score.argmax()) if last is None else last]
     for t in range(len(e) - 1, 0, -1):
         best.append(int(back[t, best[-1]]))
     return best[::-1]
 
 
-def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels: list[str], transition: np.ndarray, start: np.ndarray) -> DataFrame:
-    """The best label sequence of each group; column: array of log emissions by label."""
+def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels: list[str], transition: np.ndarray, start: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """The best label sequence of each group; column: array of log emissions by label, whose rows must have them all (see decodable).
 
-    def decode(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        best = best_path(np.stack(rows[column].to_numpy()), transition, start)
-        return pd.DataFrame({keys: rows[keys], order: rows[order], "label": [labels[k] for k in best]})
-
-    schema = f"{keys} {emissions.schema[keys].dataType.simpleString()}, {order} {emissions.schema[order].dataType.simpleString()}, label string"
-    return emissions.groupBy(keys).applyInPandas(decode, schema)
+    A sequence is cut into chunks of rows, which are written once. Each chunk's max-plus matrix says what it costs to pass it from any label to
+    any other; these few numbers of a sequence's chunks meet in one task, which finds the labels between chunks; then each chunk is decoded by itself.
+    So a task holds a chunk's rows, or a matrix for each chunk of one sequence.
+    """
+    key_type, order_type = (emissions.schema[c].dataType.simpleString() for c in (keys, order))
+    n = len(labels)
+    place = F.row_number().over(Window.partitionBy(keys).orderBy(order)) - 1
+    rows = emissions.select(F.col(keys).alias("key"), F.col(order).alias("order"), F.col(column).cast("array<double>").alias("e"), F.floor(place / chunk).alias("chunk"))
+    chunks = written(rows.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.struct("order", "e"))).alias("r")).select("key", "chunk", F.col("r.order").alias("order"), F.flatten("r.e").alias("e")))
+
+    def chain(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        costs = [np.array(x.values).reshape(n, n) for x in table.column("through")]
+        scores: list[np.ndarray] = [np.zeros(n)]
+        for k, m in enumerate(costs):
+            scores.append(m[0] if k == 0 else (scores[-1][:, None] + m).max(axis=0))
+        last = [0] * len(costs)
+        last[-1] = int(scores[-1].argmax())
+        for k in range(len(costs) - 1, 0, -1):
+            last[k - 1] = int((scores[k] + costs[k][:, last[k]]).argmax())
+        before = [None, *last[:-1]]
+        return pa.table({"key": table.column("key"), "chunk": table.column("chunk"), "before": pa.array(before, pa.int32()), "last": pa.array(last, pa.int32())})
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's matrix; the first chunk of a sequence is entered by the start, so all rows of its matrix are the same."""
+        for batch in batches:
+            found = []
+            for k, e in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                e = np.array(e.values).reshape(-1, n)
+                if k == 0:
+                    inside = times((start + e[0])[None, :], through(e[1:], transition))[0] if len(e) > 1 else start + e[0]
+                    found.append(np.tile(inside, n))
+                else:
+                    found.append(through(e, transition).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["key", "chunk", "through"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("e", "before", "last")]
+            for row, (e, before, last) in enumerate(zip(columns[0], columns[1].to_pylist(), columns[2].to_pylist(), strict=True)):
+                best = best_within(np.array(e.values).reshape(-1, n), transition, start if before is None else transition[before], last)
+                orders = batch.column("order")[row].values
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([row] * len(best))), orders, pa.array([labels[k] for k in best], pa.string())], names=[keys, order, "label"])
+
+    ends = chunks.select("key", "chunk", "e").mapInArrow(measure, f"key {key_type}, chunk long, through array<double>").groupBy("key").applyInArrow(chain, f"key {key_type}, chunk long, before int, last int")
+    return chunks.join(ends, ["key", "chunk"]).select("key", "order", "e", "before", "last").mapInArrow(decode, f"{keys} {key_type}, {order} {order_type}, label string")
+
+
+def decodable(emissions: DataFrame, *, keys: str, order: str, column: str, labels: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups that can be decoded, and a quarantine of the others: the key, rows, bad rows, and why the first of them is bad."""
+    e = F.col(column)
+    why = F.when(F.col(order).isNull(), "no place").when(e.isNull(), "no emissions").when(F.size(e) != labels, "labels missing").when(F.exists(e, lambda x: x.isNull() | F.isnan(x)), "an emission is no number")
+    bad = emissions.withColumn("__why", why).where("__why is not null").groupBy(keys).agg(F.count("*").alias("bad"), F.min_by("__why", F.struct(F.coalesce(F.col(order).cast("string"), F.lit("")), "__why")).alias("reason"))
+    quarantine = emissions.groupBy(keys).agg(F.count("*").alias("rows")).join(bad, keys)
+    return emissions.join(bad.select(keys), keys, "left_anti"), quarantine
 
 
 def smoothed(df: DataFrame, label: str, *, keys: str, order: list, reach: int) -> DataFrame:
@@ -61,40 +130,49 @@ def smoothed(df: DataFrame, label: str, *, keys: str, order: list, reach: int) -
     return df.withColumn("__w", seen).withColumn("smooth", F.array_max(votes)["v"]).drop("__w")
 
 
-def compact(sizes: list[int], least: int, most: int) -> list[int]:
-    """Group numbers of consecutive units: a unit under ``least`` words joins the smaller merged neighbour while the sum is at most ``most``."""
-    groups = [[i] for i in range(len(sizes))]
-    total = list(sizes)
-    i = 0
-    while i < len(groups):
-        if total[i] >= least:
-            i += 1
-            continue
-        options = [(total[i] + total[j], j) for j in (i - 1, i + 1) if 0 <= j < len(groups) and total[i] + total[j] <= most]
-        if not options:
-            i += 1
-            continue
-        j = min(options)[1]
-        a, b = min(i, j), max(i, j)
-        groups[a] += groups[b]
-        total[a] += total[b]
-        del groups[b], total[b]
-        i = a
-    out = [0] * len(sizes)
-    for k, members in enumerate(groups):
-        for m in members:
-            out[m] = k
-    return out
-
+def _pass(sizes: Column, least: int, most: int) -> Column:
+    """One pass over an array of sizes, as a fold: units (the number of each item's unit) and totals (the size of each unit).
 
-def compacted(df: DataFrame, words: str, *, keys: str, order: str, least: int, most: int) -> DataFrame:
-    """The rows with column unit."""
+    An item under ``least`` joins the unit before it or the item after it, whichever gives the smaller sum (of equals the one before), if that is at most
+    ``most``; an item that the one before it has joined is passed over.
+    """
+    empty = F.expr("cast(array() as array<int>)")
+    begin = F.struct(empty.alias("units"), empty.alias("totals"), F.lit(None).cast("int").alias("open"), F.lit(False).alias("taken"))
+
+    def step(state: Column, i: Column) -> Column:
+        size, following = F.element_at(sizes, i + 1), F.try_element_at(sizes, i + 2)
+        units, totals, open_ = state["units"], state["totals"], state["open"]
+        back, ahead = F.when(open_ + size <= most, open_ + size), F.when(size + following <= most, size + following)
+        joins_back = (size < least) & back.isNotNull() & (ahead.isNull() | (back <= ahead))
+        takes_next = (size < least) & ~joins_back & ahead.isNotNull()
+        closed = F.when(open_.isNull(), totals).otherwise(F.concat(totals, F.array(open_)))
+        now = F.size(units)
+        new = F.when(now == 0, F.lit(0)).otherwise(F.try_element_at(units, F.lit(-1)) + 1)
+
+        def after(units: Column, totals: Column, open_: Column, taken: Column) -> Column:
+            return F.struct(units.alias("units"), totals.alias("totals"), open_.cast("int").alias("open"), taken.alias("taken"))
+
+        same = F.try_element_at(units, F.lit(-1))
+        return (
+            F.when(state["taken"], after(F.concat(units, F.array(same)), totals, open_, F.lit(False)))
+            .when(F.coalesce(joins_back, F.lit(False)), after(F.concat(units, F.array(same)), totals, back, F.lit(False)))
+            .when(F.coalesce(takes_next, F.lit(False)), after(F.concat(units, F.array(new)), closed, ahead, F.lit(True)))
+            .otherwise(after(F.concat(units, F.array(new)), closed, size, F.lit(False)))
+        )
+
+    finish = lambda state: F.struct(state["units"].alias("units"), F.when(state["open"].isNull(), state["totals"]).otherwise(F.concat(state["totals"], F.array(state["open"]))).alias("totals"))
+    places = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1)).otherwise(empty)
+    return F.aggregate(places, begin, step, finish)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(unit=compact(rows[words].tolist(), least, most))
 
-    return df.groupBy(keys).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, unit int")
+def compacted(df: DataFrame, words: str, *, keys: str, order: str, least: int, most: int) -> DataFrame:
+    """The rows of 1 to ``most`` words with column unit: short rows join a neighbour in one pass over the call, and what is still short in another. Folds of built-ins over each call's rows in order; a call's rows are one array."""
+    rows = df.where((F.col(words) > 0) & (F.col(words) <= most))
+    calls = rows.groupBy(keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*df.columns).alias("__row"), F.col(words).cast("int").alias("__n")))).alias("__r"))
+    once = calls.withColumn("__one", _pass(F.col("__r.__n"), least, most))
+    twice = once.withColumn("__two", _pass(F.col("__one.totals"), least, most))
+    unit = F.transform("__r", lambda r, i: F.struct(r["__row"].alias("row"), F.element_at(F.col("__two.units"), F.element_at(F.col("__one.units"), i + 1) + 1).alias("unit")))
+    return twice.select(F.explode(unit).alias("x")).select("x.row.*", "x.unit")
 
 
 def merged_short(df: DataFrame, *, keys: str, start: str, end: str, speaker: str, words: str, least: int, gap: float, order: list | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from voxlake.plans.registry import Source, query
 from voxlake.plans.scoring import ALPHA, BETA, GAMMA, REL_BINS
 from voxlake.signal import activity, chain, frames, kernels, spectral
 from voxlake.streaming import events as E
-from voxlake.views import SCRIPT_ORDER
+from voxlake.views import SCRIPT_ORDER, ctes
 
 
 def stream(s: Source) -> DataFrame:
@@ -110,7 +110,17 @@ def conversation_classifier(s: Source) -> DataFrame:
     firsts = known.withColumn("r", F.row_number().over(Window.partitionBy("call_id").orderBy("place"))).where("r = 1").groupBy("label").count()
     begin = {r["label"]: r["count"] for r in firsts.collect()}
     start = np.array([begin.get(y, 0) + 1.0 for y in labels])
-    return sequential.viterbi(e, keys="call_id", order="place", column="e", labels=labels, transition=np.log(counts / counts.sum(axis=1, keepdims=True)), start=np.log(start / start.sum()))
+    good, _ = sequential.decodable(e, keys="call_id", order="place", column="e", labels=len(labels))
+    return sequential.viterbi(good, keys="call_id", order="place", column="e", labels=labels, transition=np.log(counts / counts.sum(axis=1, keepdims=True)), start=np.log(start / start.sum()))
+
+
+@query("M03b_call_status", f"WITH {ctes('utterances')}, w AS (SELECT call_id, sum(CASE WHEN num_words = 0 THEN 0 WHEN num_words <= 14 THEN 1 ELSE (num_words - 14) // 6 + 1 END) AS windows, count(*) AS turns, count(*) FILTER (WHERE num_words = 0) AS empty FROM utterances GROUP BY 1) SELECT call_id, CAST(turns AS BIGINT) AS turns, CAST(windows AS BIGINT) AS windows, CAST(empty AS BIGINT) AS empty, CASE WHEN windows = 0 THEN 'no words' WHEN empty > 0 THEN 'turns without words' ELSE 'ok' END AS status FROM w")
+def call_status(s: Source) -> DataFrame:
+    """What the classifier's batch reports of every call, so that one that fails is seen and doesn't stop the others: turns, windows, turns without words, and why it is left out."""
+    windows = timed_windows(s).groupBy("call_id").agg(F.count("*").alias("windows"))
+    calls = s.view("utterances").groupBy("call_id").agg(F.count("*").alias("turns"), F.count(F.when(F.col("num_words") == 0, 1)).alias("empty"))
+    x = calls.join(windows, "call_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
+    return x.select("call_id", "turns", "windows", "empty", F.when(F.col("windows") == 0, "no words").when(F.col("empty") > 0, "turns without words").otherwise("ok").alias("status"))
 
 
 @query("M04_weighted_classifier")

@@ -189,8 +189,22 @@ def least_loaded(s: Source) -> DataFrame:
     return sequential.least_loaded(plan, key="campaign_id", size="files", bins=4)
 
 
-@query("W23_compact_units")
+def pass_sql(name: str, source: str) -> str:
+    """One pass over items (call_id, i from 1, size): each item's unit, from 0. A unit that is open has its sum in open."""
+    back = "CASE WHEN f.open + x.size <= 200 THEN f.open + x.size END"
+    ahead = "CASE WHEN x.size + x.following <= 200 THEN x.size + x.following END"
+    joins = f"coalesce(x.size < 40 AND ({back}) IS NOT NULL AND (({ahead}) IS NULL OR ({back}) <= ({ahead})), false)"
+    takes = f"coalesce(x.size < 40 AND NOT {joins} AND ({ahead}) IS NOT NULL, false)"
+    return f"""{name}x AS (SELECT *, lead(size) OVER (PARTITION BY call_id ORDER BY i) AS following FROM {source}),
+{name} AS (SELECT call_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS open, CAST(-1 AS BIGINT) AS unit, false AS taken FROM (SELECT DISTINCT call_id FROM {source}) UNION ALL
+SELECT x.call_id, x.i, CASE WHEN f.taken THEN f.open WHEN {joins} THEN {back} WHEN {takes} THEN {ahead} ELSE x.size END, f.unit + CASE WHEN f.taken OR {joins} THEN 0 ELSE 1 END, NOT f.taken AND {takes} FROM {name} f JOIN {name}x x ON x.call_id = f.call_id AND x.i = f.i + 1)"""
+
+
+@query("W23_compact_units", f"""WITH RECURSIVE {UTT}, u AS (SELECT call_id, turn, num_words, row_number() OVER (PARTITION BY call_id ORDER BY turn) AS i, CAST(num_words AS BIGINT) AS size FROM utterances WHERE num_words BETWEEN 1 AND 200),
+{pass_sql('one', 'u')}, g AS (SELECT call_id, unit + 1 AS i, CAST(sum(size) AS BIGINT) AS size FROM one JOIN u USING (call_id, i) GROUP BY 1, 2), {pass_sql('two', 'g')}
+SELECT call_id, turn, num_words, CAST(two.unit AS INTEGER) AS unit FROM u JOIN one USING (call_id, i) JOIN two ON two.call_id = u.call_id AND two.i = one.unit + 1""")
 def compact_units(s: Source) -> DataFrame:
+    """Two passes that join short rows to the neighbour that gives the smaller sum, under a hard cap."""
     return sequential.compacted(s.view("utterances").select("call_id", "turn", "num_words"), "num_words", keys="call_id", order="turn", least=40, most=200)
 
 
