@@ -1,6 +1,9 @@
 """Classifiers on texts that can be told apart, judged on the rows held out."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -67,6 +70,38 @@ def test_nearest_phrases(spark):
     assert (got[1].topic, got[2].topic) == ("price", "farewell") and got[2].confidence > 0
 
 
+def slow_nearest(rows, phrases, k=3):
+    """All rows against all phrases."""
+    def grams(t):
+        w = [x for x in re.split(r"[^\w]+", (t or "").lower()) if x]
+        return Counter(w + [" ".join(p) for p in zip(w, w[1:], strict=False)])
+
+    bags = {("r", i): grams(t) for i, t in rows} | {("p", i): grams(t) for _, i, t in phrases}
+    df = Counter(t for b in bags.values() for t in b)
+    def unit(b):
+        x = {t: n * math.log((len(bags) + 1) / (df[t] + 1)) for t, n in b.items() if df[t] > 1}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {t: v / length for t, v in x.items()} if length else {}
+
+    v = {i: unit(b) for i, b in bags.items()}
+    out = {}
+    for i, _ in rows:
+        far = sorted((round(math.sqrt(max(0.0, 2 - 2 * sum(w * v["p", j].get(t, 0.0) for t, w in v["r", i].items()))), 9), j, topic) for topic, j, _ in phrases)[:k]
+        out[i] = (far[0][2], pytest.approx(1 / (sum(d for d, _, _ in far) / len(far) + 1e-5)))
+    return out
+
+
+def test_nearest_phrases_equal_all_pairs(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(60)]
+    text = lambda: " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 12)))
+    rows = [(k, rng.choice([text(), None, "nowhere"]) if k % 9 == 0 else text()) for k in range(150)] + [(500 + k, "w0 w1") for k in range(80)]
+    for count in (1, 2, 50):
+        phrases = [(f"t{k % 4}", 7 * k, text()) for k in range(count)]
+        got = topics.nearest_phrases(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(phrases, "topic string, phrase_id long, text string"), key="id").collect()
+        assert {r.id: (r.topic, r.confidence) for r in got} == slow_nearest(rows, phrases)
+
+
 def test_smoothed_mixture_changes_single_minutes_only(spark, sf):
     from voxlake.plans import catalog
 

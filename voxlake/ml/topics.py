@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators import small
+from voxlake.storage import written
 
 FEATURES = 1 << 12
-#: Phrases of a script at most: each has a vector of FEATURES numbers, and they are sent to every task.
-PHRASES = 4096
 
 
 def held_out(*key: str) -> Column:
@@ -68,15 +66,61 @@ def search(rows: DataFrame, *, key: str, reg: tuple[float, ...] = (0.001, 0.01,
         judge.unpersist()
 
 
-def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3) -> DataFrame:
-    """For each row the k nearest phrases by distance of normalised TF-IDF, and 1 / (mean distance + 1e-5). Phrases are a script: a small table, broadcast."""
-    pipe = Pipeline(stages=[*features("text", "__f"), Normalizer(inputCol="__f", outputCol="__u")]).fit(rows.select("text").unionByName(phrases.select("text")))
-    a = pipe.transform(rows).select(key, vector_to_array("__u").alias("a"))
-    b = pipe.transform(phrases).select("topic", "phrase_id", vector_to_array("__u").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    d = a.crossJoin(small.bounded(b, PHRASES, "phrases")).select(key, "topic", "phrase_id", F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0))).alias("d"))
+def terms(text: str) -> Column:
+    """A text's words, and its pairs of neighbours."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def term_weights(texts: DataFrame, least: int = 2) -> DataFrame:
+    """term, idf over all texts: log((n + 1) / (texts with the term + 1)), for terms of at least that many texts."""
+    df = texts.select(F.explode(F.array_distinct(terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return df.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).select("term", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def postings(texts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """key, term, w: the terms of a text with the weights of its TF-IDF vector of length 1; a text whose terms all weigh nothing has no rows."""
+    n = texts.select(key, F.explode(terms("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    x = n.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf")).where("x > 0")
+    length = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    return x.join(length, key).select(key, "term", (F.col("x") / F.col("length")).alias("w"))
+
+
+def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3, salts: int = 8) -> DataFrame:
+    """For each row the k nearest phrases by distance of normalised TF-IDF (of equals the smaller phrase_id): key, topic (of the nearest), confidence = 1 / (mean distance + 1e-5).
+
+    An inverted index of the phrases, joined by term, with a bound for each term. A row's first bound is what its k best phrases have at least:
+    the sums over the k heaviest postings of each of its terms. Its terms come with those first that can add most; once all that follow can add less than the bound, a
+    phrase that has none before is out. Only phrases with such a term are compared, and their cosine is then added up over all terms. Postings stand in copies, of
+    which a row asks one, so a frequent term is spread; no pair of texts without a common term meets.
+    """
+    idf = written(term_weights(rows.select("text").unionByName(phrases.select("text"))))
+    mine = written(postings(rows, key, idf))
+    theirs = written(postings(phrases, "phrase_id", idf))
+    heaviest = theirs.withColumn("__r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("w"), "phrase_id"))).where(F.col("__r") <= k)
+    tops = heaviest.groupBy("term").agg(F.max("w").alias("most"), F.collect_list(F.struct("phrase_id", "w")).alias("best"))
+    asked = mine.join(tops, "term").withColumn("bound", F.col("w") * F.col("most"))
+
+    # what the k best phrases have at least
+    seen = asked.select(key, F.col("w").alias("mine"), F.explode("best").alias("b")).groupBy(key, "b.phrase_id").agg(F.sum(F.col("mine") * F.col("b.w")).alias("part"))
+    floor = seen.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("part"), "phrase_id"))).where(F.col("__r") == k).select(key, F.col("part").alias("least"))
+    rest = F.sum("bound").over(Window.partitionBy(key).orderBy(F.desc("bound"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    needed = asked.withColumn("rest", rest).join(floor, key, "left").where(F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
+
+    copies = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    pairs = salted(needed.select(key, "term")).join(copies.select("term", "salt", "phrase_id"), ["term", "salt"]).select(key, "phrase_id").distinct()
+    listed = lambda df, by, name: df.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias(name))
+    whole = pairs.join(listed(mine, key, "a"), key).join(listed(theirs, "phrase_id", "b"), "phrase_id")
+    dot = F.aggregate(F.map_entries("a"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("b", e["key"]), F.lit(0.0)))
+    near = whole.select(key, "phrase_id", dot.alias("dot"))
+    # phrases that share no term are all as far; the first of them by number stand in where there are too few others
+    first = [r.phrase_id for r in phrases.select("phrase_id").orderBy("phrase_id").limit(k).collect()]
+    few = rows.select(key, F.explode(F.array(*(F.lit(i).cast(phrases.schema["phrase_id"].dataType) for i in first))).alias("phrase_id"), F.lit(0.0).alias("dot"))
+    every = near.unionByName(few).groupBy(key, "phrase_id").agg(F.max("dot").alias("dot"))
+    d = every.withColumn("d", F.round(F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))), 9))
     top = d.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d", "phrase_id"))).where(F.col("r") <= k)
-    return top.groupBy(key).agg(F.min_by("topic", "r").alias("topic"), (1 / (F.avg("d") + 1e-5)).alias("confidence"))
+    return top.join(phrases.select("phrase_id", "topic"), "phrase_id").groupBy(key).agg(F.min_by("topic", "r").alias("topic"), (1 / (F.avg("d") + 1e-5)).alias("confidence"))
 
 
 def mixture(rows: DataFrame, columns: list[str], *, k: int = 2, seed: int = 1) -> DataFrame:

@@ -156,37 +156,39 @@ def best_name_match(s: Source) -> DataFrame:
 s AS (SELECT vec_id, cluster, round(list_cosine_similarity(v, c), 8) AS s FROM e, c UNION ALL SELECT a.vec_id, b.label, round(max(list_cosine_similarity(a.v, b.v)), 8) FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2)
 SELECT vec_id, arg_max(cluster, (s, -cluster)) AS cluster, round(max(s), 6) AS score FROM (SELECT vec_id, cluster, max(s) AS s FROM s GROUP BY 1, 2) GROUP BY vec_id""")
 def nearest_cluster(s: Source) -> DataFrame:
-    """The greater of the cosine to a cluster's mean and that to its best member other than the row itself; blocks of rows meet all blocks."""
-    e = s.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    mean = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy(F.col("label").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t.x).alias("c"))
+    """The greater of the cosine to a cluster's mean and that to its best member other than the row itself, over all clusters; of equals the least cluster."""
+    return nearest_of(s.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")))
+
+
+def nearest_of(e: DataFrame, **how) -> DataFrame:
+    """vec_id, cluster, score. Rows that share a direction are one vector, and are at 1 of each other; a zero vector is at 0 of everything; a null label is no cluster.
+
+    The search over vectors is neighbours.nearest; means meet rows as vectors of their own, so neither clusters nor rows are limited in number.
+    """
+    from voxlake.operators import neighbours
+    from voxlake.storage import written
+
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    centre = e.crossJoin(small.bounded(mean, 50_000, "clusters")).select("vec_id", "cluster", F.round(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c")), 8).alias("s"))
-    x = centre.unionByName(best_members(e)).groupBy("vec_id", "cluster").agg(F.max("s").alias("s"))
-    return x.groupBy("vec_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"), R(F.max("s"), 6).alias("score"))
-
-
-def best_members(e: DataFrame, block: int = 1024) -> DataFrame:
-    """vec_id, cluster, s: the greatest cosine to a cluster's other members, from each block."""
-    n = max(1, -(-e.count() // block))
-    blocks = e.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("vec_id", "label", "v")).alias("m"))
-    parts = [F.col("m.vec_id").alias("i"), F.col("m.label").alias("l"), F.flatten("m.v").alias("v")]
-    left, right = blocks.select(*parts), blocks.select(*(c.alias(f"r{k}") for k, c in enumerate(parts)))
-    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
-
-    def run(batches):
-        for batch in batches:
-            for row in range(len(batch)):
-                i, own_l, v, j, l, w = (np.asarray(c[row].values) for c in batch.columns)
-                v, w = v.reshape(len(i), -1), w.reshape(len(j), -1)
-                unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-                cos = unit(v) @ unit(w).T
-                cos[i[:, None] == j[None, :]] = -2
-                for c in np.unique(l):
-                    best = cos[:, l == c].max(axis=1)
-                    some = best > -2
-                    yield pa.RecordBatch.from_arrays([pa.array(i[some]), pa.array(np.full(some.sum(), c)), pa.array(np.round(best[some], 8))], names=["vec_id", "cluster", "s"])
-
-    return left.crossJoin(right).mapInArrow(run, f"vec_id {kinds['vec_id']}, cluster {kinds['label']}, s double")
+    mean = e.where("label is not null").select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t.x).alias("v"))
+    unit = F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v"))))
+    some = F.exists("v", lambda x: x != 0)
+    # a row of the same direction as another, or as a mean, is one vector with it; those without a cluster mark nothing
+    every = e.select("vec_id", "label", "v").unionByName(mean.select(F.lit(None).cast(e.schema["vec_id"].dataType).alias("vec_id"), "label", "v")).where(some).withColumn("u", unit)
+    every = written(every.withColumn("key", F.xxhash64(F.transform("u", lambda x: F.round(x, 12) + 0.0))))
+    none = F.lit((1 << 63) - 1)
+    held = every.groupBy("key").agg(F.first("u").alias("v"), F.coalesce(F.min("label").cast("long"), none).alias("mark"), F.min(F.struct(F.coalesce(F.col("label").cast("long"), none).alias("label"), F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"))).alias("first"))
+    rows = every.where("vec_id is not null").select("key", "vec_id", "label")
+    rank = Window.partitionBy("key").orderBy(F.col("label").cast("long").asc_nulls_last(), F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)))
+    second = every.where("label is not null").withColumn("r", F.row_number().over(rank)).where("r = 2").select("key", F.col("label").cast("long").alias("second"))
+    found = neighbours.nearest(held.where(F.col("mark") != none).select("key", "mark", "v").unionByName(held.where(F.col("mark") == none).select("key", "mark", "v")), **how).found
+    x = rows.join(held.select("key", "mark", "first"), "key").join(second, "key", "left").join(found.select("key", "cosine", F.col("mark").alias("near")), "key", "left")
+    own = F.when((F.col("first.vec_id") == F.col("vec_id").cast("long")) & (F.col("first.label") == F.coalesce(F.col("label").cast("long"), none)), F.col("second")).otherwise(F.nullif(F.col("mark"), none))
+    choices = F.array(F.struct(F.lit(1.0).alias("s"), (-own).alias("c")), F.struct(F.col("cosine").alias("s"), (-F.nullif(F.col("near"), none)).alias("c")))
+    top = F.array_max(F.filter(choices, lambda c: c.s.isNotNull() & c.c.isNotNull()))
+    kind = e.schema["label"].dataType
+    least = mean.agg(F.min("label").alias("least"))
+    zero = e.where(~some).select("vec_id").crossJoin(F.broadcast(least)).where("least is not null").select("vec_id", F.col("least").alias("cluster"), F.lit(0.0).alias("score"))
+    return x.select("vec_id", (-top["c"]).cast(kind).alias("cluster"), R(top["s"], 6).alias("score")).where("cluster is not null").unionByName(zero)
 
 
 @query("J22_anti_join", f"WITH {ctes('calls', 'affected')} SELECT call_id FROM calls WHERE call_id NOT IN (SELECT call_id FROM affected WHERE line = 1)")

@@ -128,12 +128,23 @@ def weighted_classifier(s: Source) -> DataFrame:
     return judged(labelled(s), "doc_id", kind="logistic", balanced=True)
 
 
-@query("M07_nearest_phrases")
+TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@query("M07_nearest_phrases", f"""WITH t AS (SELECT 'r' || (conv_id * 1000 + turn) AS id, {TERMS} AS w FROM conversations UNION ALL SELECT 'p' || item_id, {TERMS} FROM benchmark),
+g AS (SELECT id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS term FROM t), n AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+f AS (SELECT term, ln(((SELECT count(*) FROM t) + 1) / (count(*) + 1)) AS idf FROM n GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT id, term, tf * idf AS x FROM n JOIN f USING (term) WHERE tf * idf > 0),
+v AS MATERIALIZED (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x), p AS MATERIALIZED (SELECT CAST(substr(id, 2) AS BIGINT) AS p, term, w FROM v WHERE id LIKE 'p%'),
+d AS (SELECT id, p, sum(v.w * p.w) AS dot FROM v JOIN p USING (term) WHERE id LIKE 'r%' GROUP BY 1, 2),
+a AS (SELECT t.id, item_id AS p, round(sqrt(greatest(2 - 2 * coalesce(dot, 0), 0)), 9) AS d FROM t, benchmark LEFT JOIN d ON d.id = t.id AND d.p = item_id WHERE t.id LIKE 'r%'),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, p) AS r FROM a)
+SELECT CAST(substr(id, 2) AS BIGINT) AS id, {SCRIPT_ORDER!r}[CAST(min(p) FILTER (WHERE r = 1) % 14 AS INT) + 1] AS topic, round(1 / (avg(d) + 1e-5), 6) AS confidence FROM o WHERE r <= 3 GROUP BY 1""")
 def nearest_phrases(s: Source) -> DataFrame:
     phrases = s.table("benchmark").select((F.col("item_id") % 14).cast("int").alias("k"), F.col("item_id").alias("phrase_id"), "text")
     names = F.array(*map(F.lit, SCRIPT_ORDER))
     turns = s.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return topics.nearest_phrases(turns, phrases.select(names[F.col("k")].alias("topic"), "phrase_id", "text"), key="id").select("id", "topic")
+    found = topics.nearest_phrases(turns, phrases.select(names[F.col("k")].alias("topic"), "phrase_id", "text"), key="id")
+    return found.select("id", "topic", R(F.col("confidence"), 6).alias("confidence"))
 
 
 @query("M08_forest")
