@@ -39,6 +39,41 @@ def test_J18_J19_all_windows_and_whole_phrases(spark):
         assert {r.doc_id for r in likelihood.best_pairs(df, script, **how).where("item_id is null and score = 0").collect()} == {0, 22}
 
 
+def test_J18_J19_any_number_of_phrases_and_few_pairs_compared(spark, monkeypatch):
+    """The script in blocks gives the rows of the script as a whole; of the pairs that there are only some are compared."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(2, 9)))
+    phrases = [(i, i % 3, " ".join(word() for _ in range(random.randint(4, 9)))) for i in range(60)]
+    docs = [(d, [word() for _ in range(60)]) for d in range(20)] + [(50 + i, [word() for _ in range(20)] + p.split() + [word()]) for i, _, p in phrases[:20]]
+    df, script = spark.createDataFrame(docs, "doc_id long, w array<string>"), spark.createDataFrame(phrases, "item_id long, cluster long, phrase string")
+    how = {"size": 6, "step": 1, "tail": False, "top": 2}
+    whole = sorted(map(tuple, likelihood.best_pairs(df, script, **how).collect()))
+    monkeypatch.setattr(likelihood, "PHRASES", 7)
+    monkeypatch.setattr(likelihood, "SCRIPT", 5)
+    assert sorted(map(tuple, likelihood.best_pairs(df, script, **how).collect())) == whole
+    evidence = sorted(map(tuple, likelihood.evidence(df, script).collect()))
+    monkeypatch.undo()
+    assert sorted(map(tuple, likelihood.evidence(df, script).collect())) == evidence
+    pairs = sum(len(likelihood.windows(w, 6, 1, False)) for _, w in docs) * len(phrases)
+    compared = likelihood.best_of([w for _, w in docs], [(i, 0, p) for i, _, p in phrases], 1, size=6, step=1, tail=False, top=1).verified
+    assert compared < 0.3 * pairs
+
+
+def test_least_distances_are_under_all_distances():
+    random.seed(6)
+    texts = [["".join(random.choice("ab") for _ in range(random.randint(1, 40))) for _ in range(random.randint(1, 90))] for _ in range(6)]
+    data, doc, start, lo, hi = likelihood.laid_out(texts, 3, 1, False)
+    phrases = [(k, 0, " ".join("".join(random.choice("ab") for _ in range(random.randint(1, 70))) for _ in range(2))) for k in range(9)] + [(9, 0, "")]
+    least = likelihood.least_distances(data, doc, lo, hi, likelihood.Script(phrases))
+    for w in range(0, len(lo), 7):
+        span = data[lo[w] : hi[w]].tobytes().decode()
+        for k, (_, _, p) in enumerate(phrases):
+            far = distance(p, span)
+            assert least[w, k] <= far and least[w, k] <= len(p)
+            if start[w] % likelihood.LANE == 0:  # a lane's first window has no stretch that begins before it
+                assert least[w, k] == min(distance(p, span[j:]) for j in range(len(span) + 1))
+
+
 def test_J18_J19_long_texts_and_texts_without_a_shared_word(spark, tmp_path):
     from voxlake.plans import catalog
 

@@ -1,28 +1,29 @@
 """The best pairs of text windows and script phrases by edit distance, over all windows and all phrases.
 
 A pair's score is 1 - distance / length of the longer, to six decimals. Distances are exact: the
-bit-parallel algorithm of Myers, in blocks of 64 characters, over many windows at once. A pair is left
-out only when it cannot be among the best: the distance is at least the longer length less the
-letters that both have.
+bit-parallel algorithm of Myers, in blocks of 64 characters, over many pairs at once. A pair is left
+out only when it cannot be among the best: one pass over a text says how near a phrase comes to any stretch that
+ends at a place, which no window that ends there can undercut; what windows have to reach rises as pairs are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .small import fetched
-
 LETTERS = np.frombuffer(b" abcdefghijklmnopqrstuvwxyz", np.uint8)
 #: Characters of windows that are laid out at a time, and windows that are compared at a time.
 LAID_OUT, AT_ONCE = 4 << 20, 4096
 ONE, TOP = np.uint64(1), np.uint64(63)
-#: Phrases of a script at most: they are sent to every task.
-PHRASES = 100_000
+#: Phrases of a script that are sent to every task at a time, and that windows meet at a time; windows that meet them at a time, and in one pass.
+PHRASES, SCRIPT, WINDOWS, LANE = 100_000, 128, 16_384, 64
+#: Of each document and cluster so many times ``top`` pairs are compared first.
+LEADS = 4
 
 
 def distances(masks: np.ndarray, lengths: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -66,10 +67,10 @@ class Best:
         self.top = top
         self.score, self.item, self.start = (np.full((docs, clusters, top), x, np.int64) for x in (-1, 0, 0))
 
-    def add(self, cluster: int, item: int, doc: np.ndarray, start: np.ndarray, score: np.ndarray) -> None:
+    def add(self, cluster: int, item: np.ndarray, doc: np.ndarray, start: np.ndarray, score: np.ndarray) -> None:
         docs = np.unique(doc)
         own = np.repeat(docs, self.top)
-        d, s, i, k = (np.concatenate(x) for x in ((own, doc), (self.score[docs, cluster].ravel(), score), (self.item[docs, cluster].ravel(), np.full(len(doc), item)), (self.start[docs, cluster].ravel(), start)))
+        d, s, i, k = (np.concatenate(x) for x in ((own, doc), (self.score[docs, cluster].ravel(), score), (self.item[docs, cluster].ravel(), item), (self.start[docs, cluster].ravel(), start)))
         order = np.lexsort((k, i, -s, d))
         d, s, i, k = d[order], s[order], i[order], k[order]
         rank = np.arange(len(d)) - np.searchsorted(d, d)
@@ -109,66 +110,205 @@ def masks_of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, blocks: int) -> n
     return np.stack([np.packbits(shown == c, axis=1, bitorder="little").view("<u8").T for c in LETTERS])
 
 
+class Script:
+    """Some phrases as patterns: bits of where each letter stands, by letter, block of 64 and phrase; and their letters."""
+
+    def __init__(self, phrases: Sequence[tuple[int, int, str]]):
+        number = letter_numbers()
+        self.items, self.clusters = (np.array([p[k] for p in phrases], np.int64) for k in (0, 1))
+        self.lengths = np.array([len(p[2]) for p in phrases], np.int64)
+        self.letters = np.zeros((len(phrases), max(1, int(self.lengths.max(initial=0)))), np.intp)
+        self.blocks = max(1, -(-int(self.lengths.max(initial=0)) // 64))
+        self.masks = np.zeros((len(LETTERS), self.blocks, len(phrases)), np.uint64)
+        for k, (_, _, text) in enumerate(phrases):
+            own = number[np.frombuffer(text.encode(), np.uint8)]
+            self.letters[k, : len(own)] = own
+            at = np.arange(len(own))
+            np.bitwise_or.at(self.masks, (own, at // 64, k), ONE << (at % 64).astype(np.uint64))
+
+
+def least_distances(data: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, script: Script) -> np.ndarray:
+    """What each window is from each phrase at least (windows x phrases): the least distance of the phrase to any stretch that ends where the window does, and begins
+    where it or one of the windows before it in its lane do. One pass over the letters of a lane of ``LANE`` windows serves all of them, and all phrases at once."""
+    n, phrases = len(lo), len(script.items)
+    out = np.zeros((n, phrases), np.int32)
+    lane = np.zeros(n, np.int64)
+    if not n or not phrases:
+        return out
+    place = np.arange(n) - np.searchsorted(doc, doc)
+    first = place % LANE == 0
+    lane = np.cumsum(first) - 1
+    begin = lo[first]
+    end = np.maximum.reduceat(hi, np.flatnonzero(first))
+    order = np.argsort(begin - end, kind="stable")  # the longest lanes first, so that those at work are a prefix
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    begin, length = begin[order], (end - begin)[order]
+    lane = rank[lane]
+    offset = hi - begin[lane] - 1
+    told = np.argsort(offset, kind="stable")
+    step = np.searchsorted(offset[told], np.arange(int(length[0]) + 1))
+    number = letter_numbers()
+    up = np.full((script.blocks, len(order), phrases), ~np.uint64(0))
+    down = np.zeros_like(up)
+    total = np.tile(script.lengths.astype(np.int32), (len(order), 1))
+    last = ((np.maximum(script.lengths, 1) - 1) % 64).astype(np.uint64)
+    own_block = (np.maximum(script.lengths, 1) - 1) // 64
+    live = len(order)
+    for t in range(int(length[0])):
+        while live and length[live - 1] <= t:
+            live -= 1
+        letter = number[data[begin[:live] + t]]
+        more = less = np.zeros((live, phrases), np.uint64)  # a stretch may begin anywhere
+        for b in range(script.blocks):
+            eq, pv, mv = script.masks[letter, b], up[b, :live], down[b, :live]
+            xv = eq | mv
+            eq = eq | less
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            change = ((ph >> last) & ONE).astype(np.int32) - ((mh >> last) & ONE).astype(np.int32)
+            total[:live] += change if script.blocks == 1 else np.where(own_block == b, change, 0)
+            above, below = more, less
+            more, less = ph >> TOP, mh >> TOP
+            ph, mh = (ph << ONE) | above, (mh << ONE) | below
+            up[b, :live], down[b, :live] = mh | ~(xv | ph), ph & xv
+        some = told[step[t] : step[t + 1]]
+        if len(some):
+            out[some] = total[lane[some]]
+    return out
+
+
+def distances_of_pairs(masks: np.ndarray, lengths: np.ndarray, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As distances, each window against a phrase of its own; letters: windows x letters, sizes: how many of them count."""
+    blocks, n = masks.shape[1:]
+    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    total, last = lengths.astype(np.int64), ((lengths - 1) % 64).astype(np.uint64)
+    out, lanes = total.copy(), np.arange(n)
+    for t in range(int(sizes.max(initial=0))):
+        more, less = np.ones(n, np.uint64), np.zeros(n, np.uint64)
+        for b in range(blocks):
+            eq, pv, mv = masks[letters[:, t], b, lanes], up[b], down[b]
+            xv = eq | mv
+            eq = eq | less
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            if b == blocks - 1:
+                total = total + ((ph >> last) & ONE).astype(np.int64) - ((mh >> last) & ONE).astype(np.int64)
+            above, below = more, less
+            more, less = ph >> TOP, mh >> TOP
+            ph, mh = (ph << ONE) | above, (mh << ONE) | below
+            up[b], down[b] = mh | ~(xv | ph), ph & xv
+        out = np.where(sizes > t, total, out)
+    return out
+
+
 def best_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clusters: int, *, size: int, step: int, tail: bool, top: int) -> Best:
-    """phrases: item, cluster number and text, letters and spaces only, as the words are."""
+    """phrases: item, cluster number and text, letters and spaces only, as the words are. best.verified: how many pairs were compared in full."""
     best = Best(len(texts), clusters, top)
+    best.verified = 0
     if (laid := laid_out(texts, size, step, tail)) is None:
         return best
     data, doc, start, lo, hi = laid
-    blocks = (hi - lo + 63) // 64
-    number = letter_numbers()
-    coded = [(item, cluster, number[np.frombuffer(text.encode(), np.uint8)]) for item, cluster, text in sorted(phrases, key=lambda p: (len(p[2]), p[0]))]
-    counts = [np.bincount(p, minlength=len(LETTERS)) for _, _, p in coded]
-    for b in np.unique(blocks).tolist():
-        same = np.flatnonzero(blocks == b)
-        for own in np.split(same, range(each := max(1, LAID_OUT // (64 * b)), len(same), each)):
-            length = hi[own] - lo[own]
-            masks = masks_of(data, lo[own], hi[own], b)
-            has = np.bitwise_count(masks).sum(axis=1, dtype=np.int64)
-            for (item, cluster, phrase), count in zip(coded, counts, strict=True):
-                longer = np.maximum(length, len(phrase))
-                common = np.minimum(has, count[:, None]).sum(axis=0)
-                most = millionths(common, longer)
-                able = np.flatnonzero(most >= best.score[doc[own], cluster, top - 1])
-                able = able[np.argsort(-most[able], kind="stable")]  # the likeliest first, so that fewer of the others need comparing
-                for some in np.split(able, range(AT_ONCE, len(able), AT_ONCE)):
-                    some = some[most[some] >= best.score[doc[own[some]], cluster, top - 1]]
-                    if len(some):
-                        far = distances(np.ascontiguousarray(masks[:, :, some]), length[some], phrase)
-                        score = millionths(longer[some] - far, longer[some])
-                        good = score >= best.score[doc[own[some]], cluster, top - 1]
-                        if good.any():
-                            best.add(cluster, item, doc[own[some[good]]], start[own[some[good]]], score[good])
+    phrases = sorted(phrases, key=lambda p: (len(p[2]), p[0]))
+    for k in range(0, len(phrases), SCRIPT):
+        script = Script(phrases[k : k + SCRIPT])
+        for a in range(0, len(lo), WINDOWS):
+            _improve(best, data, doc[a : a + WINDOWS], start[a : a + WINDOWS], lo[a : a + WINDOWS], hi[a : a + WINDOWS], script, top)
     return best
 
 
+def _improve(best: Best, data: np.ndarray, doc: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, script: Script, top: int) -> None:
+    """Compares the pairs of some windows and phrases that can be among the best: first the likeliest of each document and cluster, so that what the others have to reach rises."""
+    length = hi - lo
+    longer = np.maximum(length[:, None], script.lengths[None, :])
+    least = np.maximum(least_distances(data, doc, lo, hi, script), np.abs(length[:, None] - script.lengths[None, :]))
+    most = millionths(longer - least, longer)
+    bound = lambda w, p: best.score[doc[w], script.clusters[p], top - 1]
+    w, p = np.nonzero(most >= best.score[doc][:, script.clusters, top - 1])
+    if not len(w):
+        return
+    score = most[w, p]
+    order = np.lexsort((-score, script.clusters[p], doc[w]))
+    group = doc[w[order]] * (int(script.clusters.max()) + 1) + script.clusters[p[order]]
+    leads = np.arange(len(order)) - np.searchsorted(group, group) < LEADS * top
+    likely, rest = order[leads], order[~leads]
+    for own in (likely, rest[np.argsort(-score[rest], kind="stable")]):
+        for some in np.split(own, range(AT_ONCE, len(own), AT_ONCE)):
+            some = some[score[some] >= bound(w[some], p[some])]
+            if not len(some):
+                continue
+            best.verified += len(some)
+            a, b = w[some], p[some]
+            far = np.empty(len(some), np.int64)
+            blocks = (length[a] + 63) // 64
+            for n in np.unique(blocks).tolist():
+                same = np.flatnonzero(blocks == n)
+                far[same] = distances_of_pairs(masks_of(data, lo[a[same]], hi[a[same]], n), length[a[same]], script.letters[b[same]], script.lengths[b[same]])
+            found = millionths(longer[a, b] - far, longer[a, b])
+            for c in np.unique(script.clusters[b]).tolist():
+                good = (script.clusters[b] == c) & (found >= bound(a, b))
+                if good.any():
+                    best.add(c, script.items[b[good]], doc[a[good]], start[a[good]], found[good])
+
+
+def in_blocks(phrases: DataFrame, whole_clusters: bool = False) -> Iterator[list[tuple[int, int, str]]]:
+    """A script's phrases (item_id, cluster, phrase), ``PHRASES`` at a time: a query set against all rows, in blocks. A script without phrases is one empty block; with whole_clusters a cluster's phrases are in one block."""
+    rows = phrases.select("item_id", "cluster", "phrase").orderBy("cluster", "item_id", "phrase")
+    block: list[tuple[int, int, str]] = []
+    any_ = False
+    for r in rows.toLocalIterator():
+        if len(block) >= PHRASES and not (whole_clusters and block[-1][1] == r.cluster):
+            yield block
+            block, any_ = [], True
+        block.append((r.item_id, r.cluster, r.phrase))
+    if block or not any_:
+        yield block
+
+
+def enough_tasks(docs: DataFrame) -> DataFrame:
+    """Texts that come in fewer partitions than there are cores are dealt out, as comparing is slow; a large input stays where it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def best_pairs(docs: DataFrame, phrases: DataFrame, *, size: int, step: int, tail: bool, top: int) -> DataFrame:
     """docs: doc_id, w (words of a to z); phrases: item_id, cluster, phrase. The first ``top`` of each document and cluster: doc_id, cluster, item_id, k, score.
 
-    A document without words has one row for itself, where the rest is null and the score 0. The phrases are a script: they are sent to every task.
+    A document without words has one row for itself, where the rest is null and the score 0. The script is read, and sent to every task, ``PHRASES`` phrases at a time;
+    the best of several such blocks are the best of all.
     """
     spark = docs.sparkSession
-    rows = [(r.item_id, r.cluster, r.phrase) for r in fetched(phrases, PHRASES, "phrases")]
-    names = sorted({c for _, c, _ in rows})
-    shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded, names = shared.value
-        for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
-                texts = [x or [] for x in batch.column(1).to_pylist()]
-                best = best_of(texts, coded, len(names), size=size, step=step, tail=tail, top=top)
-                d, c, r = np.nonzero(best.score >= 0)
-                none = np.array([j for j, x in enumerate(texts) if not x or not names], np.int64)
-                gap = pa.nulls(len(none), pa.int64())
-                columns = [pa.concat_arrays([pa.array(x, pa.int64()), gap]) for x in (np.array(names, np.int64)[c] if names else c, best.item[d, c, r], best.start[d, c, r])]
-                score = np.concatenate([best.score[d, c, r] / 1e6, np.zeros(len(none))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([d, none]))), *columns, pa.array(score)], names=["doc_id", "cluster", "item_id", "k", "score"])
-
-    spread = docs.select("doc_id", "w").repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spread.mapInArrow(run, f"doc_id {id_type}, cluster long, item_id long, k long, score double")
+    schema = f"doc_id {id_type}, cluster long, item_id long, k long, score double"
+
+    def of_block(rows: list[tuple[int, int, str]]) -> DataFrame:
+        names = sorted({c for _, c, _ in rows})
+        shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coded, names = shared.value
+            for whole in batches:
+                for lo in range(0, len(whole), 256):
+                    batch = whole.slice(lo, 256)
+                    texts = [x or [] for x in batch.column(1).to_pylist()]
+                    best = best_of(texts, coded, len(names), size=size, step=step, tail=tail, top=top)
+                    d, c, r = np.nonzero(best.score >= 0)
+                    none = np.array([j for j, x in enumerate(texts) if not x or not names], np.int64)
+                    gap = pa.nulls(len(none), pa.int64())
+                    columns = [pa.concat_arrays([pa.array(x, pa.int64()), gap]) for x in (np.array(names, np.int64)[c] if names else c, best.item[d, c, r], best.start[d, c, r])]
+                    score = np.concatenate([best.score[d, c, r] / 1e6, np.zeros(len(none))])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([d, none]))), *columns, pa.array(score)], names=["doc_id", "cluster", "item_id", "k", "score"])
+
+        return spread.mapInArrow(run, schema)
+
+    spread = enough_tasks(docs.select("doc_id", "w"))
+    parts = [of_block(rows) for rows in in_blocks(phrases)]
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
+        return found
+    rank = F.row_number().over(Window.partitionBy("doc_id", "cluster").orderBy(F.desc("score"), "item_id", "k"))
+    # rows that say that a document has no words come once from each block
+    return found.where("item_id is not null").withColumn("__r", rank).where(F.col("__r") <= top).drop("__r").unionByName(parts[0].where("item_id is null"))
 
 
 #: What the edit score and the likeness of meaning count for.
@@ -234,23 +374,29 @@ def evidence_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]],
 
 
 def evidence(docs: DataFrame, phrases: DataFrame, *, size: int = 18, step: int = 6, tail: bool = True, top: int = 3) -> DataFrame:
-    """doc_id, cluster, item_id, k, score, fuzzy, semantic: see evidence_of. docs: doc_id, w; phrases: item_id, cluster, phrase (a script: sent to every task)."""
+    """doc_id, cluster, item_id, k, score, fuzzy, semantic: see evidence_of. docs: doc_id, w; phrases: item_id, cluster, phrase.
+
+    The script is sent to every task in blocks of whole clusters, of some ``PHRASES`` phrases; clusters are judged by themselves, so blocks just add up.
+    """
     spark = docs.sparkSession
-    rows = [(r.item_id, r.cluster, r.phrase) for r in fetched(phrases, PHRASES, "phrases")]
-    names = sorted({c for _, c, _ in rows})
-    shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded, names = shared.value
-        for whole in batches:
-            for lo in range(0, len(whole), 64):
-                batch = whole.slice(lo, 64)
-                found = evidence_of([x or [] for x in batch.column(1).to_pylist()], coded, len(names), size=size, step=step, tail=tail, top=top)
-                d, c, i, k, *scores = map(list, zip(*found, strict=True)) if found else ([] for _ in range(7))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array([names[x] for x in c], pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int64()), *(pa.array(x, pa.float64()) for x in scores)], names=["doc_id", "cluster", "item_id", "k", "score", "fuzzy", "semantic"])
-
-    spread = docs.select("doc_id", "w").repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spread.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cluster long, item_id long, k long, score double, fuzzy double, semantic double")
+
+    def of_block(rows: list[tuple[int, int, str]]) -> DataFrame:
+        names = sorted({c for _, c, _ in rows})
+        shared = spark.sparkContext.broadcast(([(i, names.index(c), p) for i, c, p in rows], names))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coded, names = shared.value
+            for whole in batches:
+                for lo in range(0, len(whole), 64):
+                    batch = whole.slice(lo, 64)
+                    found = evidence_of([x or [] for x in batch.column(1).to_pylist()], coded, len(names), size=size, step=step, tail=tail, top=top)
+                    d, c, i, k, *scores = map(list, zip(*found, strict=True)) if found else ([] for _ in range(7))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array([names[x] for x in c], pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int64()), *(pa.array(x, pa.float64()) for x in scores)], names=["doc_id", "cluster", "item_id", "k", "score", "fuzzy", "semantic"])
+
+        return spread.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cluster long, item_id long, k long, score double, fuzzy double, semantic double")
+
+    spread = enough_tasks(docs.select("doc_id", "w"))
+    return reduce(DataFrame.unionByName, [of_block(rows) for rows in in_blocks(phrases, whole_clusters=True)])
 
 
 def words(column: str):

@@ -607,18 +607,17 @@ t AS (SELECT doc_id, g, score AS least FROM f QUALIFY row_number() OVER (PARTITI
 x AS (SELECT b.doc_id, k, item_id, cluster, {score} AS score FROM b LEFT JOIN t ON t.doc_id = b.doc_id AND t.g = {groups} WHERE least IS NULL OR most >= least - 1e-6)"""
 
 
-def likelihoods(s: Source, **how) -> DataFrame:
+def likelihoods(s: Source, clusters: int = 14, **how) -> DataFrame:
     """The best pairs of all documents' windows and all whole script phrases (how: see best_pairs)."""
     words = likelihood.words
-    p = s.table("benchmark").select("item_id", (F.col("item_id") % 14).cast("long").alias("cluster"), F.array_join(words("text"), " ").alias("phrase"))
+    p = s.table("benchmark").select("item_id", (F.col("item_id") % clusters).cast("long").alias("cluster"), F.array_join(words("text"), " ").alias("phrase"))
     return likelihood.best_pairs(s.table("documents").select("doc_id", words("text").alias("w")), p, **how)
 
 
 @query("J18_best_phrase", f"{windows_sql(6, 1, False, '0', 1)} SELECT doc_id, max(score) AS score, arg_max(item_id, (score, -item_id, -k)) AS item_id FROM x GROUP BY 1 UNION ALL SELECT doc_id, 0, NULL FROM d WHERE len(w) = 0")
 def best_phrase(s: Source) -> DataFrame:
     """The best of every window of six words, at each word, against every phrase; a document without words has score 0 and no phrase."""
-    x = likelihoods(s, size=6, step=1, tail=False, top=1)
-    return x.groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"), -F.col("k"))).alias("item_id"))
+    return likelihoods(s, clusters=1, size=6, step=1, tail=False, top=1).select("doc_id", "score", "item_id")
 
 
 @query("J19_cluster_evidence", f"{windows_sql(18, 6, True, 'cluster', 3)} SELECT doc_id, cluster, CAST(rn AS INT) AS rank, item_id, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, item_id, k) AS rn FROM x) WHERE rn <= 3")
