@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by cosine, over balanced posting lists.
 
-Fit: a sample of the vectors (the least by hash) is halved by balanced two-means until a part has at most
+Rows first become distinct vectors: of those that share one, the ids that any query can be given are the least, one more than asked for (a
+query's own id is left out), so a vector that a third of the rows share is a few rows. Queries that share a vector are answered once.
+
+Fit: a sample of the distinct vectors (the least by hash) is halved by balanced two-means until a part has at most
 ``LEAF``; the sample has ``SAMPLE`` vectors, or ``GROWTH`` times the root of their number if that is more, but at most
 ``SAMPLE_MOST`` (a documented bound), so that lists become more as well as longer; the parts' means are the centroids,
-and a nearest-neighbour graph over them is the in-memory index. Every row is then
+and a nearest-neighbour graph over them is the in-memory index. The driver fits at most ``SAMPLE`` vectors; of a larger sample it fits these to coarse
+cells, and tasks halve the cells' vectors on. Every row is then
 indexed: the graph search finds its nearest centroids, and it goes to the list of each
 whose distance is at most ``BORDER`` times the least, unless a list already taken has a
 centroid nearer than ``SPREAD`` times the vector's distance to that one (at most ``REPLICAS`` lists). A query searches
@@ -12,9 +16,9 @@ least ``MIN_LISTS`` and at most ``MAX_LISTS``, going on while they hold fewer th
 ``MIN_ROWS`` rows. Scores are exact cosines of the original vectors in double precision; for that a vector is
 first scaled by a power of two, which changes no digit and keeps its squares finite.
 
-Skew: lists are cut into pieces of about ``PIECE`` rows by a hash of the id, each piece
-is a group of its own, and gives each query its best k; so one vector shared by a third of the
-rows makes many pieces, not one large task. List sizes and centroids (at most SAMPLE_MOST / LEAF
+Skew: lists are cut into pieces of about ``PIECE`` rows by a hash of the id, and the queries that read a list into
+pieces of about ``ASKED``; a piece of rows and one of queries are a group, which gives each query its best; so a list that many rows or queries are near
+makes many groups, not one large task. List sizes and centroids (at most SAMPLE_MOST / LEAF
 * 2) are all that is broadcast.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
@@ -33,10 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chunks as C
+
 SAMPLE, GROWTH, SAMPLE_MOST, LEAF, DEGREE = 50_000, 128, 2_000_000, 64, 24
 BORDER, REPLICAS, SPREAD = 1.3, 8, 0.5
 PRUNE, MIN_LISTS, MAX_LISTS, MIN_ROWS, BEAM = 1.2, 24, 256, 128, 256
-PIECE = 4096
+PIECE, ASKED = 4096, 1024
+#: Coarse cells of a sample that the driver doesn't fit by itself have about so many vectors of it.
+CELL = 16_384
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,35 +67,41 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fit(x: np.ndarray, leaf: int = LEAF, refine: int = 4) -> np.ndarray:
+    """Centroids of balanced parts of unit vectors."""
+    rng = np.random.default_rng(3)
+    parts, done = [np.arange(len(x))], []
+    while parts:
+        own = parts.pop()
+        if len(own) <= leaf:
+            done.append(own)
+            continue
+        a, b = x[own[rng.integers(len(own))]], x[own[rng.integers(len(own))]]
+        for _ in range(6):
+            side = x[own] @ (a - b)
+            near = side > np.median(side)
+            if not 0 < near.sum() < len(own):
+                break
+            a, b = x[own[near]].mean(axis=0), x[own[~near]].mean(axis=0)
+        order = np.argsort(x[own] @ (a - b), kind="stable")
+        parts += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    c = np.array([x[own].mean(axis=0) for own in done])
+    for _ in range(refine):  # rounds of spherical k-means even out what the halving cut through
+        c = unit(c[(np.abs(c) > 1e-12).any(axis=1)]) if (np.abs(c) > 1e-12).any() else x[:1]
+        own = np.concatenate([np.argmax(x[k : k + 4096] @ c.T, axis=1) for k in range(0, len(x), 4096)])
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        c = np.add.reduceat(x[order], first, axis=0)
+    c = unit(c[(np.abs(c) > 1e-12).any(axis=1)]) if (np.abs(c) > 1e-12).any() else x[:1]
+    return np.unique(c.astype(np.float32), axis=0)
+
+
 class Index:
-    """Centroids of balanced parts, and a graph over them."""
+    """Centroids, and a graph over them."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, degree: int = DEGREE, refine: int = 4):
+    def __init__(self, centroids: np.ndarray, degree: int = DEGREE):
         rng = np.random.default_rng(3)
-        parts, done = [np.arange(len(x))], []
-        while parts:
-            own = parts.pop()
-            if len(own) <= leaf:
-                done.append(own)
-                continue
-            a, b = x[own[rng.integers(len(own))]], x[own[rng.integers(len(own))]]
-            for _ in range(6):
-                side = x[own] @ (a - b)
-                near = side > np.median(side)
-                if not 0 < near.sum() < len(own):
-                    break
-                a, b = x[own[near]].mean(axis=0), x[own[~near]].mean(axis=0)
-            order = np.argsort(x[own] @ (a - b), kind="stable")
-            parts += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
-        c = np.array([x[own].mean(axis=0) for own in done])
-        for _ in range(refine):  # rounds of spherical k-means even out what the halving cut through
-            c = unit(c[(np.abs(c) > 1e-12).any(axis=1)]) if (np.abs(c) > 1e-12).any() else x[:1]
-            own = np.concatenate([np.argmax(x[k : k + 4096] @ c.T, axis=1) for k in range(0, len(x), 4096)])
-            order = np.argsort(own, kind="stable")
-            first = np.flatnonzero(np.diff(own[order], prepend=-1))
-            c = np.add.reduceat(x[order], first, axis=0)
-        c = unit(c[(np.abs(c) > 1e-12).any(axis=1)]) if (np.abs(c) > 1e-12).any() else x[:1]
-        self.centroids = np.unique(c.astype(np.float32), axis=0)
+        self.centroids = np.unique(centroids, axis=0)
         n = len(self.centroids)
         degree = min(degree, n - 1)
         self.links = np.empty((n, degree + 2), np.int32)
@@ -169,56 +183,107 @@ class Index:
         return row, ids[row, j]
 
 
-def best(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best other ids; equal vectors get equal scores, wherever they stand."""
+def best(q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, vec_id, score) of each query's k best ids, but for its own; equal vectors get equal scores, wherever they stand.
+
+    A product of matrices says which rows can be among the best; what they score is then summed up row by row.
+    """
     order = np.argsort(vec_ids, kind="stable")
     vec_ids, v, q = vec_ids[order], scaled(v[order]), scaled(q)
     nq, nv = np.sqrt(np.einsum("rd,rd->r", q, q)), np.sqrt(np.einsum("rd,rd->r", v, v))
+    u = v / nv[:, None]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(q)):
-        s = np.einsum("rd,d->r", v, q[i]) / (nv * nq[i])
-        s[vec_ids == query_ids[i]] = -np.inf
-        if len(s) > 32 * k:  # the rows that can be among the best, ties included
-            some = np.flatnonzero(s >= np.partition(s, len(s) - 4 * k)[len(s) - 4 * k])
-            if len(np.unique(vec_ids[some][s[some] > -np.inf])) < k:
-                some = np.arange(len(s))
-        else:
-            some = np.arange(len(s))
-        top = some[np.argsort(-s[some], kind="stable")]
-        keep, seen = [], set()
-        for p in top.tolist():
-            if len(keep) == k or s[p] == -np.inf:
-                break
-            if (x := int(vec_ids[p])) not in seen:
-                seen.add(x)
-                keep.append(p)
-        out.append((np.full(len(keep), query_ids[i]), vec_ids[keep], s[keep]))
+    for lo in range(0, len(q), 128):
+        near = u @ (q[lo : lo + 128] / nq[lo : lo + 128, None]).T
+        for i in range(lo, min(lo + 128, len(q))):
+            rough = near[:, i - lo]
+            if own is not None:
+                rough[vec_ids == own[i]] = -np.inf
+            some = np.arange(len(rough))
+            if len(rough) > 32 * k:  # the rows that can be among the best, ties included
+                some = np.flatnonzero(rough >= np.partition(rough, len(rough) - 4 * k)[len(rough) - 4 * k] - 1e-9)
+                if len(np.unique(vec_ids[some][rough[some] > -np.inf])) < k:
+                    some = np.arange(len(rough))
+            some = some[rough[some] > -np.inf]
+            s = np.einsum("rd,d->r", v[some], q[i]) / (nv[some] * nq[i])
+            keep, seen = [], set()
+            for p in np.argsort(-s, kind="stable").tolist():
+                if len(keep) == k:
+                    break
+                if (x := int(vec_ids[some[p]])) not in seen:
+                    seen.add(x)
+                    keep.append(p)
+            out.append((np.full(len(keep), i), vec_ids[some[keep]], s[keep]))
     return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))  # type: ignore[return-value]
 
 
-def _vectors(dim: int, kind: str):
-    return pa.list_(pa.float64() if kind == "double" else pa.float32())
+def hashed(rows: DataFrame) -> DataFrame:
+    """With g and h, which rows of one vector share; 0.0 and -0.0 are one."""
+    same = F.transform("v", lambda x: x + F.lit(0.0))
+    return rows.withColumn("g", F.xxhash64(same)).withColumn("h", F.xxhash64(F.reverse(same), F.lit(1)))
+
 
+def candidates(rows: DataFrame, k: int) -> DataFrame:
+    """id, v: of the rows that share a vector those with the k + 1 least ids: others are in no answer. Spark limits each task's rows before it sends them."""
+    once = hashed(rows).groupBy("g", "h", "id").agg(F.first("v").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("g", "h").orderBy("id"))
+    return once.withColumn("r", rank).where(F.col("r") <= k + 1).select("id", "v", F.col("r").alias("copy"))
 
-def search(embeddings: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest rows of embeddings with another id."""
+
+def centroids(usable: DataFrame, dim: int, count: int, sample: int, leaf: int, most: int = SAMPLE) -> np.ndarray:
+    """Of a sample of the vectors; a sample of more than ``most`` is halved on in tasks, a coarse cell each, and the driver sees the cells and the centroids only."""
+    share = min(1.0, 1.5 * sample / max(1, count))  # gives the sample in expectation; then the bound itself
+    drawn = usable.where("copy = 1")
+    drawn = drawn.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else drawn
+    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(sample).select("v")
+    if sample <= most or count <= most:
+        _, x = matrix(drawn.toArrow().column("v"), dim)
+        return fit(unit(x), leaf) if len(x) else np.zeros((0, dim), np.float32)
+    drawn = C.written(drawn)
+    _, x = matrix(drawn.limit(most).toArrow().column("v"), dim)
+    if not len(x):
+        return np.zeros((0, dim), np.float32)
+    shared = usable.sparkSession.sparkContext.broadcast(fit(unit(x), max(leaf, int(CELL * most / sample))))
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, v = matrix(batch.column(0), dim)
+            u = unit(v)
+            own = np.argmax(u @ shared.value.T, axis=1) if len(u) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(u.ravel()), dim).cast(pa.list_(pa.float64()))], names=["cell", "v"])
+
+    def halve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x = np.array(table.column("v").combine_chunks().values).reshape(-1, dim)
+        found = fit(x, leaf).astype(np.float64)
+        return pa.table({"v": pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), dim).cast(pa.list_(pa.float64()))})
+
+    found = drawn.mapInArrow(cell, "cell int, v array<double>").groupBy("cell").applyInArrow(halve, "v array<double>").toArrow().column("v")
+    return np.array(found.combine_chunks().values, np.float32).reshape(-1, dim)
+
+
+def search(embeddings: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, leaf: int = LEAF, most: int = SAMPLE) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k nearest rows of embeddings with another id. most: vectors that the driver fits."""
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    result = "query_id long, vec_id long, score double"
+    shown = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = shown(embeddings)
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     dim = dims.d
-    usable = rows.where(F.size("v") == dim)
-    sample = min(max(sample, int(GROWTH * dims["count"] ** 0.5)), max(sample, SAMPLE_MOST))
-    # the share that gives the sample in expectation, then the bound itself
-    share = min(1.0, 1.5 * sample / dims["count"])
-    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else usable
-    _, x = matrix(drawn.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v"), dim)
-    if not len(x):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = spark.sparkContext.broadcast(Index(unit(x), leaf))
+    usable = C.written(candidates(rows.where(F.size("v") == dim), k))
+    count = usable.where("copy = 1").count()
+    sample = min(max(sample, int(GROWTH * count**0.5)), max(sample, SAMPLE_MOST))
+    c = centroids(usable, dim, count, sample, leaf, most)
+    if not len(c):
+        return none
+    index = spark.sparkContext.broadcast(Index(c))
+    asked = hashed(shown(queries).where(F.size("v") == dim))
+    alone = asked.groupBy("g", "h").agg(F.first("v").alias("v"))
+
+    def lists(ids: list[pa.Array], names: list[str], own: np.ndarray, row: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(i.take(at) for i in ids), pa.FixedSizeListArray.from_arrays(pa.array(v[row].ravel()), dim).cast(pa.list_(pa.float64()))], names=["list", *names, "v"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,56 +291,75 @@ def search(embeddings: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
                 part = batch.slice(k0, 1024)
                 at, v = matrix(part.column(1), dim)
                 row, own = index.value.lists(unit(v)) if len(v) else (np.zeros(0, np.int64),) * 2
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(ids[row], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(v[row].ravel()), dim).cast(pa.list_(pa.float64()))], names=["list", "id", "v"])
+                yield lists([part.column(0).take(pa.array(at))], ["id"], own, row, v)
 
-    postings = usable.mapInArrow(place, "list int, id long, v array<double>")
+    postings = usable.select("id", "v").mapInArrow(place, "list int, id long, v array<double>")
     sizes = np.zeros(len(index.value.centroids), np.int64)
     for r in postings.groupBy("list").count().collect():
         sizes[r.list] = r["count"]
-    pieces = np.maximum(1, -(-sizes // PIECE))
-    shared = spark.sparkContext.broadcast((sizes, pieces))
+    shared_sizes = spark.sparkContext.broadcast(sizes)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, pieces = shared.value
         for batch in batches:
             for k0 in range(0, len(batch), 512):
                 part = batch.slice(k0, 512)
-                at, v = matrix(part.column(1), dim)
-                row, own = index.value.probes(unit(v), sizes) if len(v) else (np.zeros(0, np.int64),) * 2
-                row, own, n = np.repeat(row, pieces[own]), np.repeat(own, pieces[own]), pieces[own]
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(piece, pa.int32()), pa.array(ids[row], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(v[row].ravel()), dim).cast(pa.list_(pa.float64()))], names=["list", "piece", "id", "v"])
+                at, v = matrix(part.column(2), dim)
+                row, own = index.value.probes(unit(v), shared_sizes.value) if len(v) else (np.zeros(0, np.int64),) * 2
+                yield lists([part.column(c).take(pa.array(at)) for c in (0, 1)], ["g", "h"], own, row, v)
+
+    probes = C.written(alone.select("g", "h", "v").mapInArrow(probe, "list int, g long, h long, v array<double>"))
+    readers = np.zeros(len(sizes), np.int64)
+    for r in probes.groupBy("list").count().collect():
+        readers[r.list] = r["count"]
+    pieces = spark.sparkContext.broadcast((np.maximum(1, -(-sizes // PIECE)), -(-readers // ASKED)))
+
+    def crossed(batch: pa.RecordBatch, ids: np.ndarray, rows: bool) -> pa.RecordBatch:
+        """A row of one side in its own piece, with every piece of the other side."""
+        own = batch.column(0).to_numpy()
+        mine, theirs = pieces.value if rows else pieces.value[::-1]
+        piece = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.maximum(1, mine[own])
+        n = theirs[own]  # 0 where no query reads the list
+        at = np.repeat(np.arange(len(own)), n)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        both = [pa.array(piece[at], pa.int32()), pa.array(other, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(own[at], pa.int32()), *(both if rows else both[::-1]), *(batch.column(i).take(pa.array(at)) for i in range(1, batch.num_columns))], names=["list", "piece", "part", *batch.schema.names[1:]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in place(batches):
-            own, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            piece = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shared.value[1][own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(piece, pa.int32()), batch.column(1), batch.column(2)], names=["list", "piece", "id", "v"])
+            yield crossed(batch, batch.column(1).to_numpy(), True)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield crossed(batch, batch.column(1).to_numpy(), False)
 
     def compare(key: tuple[pa.Scalar, ...], ours: pa.Table, theirs: pa.Table) -> pa.Table:
         if not len(ours) or not len(theirs):
-            q = v = s = np.zeros(0)
+            q, v, s = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         else:
             _, a = matrix(theirs.column("v"), dim)
             _, b = matrix(ours.column("v"), dim)
-            q, v, s = best(theirs.column("id").to_numpy(), a, ours.column("id").to_numpy(), b, k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    schema = "list int, piece int, id long, v array<double>"
-    left, right = usable.mapInArrow(cut, schema), asked.where(F.size("v") == dim).mapInArrow(probe, schema)
-    found = left.groupBy("list", "piece").cogroup(right.groupBy("list", "piece")).applyInArrow(compare, result)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            q, v, s = best(a, ours.column("id").to_numpy(), b, k + 1)
+        at = pa.array(q.astype(np.int64))
+        return pa.table({"g": theirs.column("g").take(at), "h": theirs.column("h").take(at), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    key = "list int, piece int, part int"
+    left, right = usable.select("id", "v").mapInArrow(cut, f"{key}, id long, v array<double>"), probes.mapInArrow(spread, f"{key}, g long, h long, v array<double>")
+    by = ["list", "piece", "part"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "g long, h long, vec_id long, score double")
+    once = found.groupBy("g", "h", "vec_id").agg(F.max("score").alias("score"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
+    top = once.withColumn("r", rank("g", "h")).where(F.col("r") <= k + 1).drop("r")
+    answered = asked.select(F.col("id").alias("query_id"), "g", "h").join(top, ["g", "h"]).where("vec_id <> query_id")
+    # rows that share a query's id are one query, with the best of their answers
+    answered = answered.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return answered.withColumn("rank", rank("query_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def brute_force(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int = 5) -> list[tuple[int, int, int, float]]:
     """All candidates for each query; for tests and for measuring recall."""
-    q, v, s = best(ids[queries], x[queries].astype(np.float64), ids, x.astype(np.float64), k)
+    q, v, s = best(x[queries].astype(np.float64), ids, x.astype(np.float64), k, own=ids[queries])
     out, last, rank = [], None, 0
-    for a, b, c in zip(q.tolist(), v.tolist(), s.tolist(), strict=True):
+    for a, b, c in zip(ids[queries][q.astype(np.int64)].tolist(), v.tolist(), s.tolist(), strict=True):
         rank = rank + 1 if a == last else 1
         last = a
         out.append((int(a), rank, int(b), c))
