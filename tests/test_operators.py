@@ -1,8 +1,12 @@
 """Golden cases, worked out by hand, and properties."""
 
+import difflib
 import functools
 import json
 import math
+import random
+import re
+import time
 from itertools import product
 
 import numpy as np
@@ -11,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxlake.functions import fuzzy, snowball
+from voxlake.functions import fuzzy, matching, snowball
 from voxlake.functions import numeric as Nu
 from voxlake.functions import text as T
 from voxlake.operators import calibrate, merge, ordered, sequential
@@ -295,9 +299,63 @@ def test_groups_that_can_not_be_decoded_are_kept_apart(spark):
     assert {r.t: r.label for r in done.collect()} == {0: "a", 1: "b"}
 
 
+def slow_json_block(text):
+    if text is None:
+        return None
+    parses = lambda t: _parses(t)
+    fence = re.search(r"```json\s*(\{.*?\})\s*```", text, re.S)
+    if fence and parses(fence[1]):
+        return fence[1]
+    start, depth = text.find("{"), 0
+    for k in range(start, len(text)) if start >= 0 else ():
+        depth += (text[k] == "{") - (text[k] == "}")
+        if text[k] == "}" and depth == 0 and parses(text[start : k + 1]):
+            return text[start : k + 1]
+    return text if parses(text) else None
+
+
+def _parses(text):
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def test_json_blocks_equal_a_walk(spark):
+    rng = random.Random(11)
+    part = ['{"a": 1}', '{"b": {"c": [1, 2]}}', "{", "}", "text ", '{"s": "}{"}', "```json", "```", "\n", "[1]", '"q"', "{}", "é"]
+    texts = ["".join(rng.choice(part) for _ in range(rng.randint(0, 7))) for _ in range(400)] + [None, "", "[1, 2]", "7", "no", "```json\n{\"x\": 1}\n``` {", "{" * 3000 + "}" * 3000 + '{"z": 1}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.x for r in df.select("i", T.json_block("t").alias("x")).collect()}
+    assert got == {i: slow_json_block(t) for i, t in enumerate(texts)}
+
+
+def test_two_means_by_built_ins(spark):
+    rng = np.random.default_rng(12)
+    rows = [[float(x) for x in rng.choice([rng.normal(0, 1, n), rng.normal(5, 0.1, n), np.full(n, 2.0)])] for n in (1, 2, 3, 10, 64) for _ in range(6)] + [[], None, [1.0, 1.2, 9.0, 9.1]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, v array<double>")
+    got = {r.i: r.x for r in df.select("i", Nu.two_means("v").alias("x")).collect()}
+    assert got == {i: None if v is None else kernels.two_means(np.array(v)).tolist() for i, v in enumerate(rows)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", max_size=40), st.text("ab c", max_size=40))
+def test_matching_blocks_equal_the_common_form(a, b):
+    assert matching.ratio(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
+
+
+def test_long_texts_match_in_seconds():
+    rng = random.Random(13)
+    a, b = (" ".join(rng.choice(["the", "house", "of", "river", "thing"]) for _ in range(300)) for _ in range(2))
+    assert matching.ratio(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
+    long = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(100_000)) for _ in range(2)]
+    began = time.process_time()
+    assert 0 < matching.ratio(*long) < 1 and matching.ratio(long[0], long[0]) == 1
+    assert time.process_time() - began < 30
+
+
 def test_python_functions():
-    assert scalars.json_block('say {"a": "}{", "b": {"c": 1}} end') == '{"a": "}{", "b": {"c": 1}}'
-    assert scalars.json_block("{open") is None and scalars.json_block(None) is None
     assert scalars.mark_errors({"a": [{"text": "worthless"}, {"text": "x"}]}) == {"a": [{"text": "worthless", "highlight_error": True}, {"text": "x", "highlight_error": False}]}
 
 

@@ -136,8 +136,9 @@ def test_preparation_chain():
     hz = np.fft.rfftfreq(len(y), 1 / RATE)
     assert power[np.abs(hz - 50) < 5].sum() < 0.01 * power[np.abs(hz - 1000) < 5].sum() and abs(y.mean()) < 1e-3
     assert chain.fade_in(np.ones(RATE), RATE)[[0, 120, 300]].tolist() == pytest.approx([0, 0.5, 1], abs=0.01)
-    assert 20 * np.log10(np.sqrt(np.mean(chain.to_level(voice) ** 2))) == pytest.approx(-23, abs=0.01)
-    assert np.abs(chain.to_level(np.r_[voice * 1e-3, 1.0], -3)).max() <= 10 ** (-1 / 20) + 1e-9
+    assert chain.loudness(chain.to_level(voice, RATE), RATE) == pytest.approx(-23, abs=0.01)
+    assert np.abs(chain.to_level(np.r_[voice * 0.05, 1.0], RATE, -3)).max() <= 10 ** (-1 / 20) + 1e-9
+    assert chain.to_level(np.zeros(50), RATE).tolist() == [0] * 50 and chain.to_level(np.zeros(0), RATE).size == 0
     loud = chain.compressed(tone(1000, 2, 0.8), RATE, -26, 2.5, 7, 220)
     level = 20 * np.log10(np.abs(loud[RATE:]).max())
     assert level == pytest.approx(-26 + (20 * np.log10(0.8) + 26) / 2.5, abs=0.5)
@@ -146,6 +147,34 @@ def test_preparation_chain():
     assert len(out) == len(SPEECH) and np.abs(out).max() <= 1 and chain.measured(out, RATE)["clipped"] == 0
 
 
+@pytest.mark.parametrize("rate", [8000, 16000, 48000])
+def test_loudness_of_known_tones(rate):
+    """A full-scale tone of 997 Hz is at -3.01; each halving of its amplitude is 6.02 less; silence and what is 10 dB under the rest don't count."""
+    t = np.arange(20 * rate) / rate
+    x = np.sin(2 * np.pi * 997 * t)
+    assert chain.loudness(x, rate) == pytest.approx(-3.01, abs=0.1)
+    assert chain.loudness(x / 8, rate) == pytest.approx(-3.01 - 18.06, abs=0.1)
+    assert chain.loudness(np.r_[x[: 10 * rate], np.zeros(10 * rate)], rate) == pytest.approx(-3.01, abs=0.1)
+    assert chain.loudness(np.r_[x[: 10 * rate], x[: 10 * rate] / 10], rate) == pytest.approx(-3.01, abs=0.1)
+    assert chain.loudness(np.zeros(rate), rate) is None and chain.loudness(x[:100], rate) is not None
+    if rate == 48000:
+        low = np.sin(2 * np.pi * 25 * t)
+        assert chain.loudness(low, rate) < -12 and chain.loudness(np.sin(2 * np.pi * 6000 * t), rate) > -0.2
+    whole, chain_block = chain.weighted(x, rate), chain.WEIGHTED
+    try:
+        chain.WEIGHTED = 5000
+        assert np.allclose(chain.weighted(x, rate), whole, atol=1e-9)
+    finally:
+        chain.WEIGHTED = chain_block
+
+
+def test_correlation_by_blocks_equals_the_definition():
+    x, h = rng.normal(size=3000) * np.linspace(0.1, 5, 3000) + 40, rng.normal(size=33)
+    want = [np.corrcoef(x[k : k + 33], h)[0, 1] for k in range(len(x) - 32)]
+    for block in (1, 66, 100, 2968, 10_000):
+        assert np.allclose(kernels.zncc(x, h, block), want, atol=1e-8)
+
+
 def test_batch_metrics_and_failures(spark):
     x = np.concatenate([tone(430, 0.5), SPEECH])
     rows = {r.id: r for r in chain.batch_metrics(files(spark, x, [], [np.nan, 1.0], None, np.concatenate([noise(2), voices(), noise(2)])), "id", "x", RATE, tone(900, 0.1)).collect()}

@@ -84,3 +84,26 @@ def machines(files: Column | str, ladder: tuple[tuple[int, int], ...] = ((600, 1
     for below, count in ladder:
         out = F.when(n < below, count) if out is None else out.when(n < below, count)
     return out.otherwise(most)
+
+
+def two_means(values: Column | str, rounds: int = 20) -> Column:
+    """For an array of numbers, 1 where a value is nearer to the upper of two centres, else 0. Centres start at the 20th and 80th percentile and move to the means of their values until one has none."""
+    v = F.transform(F.col(values) if isinstance(values, str) else values, lambda x: x.cast("double"))
+    n = F.size(v)
+
+    def percentile(p: float) -> Column:
+        place = (n - 1) * F.lit(p)
+        low, ordered = F.floor(place).cast("int"), F.sort_array(v)
+        a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, n))
+        return a + (b - a) * (place - low)
+
+    upper = lambda x, c: F.abs(x - c["b"]) < F.abs(x - c["a"])
+
+    def step(c: Column, _: Column) -> Column:
+        sums = F.aggregate(v, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda t, x: F.when(upper(x, c), F.array(t[0] + x, t[1] + 1, t[2])).otherwise(F.array(t[0], t[1], t[2] + x)))
+        moved = F.transform(F.array(sums), lambda t: F.when((t[1] > 0) & (t[1] < n), F.struct((t[2] / F.nullif(n - t[1], F.lit(0.0))).alias("a"), (t[0] / F.nullif(t[1], F.lit(0.0))).alias("b"))).otherwise(F.struct(c["a"].alias("a"), c["b"].alias("b"))))
+        return moved[0]
+
+    centres = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(percentile(0.2).alias("a"), percentile(0.8).alias("b")), step)
+    labelled = F.transform(F.array(centres), lambda c: F.transform(v, lambda x: upper(x, c).cast("int")))[0]
+    return F.when(n > 0, labelled).otherwise(F.transform(v, lambda x: F.lit(0)))

@@ -86,3 +86,32 @@ def money(x: Column | str) -> tuple[Column, Column]:
     times = F.when(F.lower(c).contains("millon"), 1e6).when(F.lower(c).rlike(r"\bmil\b"), 1e3).otherwise(1.0)
     currency = F.when(c.contains("$"), "$").when(c.contains("€"), "EUR").when(F.upper(c).contains("USD"), "USD")
     return plain.try_cast("double") * times, currency
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing more. Parsers stop after a value, so it is looked at within an array and within an object: no text closes both early."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(alone & F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
+def json_block(text: Column | str) -> Column:
+    """The JSON in a reply: what a ```json fence holds, else the shortest stretch from the first { to a } where braces are balanced that parses, else the whole text if it does; NULL if none does.
+
+    Only braces count, so the text is cut at them and folded: a depth, the length so far, and the first stretch that parses.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    fence = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(\{.*?\})\s*```", 1), F.lit(""))
+    rest = F.substring(text, F.nullif(F.locate("{", text), F.lit(0)), F.length(text))
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("found"))
+
+    def step(state: Column, piece: Column) -> Column:
+        closes = piece.endswith("}")
+        depth = state["depth"] + F.when(piece.endswith("{"), 1).when(closes, -1).otherwise(0)
+        size = state["size"] + F.length(piece)
+        whole = F.substring(rest, F.lit(1), size)
+        # parsed only where a stretch is balanced, and none has been found
+        found = F.when(state["found"].isNotNull(), state["found"]).when(closes & (depth == 0), F.when(is_json(whole), whole))
+        return F.struct(depth.alias("depth"), size.alias("size"), found.alias("found"))
+
+    balanced = F.when(rest.isNotNull(), F.aggregate(F.split(rest, r"(?<=[{}])"), begin, step, lambda state: state["found"]))
+    return F.coalesce(F.when(is_json(fence), fence), balanced, F.when(is_json(text), text))

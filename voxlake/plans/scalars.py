@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import fuzzy as fuzzy_ratio
+from voxlake.functions import matching
 from voxlake.functions import numeric as Nu
 from voxlake.functions import snowball
 from voxlake.functions import text as T
@@ -129,12 +129,7 @@ def keyword_rates(s: Source) -> DataFrame:
     return x.select("doc_id", hits.alias("hits"), R(100.0 * hits / F.greatest(F.length("n"), F.lit(1))).alias("rate"))
 
 
-def sequence_ratio(a: str, b: str) -> float:
-    """Ratcliff/Obershelp."""
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
-
-similarity = by_value(sequence_ratio, "double")
+similarity = by_value(lambda a, b: matching.ratio(a or "", b or ""), "double")
 
 
 fuzzy = by_value(lambda a, b: fuzzy_ratio.score(a or "", b or ""), "double")
@@ -238,31 +233,9 @@ def numbers(s: Source) -> DataFrame:
     return docs(s, F.array_join(F.regexp_extract_all("text", F.lit(T.NUMBER), F.lit(0)), " ").alias("numbers"))
 
 
-def json_block(text: str | None) -> str | None:
-    """The first balanced {...}, braces in strings not counted."""
-    if not text:
-        return None
-    start = text.find("{")
-    depth, quoted, escaped = 0, False, False
-    for k in range(start, len(text)) if start >= 0 else ():
-        c = text[k]
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
-            continue
-        if c == '"':
-            quoted = True
-        depth += (c == "{") - (c == "}")
-        if not depth:
-            return text[start : k + 1]
-    return None
-
-
-json_blocks = by_value(json_block, "string")
-
-
 @query("F27_json_block", "SELECT event_id, props AS block FROM events")
 def json_block_query(s: Source) -> DataFrame:
-    return s.table("events").select("event_id", json_blocks(F.concat(F.lit("Reply: "), "props", F.lit(" done }"))).alias("block"))
+    return s.table("events").select("event_id", T.json_block(F.concat(F.lit("Reply: "), "props", F.lit(" done }"))).alias("block"))
 
 
 @query("F28_brackets", "SELECT vec_id, translate(translate('[' || label || ',{' || vec_id || '}]', '[', ''), ']{}', '') AS flat FROM embeddings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,65 @@ def telephone_band(x: np.ndarray, rate: int, low: float = 150, high: float = 340
     return np.fft.irfft(np.fft.rfft(x - x.mean(), 2 * len(x)) * gain, 2 * len(x))[: len(x)]
 
 
-def to_level(x: np.ndarray, target: float = -23.0, ceiling: float = -1.0) -> np.ndarray:
-    """Scaled to a level in dB, or less if the peak would pass the ceiling."""
-    rms = np.sqrt(np.mean(x**2)) if len(x) else 0.0
-    if rms <= NONE:
+# Fixed values of the loudness standard: the weighting's two filters (Hz, dB, quality), gates and blocks.
+SHELF, LOW_CUT = (1681.974450955533, 3.999843853973347, 0.7071752369554196), (38.13547087602444, 0.5003270373238773)
+OFFSET, ABSOLUTE_GATE, RELATIVE_GATE, GATED_S, STEP_S = -0.691, -70.0, -10.0, 0.4, 0.1
+#: Seconds after which the weighting's response to a sample is spent, and samples that are weighted at a time.
+RESPONSE_S, WEIGHTED = 1.0, 1 << 16
+
+
+@functools.lru_cache(8)
+def weighting(rate: int) -> np.ndarray:
+    """What the weighting makes of a single sample: a high shelf (where the rate has such frequencies), then a low cut."""
+    stages = []
+    if SHELF[0] < 0.45 * rate:
+        k, gain = np.tan(np.pi * SHELF[0] / rate), 10 ** (SHELF[1] / 20)
+        bend = gain**0.4996667741545416
+        a0 = 1 + k / SHELF[2] + k * k
+        stages.append(([(gain + bend * k / SHELF[2] + k * k) / a0, 2 * (k * k - gain) / a0, (gain - bend * k / SHELF[2] + k * k) / a0], [2 * (k * k - 1) / a0, (1 - k / SHELF[2] + k * k) / a0]))
+    k = np.tan(np.pi * LOW_CUT[0] / rate)
+    a0 = 1 + k / LOW_CUT[1] + k * k
+    stages.append(([1.0, -2.0, 1.0], [2 * (k * k - 1) / a0, (1 - k / LOW_CUT[1] + k * k) / a0]))
+    y = np.zeros(max(8, int(RESPONSE_S * rate)))
+    y[0] = 1.0
+    for b, a in stages:
+        x, y = y, np.zeros(len(y))
+        for t in range(len(x)):
+            y[t] = sum(b[j] * x[t - j] for j in range(3) if t >= j) - sum(a[j - 1] * y[t - j] for j in (1, 2) if t >= j)
+    return y
+
+
+def weighted(x: np.ndarray, rate: int) -> np.ndarray:
+    """The weighted waveform, block by block: what a block's samples still do after its end is added to the next."""
+    h = weighting(rate)
+    n = 1 << int(np.ceil(np.log2(WEIGHTED + len(h))))
+    response, out = np.fft.rfft(h, n), np.zeros(len(x) + n)
+    for at in range(0, len(x), WEIGHTED):
+        out[at : at + n] += np.fft.irfft(np.fft.rfft(x[at : at + WEIGHTED], n) * response, n)
+    return out[: len(x)]
+
+
+def loudness(x: np.ndarray, rate: int) -> float | None:
+    """Perceived loudness (LUFS): the mean power of weighted blocks of 400 ms, each 100 ms, over the absolute gate and not 10 dB under the mean of those; None if no block is. A shorter file is one block."""
+    if not len(x):
+        return None
+    size, step = min(len(x), max(1, int(GATED_S * rate))), max(1, int(STEP_S * rate))
+    sums = np.concatenate([[0.0], np.cumsum(weighted(x, rate) ** 2)])
+    at = np.arange(0, len(x) - size + 1, step)
+    power = np.maximum(sums[at + size] - sums[at], 0) / size
+    level = lambda p: OFFSET + 10 * np.log10(p + NONE**2)
+    heard = power[level(power) > ABSOLUTE_GATE]
+    if not len(heard):
+        return None
+    return float(level(heard[level(heard) > level(heard.mean()) + RELATIVE_GATE].mean()))
+
+
+def to_level(x: np.ndarray, rate: int, target: float = -23.0, ceiling: float = -1.0) -> np.ndarray:
+    """Scaled to a loudness, or less if the peak would pass the ceiling (dB); silence stays."""
+    now = loudness(x, rate)
+    if now is None:
         return x
-    y = x * 10 ** (target / 20) / rms
+    y = x * 10 ** ((target - now) / 20)
     return y * min(1.0, 10 ** (ceiling / 20) / np.abs(y).max())
 
 
@@ -60,7 +114,7 @@ def compressed(x: np.ndarray, rate: int, threshold: float, ratio: float, attack_
 
 def prepared(x: np.ndarray, rate: int, *, low: float = 150, high: float = 3400, target: float = -23.0, ceiling: float = -1.0) -> np.ndarray:
     """Fade, band, level, compressor (2.5 : 1 over -26 dB), limiter at -1.5 dB, clipped to [-1, 1]."""
-    y = to_level(telephone_band(fade_in(np.asarray(x, float), rate), rate, low, high), target, ceiling)
+    y = to_level(telephone_band(fade_in(np.asarray(x, float), rate), rate, low, high), rate, target, ceiling)
     y = compressed(y, rate, -26.0, 2.5, 7.0, 220.0)
     return np.clip(compressed(y, rate, -1.5, 1e6, 0.0, 60.0), -1, 1)
 

@@ -46,19 +46,35 @@ def ncc(x: np.ndarray, template: np.ndarray) -> np.ndarray:
     return dots / (norm + EPS)
 
 
-def zncc(x: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """As ncc, of deviations from the mean of the template and of each stretch; 0 where a stretch hardly deviates."""
+#: Samples of a file that are correlated at a time.
+BLOCK = 1 << 16
+
+
+def zncc(x: np.ndarray, template: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """As ncc, of deviations from the mean of the template and of each stretch; 0 where a stretch hardly deviates.
+
+    By overlap-save: a block of samples and the template's length of those after it are transformed at a time, and means and deviations run over them, so work and memory besides the file's own
+    scores are those of a block, and sums don't lose digits over a long file.
+    """
     x, h = np.asarray(x, float), np.asarray(template, float)
     m = len(h)
     if m < 2 or m > len(x):
         return np.zeros(0)
     h = h - h.mean()
-    n = 1 << int(np.ceil(np.log2(len(x) + m)))
-    dots = np.fft.irfft(np.fft.rfft(x, n) * np.conj(np.fft.rfft(h, n)), n)[: len(x) - m + 1]
-    sums, squares = (np.cumsum(np.concatenate([[0], v])) for v in (x, x * x))
-    mean = (sums[m:] - sums[:-m]) / m
-    spread = np.sqrt(np.maximum((squares[m:] - squares[:-m]) / m - mean**2, 0))
-    return np.where(spread < 1e-3, 0.0, dots / (spread * np.sqrt(m) * np.sqrt((h**2).sum()) + EPS))
+    size = max(block, 2 * m)
+    n = 1 << int(np.ceil(np.log2(size + m)))
+    mirrored, norm = np.conj(np.fft.rfft(h, n)), np.sqrt(m) * np.sqrt((h**2).sum())
+    out = np.empty(len(x) - m + 1)
+    for at in range(0, len(out), size):
+        part = x[at : at + size + m - 1]
+        part = part - part.mean()  # what all samples have in common changes nothing
+        count = len(part) - m + 1
+        dots = np.fft.irfft(np.fft.rfft(part, n) * mirrored, n)[:count]
+        sums, squares = (np.concatenate([[0.0], np.cumsum(v)]) for v in (part, part * part))
+        mean = (sums[m:] - sums[:-m]) / m
+        spread = np.sqrt(np.maximum((squares[m:] - squares[:-m]) / m - mean**2, 0))
+        out[at : at + count] = np.where(spread < 1e-3, 0.0, dots / (spread * norm + EPS))
+    return out
 
 
 def peaks(score: np.ndarray, least: float, apart: int) -> list[int]:
@@ -138,4 +154,3 @@ def two_means(v: np.ndarray, rounds: int = 20) -> np.ndarray:
 
 
 flatness_of = by_value(lambda x: None if x is None else flatness(np.asarray(x), 32).tolist(), "array<double>")
-groups_of = by_value(lambda x: None if x is None else two_means(np.asarray(x)).tolist(), "array<int>")
