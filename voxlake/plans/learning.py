@@ -227,7 +227,13 @@ def frame_levels(s: Source) -> DataFrame:
     return s.table("embeddings").where("size(embedding) >= 16").select("vec_id", F.posexplode(levels).alias("frame", "db")).select("vec_id", "frame", R(F.col("db"), 6).alias("db"))
 
 
-@query("V08_flatness")
+def power_sql(s: str, n: int, weight: str = "1") -> str:
+    """The power spectrum of a list of n samples, by its definition."""
+    part = lambda f: f"list_sum([{s}[i + 1] * ({weight}) * {f}(2 * pi() * i * k / {n}) FOR i IN range(0, {n})]) ** 2"
+    return f"[{part('cos')} + {part('sin')} FOR k IN range(0, {n // 2 + 1})]"
+
+
+@query("V08_flatness", f"WITH f AS (SELECT vec_id, CAST(t AS INTEGER) AS frame, x[32 * t + 1:32 * t + 32] AS s FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(0, (len(embedding) - 32) // 32 + 1)) AS t FROM embeddings WHERE len(embedding) >= 32)), p AS (SELECT vec_id, frame, {power_sql('s', 32)} AS p FROM f) SELECT vec_id, frame, round(exp(list_avg([ln(v + 1e-12) FOR v IN p])) / list_avg([v + 1e-12 FOR v IN p]), 6) AS flatness FROM p")
 def flatness(s: Source) -> DataFrame:
     return s.table("embeddings").select("vec_id", F.posexplode(kernels.flatness_of("embedding")).alias("frame", "f")).select("vec_id", "frame", R(F.col("f"), 6).alias("flatness"))
 
@@ -248,7 +254,7 @@ def wave(fn, kind: str):
 RATE = 640
 
 
-@query("V01_dial_seconds")
+@query("V01_dial_seconds", f"WITH p AS (SELECT vec_id, {power_sql('x', 64, '0.5 - 0.5 * cos(2 * pi() * i / 63)')} AS p FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)) SELECT vec_id, CASE WHEN list_sum(p[7:13]) / (list_sum(p) + 1e-12) >= 0.5 THEN 0.1 ELSE 0.0 END AS dial_s FROM p")
 def dial_seconds(s: Source) -> DataFrame:
     return s.table("embeddings").select("vec_id", wave(lambda x: kernels.dial_seconds(x, RATE, 60, 120, 0.5), "double").alias("dial_s"))
 
