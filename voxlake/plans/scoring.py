@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from voxlake.operators import calibrate
 from voxlake.plans.aggregates import EVALUATE, R, class_report
 from voxlake.plans.registry import Source, query
 from voxlake.scoring import calls as X
+from voxlake.storage import written
 from voxlake.views import REQUIRED_TOPICS, SCRIPT_ORDER, ctes
 
 CALLS, TOP, WIN, UTT = ctes("calls"), ctes("call_topics"), ctes("windows"), ctes("utterances")
@@ -245,17 +247,46 @@ u AS (SELECT alpha, beta, gamma, label AS y, n, CASE WHEN said = label THEN n EL
 SELECT alpha, beta, gamma, macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, alpha, beta, gamma) = 1 AS best FROM f""")
 def weight_search(s: Source) -> DataFrame:
     """Macro F1 at every point of a grid of (alpha, beta, gamma), and which is best (of equals the least weights); rows of the same evidence are one with a count."""
-    weights = ("alpha", "beta", "gamma")
     x = evidence(s)
-    for w in weights:
+    for w in WEIGHTS:
         x = x.withColumn(w, F.explode(F.array(*map(F.lit, GRID))))
+    f1 = macro_f1(x)
+    top = f1.agg(F.min_by(F.struct(*WEIGHTS), F.struct(-F.col("macro_f1"), *WEIGHTS)).alias("top"))
+    return f1.crossJoin(F.broadcast(top)).select(*WEIGHTS, "macro_f1", (F.struct(*WEIGHTS) == F.col("top")).alias("best"))
+
+
+WEIGHTS = ("alpha", "beta", "gamma")
+
+
+def macro_f1(x: DataFrame) -> DataFrame:
+    """Evidence with weights beside it: the weights and the macro F1 that they give."""
     total = F.round(F.col("lp") + F.col("alpha") * F.col("tp") + F.col("beta") * F.col("rp") + F.col("gamma") * F.col("yp"), 9)
-    b = x.groupBy(*weights, "label", "ordinal", "bin", "rel", "n").agg(F.max_by("cand", F.struct(total, "cand")).alias("said"))
+    b = x.groupBy(*WEIGHTS, "label", "ordinal", "bin", "rel", "n").agg(F.max_by("cand", F.struct(total, "cand")).alias("said"))
     hit = F.when(F.col("said") == F.col("label"), F.col("n")).otherwise(0)
-    both = b.select(*weights, F.explode(F.array(F.struct(F.col("label").alias("y"), "n", hit.alias("hit")), F.struct(F.col("said").alias("y"), "n", F.lit(0).cast("long").alias("hit")))).alias("t"))
-    f1 = both.groupBy(*weights, "t.y").agg((2 * F.sum("t.hit") / F.sum("t.n")).alias("f1")).groupBy(*weights).agg(R(F.avg("f1"), 6).alias("macro_f1"))
-    top = f1.agg(F.min_by(F.struct(*weights), F.struct(-F.col("macro_f1"), *weights)).alias("top"))
-    return f1.crossJoin(F.broadcast(top)).select(*weights, "macro_f1", (F.struct(*weights) == F.col("top")).alias("best"))
+    both = b.select(*WEIGHTS, F.explode(F.array(F.struct(F.col("label").alias("y"), "n", hit.alias("hit")), F.struct(F.col("said").alias("y"), "n", F.lit(0).cast("long").alias("hit")))).alias("t"))
+    return both.groupBy(*WEIGHTS, "t.y").agg((2 * F.sum("t.hit") / F.sum("t.n")).alias("f1")).groupBy(*WEIGHTS).agg(R(F.avg("f1"), 6).alias("macro_f1"))
+
+
+#: Where the simplex search starts.
+STARTS = ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.5, 0.0, 1.0), (2.0, 0.0, 0.0), (0.0, 2.0, 0.5))
+
+
+@query("M05b_simplex_search")
+def simplex_search(s: Source) -> DataFrame:
+    """The weights that a simplex search reaches from each start, their macro F1, and which are best; the evidence is written once, and each step's points are scored in one job. Runs these jobs."""
+    from voxlake.ml import simplex
+
+    x = written(evidence(s))
+
+    def score(points: np.ndarray) -> np.ndarray:
+        distinct = sorted({tuple(map(float, p)) for p in points})
+        asked = F.explode(F.array(*(F.struct(*(F.lit(v).alias(w) for v, w in zip(p, WEIGHTS, strict=True))) for p in distinct)))
+        found = {tuple(r[w] for w in WEIGHTS): r.macro_f1 for r in macro_f1(x.withColumn("__w", asked).select("*", "__w.*").drop("__w")).collect()}
+        return np.array([found.get(tuple(map(float, p)), 0.0) for p in points])
+
+    rows = simplex.maximised(score, STARTS)
+    best = max(rows, key=lambda r: (r.value, -r.start)).start
+    return s.spark.createDataFrame([(r.start, *r.point, r.value, r.steps, r.start == best) for r in rows], "start int, alpha double, beta double, gamma double, macro_f1 double, steps int, best boolean")
 
 
 @query("M06_feedback", "SELECT doc_id, 'topic_' || lang AS label FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND lang IN ('en', 'es')")
