@@ -163,7 +163,7 @@ def nearest_cluster(s: Source) -> DataFrame:
 def nearest_of(e: DataFrame, **how) -> DataFrame:
     """vec_id, cluster, score. Rows that share a direction are one vector, and are at 1 of each other; a zero vector is at 0 of everything; a null label is no cluster.
 
-    The search over vectors is neighbours.nearest; means meet rows as vectors of their own, so neither clusters nor rows are limited in number.
+    The search over vectors is neighbours.nearest; means meet rows as vectors of their own, so neither clusters nor rows are limited in number. Runs jobs before it returns: vectors and cells are written.
     """
     from voxlake.operators import neighbours
     from voxlake.storage import written
@@ -703,7 +703,7 @@ def database(s: Source) -> tuple[str, str, dict[str, str]]:
 
 @query("K07_batched_insert", "SELECT c_custkey AS id, c_mktsegment AS segment, CAST(round(c_acctbal, 2) AS DOUBLE) AS balance FROM customer")
 def batched_insert(s: Source) -> DataFrame:
-    """Rows into a database in batches of 500, and back."""
+    """Rows into a database in batches of 500, and back. The table stays: the rows are read from it when they are asked for; one in the process's memory goes with the process."""
     from voxlake.sources import tables
 
     url, name, how = database(s)
@@ -714,7 +714,7 @@ def batched_insert(s: Source) -> DataFrame:
 
 @query("S08b_database_read", "SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_nationkey < 10 AND c_custkey % 2 = 1")
 def database_read(s: Source) -> DataFrame:
-    """A filtered read; the predicates cut the table into partitions that are read side by side, and the filter on top goes to the database."""
+    """A filtered read (the table stays, as in K07); the predicates cut the table into partitions that are read side by side, and the filter on top goes to the database."""
     from voxlake.sources import tables
 
     url, name, how = database(s)

@@ -85,7 +85,8 @@ def timed_windows(s: Source) -> DataFrame:
 @query("M03_conversation_classifier")
 def conversation_classifier(s: Source) -> DataFrame:
     """Word windows with their times; a text model's log-probabilities with the weighted logarithms of the label's shares of the time bin, of the place in the call and of all windows added;
-    then each call's best sequence of labels under counted transitions. Everything is learned from the calls that are not held out."""
+    then each call's best sequence of labels under counted transitions. Everything is learned from the calls that are not held out. A call that can't be decoded has no rows and
+    stops no other (see M03b). Runs jobs before it returns: the model is fitted, transitions are counted, chunks written."""
     labels = ["agent", "client"]
     w = timed_windows(s)
     known = w.where(~topics.held_out("call_id"))
