@@ -91,7 +91,8 @@ def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3
 
     An inverted index of the phrases, joined by term, with a bound for each term. A row's first bound is what its k best phrases have at least:
     the sums over the k heaviest postings of each of its terms. Its terms come with those first that can add most; once all that follow can add less than the bound, a
-    phrase that has none before is out. Only phrases with such a term are compared, and their cosine is then added up over all terms. Postings stand in copies, of
+    phrase that has none before is out. Only phrases with such a term are met, and only those whose sum over these terms and the bounds
+    of the others reach the bound are compared over all terms. Postings stand in copies, of
     which a row asks one, so a frequent term is spread; no pair of texts without a common term meets.
     """
     idf = written(term_weights(rows.select("text").unionByName(phrases.select("text"))))
@@ -105,18 +106,22 @@ def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3
     seen = asked.select(key, F.col("w").alias("mine"), F.explode("best").alias("b")).groupBy(key, "b.phrase_id").agg(F.sum(F.col("mine") * F.col("b.w")).alias("part"))
     floor = seen.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("part"), "phrase_id"))).where(F.col("__r") == k).select(key, F.col("part").alias("least"))
     rest = F.sum("bound").over(Window.partitionBy(key).orderBy(F.desc("bound"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    needed = asked.withColumn("rest", rest).join(floor, key, "left").where(F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
+    needed = F.col("rest") >= F.col("least") - 1e-9
+    others = F.sum(F.when(needed, 0.0).otherwise(F.col("bound"))).over(Window.partitionBy(key))
+    first = asked.withColumn("rest", rest).join(floor, key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("others", others).where(needed)
 
     copies = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    pairs = salted(needed.select(key, "term")).join(copies.select("term", "salt", "phrase_id"), ["term", "salt"]).select(key, "phrase_id").distinct()
+    salted = first.select(key, "term", F.col("w").alias("mine"), "least", "others", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
+    met = salted.join(copies.select("term", "salt", "phrase_id", "w"), ["term", "salt"]).groupBy(key, "phrase_id").agg(F.sum(F.col("mine") * F.col("w")).alias("part"), F.first("least").alias("least"), F.first("others").alias("others"))
+    # what the terms that follow can add at most is known
+    pairs = met.where(F.col("part") + F.col("others") >= F.col("least") - 1e-9).select(key, "phrase_id")
     listed = lambda df, by, name: df.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias(name))
     whole = pairs.join(listed(mine, key, "a"), key).join(listed(theirs, "phrase_id", "b"), "phrase_id")
-    dot = F.aggregate(F.map_entries("a"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("b", e["key"]), F.lit(0.0)))
+    dot = F.aggregate(F.map_entries("b"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("a", e["key"]), F.lit(0.0)))
     near = whole.select(key, "phrase_id", dot.alias("dot"))
     # phrases that share no term are all as far; the first of them by number stand in where there are too few others
-    first = [r.phrase_id for r in phrases.select("phrase_id").orderBy("phrase_id").limit(k).collect()]
-    few = rows.select(key, F.explode(F.array(*(F.lit(i).cast(phrases.schema["phrase_id"].dataType) for i in first))).alias("phrase_id"), F.lit(0.0).alias("dot"))
+    ids = [r.phrase_id for r in phrases.select("phrase_id").orderBy("phrase_id").limit(k).collect()]
+    few = rows.select(key, F.explode(F.array(*(F.lit(i).cast(phrases.schema["phrase_id"].dataType) for i in ids))).alias("phrase_id"), F.lit(0.0).alias("dot"))
     every = near.unionByName(few).groupBy(key, "phrase_id").agg(F.max("dot").alias("dot"))
     d = every.withColumn("d", F.round(F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))), 9))
     top = d.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d", "phrase_id"))).where(F.col("r") <= k)

@@ -1,6 +1,6 @@
 """The nearest other vector by cosine, exactly, comparing only cells that the triangle inequality can't rule out.
 
-Vectors of length 1 are counted once each, however many rows share one. Each goes to the nearest of some pivots (at most ``PIVOTS``, the first by hash) and, by its
+Vectors of length 1 are counted once each, however many rows share one. Each goes to the nearest of some pivots (one for each ``BLOCK`` vectors, at most ``PIVOTS``, the first by hash) and, by its
 distance from it, to a band: a cell. A cell first finds its vectors' nearest within one of its own blocks; the worst of these is as far as its search has to
 reach. Another cell is compared only if it can hold a vector so near: pivots are a distance apart, and a cell's vectors no further from its pivot than its
 band's end, nor nearer than its begin. Cells are at most PIVOTS times the bands, so which meet is decided from a small table; what meets are blocks of at most ``BLOCK`` vectors.
@@ -49,6 +49,7 @@ def best(a: np.ndarray, keys: np.ndarray, b: np.ndarray, others: np.ndarray, mar
 def nearest(vectors: DataFrame, *, pivots: int = PIVOTS, band: float = BAND, block: int = BLOCK) -> Found:
     """vectors: key (long, one for each vector), mark (long), v (array<double> of length 1). Of equal cosines, to 8 decimals, the least mark counts."""
     spark = vectors.sparkSession
+    pivots = min(pivots, max(1, vectors.count() // block))  # a cell without many vectors makes more work than it saves
     chosen = vectors.orderBy(F.xxhash64("key"), "key").limit(pivots).select("v").collect()
     p = np.array([r.v for r in chosen], float)
     if not len(p):
