@@ -40,9 +40,9 @@ PART_BYTES, SLICES = 32 << 20, 16
 class Known(dict):
     """A bounded table of what is known about strings: what is looked up stays, what is not ages out."""
 
-    def __init__(self, most: int = CACHE) -> None:
+    def __init__(self, most: int | None = None) -> None:
         self.older: dict = {}
-        self.most = most
+        self.most = CACHE if most is None else most
 
     def missing(self, strings: list[bytes]) -> list[bytes]:
         """Those that must be worked out; the others are in the table after this."""
