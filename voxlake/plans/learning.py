@@ -330,12 +330,12 @@ def speech_spans(s: Source) -> DataFrame:
     return frames.padded(frames.segments(speech_frames(s), F.col("active") == 1, "vec_id", SECOND), "vec_id", 0.005)
 
 
-@query("V04_voice_activity", f"WITH {ACTIVE}, {runs_sql('act', 'active', 's')}, sp AS (SELECT vec_id, greatest(min(frame) * {SECOND} - 0.005, 0) AS a, (max(frame) + 1) * {SECOND} + 0.005 AS b FROM s WHERE run > 0 GROUP BY vec_id, run), {joined_sql('sp', 0.0, 'j')} SELECT e.vec_id, CASE WHEN a IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY e.vec_id ORDER BY a) - 1 AS INTEGER) END AS segment, round(a, 6) AS start_s, round(b, 6) AS end_s FROM embeddings e LEFT JOIN j USING (vec_id)")
+@query("V04_voice_activity", f"WITH {ACTIVE}, {runs_sql('act', 'active', 's')}, sp AS (SELECT vec_id, greatest(min(frame) * {SECOND} - 0.005, 0) AS a, (max(frame) + 1) * {SECOND} + 0.005 AS b FROM s WHERE run > 0 GROUP BY vec_id, run), {joined_sql('sp', 0.0, 'j')} SELECT e.vec_id, CASE WHEN a IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY e.vec_id ORDER BY a) - 1 AS INTEGER) END AS segment, round(a, 8) AS start_s, round(b, 8) AS end_s FROM embeddings e LEFT JOIN j USING (vec_id)")
 def voice_activity(s: Source) -> DataFrame:
     """Speech segments in seconds, by energy with mixed global and local thresholds; a file without any has a row of nulls."""
     number = F.row_number().over(Window.partitionBy("vec_id").orderBy("start")) - 1
     x = s.table("embeddings").select("vec_id").join(speech_spans(s).withColumn("segment", number), "vec_id", "left")
-    return x.select("vec_id", "segment", R(F.col("start"), 6).alias("start_s"), R(F.col("end"), 6).alias("end_s"))
+    return x.select("vec_id", "segment", R(F.col("start"), 8).alias("start_s"), R(F.col("end"), 8).alias("end_s"))  # a frame's length has seven decimals
 
 
 @query("V09b_active_frames", f"WITH {ACTIVE} SELECT vec_id, round(avg(CASE WHEN active THEN 1.0 ELSE 0 END), 8) AS activity, round(avg(db) FILTER (WHERE active), 6) AS active_db, round(avg(db) FILTER (WHERE NOT active), 6) AS other_db, round(quantile_cont(db, 0.9) FILTER (WHERE active), 6) AS loud_db FROM act GROUP BY vec_id")
