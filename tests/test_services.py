@@ -78,3 +78,30 @@ def test_database_round_trip(spark):
     assert tables.read_jdbc(spark, url, "t1", **how).count() == 1303
     parts = tables.read_jdbc(spark, url, "t1", predicates=['"id" < 600', '"id" >= 600'], **how)
     assert parts.rdd.getNumPartitions() == 2 and parts.where("id > 1000").count() == 299
+
+
+def test_K07_where_executors_reach_no_database(spark, sf, monkeypatch):
+    from voxlake.plans import catalog, joins
+
+    monkeypatch.setattr(joins, "database", lambda s: None)
+    c = spark.read.parquet(f"{sf}/customer.parquet").collect()
+    got = catalog.queries()["K07_batched_insert"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted((r.c_custkey, r.c_mktsegment, round(r.c_acctbal, 2)) for r in c)
+
+
+def test_a_database_is_of_one_process_only_where_there_are_no_executors():
+    from types import SimpleNamespace
+
+    from voxlake.plans import joins
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    assert joins.database(SimpleNamespace(spark=SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[2,2,1024]")))) is None
+
+
+def test_database_files(spark):
+    rows = spark.range(1300, numPartitions=2).selectExpr("id", "if(id = 7, null, cast(id % 7 as string)) as s")
+    files = tables.write_files(rows, "t", batch=100, rows=500)
+    assert files.count() == 4
+    assert sorted(map(tuple, tables.read_files(files, "t", "id long, s string").collect())) == sorted(map(tuple, rows.collect()))
+    assert tables.read_files(files, "t", "id long, s string", predicates=['"id" < 3', '"id" >= 1298']).count() == 5
+    assert tables.read_files(files, "t", "id long, s string", predicates=["s is null"]).collect()[0].id == 7

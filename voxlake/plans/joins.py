@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -692,22 +693,28 @@ def append_and_read(s: Source) -> DataFrame:
     return s.spark.read.schema("id long, part int").parquet(path)
 
 
-def database(s: Source) -> tuple[str, str, dict[str, str]]:
-    """Address, a table's name and options of a database: that of spark.voxlake.jdbc.url, else one in this process's memory, which does where there are no executors."""
+def database(s: Source) -> tuple[str, str, dict[str, str]] | None:
+    """Address, a table's name and options of a database: that of spark.voxlake.jdbc.url, else one in this process's memory where there are no executors. None where executors can reach neither."""
     name = f"t_{uuid.uuid4().hex}"
     url = s.spark.conf.get("spark.voxlake.jdbc.url", None)
     if not url:
+        if not re.fullmatch(r"local(\[.*\])?", s.spark.sparkContext.master):
+            return None
         s.spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)  # else it leaves a log in the working folder
     return (url, name, {}) if url else ("jdbc:derby:memory:voxlake;create=true", name, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
 
 
 @query("K07_batched_insert", "SELECT c_custkey AS id, c_mktsegment AS segment, CAST(round(c_acctbal, 2) AS DOUBLE) AS balance FROM customer")
 def batched_insert(s: Source) -> DataFrame:
-    """Rows into a database in batches of 500, and back. The table stays: the rows are read from it when they are asked for; one in the process's memory goes with the process."""
+    """Rows into a database in batches of 500, and back. The table stays: the rows are read from it when they are asked for; one in the process's memory goes with the process.
+    Executors that can reach no database write files of one (tables.write_files)."""
     from voxlake.sources import tables
 
-    url, name, how = database(s)
-    tables.write_jdbc(s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal").cast("double"), 2).alias("balance")), url, name, batch=500, **how)
+    rows = s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal").cast("double"), 2).alias("balance"))
+    if (found := database(s)) is None:
+        return tables.read_files(tables.write_files(rows, "t", batch=500), "t", "id long, segment string, balance double")
+    url, name, how = found
+    tables.write_jdbc(rows, url, name, batch=500, **how)
     back = tables.read_jdbc(s.spark, url, name, **how)
     return back.toDF(*(c.lower() for c in back.columns))
 
