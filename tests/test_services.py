@@ -80,13 +80,15 @@ def test_database_round_trip(spark):
     assert parts.rdd.getNumPartitions() == 2 and parts.where("id > 1000").count() == 299
 
 
-def test_K07_where_executors_reach_no_database(spark, sf, monkeypatch):
+def test_K07_S08b_where_executors_reach_no_database(spark, sf, monkeypatch):
     from voxlake.plans import catalog, joins
 
     monkeypatch.setattr(joins, "database", lambda s: None)
     c = spark.read.parquet(f"{sf}/customer.parquet").collect()
     got = catalog.queries()["K07_batched_insert"](spark, sf).collect()
     assert sorted(map(tuple, got)) == sorted((r.c_custkey, r.c_mktsegment, round(r.c_acctbal, 2)) for r in c)
+    got = catalog.queries()["S08b_database_read"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted((r.c_custkey, r.c_nationkey) for r in c if r.c_nationkey < 10 and r.c_custkey % 2 == 1)
 
 
 def test_a_database_is_of_one_process_only_where_there_are_no_executors():

@@ -724,8 +724,11 @@ def database_read(s: Source) -> DataFrame:
     """A filtered read (the table stays, as in K07); the predicates cut the table into partitions that are read side by side, and the filter on top goes to the database."""
     from voxlake.sources import tables
 
-    url, name, how = database(s)
-    tables.write_jdbc(s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nation")), url, name, **how)
+    rows = s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nation"))
+    if (found := database(s)) is None:
+        return tables.read_files(tables.write_files(rows, "t"), "t", "id long, nation long", predicates=['"id" % 2 = 1 AND "nation" < 5', '"id" % 2 = 1 AND "nation" >= 5 AND "nation" < 10'])
+    url, name, how = found
+    tables.write_jdbc(rows, url, name, **how)
     quoted = lambda c: f'"{c}"'
     back = tables.read_jdbc(s.spark, url, name, predicates=[f"MOD({quoted('id')}, 2) = 1 AND {quoted('nation')} < 5", f"MOD({quoted('id')}, 2) = 1 AND {quoted('nation')} >= 5"], **how)
     return back.where("nation < 10").select("id", "nation")
