@@ -459,3 +459,15 @@ def test_small_sides_are_looked_at(spark):
     for f in (small.bounded, small.fetched):
         with pytest.raises(ValueError, match="more than 4 rows"):
             f(spark.range(5), 4, "rows")
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_viterbi_rounds_and_breaks_ties_as_a_fold_over_all_rows(spark, chunk):
+    rng = np.random.default_rng(5)
+    calls = {k: rng.integers(1, 10, 40) / 10 for k in range(200)}
+    df = spark.createDataFrame([(k, t, [float(x), float(1 - x)]) for k, p in calls.items() for t, x in enumerate(p)], "k long, t long, e array<double>")
+    move = start = np.log(np.full((2, 2), 0.5))
+    got: dict[int, list[int]] = {}
+    for r in sequential.viterbi(df, keys="k", order="t", column="e", labels=["a", "b"], transition=move, start=start[0], chunk=chunk, probabilities=True).orderBy("k", "t").collect():
+        got.setdefault(r.k, []).append("ab".index(r.label))
+    assert got == {k: sequential.best_within(np.array([[math.log(x), math.log(1 - x)] for x in p.tolist()]), move, start[0]) for k, p in calls.items()}

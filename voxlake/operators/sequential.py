@@ -6,6 +6,7 @@ A call's rows are bounded by its length, so an array of them fits a task. Long s
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxlake.storage import written
 
@@ -63,12 +65,50 @@ def best_within(e: np.ndarray, transition: np.ndarray, first: np.ndarray, last:
     return best[::-1]
 
 
-def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels: list[str], transition: np.ndarray, start: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+def forward(e: np.ndarray, transition: np.ndarray, score: np.ndarray | None, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scores after a chunk's last row, and for each row and label the best label before it (of equals the first), given those before its first row (None: it begins a sequence).
+
+    Row by row in the order of the sequence, so that sums round, and equals fall, as in a fold over all rows.
+    """
+    n = len(start)
+    rows, move = e.tolist(), transition.T.tolist()
+    labels = range(n)
+    back = bytearray() if n <= 256 else []
+    now = None if score is None else score.tolist()
+    for x in rows:
+        if now is None:
+            now = [float(start[k]) + x[k] for k in labels]
+            back.extend([0] * n)
+            continue
+        then = []
+        for k in labels:
+            own = move[k]
+            best, at = now[0] + own[0], 0
+            for j in range(1, n):
+                if (v := now[j] + own[j]) > best:
+                    best, at = v, j
+            then.append(best + x[k])
+            back.append(at)
+        now = then
+    return np.array(now), np.array(back if n > 256 else np.frombuffer(back, np.uint8)).reshape(-1, n)
+
+
+def traced(back: np.ndarray, last: int) -> list[int]:
+    """The labels of a chunk whose last is known."""
+    out, label = [], last
+    for row in back[::-1].tolist():
+        out.append(label)
+        label = row[label]
+    return out[::-1]
+
+
+def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels: list[str], transition: np.ndarray, start: np.ndarray, chunk: int = CHUNK, probabilities: bool = False) -> DataFrame:
     """The best label sequence of each group; column: array of log emissions by label, whose rows must have them all (see decodable).
 
-    A sequence is cut into chunks of rows, which are written once. Each chunk's max-plus matrix says what it costs to pass it from any label to
-    any other; these few numbers of a sequence's chunks meet in one task, which finds the labels between chunks; then each chunk is decoded by itself.
-    So a task holds a chunk's rows, or a matrix for each chunk of one sequence.
+    A sequence is cut into chunks of rows, which are written once. One task passes a sequence's chunks in their order, and keeps of each only the scores that enter it and
+    from which label each of its last labels came; from its end the last labels of all chunks follow; then each chunk is decoded by itself.
+    So a task holds a chunk's rows, or some numbers for each chunk of one sequence, and sums are those of a fold over all rows. With probabilities the column holds these, and
+    their logarithms are the C library's, as Spark's differ from it in the last bit.
     """
     key_type, order_type = (emissions.schema[c].dataType.simpleString() for c in (keys, order))
     n = len(labels)
@@ -76,41 +116,50 @@ def viterbi(emissions: DataFrame, *, keys: str, order: str, column: str, labels:
     rows = emissions.select(F.col(keys).alias("key"), F.col(order).alias("order"), F.col(column).cast("array<double>").alias("e"), F.floor(place / chunk).alias("chunk"))
     chunks = written(rows.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.struct("order", "e"))).alias("r")).select("key", "chunk", F.col("r.order").alias("order"), F.flatten("r.e").alias("e")))
 
-    def chain(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        costs = [np.array(x.values).reshape(n, n) for x in table.column("through")]
-        scores: list[np.ndarray] = [np.zeros(n)]
-        for k, m in enumerate(costs):
-            scores.append(m[0] if k == 0 else (scores[-1][:, None] + m).max(axis=0))
-        last = [0] * len(costs)
-        last[-1] = int(scores[-1].argmax())
-        for k in range(len(costs) - 1, 0, -1):
-            last[k - 1] = int((scores[k] + costs[k][:, last[k]]).argmax())
-        before = [None, *last[:-1]]
-        return pa.table({"key": table.column("key"), "chunk": table.column("chunk"), "before": pa.array(before, pa.int32()), "last": pa.array(last, pa.int32())})
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each chunk's matrix; the first chunk of a sequence is entered by the start, so all rows of its matrix are the same."""
+    def scores(e: pa.ListScalar) -> np.ndarray:
+        x = np.array(e.values)
+        return (np.array([math.log(max(p, 1e-12)) for p in x.tolist()]) if probabilities else x).reshape(-1, n)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of whole sequences, in order: of each the scores before it, None for the first, and its last label."""
+        none = object()
+        key, enters, origins, final = none, [], [], None
+
+        def told() -> pa.RecordBatch:
+            last = [int(final.argmax())]
+            for origin in origins[:0:-1]:
+                last.append(origin[last[-1]])
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(enters), key_arrow), pa.array(range(len(enters)), pa.int64()), pa.array(enters, pa.list_(pa.float64())), pa.array(last[::-1], pa.int32())], names=["key", "chunk", "before", "last"])
+
         for batch in batches:
-            found = []
-            for k, e in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                e = np.array(e.values).reshape(-1, n)
-                if k == 0:
-                    inside = times((start + e[0])[None, :], through(e[1:], transition))[0] if len(e) > 1 else start + e[0]
-                    found.append(np.tile(inside, n))
-                else:
-                    found.append(through(e, transition).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["key", "chunk", "through"])
+            for own, e in zip(batch.column("key").to_pylist(), batch.column("e"), strict=True):
+                if own != key or key is none:
+                    if key is not none:
+                        yield told()
+                    key, enters, origins, final = own, [], [], None
+                enters.append(None if final is None else final.tolist())
+                final, back = forward(scores(e), transition, final, start)
+                origin = list(range(n))
+                for row in back[::-1].tolist():
+                    origin = [row[k] for k in origin]
+                origins.append(origin)
+        if key is not none:
+            yield told()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c) for c in ("e", "before", "last")]
+            places, found = [], []
             for row, (e, before, last) in enumerate(zip(columns[0], columns[1].to_pylist(), columns[2].to_pylist(), strict=True)):
-                best = best_within(np.array(e.values).reshape(-1, n), transition, start if before is None else transition[before], last)
-                orders = batch.column("order")[row].values
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([row] * len(best))), orders, pa.array([labels[k] for k in best], pa.string())], names=[keys, order, "label"])
-
-    ends = chunks.select("key", "chunk", "e").mapInArrow(measure, f"key {key_type}, chunk long, through array<double>").groupBy("key").applyInArrow(chain, f"key {key_type}, chunk long, before int, last int")
+                _, back = forward(scores(e), transition, None if before is None else np.array(before), start)
+                best = traced(back, last)
+                places += [row] * len(best)
+                found += best
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(places, pa.int64())), batch.column("order").flatten(), pa.array(labels, pa.string()).take(pa.array(found, pa.int64()))], names=[keys, order, "label"])
+
+    key_arrow = to_arrow_type(emissions.schema[keys].dataType)
+    whole = chunks.select("key", "chunk", "e").repartition("key").sortWithinPartitions("key", "chunk")
+    ends = whole.mapInArrow(passed, f"key {key_type}, chunk long, before array<double>, last int")
     return chunks.join(ends, ["key", "chunk"]).select("key", "order", "e", "before", "last").mapInArrow(decode, f"{keys} {key_type}, {order} {order_type}, label string")
 
 

@@ -261,9 +261,9 @@ t AS (SELECT file_id, n, CASE WHEN a >= b THEN 0 ELSE 1 END AS l, pa, pb FROM z
 SELECT file_id, event_id, CASE l WHEN 0 THEN 'loud' ELSE 'quiet' END AS label FROM t JOIN w USING (file_id, n)""")
 def viterbi(s: Source) -> DataFrame:
     w = s.view("windows").withColumn("p", F.least(F.col("level") / 100, F.lit(0.99)))
-    e = w.select("file_id", "event_id", sequential.log_emissions(F.col("p"), 1 - F.col("p")).alias("e"))
+    e = w.select("file_id", "event_id", F.array(F.col("p"), 1 - F.col("p")).alias("e"))
     move = np.log(np.array([[0.8, 0.2], [0.3, 0.7]]))
-    return sequential.viterbi(e, keys="file_id", order="event_id", column="e", labels=["loud", "quiet"], transition=move, start=np.log(np.array([0.5, 0.5])))
+    return sequential.viterbi(e, keys="file_id", order="event_id", column="e", labels=["loud", "quiet"], transition=move, start=np.log(np.array([0.5, 0.5])), probabilities=True)
 
 
 @query("W31_max_normalised", f"WITH {ctes('calls')} SELECT call_id, round(score / max(score) OVER (), 8) AS share, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 8) AS scaled FROM calls")
