@@ -171,3 +171,26 @@ def test_J21_best_member_and_M05_grid(spark, sf, tmp_path):
     grid = catalog.queries()["M05_weight_search"](spark, sf).collect()
     assert len(grid) == 64 and sum(r.best for r in grid) == 1 and max(grid, key=lambda r: r.macro_f1).macro_f1 == next(r.macro_f1 for r in grid if r.best)
     assert next(r.macro_f1 for r in grid if (r.alpha, r.beta, r.gamma) == (0.0, 0.0, 0.0)) == 1.0
+
+
+def test_X16_a_mean_at_its_threshold_is_summed_in_the_order_of_events(spark, tmp_path):
+    import random
+    from datetime import datetime
+
+    from voxlake.plans import catalog
+
+    def bad(values):
+        level = rest = vol = 0.0
+        for x in values:
+            level, rest, vol = level + x, rest + x % 7, vol - x
+        n = len(values)
+        return (level / n / 10 < 5) + (rest / n / 50 > 0.06) + (vol / n < -45) > 1
+
+    random.seed(3)
+    threes = [(x, y, 13500 - x - y) for x, y in ((random.randint(3600, 5400), random.randint(3600, 5400)) for _ in range(2000))]
+    low = [[v / 100 for v in t] for t in threes if sum(v % 700 for v in t) == 200]  # 45 on average, and rests after 7 below 3
+    own = next(v for v in (sum(random.sample(low, 7), []) for _ in range(20_000)) if bad(v) != bad(v[::-1]))
+    rows = [(len(own) - k, datetime(2024, 1, 1), 1, "view", x, "") for k, x in enumerate(own)]  # the file's order is not that of the events
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["X16_audio_quality"](spark, str(tmp_path)).collect()
+    assert got[0].quality == ("bad" if bad(own[::-1]) else "good")
