@@ -1,5 +1,6 @@
 """Queries do the whole job: each test fails where rows, terms or candidates are left out."""
 
+import functools
 import random
 
 from voxlake.operators import likelihood
@@ -173,6 +174,25 @@ def test_J21_best_member_and_M05_grid(spark, sf, tmp_path):
     assert next(r.macro_f1 for r in grid if (r.alpha, r.beta, r.gamma) == (0.0, 0.0, 0.0)) == 1.0
 
 
+def test_X18_a_mean_halfway_is_summed_in_the_order_of_the_table(spark, tmp_path):
+    from voxlake.plans import catalog
+
+    at = lambda line, q: (line * 10.0 + (line * 10.0 + q)) / 240
+    mean = lambda values: functools.reduce(lambda t, x: t + x, values, 0.0) / len(values)  # noqa: E731  (sum() would correct its rounding)
+    marker = lambda values: round(8 * mean(values))
+    a, b, c = (3, 29), (2, 26), (2, 30)
+    assert marker([at(*x) for x in (a, b, c)]) != marker([at(*x) for x in (c, a, b)])
+    form = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    row = lambda call, x: (call, 0, 1, x[0], float(x[1]), 1.0, 0.0)
+    (tmp_path / "lineitem.parquet").mkdir()
+    # the second file is larger, so a scan begins with it
+    for name, rows in (("a", [row(1, a), row(1, b)]), ("b", [row(1, c), *(row(k, (1 + k % 7, 1 + k % 50)) for k in range(2, 3000))])):
+        spark.createDataFrame(rows, form).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    got = {r.call_id: r.markers for r in catalog.queries()["X18_chart_markers"](spark, str(tmp_path)).collect()}
+    assert got[1] == ",".join(map(str, sorted([marker([at(*x) for x in (a, b, c)]), 2, 5, 4, 6, 7])))
+
+
 def test_X16_a_mean_at_its_threshold_is_summed_in_the_order_of_events(spark, tmp_path):
     import random
     from datetime import datetime

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators import calibrate
@@ -157,8 +157,17 @@ MARKERS = (("SALUDO", 0.1), ("PRODUCTO", 0.3), ("MAC", 0.6), ("PRECIO", 0.5), ("
 
 @query("X18_chart_markers", f"WITH {TOP}, p AS (SELECT call_id, {', '.join(f'coalesce(avg(CASE WHEN label = {chr(39)}{t}{chr(39)} THEN (start_s + end_s) / 240 END), {d}) AS m{k}' for k, (t, d) in enumerate(MARKERS))} FROM call_topics GROUP BY 1) SELECT call_id, array_to_string(list_sort([{', '.join(f'CAST(round_even(8 * m{k}, 0) AS INT)' for k in range(6))}]), ',') AS markers FROM p")
 def chart_markers(s: Source) -> DataFrame:
-    at = lambda t, d: F.bround(8 * F.coalesce(F.avg(F.when(F.col("label") == t, (F.col("start_s") + F.col("end_s")) / 240)), F.lit(d)), 0).cast("int")
-    return s.view("call_topics").groupBy("call_id").agg(F.array_join(F.array_sort(F.array(*(at(t, d) for t, d in MARKERS))), ",").alias("markers"))
+    """Each mean is summed in the order of the table's rows, so that one halfway between two markers falls the same way in every run: as in the SQL on one thread. A call's rows are one array."""
+    line = F.col("l_linenumber") * F.lit(10.0)
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"), (F.col("l_partkey") % 14).cast("int").alias("k"), ((line + (line + F.col("l_quantity"))) / 240).alias("v"))
+    calls = s.table("lineitem").select(F.col("l_orderkey").alias("call_id"), place.alias("x")).groupBy("call_id").agg(F.sort_array(F.collect_list("x")).alias("rows"))
+
+    def at(topic: str, default: float) -> Column:
+        own = F.filter("rows", lambda r: (r.k == SCRIPT_ORDER.index(topic)) & r.v.isNotNull())
+        mean = F.try_divide(F.aggregate(own, F.lit(0.0), lambda t, r: t + r.v), F.size(own))
+        return F.bround(8 * F.coalesce(mean, F.lit(default)), 0).cast("int")
+
+    return calls.select("call_id", F.array_join(F.array_sort(F.array(*(at(t, d) for t, d in MARKERS))), ",").alias("markers"))
 
 
 @query("X19_strikes", f"WITH {CALLS} SELECT call_id, CAST(silence > 0.5 AS INT) + CAST(confidence <= 0.9 AS INT) + CAST(mac_likelihood <= 0.9 AS INT) + CAST(price_likelihood <= 0.9 AS INT) AS strikes FROM calls")
