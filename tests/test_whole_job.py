@@ -214,3 +214,19 @@ def test_X16_a_mean_at_its_threshold_is_summed_in_the_order_of_events(spark, tmp
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.queries()["X16_audio_quality"](spark, str(tmp_path)).collect()
     assert got[0].quality == ("bad" if bad(own[::-1]) else "good")
+
+
+def test_J18_phrases_that_lengths_rule_out_are_not_passed_over(monkeypatch):
+    met = []
+    whole = likelihood.least_distances
+
+    def counted(data, doc, lo, hi, script):
+        met.append(len(script.items))
+        return whole(data, doc, lo, hi, script)
+
+    monkeypatch.setattr(likelihood, "least_distances", counted)
+    text = "one two three four five six".split()
+    phrases = [(k, 0, "one two three four five six") for k in range(likelihood.SCRIPT)] + [(1000 + k, 0, "long " * 60 + "end") for k in range(200)]
+    best = likelihood.best_of([text], phrases, 1, size=6, step=1, tail=False, top=1)
+    assert best.score[0, 0, 0] == 1_000_000 and best.item[0, 0, 0] == 0
+    assert sum(met) == likelihood.SCRIPT

@@ -21,7 +21,7 @@ LETTERS = np.frombuffer(b" abcdefghijklmnopqrstuvwxyz", np.uint8)
 LAID_OUT, AT_ONCE = 4 << 20, 4096
 ONE, TOP = np.uint64(1), np.uint64(63)
 #: Phrases of a script that are sent to every task at a time, and that windows meet at a time; windows that meet them at a time, and in one pass.
-PHRASES, SCRIPT, WINDOWS, LANE = 100_000, 128, 16_384, 64
+PHRASES, SCRIPT, WINDOWS, LANE = 100_000, 64, 16_384, 64
 #: Of each document and cluster so many times ``top`` pairs are compared first.
 LEADS = 4
 
@@ -127,6 +127,16 @@ class Script:
             np.bitwise_or.at(self.masks, (own, at // 64, k), ONE << (at % 64).astype(np.uint64))
 
 
+    def only(self, own: np.ndarray) -> Script:
+        """The script of some of its phrases."""
+        out = object.__new__(Script)
+        out.items, out.clusters, out.lengths = self.items[own], self.clusters[own], self.lengths[own]
+        most = max(1, int(out.lengths.max(initial=0)))
+        out.blocks = -(-most // 64)
+        out.letters, out.masks = self.letters[own, :most], np.ascontiguousarray(self.masks[:, : out.blocks, own])
+        return out
+
+
 def least_distances(data: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, script: Script) -> np.ndarray:
     """What each window is from each phrase at least (windows x phrases): the least distance of the phrase to any stretch that ends where the window does, and begins
     where it or one of the windows before it in its lane do. One pass over the letters of a lane of ``LANE`` windows serves all of them, and all phrases at once."""
@@ -220,7 +230,14 @@ def best_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clu
 def _improve(best: Best, data: np.ndarray, doc: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, script: Script, top: int) -> None:
     """Compares the pairs of some windows and phrases that can be among the best: first the likeliest of each document and cluster, so that what the others have to reach rises."""
     length = hi - lo
-    longer = np.maximum(length[:, None], script.lengths[None, :])
+    # what lengths alone rule out takes no part in the pass over the letters
+    shorter, longer = (f(length[:, None], script.lengths[None, :]) for f in (np.minimum, np.maximum))
+    can = millionths(shorter, longer) >= best.score[doc][:, script.clusters, top - 1]
+    if not can.any():
+        return
+    if not (used := can.any(axis=0)).all():
+        script = script.only(np.flatnonzero(used))
+        longer = longer[:, used]
     least = np.maximum(least_distances(data, doc, lo, hi, script), np.abs(length[:, None] - script.lengths[None, :]))
     most = millionths(longer - least, longer)
     bound = lambda w, p: best.score[doc[w], script.clusters[p], top - 1]
