@@ -111,3 +111,15 @@ def test_smoothed_mixture_changes_single_minutes_only(spark, sf):
     for r in rows:
         assert r.smooth in (r.component, before.get(r.file_id, r.component))
         before[r.file_id] = r.component
+
+
+def test_word_vectors_are_bounded_however_many_words_there_are(spark, monkeypatch):
+    from pyspark.ml.feature import Word2VecModel
+
+    from voxlake.ml import topics
+
+    monkeypatch.setattr(topics, "VECTORS", 16)
+    rows = spark.range(200).selectExpr("concat('w', id, ' w', id, ' v', id % 50) as text", "if(id % 2 = 0, 'a', 'b') as label")
+    model = topics.fit(rows, kind="logistic", embedding=4)
+    vectors = next(m for m in model.stages if isinstance(m, Word2VecModel))
+    assert vectors.getVectors().count() <= 16 and topics.predict(model, rows).count() == 200

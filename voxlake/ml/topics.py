@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from voxlake.storage import written
 
 FEATURES = 1 << 12
+#: Rows of the word vectors, which words share by hash: the driver holds so many, however many words there are.
+VECTORS = 1 << 14
 
 
 def held_out(*key: str) -> Column:
@@ -26,7 +28,8 @@ def features(text: str, out: str = "features", embedding: int = 0, more: tuple[s
     tf_idf = [HashingTF(inputCol="__w", outputCol="__tf", numFeatures=FEATURES), IDF(inputCol="__tf", outputCol="__ti" if embedding or more else out, minDocFreq=2)]
     if not embedding and not more:
         return [words, *tf_idf]
-    vectors = [Word2Vec(inputCol="__w", outputCol="__e", vectorSize=embedding, minCount=2, seed=1)] if embedding else []
+    hashed = SQLTransformer(statement=f"SELECT *, transform(__w, w -> cast(pmod(xxhash64(w), {VECTORS}) AS string)) AS __h FROM __THIS__")
+    vectors = [hashed, Word2Vec(inputCol="__h", outputCol="__e", vectorSize=embedding, minCount=2, seed=1)] if embedding else []
     return [words, *tf_idf, *vectors, VectorAssembler(inputCols=["__ti", *(["__e"] if embedding else []), *more], outputCol=out)]
 
 
