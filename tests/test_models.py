@@ -102,6 +102,22 @@ def test_nearest_phrases_equal_all_pairs(spark):
         assert {r.id: (r.topic, r.confidence) for r in got} == slow_nearest(rows, phrases)
 
 
+def test_nearest_phrases_in_packs_that_share_frequent_terms(spark, monkeypatch):
+    """Packs meet packs, a few postings at a time, and give k phrases for each text however many share its terms."""
+    import numpy as np
+
+    for name, value in (("PACK", 40), ("SCRIPTS", 16), ("MET", 50)):
+        monkeypatch.setattr(topics, name, value)
+    rng = random.Random(8)
+    text = lambda: " ".join(["the", *rng.choices([f"w{k}" for k in range(30)], k=rng.randint(0, 9))])
+    rows, phrases = [(k, text()) for k in range(120)] + [(900, None)], [(f"t{k % 4}", 5 * k, text()) for k in range(50)] + [("none", 999, None)]
+    df, script = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(phrases, "topic string, phrase_id long, text string")
+    assert {r.id: (r.topic, r.confidence) for r in topics.nearest_phrases(df, script, key="id").collect()} == slow_nearest(rows, phrases)
+    index = topics.inverted(np.arange(3000), np.zeros(3000, np.int64), np.linspace(1, 0.5, 3000))
+    near, far = topics.nearest_in(2, np.array([1]), np.array([0]), np.array([1.0]), index, 3000, 3)
+    assert near.tolist() == [[0, 1, 2], [0, 1, 2]] and far[0].tolist() == [1.414213562] * 3 and far[1, 0] == 0 < far[1, 1] < far[1, 2]
+
+
 def test_smoothed_mixture_changes_single_minutes_only(spark, sf):
     from voxlake.plans import catalog
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.storage import written
@@ -15,6 +20,8 @@ from voxlake.storage import written
 FEATURES = 1 << 12
 #: Rows of the word vectors, which words share by hash: the driver holds so many, however many words there are.
 VECTORS = 1 << 14
+#: Texts and phrases of a pack, and pairs of postings that are added up at a time (see nearest_phrases).
+PACK, SCRIPTS, MET = 512, 1024, 1 << 20
 
 
 def held_out(*key: str) -> Column:
@@ -75,60 +82,98 @@ def terms(text: str) -> Column:
     return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def term_weights(texts: DataFrame, least: int = 2) -> DataFrame:
-    """term, idf over all texts: log((n + 1) / (texts with the term + 1)), for terms of at least that many texts."""
-    df = texts.select(F.explode(F.array_distinct(terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    return df.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).select("term", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+def term_counts(texts: DataFrame, key: str) -> DataFrame:
+    """key, term, tf. Texts go by key before their terms are listed, so that counting moves no terms."""
+    return texts.select(key, "text").repartition(key).select(key, F.explode(terms("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def postings(texts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """key, term, w: the terms of a text with the weights of its TF-IDF vector of length 1; a text whose terms all weigh nothing has no rows."""
-    n = texts.select(key, F.explode(terms("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    x = n.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf")).where("x > 0")
-    length = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    return x.join(length, key).select(key, "term", (F.col("x") / F.col("length")).alias("w"))
+def term_weights(counts: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
+    """term, idf over all texts: log((n + 1) / (texts with the term + 1)), for terms of at least that many texts. counts: a row for each term of a text."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return df.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).select("term", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
-def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3, salts: int = 8) -> DataFrame:
+def packed(keys: DataFrame, postings: DataFrame, key: str, most: int) -> DataFrame:
+    """Texts in packs of about that many, a row each: keys, and for each posting the place of its text among them, its term's number t and its weight in the text's vector of length 1.
+
+    postings: key, t (null: a term that only lengthens the vector), x. A key without postings is in a pack too.
+    """
+    packs = max(1, -(-keys.count() // most))
+    every = keys.select(key, F.lit(None).cast("long").alias("t"), F.lit(0.0).alias("x")).unionByName(postings.select(key, "t", "x"))
+    kind = keys.schema[key].dataType.simpleString()
+
+    def pack(rows: pa.Table) -> pa.Table:
+        coded = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        at, x = coded.indices.to_numpy(zero_copy_only=False), rows.column("x").to_numpy()
+        length = np.sqrt(np.bincount(at, x * x, len(coded.dictionary)))
+        own = rows.column("t").is_valid().to_numpy() & (x > 0)
+        at, x = at[own], x[own]
+        lists = [coded.dictionary, pa.array(at, pa.int32()), rows.column("t").filter(pa.array(own)).combine_chunks(), pa.array(x / length[at])]
+        return pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for name, v in zip(("keys", "at", "t", "w"), lists, strict=True)})
+
+    return every.groupBy(F.pmod(F.xxhash64(key), F.lit(packs)).alias("pack")).applyInArrow(pack, f"keys array<{kind}>, at array<int>, t array<long>, w array<double>")
+
+
+def nearest_in(n: int, at: np.ndarray, t: np.ndarray, w: np.ndarray, index: tuple[np.ndarray, ...], phrases: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n texts the k nearest of a pack's phrases, the first of equals first, and their distances to nine decimals: texts x k each. index: see inverted."""
+    known, begin, phrase, weight = index
+    place = np.searchsorted(known, t)
+    have = place < len(known)
+    have[have] = known[place[have]] == t[have]
+    at, place, w = at[have], place[have], w[have]
+    many = begin[place + 1] - begin[place]
+    dot = np.zeros(n * phrases)
+    cuts = np.searchsorted(np.cumsum(many), np.arange(MET, int(many.sum()) + MET, MET)) + 1
+    for lo, hi in zip([0, *cuts], cuts, strict=False):
+        own = many[lo:hi]
+        met = np.arange(int(own.sum())) + np.repeat(begin[place[lo:hi]] - (np.cumsum(own) - own), own)
+        np.add.at(dot, np.repeat(at[lo:hi].astype(np.int64), own) * phrases + phrase[met], np.repeat(w[lo:hi], own) * weight[met])
+    far = np.floor(np.sqrt(np.maximum(2 - 2 * dot.reshape(n, phrases), 0)) * 1e9 + 0.5).astype(np.int64)
+    first = far * phrases + np.arange(phrases)
+    k = min(k, phrases)
+    first = np.sort(np.partition(first, k - 1, axis=1)[:, :k], axis=1)
+    return first % phrases, first // phrases / 1e9
+
+
+def inverted(at: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The numbers of the terms that a pack's phrases have, in order; where each one's postings begin, and where the last end; their phrases and weights."""
+    order = np.lexsort((at, t))
+    known, begin = np.unique(t[order], return_index=True)
+    return known, np.append(begin, len(t)), at[order], w[order]
+
+
+def nearest_phrases(rows: DataFrame, phrases: DataFrame, *, key: str, k: int = 3) -> DataFrame:
     """For each row the k nearest phrases by distance of normalised TF-IDF (of equals the smaller phrase_id): key, topic (of the nearest), confidence = 1 / (mean distance + 1e-5).
 
-    An inverted index of the phrases, joined by term, with a bound for each term. A row's first bound is what its k best phrases have at least:
-    the sums over the k heaviest postings of each of its terms. Its terms come with those first that can add most; once all that follow can add less than the bound, a
-    phrase that has none before is out. Only phrases with such a term are met, and only those whose sum over these terms and the bounds
-    of the others reach the bound are compared over all terms. Postings stand in copies, of
-    which a row asks one, so a frequent term is spread; no pair of texts without a common term meets.
+    Every row against every phrase, as packs of texts that meet packs of phrases: an inverted index of a pack's phrases gets the terms of a pack's texts, adds up only what
+    has a term in common, and returns k phrases for each text. So no pair of a text and a phrase, nor of postings, is ever a row; terms move once to their weights and once
+    to their text's pack. Phrases are the query set: work grows with the common terms of texts and phrases. Runs jobs before it returns: counts and packs are written.
     """
-    idf = written(term_weights(rows.select("text").unionByName(phrases.select("text"))))
-    mine = written(postings(rows, key, idf))
-    theirs = written(postings(phrases, "phrase_id", idf))
-    heaviest = theirs.withColumn("__r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("w"), "phrase_id"))).where(F.col("__r") <= k)
-    tops = heaviest.groupBy("term").agg(F.max("w").alias("most"), F.collect_list(F.struct("phrase_id", "w")).alias("best"))
-    asked = mine.join(tops, "term").withColumn("bound", F.col("w") * F.col("most"))
-
-    # what the k best phrases have at least
-    seen = asked.select(key, F.col("w").alias("mine"), F.explode("best").alias("b")).groupBy(key, "b.phrase_id").agg(F.sum(F.col("mine") * F.col("b.w")).alias("part"))
-    floor = seen.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("part"), "phrase_id"))).where(F.col("__r") == k).select(key, F.col("part").alias("least"))
-    rest = F.sum("bound").over(Window.partitionBy(key).orderBy(F.desc("bound"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    needed = F.col("rest") >= F.col("least") - 1e-9
-    others = F.sum(F.when(needed, 0.0).otherwise(F.col("bound"))).over(Window.partitionBy(key))
-    first = asked.withColumn("rest", rest).join(floor, key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("others", others).where(needed)
-
-    copies = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = first.select(key, "term", F.col("w").alias("mine"), "least", "others", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
-    met = salted.join(copies.select("term", "salt", "phrase_id", "w"), ["term", "salt"]).groupBy(key, "phrase_id").agg(F.sum(F.col("mine") * F.col("w")).alias("part"), F.first("least").alias("least"), F.first("others").alias("others"))
-    # what the terms that follow can add at most is known
-    pairs = met.where(F.col("part") + F.col("others") >= F.col("least") - 1e-9).select(key, "phrase_id")
-    listed = lambda df, by, name: df.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias(name))
-    whole = pairs.join(listed(mine, key, "a"), key).join(listed(theirs, "phrase_id", "b"), "phrase_id")
-    dot = F.aggregate(F.map_entries("b"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("a", e["key"]), F.lit(0.0)))
-    near = whole.select(key, "phrase_id", dot.alias("dot"))
-    # phrases that share no term are all as far; the first of them by number stand in where there are too few others
-    ids = [r.phrase_id for r in phrases.select("phrase_id").orderBy("phrase_id").limit(k).collect()]
-    few = rows.select(key, F.explode(F.array(*(F.lit(i).cast(phrases.schema["phrase_id"].dataType) for i in ids))).alias("phrase_id"), F.lit(0.0).alias("dot"))
-    every = near.unionByName(few).groupBy(key, "phrase_id").agg(F.max("dot").alias("dot"))
-    d = every.withColumn("d", F.round(F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))), 9))
-    top = d.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d", "phrase_id"))).where(F.col("r") <= k)
-    return top.join(phrases.select("phrase_id", "topic"), "phrase_id").groupBy(key).agg(F.min_by("topic", "r").alias("topic"), (1 / (F.avg("d") + 1e-5)).alias("confidence"))
+    mine, theirs = written(term_counts(rows, key)), written(term_counts(phrases, "phrase_id"))
+    idf = term_weights(mine.select("term").unionByName(theirs.select("term")), rows.select("text").unionByName(phrases.select("text")))
+    numbers = written(theirs.select("term").distinct().select("term", F.monotonically_increasing_id().alias("t")))
+    weights = written(idf.join(numbers, "term", "left"))
+    weigh = lambda n: n.join(weights, "term").withColumn("x", F.col("tf") * F.col("idf")).where("x > 0")
+    texts = written(packed(rows.select(key).distinct(), weigh(mine), key, PACK))
+    scripts = written(packed(phrases.select("phrase_id").distinct(), weigh(theirs), "phrase_id", SCRIPTS))
+    kinds = [rows.schema[key].dataType.simpleString(), phrases.schema["phrase_id"].dataType.simpleString()]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                keys, at, t, w, ids, at2, t2, w2 = (batch.column(c)[row].values for c in ("keys", "at", "t", "w", "ids", "at2", "t2", "w2"))
+                order = pc.array_sort_indices(ids)
+                rank = np.argsort(order.to_numpy())
+                phrase, far = nearest_in(len(keys), *(np.array(x) for x in (at, t, w)), inverted(rank[np.array(at2)], np.array(t2), np.array(w2)), len(ids), k)
+                whose = np.repeat(np.arange(len(keys)), phrase.shape[1])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(whose)), ids.take(order.take(pa.array(phrase.ravel()))), pa.array(far.ravel())], names=["key", "phrase_id", "d"])
+
+    second = scripts.select(F.col("keys").alias("ids"), F.col("at").alias("at2"), F.col("t").alias("t2"), F.col("w").alias("w2"))
+    near = texts.crossJoin(second).mapInArrow(meet, f"key {kinds[0]}, phrase_id {kinds[1]}, d double")
+    first = near.groupBy(F.col("key").alias(key)).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "phrase_id"))), 1, k).alias("n"))
+    mean = F.aggregate("n", F.lit(0.0), lambda t, x: t + x["d"]) / F.size("n")
+    named = first.select(key, F.col("n")[0]["phrase_id"].alias("phrase_id"), (1 / (mean + 1e-5)).alias("confidence"))
+    return named.join(phrases.select("phrase_id", "topic"), "phrase_id").select(key, "topic", "confidence")
 
 
 def mixture(rows: DataFrame, columns: list[str], *, k: int = 2, seed: int = 1) -> DataFrame:
