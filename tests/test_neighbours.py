@@ -67,3 +67,23 @@ def test_clusters_of_repeated_zero_and_unlabelled_vectors(spark):
     df = spark.createDataFrame([(k, c, [float(x) for x in v]) for k, c, v in rows], "vec_id long, label int, v array<double>")
     assert sorted((r.vec_id, r.cluster, r.score) for r in nearest_of(df, pivots=4, block=8).collect()) == slow_cluster(rows)
     assert nearest_of(df.limit(0)).collect() == []
+
+
+def test_vectors_are_not_shuffled_for_pairs(spark):
+    """Blocks meet as a product of partitions; what a task finds is one row for each key."""
+    x = clustered(400, 4, 3.0, 5)
+    df = spark.createDataFrame([(k, k % 3, [float(y) for y in v]) for k, v in enumerate(x)], "key long, mark long, v array<double>").repartition(3)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = neighbours.nearest(df, pivots=4, block=16)
+        plan = found.found._jdf.queryExecution().sparkPlan().toString() + found.found._jdf.queryExecution().executedPlan().toString()
+        got = {r.key: (r.cosine, r.mark) for r in found.found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found.compared > 100 and "CartesianProduct" in plan
+    assert {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line} == {"key"}
+    top, mark, _ = neighbours.best(x, np.arange(len(x)), x, np.arange(len(x)), np.arange(len(x)) % 3)
+    assert got == {k: (top[k], mark[k]) for k in range(len(x))}
+    part = [np.array(c) for c in ([5, 5, 2, 5], [0.5, 0.9, 0.1, 0.9], [1, 8, 3, 4])]
+    assert [c.tolist() for c in neighbours.foremost([tuple(part)] * 2)] == [[2, 5], [0.1, 0.9], [3, 4]]

@@ -3,7 +3,8 @@
 Vectors of length 1 are counted once each, however many rows share one. Each goes to the nearest of some pivots (one for each ``BLOCK`` vectors, at most ``PIVOTS``, the first by hash) and, by its
 distance from it, to a band: a cell. A cell first finds its vectors' nearest within one of its own blocks; the worst of these is as far as its search has to
 reach. Another cell is compared only if it can hold a vector so near: pivots are a distance apart, and a cell's vectors no further from its pivot than its
-band's end, nor nearer than its begin. Cells are at most PIVOTS times the bands, so which meet is decided from a small table; what meets are blocks of at most ``BLOCK`` vectors.
+band's end, nor nearer than its begin. Cells are at most PIVOTS times the bands, so which meet is decided from a small table; what meets are blocks of at most ``BLOCK`` vectors,
+as a product of the partitions they are read in: a vector stands on disk as often as it is written, not once for each pair.
 
 How much this saves depends on the data: vectors in clusters meet few cells, vectors without any structure in many dimensions meet them all.
 """
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from voxlake.storage import written
 
 PIVOTS, BAND, BLOCK = 128, 0.1, 1024
+#: Rows that a task keeps of what its blocks have found.
+HELD = 1 << 20
 #: What rounding may cost a distance of vectors of length 1.
 SLACK = 1e-6
 
@@ -46,6 +49,14 @@ def best(a: np.ndarray, keys: np.ndarray, b: np.ndarray, others: np.ndarray, mar
     return top, mark, top > -2
 
 
+def foremost(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of each key the greatest cosine and, of equals, the least mark."""
+    keys, cosine, mark = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((mark, -cosine, keys))
+    own = order[np.diff(keys[order], prepend=keys[order[:1]] - 1) != 0]
+    return keys[own], cosine[own], mark[own]
+
+
 def nearest(vectors: DataFrame, *, pivots: int = PIVOTS, band: float = BAND, block: int = BLOCK) -> Found:
     """vectors: key (long, one for each vector), mark (long), v (array<double> of length 1). Of equal cosines, to 8 decimals, the least mark counts."""
     spark = vectors.sparkSession
@@ -89,17 +100,31 @@ def nearest(vectors: DataFrame, *, pivots: int = PIVOTS, band: float = BAND, blo
     a, b = np.nonzero(least <= reach[:, None])
     sizes = np.array([r.blocks for r in cells], np.int64)
     compared, whole = int((sizes[a] * sizes[b]).sum()), int(sizes.sum() ** 2)
-    meets = spark.createDataFrame(pa.table({"pivot": pa.array(at[a, 0], pa.int32()), "band": pa.array(at[a, 1], pa.int32()), "pivot2": pa.array(at[b, 0], pa.int32()), "band2": pa.array(at[b, 1], pa.int32())}).to_pandas(), "pivot int, band int, pivot2 int, band2 int")
+    # a cell's number, and those of the cells that it meets: blocks are compared where they are read, so no vector is shuffled
+    partners = pa.ListArray.from_arrays(pa.array(np.searchsorted(a, np.arange(len(cells) + 1)), pa.int32()), pa.array(b, pa.int32()))
+    table = spark.createDataFrame(pa.table({"pivot": pa.array(at[:, 0], pa.int32()), "band": pa.array(at[:, 1], pa.int32()), "cell": pa.array(np.arange(len(cells)), pa.int32()), "meets": partners}))
+    numbered = blocks.join(F.broadcast(table), ["pivot", "band"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for row in range(len(batch)):
                 keys, v, others, marks, w = (np.array(batch.column(c)[row].values) for c in ("key", "v", "key2", "mark2", "v2"))
                 top, mark, any_ = best(v.reshape(len(keys), -1), keys, w.reshape(len(others), -1), others, marks)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[any_]), pa.array(top[any_]), pa.array(mark[any_])], names=["key", "cosine", "mark"])
-
-    second = blocks.select(F.col("pivot").alias("pivot2"), F.col("band").alias("band2"), F.col("block").alias("block2"), F.col("key").alias("key2"), F.col("mark").alias("mark2"), F.col("v").alias("v2"))
-    pairs = blocks.join(meets, ["pivot", "band"]).join(second, ["pivot2", "band2"]).where("pivot <> pivot2 or band <> band2 or block <> block2")
+                held.append((keys[any_], top[any_], mark[any_]))
+                rows += len(held[-1][0])
+                if rows > HELD:
+                    held = [foremost(held)]
+                    rows = len(held[0][0])
+                    if 2 * rows > HELD:  # as many vectors: what is held would not shrink
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["key", "cosine", "mark"])
+                        held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in foremost(held)], names=["key", "cosine", "mark"])
+
+    first = numbered.select("meets", F.col("cell").alias("cell1"), F.col("block").alias("block1"), "key", "v")
+    second = numbered.select("cell", "block", F.col("key").alias("key2"), F.col("mark").alias("mark2"), F.col("v").alias("v2"))
+    pairs = first.join(second, F.array_contains("meets", F.col("cell")) & ((F.col("cell1") != F.col("cell")) | (F.col("block1") != F.col("block"))))
     met = pairs.select("key", "v", "key2", "mark2", "v2").mapInArrow(meet, schema)
     every = inside.select("key", "cosine", "mark").where("cosine > -2").unionByName(met)
     return Found(every.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("mark")).alias("m"))).alias("x")).select("key", "x.cosine", (-F.col("x.m")).alias("mark")), compared, whole)
