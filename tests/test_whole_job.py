@@ -3,6 +3,8 @@
 import functools
 import random
 
+import numpy as np
+
 from voxlake.operators import likelihood
 
 
@@ -131,6 +133,35 @@ def test_J19b_blended_evidence(spark):
         assert g[:2] == w[:2] and all(abs(a - b) < 3e-6 for a, b in zip(g[2:], w[2:], strict=True)), (g, w)
 
 
+def test_J19b_compares_only_what_can_be_among_the_first():
+    """Windows far from every phrase in meaning and letters are not compared letter by letter; one that a phrase resembles is found among them."""
+    random.seed(9)
+    noise = lambda letters, n: ["".join(random.choice(letters) for _ in range(5)) for _ in range(n)]
+    phrases = [(i, i % 2, " ".join(noise("abcdefgh", 18))) for i in range(20)]
+    text = noise("stuvwxyz", 18 * 40)
+    for k, (_, _, phrase) in enumerate(phrases[:6]):
+        text[18 * (5 + k) : 18 * (6 + k)] = phrase.split()
+    counted: list = []
+    found = likelihood.evidence_of([text, [], text[:30]], phrases, 2, size=18, step=6, tail=True, top=3, counted=counted)
+    assert {(d, c, i, k) for d, c, i, k, *_ in found if d == 0} == {(0, i % 2, i, 18 * (5 + i)) for i in range(6)}
+    assert all(x[4:] == (1.0, 1.0, 1.0) for x in found if x[0] == 0) and sum(x[0] == 2 for x in found) == 6
+    ((compared, pairs),) = counted
+    assert compared < pairs / 4
+
+
+def test_distances_of_any_number_of_blocks():
+    random.seed(2)
+    number = likelihood.letter_numbers()
+    for blocks in (1, 2, 3):
+        texts = ["".join(random.choice("abc ") for _ in range(random.randint(64 * blocks - 63, 64 * blocks))) for _ in range(20)] + ["a" * 64 * blocks]
+        ends = np.cumsum([len(t) for t in texts])
+        begins = ends - [len(t) for t in texts]
+        masks = likelihood.masks_of(np.frombuffer("".join(texts).encode(), np.uint8), begins, ends, blocks)
+        for phrase in ("", "a", "abc cba" * 25):
+            got = likelihood.distances(masks, ends - begins, number[np.frombuffer(phrase.encode(), np.uint8)])
+            assert got.tolist() == [distance(t, phrase) for t in texts]
+
+
 def test_windows():
     assert likelihood.windows(["a"] * 20, 18, 6, True) == [0, 2] and likelihood.windows([], 6, 1, False) == []
     assert likelihood.windows(["a"] * 3, 6, 1, False) == [0] and likelihood.windows(["a"] * 8, 6, 1, False) == [0, 1, 2]

@@ -13,12 +13,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTERS = np.frombuffer(b" abcdefghijklmnopqrstuvwxyz", np.uint8)
 #: Characters of windows that are laid out at a time, and windows that are compared at a time.
 LAID_OUT, AT_ONCE = 4 << 20, 4096
+#: Windows that a phrase passes at a time, and pairs of windows and phrases of a batch of texts (see evidence).
+STRETCH, PAIRS = 8192, 4 << 20
 ONE, TOP = np.uint64(1), np.uint64(63)
 #: Phrases of a script that are sent to every task at a time, and that windows meet at a time; windows that meet them at a time, and in one pass.
 PHRASES, SCRIPT, WINDOWS, LANE = 100_000, 64, 16_384, 64
@@ -27,24 +30,48 @@ LEADS = 4
 
 
 def distances(masks: np.ndarray, lengths: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """Edit distances of a phrase, as letter numbers, to windows of the same number of blocks; masks: letters x blocks x windows."""
+    """Edit distances of a phrase, as letter numbers, to windows of the same number of blocks; masks: letters x blocks x windows.
+
+    What a column grows by from row to row is kept, and summed after the last letter only; all steps write into arrays that are there.
+    """
     blocks, n = masks.shape[1:]
     up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
-    total, last = lengths.astype(np.int64), ((lengths - 1) % 64).astype(np.uint64)
+    xv, xh, ph, mh, same, *carried = np.empty((9, n), np.uint64)
+    more, less, above, below = carried
+    one, top = np.array(ONE), np.array(TOP)
+    or_, and_, xor, add, invert, shift = np.bitwise_or, np.bitwise_and, np.bitwise_xor, np.add, np.invert, np.right_shift
     for letter in phrase.tolist():
-        more, less = np.ones(n, np.uint64), np.zeros(n, np.uint64)  # the row above grows by one at each letter
         for b in range(blocks):
             eq, pv, mv = masks[letter, b], up[b], down[b]
-            xv = eq | mv
-            eq = eq | less
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            if b == blocks - 1:
-                total += ((ph >> last) & ONE).astype(np.int64) - ((mh >> last) & ONE).astype(np.int64)
-            above, below = more, less
-            more, less = ph >> TOP, mh >> TOP
-            ph, mh = (ph << ONE) | above, (mh << ONE) | below
-            up[b], down[b] = mh | ~(xv | ph), ph & xv
+            or_(eq, mv, xv)
+            if b:
+                eq = or_(eq, less, same)
+            and_(eq, pv, xh)
+            add(xh, pv, xh)
+            xor(xh, pv, xh)
+            or_(xh, eq, xh)
+            or_(xh, pv, ph)
+            invert(ph, ph)
+            or_(ph, mv, ph)
+            and_(pv, xh, mh)
+            if b < blocks - 1:
+                shift(ph, top, above)
+                shift(mh, top, below)
+            add(ph, ph, ph)
+            or_(ph, more if b else one, ph)  # the row above grows by one at each letter
+            add(mh, mh, mh)
+            if b:
+                or_(mh, less, mh)
+            or_(xv, ph, pv)
+            invert(pv, pv)
+            or_(pv, mh, pv)
+            and_(ph, xv, mv)
+            more, less, above, below = above, below, more, less
+    total = np.full(n, len(phrase), np.int64)
+    for b in range(blocks):
+        some = np.clip(lengths - 64 * b, 0, 64).astype(np.uint64)
+        own = np.where(some > 0, ~np.uint64(0) >> (np.uint64(64) - np.maximum(some, ONE)), np.uint64(0))
+        total += np.bitwise_count(up[b] & own).astype(np.int64) - np.bitwise_count(down[b] & own)
     return total
 
 
@@ -344,11 +371,33 @@ def meaning(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def evidence_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clusters: int, *, size: int, step: int, tail: bool, top: int) -> list[tuple[int, int, int, int, float, float, float]]:
+def common_letters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, script: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many letters each stretch of data and each of script share in any order (windows x phrases): what is beyond them in the longer takes an edit each."""
+    a, b = letter_counts(data, lo, hi), letter_counts(script, begin, end)
+    out = np.zeros((len(lo), len(begin)), np.int32)
+    for x, y in zip(a, b, strict=True):
+        out += np.minimum(x[:, None], y[None, :])
+    return out.astype(np.int64)
+
+
+def letter_counts(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of each letter, how often it stands in each stretch: letters x stretches."""
+    sums = [np.concatenate([[0], np.cumsum(data == c)]) for c in LETTERS]
+    return np.stack([x[hi] - x[lo] for x in sums]).astype(np.int32)
+
+
+def blended(fuzzy: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    return np.round(FUZZY * fuzzy + SEMANTIC * alike, 6)
+
+
+def evidence_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]], clusters: int, *, size: int, step: int, tail: bool, top: int, counted: list | None = None) -> list[tuple[int, int, int, int, float, float, float]]:
     """(text, cluster, item, first word, combined, edit and meaning score) of each text's and cluster's ``top`` windows, first those with the highest combined score, then the earlier.
 
     Within a cluster a window has the best edit score over its phrases, and as meaning the greater of the cosine to the cluster's mean and to its nearest phrase. It is
     named after the phrase that is nearest in meaning, or after that of the edit score if that score is higher.
+
+    Meaning is known of all pairs. Each cluster's windows of the most likeness are compared first; then of the others the pairs whose length and letters allow a score that reaches
+    the last of those. counted: gets how many pairs were compared, and how many there are.
     """
     if (laid := laid_out(texts, size, step, tail)) is None or not phrases:
         return []
@@ -356,37 +405,66 @@ def evidence_of(texts: list[list[str]], phrases: Sequence[tuple[int, int, str]],
     phrases = sorted(phrases)
     number = letter_numbers()
     coded = [number[np.frombuffer(t.encode(), np.uint8)] for _, _, t in phrases]
-    ends = np.cumsum([len(t) + 1 for _, _, t in phrases])
+    sizes = np.array([len(t) for _, _, t in phrases])
+    ends = np.cumsum(sizes + 1) - 1
     script = np.frombuffer((" ".join(t for _, _, t in phrases) + " ").encode(), np.uint8)
-    refs = meaning(script, ends - 1 - np.array([len(t) for _, _, t in phrases]), ends - 1)
-    near = meaning(data, lo, hi) @ refs.T
-    edit = np.zeros((len(doc), len(phrases)))
-    blocks = (hi - lo + 63) // 64
-    for b in np.unique(blocks).tolist():
-        same = np.flatnonzero(blocks == b)
-        for own in np.split(same, range(each := max(1, LAID_OUT // (64 * b)), len(same), each)):
-            length, masks = hi[own] - lo[own], masks_of(data, lo[own], hi[own], b)
-            for k, phrase in enumerate(coded):
-                for some in np.split(np.arange(len(own)), range(AT_ONCE, len(own), AT_ONCE)):
-                    longer = np.maximum(length[some], len(phrase))
-                    far = distances(np.ascontiguousarray(masks[:, :, some]), length[some], phrase)
-                    edit[own[some], k] = millionths(longer - far, longer) / 1e6
-    out = []
     cluster_of = np.array([c for _, c, _ in phrases])
-    windows_of = meaning(data, lo, hi)
-    for c in range(clusters):
-        own = np.flatnonzero(cluster_of == c)
-        if not len(own):
-            continue
+    members = {c: own for c in range(clusters) if len(own := np.flatnonzero(cluster_of == c))}
+
+    refs = meaning(script, ends - sizes, ends)
+    means = np.zeros((clusters, DIMENSIONS))
+    for c, own in members.items():
         mean = refs[own].mean(axis=0)
-        mean /= np.sqrt((mean**2).sum()) + 1e-12
-        fuzzy, alike = edit[:, own].max(axis=1), np.round(np.maximum(near[:, own].max(axis=1), windows_of @ mean), 6)
-        both = np.round(FUZZY * fuzzy + SEMANTIC * alike, 6)
-        named = np.where(alike >= fuzzy, own[near[:, own].argmax(axis=1)], own[edit[:, own].argmax(axis=1)])
+        means[c] = mean / (np.sqrt((mean**2).sum()) + 1e-12)
+    near, alike = np.empty((len(doc), len(phrases))), np.empty((len(doc), clusters))
+    for some in np.split(np.arange(len(doc)), range(AT_ONCE, len(doc), AT_ONCE)):
+        vectors = meaning(data, lo[some], hi[some])
+        near[some], alike[some] = vectors @ refs.T, vectors @ means.T
+    for c, own in members.items():
+        alike[:, c] = np.round(np.maximum(near[:, own].max(axis=1), alike[:, c]), 6)
+
+    length = hi - lo
+    longer = np.maximum(length[:, None], sizes[None, :])
+    most = blended(millionths(common_letters(data, lo, hi, script, ends - sizes, ends), longer) / 1e6, alike[:, cluster_of])
+    edit = np.zeros((len(doc), len(phrases)))
+    blocks = (length + 63) // 64
+
+    def compare(need: np.ndarray) -> None:
+        for b in np.unique(blocks).tolist():
+            same = np.flatnonzero((blocks == b) & need.any(axis=1))
+            for own in np.split(same, range(each := max(1, LAID_OUT // (64 * b)), len(same), each)):
+                masks, asked = masks_of(data, lo[own], hi[own], b), need[own]
+                for k, phrase in enumerate(coded):
+                    for some in np.split(at := np.flatnonzero(asked[:, k]), range(STRETCH, len(at), STRETCH)):
+                        if len(some):
+                            far = distances(masks if len(some) == len(own) else masks[:, :, some], length[own[some]], phrase)
+                            edit[own[some], k] = millionths(longer[own[some], k] - far, longer[own[some], k]) / 1e6
+
+    first, least = np.zeros((len(doc), clusters), bool), np.full((int(doc.max()) + 1, clusters), -1.0)
+    for c in members:
+        order = np.lexsort((-alike[:, c], doc))
+        first[order[np.arange(len(order)) - np.searchsorted(doc[order], doc[order]) < 2 * top], c] = True
+    compare(leads := first[:, cluster_of])
+    for c, own in members.items():
+        known = np.flatnonzero(first[:, c])
+        both = blended(edit[known][:, own].max(axis=1), alike[known, c])
+        order = np.lexsort((-both, doc[known]))
+        docs = doc[known[order]]
+        last = np.arange(len(order)) - np.searchsorted(docs, docs) == top - 1
+        least[docs[last], c] = both[order[last]]
+    # what may be among the first, by the letters that a window and a phrase have in common; the rest counts as no likeness
+    compare(rest := ~leads & (most >= least[doc][:, cluster_of]))
+    if counted is not None:
+        counted.append((int(leads.sum() + rest.sum()), edit.size))
+    out = []
+    for c, own in members.items():
+        fuzzy, meant = edit[:, own].max(axis=1), alike[:, c]
+        both = blended(fuzzy, meant)
+        named = np.where(meant >= fuzzy, own[near[:, own].argmax(axis=1)], own[edit[:, own].argmax(axis=1)])
         order = np.lexsort((start, -both, doc))
         rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
         for k in order[rank < top].tolist():
-            out.append((int(doc[k]), c, phrases[named[k]][0], int(start[k]), float(both[k]), float(fuzzy[k]), float(alike[k])))
+            out.append((int(doc[k]), c, phrases[named[k]][0], int(start[k]), float(both[k]), float(fuzzy[k]), float(meant[k])))
     return out
 
 
@@ -404,8 +482,10 @@ def evidence(docs: DataFrame, phrases: DataFrame, *, size: int = 18, step: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coded, names = shared.value
             for whole in batches:
-                for lo in range(0, len(whole), 64):
-                    batch = whole.slice(lo, 64)
+                windows = pc.list_value_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False) // step + 2
+                batch_of = np.cumsum(windows) // max(1, PAIRS // max(1, len(coded)))
+                for at in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(batch_of)) + 1):
+                    batch = whole.slice(int(at[0]) if len(at) else 0, len(at))
                     found = evidence_of([x or [] for x in batch.column(1).to_pylist()], coded, len(names), size=size, step=step, tail=tail, top=top)
                     d, c, i, k, *scores = map(list, zip(*found, strict=True)) if found else ([] for _ in range(7))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array([names[x] for x in c], pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int64()), *(pa.array(x, pa.float64()) for x in scores)], names=["doc_id", "cluster", "item_id", "k", "score", "fuzzy", "semantic"])
