@@ -205,6 +205,21 @@ def test_J21_best_member_and_M05_grid(spark, sf, tmp_path):
     assert next(r.macro_f1 for r in grid if (r.alpha, r.beta, r.gamma) == (0.0, 0.0, 0.0)) == 1.0
 
 
+def test_W19_spans_without_an_end_and_equal_spans(spark, tmp_path):
+    import duckdb
+
+    from voxlake.plans import catalog
+
+    form = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    spans = [(1, 1, 5.0), (1, 3, None), (1, 3, 7.0), (2, 1, 6.0), (2, None, 6.0), (2, 4, 8.0), (3, 1, 5.0), (3, 4, 9.0), (3, 4, 9.0)]
+    spark.createDataFrame([(call, 0, 1, line, q, 1.0, 0.0) for call, line, q in spans], form).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, catalog.queries()["W19_merge_by_gap"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.oracle_sql()["W19_merge_by_gap"]).fetchall())
+    assert got == [(1, 10.0, 15.0, 1), (1, 30.0, 37.0, 2), (2, 10.0, 16.0, 1), (2, 40.0, 48.0, 2), (3, 10.0, 15.0, 1), (3, 40.0, 49.0, 2)]
+
+
 def test_X18_a_mean_halfway_is_summed_in_the_order_of_the_table(spark, tmp_path):
     from voxlake.plans import catalog
 

@@ -78,10 +78,10 @@ def bounded_fill(df: DataFrame, value: str, reach: str, *, keys: Sequence[str],
 
 
 def merge_by_gap(df: DataFrame, start: str, end: str, *, keys: Sequence[str], gap: float) -> DataFrame:
-    """Joins spans whose distance to what came before is at most gap: keys, start, end, n."""
-    w = _over(keys, [start, end])
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = change_ids(df, F.col(start) - reach > gap, keys=keys, order=[start, end], name="__g")
+    """Joins spans whose distance to what came before is at most gap: keys, start, end, n. An unknown start or end comes last."""
+    order = [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()]
+    reach = F.max(end).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    x = change_ids(df, F.col(start) - reach > gap, keys=keys, order=order, name="__g")
     return x.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__g")
 
 
