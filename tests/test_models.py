@@ -139,3 +139,34 @@ def test_word_vectors_are_bounded_however_many_words_there_are(spark, monkeypatc
     model = topics.fit(rows, kind="logistic", embedding=4)
     vectors = next(m for m in model.stages if isinstance(m, Word2VecModel))
     assert vectors.getVectors().count() <= 16 and topics.predict(model, rows).count() == 200
+
+
+def test_word_vectors_are_learned_by_tasks_of_bounded_size(spark, rows, monkeypatch):
+    from pyspark.ml.feature import Word2VecModel
+
+    monkeypatch.setattr(topics, "LEARNED", 50)
+    known = rows.where(~topics.held_out("id"))
+    model = topics.fit(known, kind="logistic", embedding=8)
+    vectors = next(m for m in model.stages if isinstance(m, Word2VecModel))
+    assert vectors.getNumPartitions() == math.ceil(known.count() / 50) > 1
+    words = {w for r in known.collect() for w in r.text.split()}
+    assert vectors.getVectors().count() == len({r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr(f"pmod(xxhash64(w), {topics.VECTORS}) as h").collect()})
+    assert all(math.isfinite(x) for r in vectors.getVectors().collect() for x in r.vector)
+    said = topics.predict(model, rows.where(topics.held_out("id"))).collect()
+    assert sum(r.predicted == r.label for r in said) >= 0.9 * len(said)
+
+
+def test_M08_has_every_window_once_and_deals_the_turns_of_a_single_file(spark, sf, tmp_path, monkeypatch):
+    from voxlake.plans import catalog, learning
+
+    form = "conv_id long, turn long, role string, text string"
+    turns = [(c, t, ("user", "assistant", None)[t % 3], " ".join(f"w{(c * 7 + t * k) % 50}" for k in range(c + t))) for c in range(40) for t in range(4)]
+    spark.createDataFrame([*turns, (99, 0, "user", None)], form).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = []
+    monkeypatch.setattr(learning, "judged", lambda rows, key, *, f=learning.judged, **how: f(kept.append(rows) or rows, key, **how))
+    got = catalog.queries()["M08_forest"](spark, str(tmp_path)).collect()
+    want = [f"{c}/{t}/{at}" for c, t, _, text in turns if (n := len(text.split())) for at in range(0, max(n - 15, 0) + 1, 7)]
+    assert sorted(r.id for r in got) == sorted(want)
+    texts = {f"{c}/{t}": text.split() for c, t, _, text in turns}
+    assert all(r.text.split() == texts[r.id.rpartition("/")[0]][int(r.id.rpartition("/")[2]) :][:15] for r in kept[0].collect())
+    assert kept[0].inputFiles()[0].rpartition("/")[0].rpartition("/")[2].startswith("voxlake-")

@@ -20,6 +20,8 @@ from voxlake.storage import written
 FEATURES = 1 << 12
 #: Rows of the word vectors, which words share by hash: the driver holds so many, however many words there are.
 VECTORS = 1 << 14
+#: Texts from which one task learns word vectors: larger tables make more tasks, whose vectors are averaged.
+LEARNED = 1 << 16
 #: Texts and phrases of a pack, and pairs of postings that are added up at a time (see nearest_phrases).
 PACK, SCRIPTS, MET = 512, 1024, 1 << 20
 
@@ -29,26 +31,27 @@ def held_out(*key: str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(5)) == 0
 
 
-def features(text: str, out: str = "features", embedding: int = 0, more: tuple[str, ...] = ()) -> list:
-    """Hashed TF-IDF of a text; with embedding also the mean of its words' vectors, of that many numbers, and the columns of more."""
+def features(text: str, out: str = "features", embedding: int = 0, more: tuple[str, ...] = (), tasks: int = 1) -> list:
+    """Hashed TF-IDF of a text; with embedding also the mean of its words' vectors, of that many numbers, learned by that many tasks, and the columns of more."""
     words = RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"[^\p{L}\p{N}]+")
     tf_idf = [HashingTF(inputCol="__w", outputCol="__tf", numFeatures=FEATURES), IDF(inputCol="__tf", outputCol="__ti" if embedding or more else out, minDocFreq=2)]
     if not embedding and not more:
         return [words, *tf_idf]
     hashed = SQLTransformer(statement=f"SELECT *, transform(__w, w -> cast(pmod(xxhash64(w), {VECTORS}) AS string)) AS __h FROM __THIS__")
-    vectors = [hashed, Word2Vec(inputCol="__h", outputCol="__e", vectorSize=embedding, minCount=2, seed=1)] if embedding else []
+    vectors = [hashed, Word2Vec(inputCol="__h", outputCol="__e", vectorSize=embedding, minCount=2, seed=1, numPartitions=tasks)] if embedding else []
     return [words, *tf_idf, *vectors, VectorAssembler(inputCols=["__ti", *(["__e"] if embedding else []), *more], outputCol=out)]
 
 
 def fit(rows: DataFrame, *, text: str = "text", label: str = "label", kind: str = "bayes", balanced: bool = False, embedding: int = 0, more: tuple[str, ...] = (), settings: dict | None = None) -> PipelineModel:
-    """Learns label from text; balanced weights classes inversely to their frequency; embedding and more add features (see features)."""
+    """Learns label from text; balanced weights classes inversely to their frequency; embedding and more add features (see features). Rows are read in several passes."""
     if balanced:
         n = rows.groupBy(label).agg(F.count("*").alias("__n"))
         t = n.agg(F.sum("__n").alias("__t"), F.count("*").alias("__k"))
         rows = rows.join(n.crossJoin(F.broadcast(t)).select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight")), label)
     how = ({"weightCol": "weight"} if balanced else {}) | (settings or {})
     model = {"bayes": lambda: NaiveBayes(labelCol="__y", **how), "logistic": lambda: LogisticRegression(labelCol="__y", **({"maxIter": 20, "regParam": 0.01} | how)), "forest": lambda: RandomForestClassifier(labelCol="__y", numTrees=20, seed=1, **how)}[kind]()
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), *features(text, embedding=embedding, more=more), model]).fit(rows)
+    tasks = max(1, -(-rows.count() // LEARNED)) if embedding else 1
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), *features(text, embedding=embedding, more=more, tasks=tasks), model]).fit(rows)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

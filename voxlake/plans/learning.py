@@ -13,6 +13,7 @@ from voxlake.plans.aggregates import R
 from voxlake.plans.registry import Source, query
 from voxlake.plans.scoring import ALPHA, BETA, GAMMA, REL_BINS
 from voxlake.signal import activity, chain, frames, kernels, spectral
+from voxlake.storage import written
 from voxlake.streaming import events as E
 from voxlake.views import SCRIPT_ORDER, ctes
 
@@ -151,12 +152,13 @@ def nearest_phrases(s: Source) -> DataFrame:
 
 @query("M08_forest")
 def forest(s: Source) -> DataFrame:
-    """Windows of 15 words, each seventh, by TF-IDF and word vectors."""
+    """Windows of 15 words, each seventh, by TF-IDF and word vectors. They are dealt anew, as a single file may hold all turns, and written, as the model reads them in many passes. Runs jobs before it returns."""
     from voxlake.operators import ordered as O
 
-    u = s.view("utterances").withColumn("label", F.when(F.col("speaker") == 1, "client").otherwise("agent"))
+    u = s.view("utterances").select("call_id", "turn", "words", F.when(F.col("speaker") == 1, "client").otherwise("agent").alias("label"))
+    u = u.repartition("call_id", "turn").sortWithinPartitions("call_id", "turn")
     w = O.word_windows(u, "words", size=15, step=7, tail=False).select(F.format_string("%d/%d/%d", "call_id", F.col("turn").cast("long"), F.col("window_start").cast("long")).alias("id"), F.array_join("window_words", " ").alias("text"), "label")
-    return judged(w, "id", kind="forest", embedding=16)
+    return judged(written(w), "id", kind="forest", embedding=16)
 
 
 @query("M09_embedding_classifier")
